@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, fertility, langid, quality_qda, token_counts, url_filter
+from . import bpe, decontam, fertility, langid, minhash, pii, quality_qda, token_counts, url_filter
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -18,6 +19,11 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op2_near_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, shingle=2).select(F.col("row.doc_id").alias("doc_id"), "n_shingles", "component_id", "kept", "class_id")
+
+
 def op3_quality_classifier(spark, sf_dir):
     return quality_qda.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +47,14 @@ def op8_decontamination(spark, sf_dir):
     return decontam.digest_hits(decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_pii(spark, sf_dir):
+    return pii.digest_spans(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def op10_byte_bpe(spark, sf_dir):
+    return bpe.digest_tokens(bpe.encode(table(spark, sf_dir, "documents")))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
@@ -54,6 +68,19 @@ rows_ AS (SELECT row_number() OVER () AS k, * FROM parts),
 fits AS (SELECT k, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY k ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS n
   FROM rows_ JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM rows_ LEFT JOIN (SELECT * FROM fits WHERE n = 1) USING (k)""",
+    "op2_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i : i + 1] AS g FROM (SELECT *, unnest(range(1, greatest(2, len(w)))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ids AS (SELECT doc_id, dense_rank() OVER (ORDER BY g) AS g FROM s),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM ids a JOIN ids b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+sym AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM sym UNION SELECT r.x, s2.y FROM reach r JOIN sym s2 ON r.y = s2.x),
+low AS (SELECT x, min(y) AS m FROM reach GROUP BY x),
+cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY gs) AS class_id FROM (SELECT doc_id, list_sort(list(g)) AS gs FROM ids GROUP BY doc_id))
+SELECT DISTINCT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id <= coalesce(m, d.doc_id) AS kept, coalesce(class_id, d.doc_id) AS class_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = d.doc_id LEFT JOIN cls ON cls.doc_id = d.doc_id""",
     "op8_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),

@@ -15,6 +15,7 @@ from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import partitions
 
@@ -126,9 +127,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     bounds = sorted({seen[len(seen) * i // n] for i in range(1, n)}) if seen else []
     rule_host = F.translate("host", UPPER, LOWER)
     ruled = rules.where("host is not null and verdict is not null").select(rule_host.alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").withColumn("rkey", reversed_host(F.col("host"))).where("rkey <> ''").select("rkey", "path", "host", "verdict")
-    ruled = ruled.mapInArrow(_bucket_rules(bounds), ruled.schema.add("bucket", "int"))
+    ruled = ruled.mapInArrow(_bucket_rules(bounds), T.StructType([*ruled.schema, T.StructField("bucket", T.IntegerType())]))
     id_type = urls.schema["id"].dataType
-    judged = urls.mapInArrow(_bucket_urls(bounds), urls.schema.add("bucket", "int"))
+    judged = urls.mapInArrow(_bucket_urls(bounds), T.StructType([*urls.schema, T.StructField("bucket", T.IntegerType())]))
     events = judged.select("bucket", "rkey", F.lit(1).alias("kind"), "path", "host", F.lit(None).cast("string").alias("verdict"), "id").unionByName(ruled.select("bucket", "rkey", F.lit(0).alias("kind"), "path", "host", "verdict", F.lit(None).cast(id_type).alias("id")))
     swept = events.repartition(n, "bucket").sortWithinPartitions("bucket", "rkey", "kind").mapInArrow(_sweep(default), f"id {id_type.simpleString()}, host string, path string, rule string, verdict string")
     return swept.withColumnRenamed("id", id_col)
