@@ -132,7 +132,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
     Returns id, text, spans (merged [start, end) word ranges), items (sorted ids, as strings) and
     n_words for each input row. Null or wordless texts have no words and no hits; null or
     wordless items have no windows; items with a null id hit words but are not listed; repeated items
-    or rows change nothing. Other input columns are dropped. The windows of at most max_windows
+    or rows change nothing. Other input columns are dropped; id_col may be a struct of whole rows. The windows of at most max_windows
     rows are broadcast at a time; a larger benchmark is searched in several passes, each
     written to the shared folder.
     """

@@ -198,7 +198,9 @@ def _predict(shared, penalty):
                 spans.append([{"lang": model.langs[path[a]], "start": a, "end": b} for a, b in zip(cuts, cuts[1:])])
             keys = [i for i, f in enumerate(batch.schema) if f.name == "id"]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keys), pa.array([held_out_py(x) for x in batch.column("id").to_pylist()], pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], names=["id", "held_out", "lang_pred", "score", "lang_spans"])
+            whole = pa.types.is_struct(batch.schema.field("id").type)
+            held = pa.nulls(batch.num_rows, pa.bool_()) if whole else pa.array([held_out_py(x) for x in batch.column("id").to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keys), held, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], names=["id", "held_out", "lang_pred", "score", "lang_spans"])
 
     return run
 
@@ -228,7 +230,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
 
     score: the letters of lang_pred's spans over all letters. Spans are ranges of the words that have
     a letter. Null texts, texts without a letter, and all texts if no language was learned are `und`
-    with score 0; ties go to the first language by name. Other columns are dropped.
+    with score 0; ties go to the first language by name. Other columns are dropped; id_col may be a
+    struct of whole rows, and held_out is null then.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

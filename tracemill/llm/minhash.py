@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Returns, for each input row: row (a struct of its columns, whatever their names), n_shingles,
     component_id (the smallest id reachable by links, itself included), kept (id = component_id), class_id
-    (smallest id with an equal set) and first (true for one row of each component). Null and wordless texts have an empty
+    (smallest id with an equal set) and first (true for one row of each component, of its smallest id). Null and wordless texts have an empty
     set and link with nothing. A text of fewer words than a shingle is one shingle. Rows of
     one id are linked. A row with a null id takes part; where a component has no id, component_id is
     null and kept is true for all of it. Ids are integers.
@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     placed = named.join(classes, "digest", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep", "rid"))
     placed = stage(placed.select("rid", "id", "class_id", "root"), "placed")
-    roots = placed.groupBy("root").agg(F.min("id").alias("component_id"), F.min("rid").alias("leader"))
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
+    roots = placed.groupBy("root").agg(lead.alias("lead")).select("root", F.col("lead.id").alias("component_id"), F.col("lead.rid").alias("leader"))
     unstage(member, first, second, classes, reps, comp)
     told = placed.join(roots, "root").select("rid", F.coalesce("class_id", "id").alias("class_id"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), (F.col("rid") == F.col("leader")).alias("first"))
     return sketches.select("rid", "row", "n_shingles").join(told, "rid").drop("rid")
