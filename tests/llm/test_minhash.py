@@ -51,7 +51,8 @@ def test_components_equal_all_pairs(spark):
 
 
 def test_chains_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "MINOR_BLOCK", 3)
+    monkeypatch.setattr(minhash, "MAJOR_BLOCK", 4)
     r = random.Random(1)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
     now = [word() for _ in range(60)]

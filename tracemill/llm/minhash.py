@@ -20,7 +20,7 @@ BANDS, ROWS = 40, 6
 SIMILARITY = 80
 #: Estimates this far below the threshold are ruled out: over five standard errors at 240 minima.
 SLACK = 14
-BLOCK = 128
+MINOR_BLOCK, MAJOR_BLOCK = 256, 512
 #: As many pairs at most (16 bytes each) are broadcast to find the texts they need; more are joined by shuffle.
 BROADCAST_PAIRS = 2_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -153,20 +153,20 @@ def _confirm(k):
 
 
 def _block_pairs(table):
-    """Of the members of two blocks: pairs between different components that signatures don't rule out."""
+    """Pairs of a member with role 0 and one with role 1 of another component that signatures don't rule out."""
     import numpy as np
     import pyarrow as pa
 
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
-    ids, comp, block = (table.column(c).to_numpy() for c in ("rep", "comp", "block"))
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    ids, comp, role = (table.column(c).to_numpy() for c in ("rep", "comp", "role"))
     l, r = [], []
-    rows, others = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    for x in rows:
-        near = 100 * (sig[others] == sig[x]).sum(1) >= (SIMILARITY - SLACK) * sig.shape[1]
-        y = others[near & (comp[others] != comp[x]) & ((ids[others] > ids[x]) | (i != j))]
-        l += np.minimum(ids[y], ids[x]).tolist()
-        r += np.maximum(ids[y], ids[x]).tolist()
+    others = np.flatnonzero(role == 1)
+    theirs, their_ids, their_comp = sig[others], ids[others], comp[others]
+    for x in np.flatnonzero(role == 0):
+        near = 100 * (theirs == sig[x]).sum(1) >= (SIMILARITY - SLACK) * sig.shape[1]
+        y = their_ids[near & (their_comp != comp[x])]
+        l += np.minimum(y, ids[x]).tolist()
+        r += np.maximum(y, ids[x]).tolist()
     return pa.table({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64())})
 
 
@@ -234,9 +234,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # A link that no star showed lies in a bucket whose members are in several components, the hub aside.
     placed = member.where("n > 2 and rep <> hub").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    still = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(still, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
+    # The largest component of a bucket is not compared with itself: blocks of the others meet its blocks and each other.
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("m")).where("most < m")
+    dealt = placed.join(sizes.select("key", "major", F.ceil(F.col("most") / MAJOR_BLOCK).cast("int").alias("majors"), F.ceil((F.col("m") - F.col("most")) / MINOR_BLOCK).cast("int").alias("minors")), "key")
+    minor = F.col("comp") != F.col("major")
+    block = F.pmod(F.xxhash64("rep"), F.when(minor, F.col("minors")).otherwise(F.col("majors"))).cast("int")
+    place = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(role).alias("role"))
+    last = F.col("minors") - 1
+    asks = F.transform(F.sequence(F.lit(0), F.col("majors") + last), lambda j: place(F.col("block"), j, 0))
+    told = F.transform(F.sequence(F.lit(0), last), lambda i: place(i, F.when(minor, F.col("majors") + F.col("block")).otherwise(F.col("block")), 1))
+    dealt = dealt.withColumn("block", block).select("key", "rep", "comp", F.explode(F.when(minor, F.concat(asks, told)).otherwise(told)).alias("at")).select("key", "at.*", "rep", "comp")
     found = dealt.join(sigs, "rep").groupBy("key", "i", "j").applyInArrow(_block_pairs, "l bigint, r bigint").distinct()
     second = _confirmed(found, texts, shingle)
 
