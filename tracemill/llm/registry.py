@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fertility, langid, minhash, pii, quality_qda, token_counts, url_filter
+from . import bpe, compact_windows, decontam, fertility, langid, minhash, pii, quality_qda, token_counts, url_filter
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -39,6 +39,10 @@ def op5_language_id(spark, sf_dir):
     return langid.identify(docs, langid.learn_languages(docs))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
