@@ -1,13 +1,578 @@
-"""All registered queries of the engine and their DuckDB SQL."""
+"""All registered queries of the engine over the driver's tables, and their DuckDB SQL."""
 
+from __future__ import annotations
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tracemill.functions import text, vectors
+from tracemill.operators import detector, jobs, repair, spans
+from tracemill.sources import jsonl
+from tracemill.streaming import ingest
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def put(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+def load(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
+
+
+# ---- gold spans and token intervals
+
+GOLD_SQL = """gold AS (SELECT doc_id, item_id, strpos(d.text, b.text) - 1 AS "start", strpos(d.text, b.text) - 1 + length(b.text) AS "end"
+  FROM documents d JOIN benchmark b ON contains(d.text, b.text))"""
+
+
+def gold(spark, sf):
+    docs, bench = load(spark, sf, "documents"), load(spark, sf, "benchmark").withColumnRenamed("text", "passage")
+    return spans.occurrences(docs, bench, key="doc_id", text="text", needle_key="item_id", needle="passage")
+
+
+@query(f"WITH {GOLD_SQL} SELECT * FROM gold")
+def fn_find_all(spark, sf):
+    return gold(spark, sf)
+
+
+TOKENS_SQL = r"""toks AS (SELECT doc_id, pos, e - length(t) AS s, e FROM (
+  SELECT doc_id, pos, t, sum(length(t) + length(g)) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM (
+    SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS t, unnest(regexp_split_to_array(text, '\S+')[1:len(regexp_extract_all(text, '\S+'))]) AS g, unnest(range(len(regexp_extract_all(text, '\S+')))) AS pos
+    FROM documents WHERE doc_id IN (SELECT doc_id FROM gold))))"""
+
+
+def gold_tokens(spark, sf):
+    docs, g = load(spark, sf, "documents"), gold(spark, sf)
+    toks = spans.tokens(docs.join(g.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text")
+    return toks, g
+
+
+@query(f"""WITH {GOLD_SQL}, {TOKENS_SQL} SELECT DISTINCT t.doc_id, pos, s AS "start", e AS "end" FROM toks t JOIN gold g ON t.doc_id = g.doc_id AND t.e > g."start" AND t.s < g."end" """)
+def jn_overlap(spark, sf):
+    toks, g = gold_tokens(spark, sf)
+    return spans.overlapping(toks, g, "doc_id").select("doc_id", "pos", "start", "end")
+
+
+@query(f"""WITH {GOLD_SQL}, {TOKENS_SQL}, hit AS (SELECT DISTINCT t.doc_id, pos FROM toks t JOIN gold g ON t.doc_id = g.doc_id AND t.e > g."start" AND t.s < g."end"),
+runs AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM hit) SELECT doc_id, min(pos) AS start_token, max(pos) + 1 AS end_token FROM runs GROUP BY doc_id, r""")
+def win_islands(spark, sf):
+    toks, g = gold_tokens(spark, sf)
+    return spans.islands(spans.overlapping(toks, g, "doc_id"), "doc_id")
+
+
+@query(f"""WITH {GOLD_SQL}, {TOKENS_SQL} SELECT g.doc_id, item_id, min(pos) AS start_token FROM gold g JOIN toks t ON t.doc_id = g.doc_id AND t.e > g."start" GROUP BY ALL""")
+def jn_span_start(spark, sf):
+    toks, g = gold_tokens(spark, sf)
+    s = g.select("doc_id", "item_id", F.col("start").alias("s"))
+    return toks.join(s, "doc_id").where("end > s").groupBy("doc_id", "item_id").agg(F.min("pos").alias("start_token"))
+
+
+@query(f"""WITH {GOLD_SQL}, {TOKENS_SQL}, n AS (SELECT doc_id, count(*) AS n FROM toks GROUP BY doc_id)
+SELECT g.doc_id, item_id, coalesce(min(pos) FILTER (t.s >= g."end"), any_value(n)) AS end_token FROM gold g JOIN toks t ON t.doc_id = g.doc_id JOIN n ON n.doc_id = g.doc_id GROUP BY g.doc_id, item_id""")
+def jn_span_end(spark, sf):
+    toks, g = gold_tokens(spark, sf)
+    s = g.select("doc_id", "item_id", F.col("end").alias("e"))
+    return toks.join(s, "doc_id").groupBy("doc_id", "item_id").agg(F.coalesce(F.min(F.when(F.col("start") >= F.col("e"), F.col("pos"))), F.count(F.lit(1))).alias("end_token"))
+
+
+@query(f"""WITH {GOLD_SQL}, {TOKENS_SQL} SELECT t.doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = t.doc_id AND t.e > g."start" AND t.s < g."end") THEN 1 ELSE 0 END) AS BIGINT) AS gold_tokens FROM toks t GROUP BY t.doc_id""")
+def fn_gold_mask(spark, sf):
+    toks, g = gold_tokens(spark, sf)
+    hit = spans.overlapping(toks, g, "doc_id").select("doc_id", "pos", F.lit(1).alias("gold"))
+    return toks.join(hit, ["doc_id", "pos"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.coalesce("gold", F.lit(0))).alias("gold_tokens"))
+
+
+@query(f"""WITH {GOLD_SQL} SELECT d.doc_id, d.lang, l.toxic, count(g.item_id) AS n_spans, count(g.item_id) > 0 AS leaks FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN gold g USING (doc_id) GROUP BY ALL""")
+def labelled_leakage(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id", "lang").join(load(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    n = gold(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return docs.join(n, "doc_id", "left").select("doc_id", "lang", "toxic", F.coalesce("n", F.lit(0)).alias("n_spans"), (F.coalesce("n", F.lit(0)) > 0).alias("leaks"))
+
+
+FLAGSHIP = labelled_leakage
+
+ORDER_SPANS = "SELECT o_custkey AS k, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 90 AS BIGINT) AS e FROM orders"
+
+
+def order_spans(spark, sf):
+    day = F.datediff(F.col("o_orderdate"), F.lit("1992-01-01")).cast("long")
+    return load(spark, sf, "orders").select(F.col("o_custkey").alias("k"), day.alias("start"), (day + F.col("o_orderkey") % 90).alias("end"))
+
+
+def merge_sql(op):
+    return f"""WITH x AS ({ORDER_SPANS}), y AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM x WHERE e > s),
+z AS (SELECT *, sum(CASE WHEN b IS NULL OR s {op} b THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM y)
+SELECT k, min(s) AS "start", max(e) AS "end" FROM z GROUP BY k, g"""
+
+
+@query(merge_sql(">"))
+def win_merge_touch(spark, sf):
+    return spans.merge_spans(order_spans(spark, sf), "k")
+
+
+@query(merge_sql(">="))
+def win_merge_overlap(spark, sf):
+    return spans.merge_spans(order_spans(spark, sf), "k", touching=False)
+
+
+# ---- vectors: an embedding is a head's mass, positions of its label's residue are gold
+
+EMB_SQL = "emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, list_transform(range(len(embedding)), lambda i: CASE WHEN i % 10 = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS g FROM embeddings)"
+
+
+def emb(spark, sf):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    g = F.transform("embedding", lambda v, i: F.when(i % 10 == F.col("label"), F.lit(1.0)).otherwise(F.lit(0.0)))
+    return load(spark, sf, "embeddings").select("vec_id", x.alias("x"), g.alias("g"))
+
+
+DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+COS = "({ab}) / greatest(sqrt({aa}) * sqrt({bb}), 1e-12)".format(ab=DOT.format(a="x", b="g"), aa=DOT.format(a="x", b="x"), bb=DOT.format(a="g", b="g"))
+CV = "sqrt(list_sum(list_transform(x, lambda v: (v - list_avg(x)) * (v - list_avg(x)))) / len(x)) / greatest(list_avg(x), 1e-12)"
+
+
+def r6(c, name):
+    return F.round(c, 6).alias(name)
+
+
+@query(f"WITH {EMB_SQL} SELECT vec_id, round({COS}, 6) AS cosine FROM emb")
+def fn_cosine(spark, sf):
+    return emb(spark, sf).select("vec_id", r6(vectors.cosine(F.col("x"), F.col("g")), "cosine"))
+
+
+@query(f"WITH {EMB_SQL}, emb2 AS (SELECT vec_id, list_transform(x, lambda v: v + 1) AS x FROM emb) SELECT vec_id, round({CV}, 6) AS cv FROM emb2")
+def fn_cv(spark, sf):
+    return emb(spark, sf).select("vec_id", F.transform("x", lambda v: v + 1).alias("x")).select("vec_id", r6(vectors.variation(F.col("x")), "cv"))
+
+
+@query(f"WITH {EMB_SQL} SELECT vec_id, round(list_sum(list_transform(x, lambda v: greatest(0.0, v - list_sort(x)[(len(x) - 1) // 2 + 1]))), 6) AS mass FROM emb")
+def win_median_norm(spark, sf):
+    return emb(spark, sf).select("vec_id", r6(vectors.total(vectors.median_normal(F.col("x"))), "mass"))
+
+
+@query(f"WITH {EMB_SQL} SELECT vec_id, round({COS}, 6) AS score FROM emb")
+def fn_shape_score(spark, sf):
+    return emb(spark, sf).select("vec_id", r6(vectors.shape_score(F.col("x"), F.col("g")), "score"))
+
+
+@query(f"""WITH {EMB_SQL}, n AS (SELECT vec_id, g, list_transform(x, lambda v: greatest(0.0, v - list_sort(x)[(len(x) - 1) // 2 + 1])) AS x FROM emb),
+s AS (SELECT *, {COS} AS c, list_sum(g) AS k, {DOT.format(a='x', b='g')} AS d FROM n) SELECT vec_id, round(c * greatest(0.0, d / greatest(k, 1) - (list_sum(x) - d) / greatest(len(x) - k, 1)), 6) AS score FROM s""")
+def fn_contrast_score(spark, sf):
+    return emb(spark, sf).select("vec_id", r6(vectors.contrast_score(F.col("x"), F.col("g")), "score"))
+
+
+@query(f"WITH {EMB_SQL} SELECT vec_id, round(exp(-list_avg(x)), 6) AS ppl FROM emb")
+def fn_ppl(spark, sf):
+    return emb(spark, sf).select("vec_id", r6(vectors.perplexity(F.col("x")), "ppl"))
+
+
+PAIR_SQL = "pairs AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS b, CAST(t.embedding AS DOUBLE[]) AS t FROM embeddings a JOIN embeddings t ON t.vec_id = a.vec_id + 1)"
+
+
+def vector_pairs(spark, sf):
+    e = load(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("b"))
+    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("b").alias("t")), "vec_id")
+
+
+SOFT = "list_transform({x}, lambda v: exp(v - list_max({x})) / list_sum(list_transform({x}, lambda w: exp(w - list_max({x})))))"
+
+
+@query(f"""WITH {PAIR_SQL}, s AS (SELECT vec_id, {SOFT.format(x='b')} AS p, {SOFT.format(x='t')} AS q FROM pairs)
+SELECT vec_id, round(0.5 * list_sum(list_transform(list_zip(p, q), lambda z: z[1] * ln(2 * z[1] / (z[1] + z[2])) + z[2] * ln(2 * z[2] / (z[1] + z[2])))), 6) AS jsd FROM s""")
+def fn_jsd(spark, sf):
+    return vector_pairs(spark, sf).select("vec_id", r6(vectors.js_divergence(F.col("b"), F.col("t")), "jsd"))
+
+
+@query(f"""WITH {PAIR_SQL}, g AS (SELECT vec_id, list_reverse_sort(list_transform(list_zip(b, t), lambda z: greatest(0.0, z[2] - z[1]))) AS g FROM pairs)
+SELECT vec_id, round(list_avg(g[1:greatest(1, floor(0.05 * len(g) + 0.999999)::INT)]), 6) AS pcs FROM g""")
+def fn_pcs(spark, sf):
+    return vector_pairs(spark, sf).select("vec_id", r6(vectors.pcs(F.col("b"), F.col("t")), "pcs"))
+
+
+@query(f"""WITH {PAIR_SQL}, g AS (SELECT vec_id, unnest(range(len(b))) AS i, unnest(list_transform(list_zip(b, t), lambda z: greatest(0.0, z[2] - z[1]))) AS v FROM pairs),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS n, count(*) OVER (PARTITION BY vec_id) AS c FROM g)
+SELECT vec_id, count(*) FILTER (NOT (v > 0 AND n <= floor(0.05 * c + 0.999999))) AS n_kept, round(count(*) FILTER (v > 0 AND n <= floor(0.05 * c + 0.999999)) / count(*), 6) AS removed_fraction FROM k GROUP BY vec_id""")
+def fn_pcs_filter(spark, sf):
+    w = vectors.without_top(F.col("b"), F.col("t"))
+    return vector_pairs(spark, sf).select("vec_id", w.alias("w")).select("vec_id", F.size("w.kept").cast("long").alias("n_kept"), r6(F.col("w.removed_fraction"), "removed_fraction"))
+
+
+@query(f"WITH {PAIR_SQL} SELECT vec_id, round(list_avg(t) - list_avg(b), 6) AS galg FROM pairs")
+def fn_galg(spark, sf):
+    return vector_pairs(spark, sf).select("vec_id", r6(vectors.gain(F.col("b"), F.col("t")), "galg"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(range(64)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings)
+SELECT vec_id, pos, round(CASE WHEN count(*) OVER f = 5 THEN max(v) OVER f ELSE greatest(max(v) OVER f, 0) END, 6) AS score FROM x WINDOW f AS (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
+def win_rolling_max(spark, sf):
+    x = load(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+    return x.select("vec_id", F.col("pos").cast("long").alias("pos"), r6(spans.rolling_max(F.col("v"), "vec_id", "pos", 5), "score"))
+
+
+# ---- detector calibration: vector v is head (v % 4, v // 4 % 8) of sample v // 32
+
+MASS_SQL = f"{EMB_SQL}, mass AS (SELECT vec_id // 32 AS sample_id, vec_id % 4 AS layer, vec_id // 4 % 8 AS head, x, list_transform(range(64), lambda i: CASE WHEN i % 7 = (vec_id // 32) % 7 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS g FROM emb), heads AS (SELECT layer, head, avg({COS}) AS score FROM mass GROUP BY layer, head)"
+
+
+def mass(spark, sf):
+    v = F.col("vec_id")
+    return emb(spark, sf).select(F.floor(v / 32).alias("sample_id"), (v % 4).alias("layer"), (F.floor(v / 4) % 8).alias("head"), F.col("x").alias("mass"))
+
+
+def masks(spark, sf):
+    s = mass(spark, sf).select("sample_id").distinct()
+    return s.withColumn("mask", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i % 7 == F.col("sample_id") % 7, F.lit(1.0)).otherwise(F.lit(0.0))))
+
+
+@query(f"WITH {MASS_SQL} SELECT layer, head, round(score, 6) AS score FROM heads")
+def ag_head_mean(spark, sf):
+    return detector.head_scores(mass(spark, sf), masks(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {MASS_SQL} SELECT layer, head, round(score, 6) AS score FROM heads ORDER BY heads.score DESC, layer, head LIMIT 5")
+def srt_top_heads(spark, sf):
+    return detector.top_heads(detector.head_scores(mass(spark, sf), masks(spark, sf)), 5).withColumn("score", F.round("score", 6))
+
+
+TOP_SQL = f"{MASS_SQL}, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, layer, head) AS rn FROM heads), top AS (SELECT k AS top_k, layer, head, score FROM ranked JOIN (VALUES (1), (2), (4)) t(k) ON rn <= k)"
+
+
+@query(f"WITH {TOP_SQL} SELECT top_k, layer, head, round(score, 6) AS score FROM top")
+def srt_nested_topk(spark, sf):
+    return detector.nested_top(detector.head_scores(mass(spark, sf), masks(spark, sf)), [1, 2, 4]).withColumn("score", F.round("score", 6))
+
+
+AGG_SQL = f"{TOP_SQL}, flat AS (SELECT top_k, sample_id, greatest(score, 0) AS w, unnest(range(64)) AS pos, unnest(x) AS v FROM mass JOIN top USING (layer, head)), agg AS (SELECT top_k, sample_id, pos, CASE WHEN sum(w) > 0 THEN sum(w * v) / sum(w) ELSE avg(v) END AS score FROM flat GROUP BY ALL)"
+
+
+def aggregated(spark, sf):
+    m = mass(spark, sf)
+    return detector.combined(m, detector.nested_top(detector.head_scores(m, masks(spark, sf)), [1, 2, 4]))
+
+
+@query(f"WITH {AGG_SQL} SELECT top_k, sample_id, pos, round(score, 6) AS score FROM agg")
+def fn_agg_heads(spark, sf):
+    return aggregated(spark, sf).withColumn("score", F.round("score", 6))
+
+
+SHAPE_SQL = f"""{AGG_SQL}, packed AS (SELECT top_k, sample_id, list(score ORDER BY pos) AS x, list_transform(range(64), lambda i: CASE WHEN i % 7 = sample_id % 7 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS g FROM agg GROUP BY ALL),
+shape AS (SELECT top_k, avg({COS}) AS mean_score, quantile_disc({COS}, 0.5) AS median_score, min({COS}) AS min_score, count(*) AS samples FROM packed GROUP BY top_k)"""
+
+
+def shapes(spark, sf):
+    packed = aggregated(spark, sf).groupBy("top_k", "sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "score"))), lambda s: s["score"]).alias("x")).join(masks(spark, sf), "sample_id")
+    scored = packed.select("top_k", vectors.cosine(F.col("x"), F.col("mask")).alias("s"))
+    return scored.groupBy("top_k").agg(F.avg("s").alias("mean_score"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY s)").alias("median_score"), F.min("s").alias("min_score"), F.count(F.lit(1)).alias("samples"))
+
+
+@query(f"WITH {SHAPE_SQL} SELECT top_k, round(mean_score, 6) AS mean_score, round(median_score, 6) AS median_score, round(min_score, 6) AS min_score, samples FROM shape")
+def ag_shape(spark, sf):
+    return shapes(spark, sf).select("top_k", *(F.round(c, 6).alias(c) for c in ("mean_score", "median_score", "min_score")), "samples")
+
+
+@query(f"WITH {SHAPE_SQL} SELECT top_k, round(mean_score, 6) AS mean_score FROM shape ORDER BY shape.mean_score DESC, median_score DESC, top_k LIMIT 1")
+def srt_best_config(spark, sf):
+    return detector.best_config(shapes(spark, sf).withColumn("window_size", F.lit(1))).select("top_k", F.round("mean_score", 6).alias("mean_score"))
+
+
+METRIC_SQL = f"""{AGG_SQL}, s AS (SELECT sample_id, pos, round(score, 9) AS score, CASE WHEN pos % 7 = sample_id % 7 THEN 1 ELSE 0 END AS gold FROM agg WHERE top_k = 4),
+t(threshold) AS (VALUES (-0.05::DOUBLE), (0.0501::DOUBLE), (0.1001::DOUBLE)),
+b AS (SELECT *, gold = 1 AND coalesce(lag(gold) OVER (PARTITION BY sample_id ORDER BY pos), 0) = 0 AS begins FROM s),
+h AS (SELECT *, score >= threshold AS hit FROM b, t), o AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY threshold, sample_id ORDER BY pos) AS grp FROM h),
+p AS (SELECT threshold, sample_id, grp, sum(CASE WHEN begins THEN 1 ELSE 0 END) AS starts, count(*) AS n, sum(gold) AS gt FROM o WHERE hit GROUP BY ALL),
+pooled AS (SELECT threshold, sum(starts) AS detected, count(*) FILTER (starts > 0) AS correct, count(*) AS total_pred, sum(n) AS predicted_tokens, sum(gt) AS correct_tokens FROM p GROUP BY threshold),
+m AS (SELECT t.threshold, coalesce(detected, 0) AS detected_gold_spans, (SELECT count(*) FILTER (begins) FROM b) AS total_gold_spans, coalesce(correct, 0) AS correct_pred_spans, coalesce(total_pred, 0) AS total_pred_spans, coalesce(predicted_tokens, 0) AS predicted_tokens, coalesce(correct_tokens, 0) AS correct_pred_tokens FROM t LEFT JOIN pooled USING (threshold)),
+metrics AS (SELECT *, correct_pred_spans / greatest(total_pred_spans, 1) AS "precision", detected_gold_spans / greatest(total_gold_spans, 1) AS recall FROM m)"""
+
+
+def metrics(spark, sf):
+    scores = aggregated(spark, sf).where("top_k = 4").select("sample_id", "pos", F.round("score", 9).alias("score"), F.when(F.col("pos") % 7 == F.col("sample_id") % 7, 1).otherwise(0).alias("gold"))
+    return spans.span_metrics(scores, spark.createDataFrame([(-0.05,), (0.0501,), (0.1001,)], "threshold double"))
+
+
+COUNTS = ["detected_gold_spans", "total_gold_spans", "correct_pred_spans", "total_pred_spans", "predicted_tokens", "correct_pred_tokens"]
+
+
+@query(f"WITH {METRIC_SQL} SELECT threshold, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in COUNTS)}, round(\"precision\", 6) AS \"precision\", round(recall, 6) AS recall FROM metrics")
+def ag_pooled(spark, sf):
+    return metrics(spark, sf).select("threshold", *COUNTS, F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"""WITH {METRIC_SQL}, z AS (SELECT *, 2 * "precision" * recall / greatest("precision" + recall, 1e-12) AS harmonic, recall >= 0.5 AS feasible FROM metrics)
+SELECT threshold, round(harmonic, 6) AS harmonic, feasible FROM z ORDER BY z.feasible DESC, CASE WHEN z.feasible THEN 2 ELSE recall END DESC, z.harmonic DESC, "precision" DESC, threshold DESC LIMIT 1""")
+def srt_best_threshold(spark, sf):
+    return detector.best_threshold(metrics(spark, sf), 0.5).select("threshold", F.round("harmonic", 6).alias("harmonic"), "feasible")
+
+
+@query("""WITH p AS (SELECT s_nationkey AS g, s_suppkey, round(s_acctbal, 2) AS recall, CAST((s_suppkey * 7919) % 1000 AS DOUBLE) AS "precision" FROM supplier),
+w AS (SELECT *, max("precision") OVER (PARTITION BY g ORDER BY recall DESC, "precision" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p)
+SELECT g, s_suppkey, recall, "precision" FROM w WHERE "precision" > coalesce(b, -1)""")
+def win_pareto(spark, sf):
+    p = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("g"), "s_suppkey", F.round("s_acctbal", 2).alias("recall"), ((F.col("s_suppkey") * 7919) % 1000).cast("double").alias("precision"))
+    return detector.pareto(p, ["g"])
+
+
+@query("SELECT o_orderpriority AS k, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(CAST(o_totalprice AS DOUBLE), 0.5), 4) AS median, round(quantile_cont(CAST(o_totalprice AS DOUBLE), 0.25), 4) AS q25, round(quantile_cont(CAST(o_totalprice AS DOUBLE), 0.75), 4) AS q75 FROM orders GROUP BY k")
+def ag_robust(spark, sf):
+    q = F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = load(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(F.count("o_totalprice").alias("n"), F.avg("o_totalprice").alias("mean"), q.alias("q"))
+    return out.select("k", "n", F.round("mean", 4).alias("mean"), F.round(F.col("q")[1], 4).alias("median"), F.round(F.col("q")[0], 4).alias("q25"), F.round(F.col("q")[2], 4).alias("q75"))
+
+
+# ---- jobs: an event is a result, a document an input
+
+RESULT_SQL = "results AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'b' ELSE 'a' END AS run_id, event_id % 2000 AS sample_id, CASE event_type WHEN 'error' THEN 'error' ELSE 'success' END AS status, event_id AS seq, 1 AS attempts, CASE WHEN value > 10 THEN 'eos' ELSE 'length' END AS finish_reason FROM events)"
+LATEST_SQL = f"{RESULT_SQL}, latest AS (SELECT run_id, sample_id, arg_max(status, seq) AS status, arg_max(finish_reason, seq) AS finish_reason, max(seq) AS seq, CAST(sum(attempts) AS BIGINT) AS attempts FROM results GROUP BY run_id, sample_id)"
+
+
+def results(spark, sf):
+    e = load(spark, sf, "events")
+    return e.select(F.when(F.col("event_id") % 3 == 0, "b").otherwise("a").alias("run_id"), (F.col("event_id") % 2000).alias("sample_id"), F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"), F.col("event_id").alias("seq"), F.lit(1).alias("attempts"), F.when(F.col("value") > 10, "eos").otherwise("length").alias("finish_reason"))
+
+
+def latest(spark, sf):
+    r = results(spark, sf)
+    half = F.col("seq") % 2 == 0
+    return jobs.upsert(r.where(half), r.where(~half), ["run_id", "sample_id"])
+
+
+@query(f"WITH {LATEST_SQL} SELECT * FROM latest")
+def snk_upsert(spark, sf):
+    return latest(spark, sf)
+
+
+INPUT_SQL = "inputs AS (SELECT doc_id AS sample_id, doc_id * 2 + t AS position, t AS trace_index, CASE WHEN n_chars < 50 THEN 'too short' END AS validation_error FROM documents, range(2) r(t))"
+
+
+def inputs(spark, sf):
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), F.when(F.col("n_chars") < 50, "too short").alias("validation_error"))
+    return jobs.fan_out(docs, 2, "sample_id")
+
+
+@query(f"WITH {INPUT_SQL} SELECT * FROM inputs")
+def jn_cross_traces(spark, sf):
+    return inputs(spark, sf).select("sample_id", "position", F.col("trace_index").cast("long").alias("trace_index"), "validation_error")
+
+
+@query(f"WITH {LATEST_SQL}, {INPUT_SQL} SELECT i.sample_id, position, status, attempts FROM inputs i LEFT JOIN latest l ON l.sample_id = i.sample_id AND run_id = 'a'")
+def jn_left_results(spark, sf):
+    return jobs.with_results(inputs(spark, sf), latest(spark, sf), "a").select("sample_id", "position", "status", "attempts")
+
+
+@query(f"WITH {LATEST_SQL}, {INPUT_SQL} SELECT i.sample_id, min(position) AS position FROM inputs i LEFT JOIN latest l ON l.sample_id = i.sample_id AND run_id = 'a' WHERE validation_error IS NULL AND (status IS NULL OR status <> 'success') GROUP BY i.sample_id")
+def jn_pending(spark, sf):
+    return jobs.pending(inputs(spark, sf), latest(spark, sf), "a")
+
+
+@query(f"WITH {LATEST_SQL} SELECT run_id, count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'success' AND finish_reason = 'eos') AS sft FROM latest GROUP BY run_id")
+def ag_status(spark, sf):
+    s = F.col("status") == "success"
+    return latest(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(s).alias("success"), F.count_if(~s).alias("error"), F.count_if(s & (F.col("finish_reason") == "eos")).alias("sft"))
+
+
+@query(f"WITH {LATEST_SQL} SELECT run_id, sample_id, attempts FROM latest WHERE status = 'success' AND finish_reason = 'eos'")
+def flt_eligible(spark, sf):
+    return jobs.eligible(latest(spark, sf)).select("run_id", "sample_id", "attempts")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def jn_anti_single(spark, sf):
+    return jobs.not_done(load(spark, sf, "documents").select("doc_id"), load(spark, sf, "labels"), ["doc_id"])
+
+
+@query("""WITH r AS (SELECT event_id, nullif(event_type, 'error') AS model, user_id FROM events), d AS (SELECT nullif(event_type, 'error') AS model, user_id FROM events WHERE event_id % 50 = 0)
+SELECT event_id FROM r WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.model IS NOT DISTINCT FROM r.model AND d.user_id IS NOT DISTINCT FROM r.user_id)""")
+def jn_anti_composite(spark, sf):
+    r = load(spark, sf, "events").select("event_id", F.expr("nullif(event_type, 'error')").alias("model"), "user_id")
+    return jobs.not_done(r, r.where("event_id % 50 = 0"), ["model", "user_id"]).select("event_id")
+
+
+@query("SELECT sha256(text) AS job_id, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1")
+def ag_dedup_jobs(spark, sf):
+    return load(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("job_id")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, CAST((CAST(('0x' || substr(sha256(text), 1, 16)) AS UHUGEINT) + 17) % 9223372036854775807 AS BIGINT) AS seed FROM documents")
+def fn_seed(spark, sf):
+    d = F.sha2("text", 256)
+    return load(spark, sf, "documents").select("doc_id", d.alias("digest"), jobs.seed_of(d, 17).alias("seed"))
+
+
+SPLIT_ORDER = "row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id)"
+
+
+@query(f"WITH r AS (SELECT doc_id, {SPLIT_ORDER} AS rn, round_even(0.15 * count(*) OVER (), 0) AS p FROM documents) SELECT doc_id, CASE WHEN rn <= p THEN 'test' WHEN rn <= 2 * p THEN 'val' ELSE 'train' END AS split FROM r")
+def smp_split(spark, sf):
+    return jobs.split(load(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id, CAST((rn - 1) // CAST(ceil(n / 7) AS BIGINT) AS BIGINT) AS shard FROM r")
+def smp_shard(spark, sf):
+    return jobs.shard(load(spark, sf, "documents").select("doc_id"), ["doc_id"], 7).select("doc_id", "shard")
+
+
+# ---- JSON lines: props of an event, some lines broken
+
+LINE_SQL = "lines AS (SELECT event_id AS idx, CASE WHEN event_id % 97 = 96 THEN substr(props, 1, 4) WHEN event_id % 89 = 88 THEN '{\"k\": NaN}' ELSE props END AS line FROM events), ok AS (SELECT idx, TRY_CAST(json_extract_string(line, '$.k') AS BIGINT) AS k FROM lines WHERE json_valid(line) AND line NOT LIKE '%NaN%')"
+
+
+def lines(spark, sf):
+    e = load(spark, sf, "events")
+    return e.select(F.col("event_id").alias("idx"), F.when(F.col("event_id") % 97 == 96, F.substring("props", 1, 4)).when(F.col("event_id") % 89 == 88, '{"k": NaN}').otherwise(F.col("props")).alias("line"))
+
+
+@query(f"WITH {LINE_SQL} SELECT idx, k FROM ok")
+def src_jsonl_loose(spark, sf):
+    return jsonl.loose(lines(spark, sf), "k long")
+
+
+@query(f"WITH {LINE_SQL} SELECT idx, k FROM ok WHERE idx < (SELECT min(idx) FROM lines WHERE NOT json_valid(line) OR line LIKE '%NaN%')")
+def src_jsonl_prefix(spark, sf):
+    return jsonl.prefix(lines(spark, sf), "k long")
+
+
+@query("SELECT event_id AS idx, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def src_jsonl_strict(spark, sf):
+    return jsonl.strict(load(spark, sf, "events").select(F.col("event_id").alias("idx"), F.col("props").alias("line")), "k long")
+
+
+# ---- text functions and messages
+
+REPLY = "concat('<think>', chr(10), ' ', text, ' ', chr(10), '</think> The result is \\boxed{', CAST(conv_id AS VARCHAR), '}. <skeleton> s', CAST(turn AS VARCHAR), ' </skeleton><reason>', role, '</reason>')"
+
+
+def replies(spark, sf):
+    c = load(spark, sf, "conversations")
+    reply = F.concat(F.lit("<think>\n "), "text", F.lit(" \n</think> The result is \\boxed{"), F.col("conv_id").cast("string"), F.lit("}. <skeleton> s"), F.col("turn").cast("string"), F.lit(" </skeleton><reason>"), "role", F.lit("</reason>"))
+    return c.select("conv_id", "turn", reply.alias("reply"))
+
+
+def reply_sql(expr, name):
+    return f"WITH r AS (SELECT conv_id, turn, text, role, {REPLY} AS reply FROM conversations) SELECT conv_id, turn, {expr} AS {name} FROM r"
+
+
+TRIM = r"regexp_replace({}, '^[\s\x0B\x85\x{{A0}}]+|[\s\x0B\x85\x{{A0}}]+$', '', 'g')"
+
+
+@query(reply_sql(TRIM.format("text"), "thought"))
+def fn_think_split(spark, sf):
+    return replies(spark, sf).select("conv_id", "turn", text.think(F.col("reply")).alias("thought"))
+
+
+@query(reply_sql("CAST(conv_id AS VARCHAR)", "box"))
+def fn_boxed_first(spark, sf):
+    return replies(spark, sf).select("conv_id", "turn", text.boxed_first(F.col("reply")).alias("box"))
+
+
+@query(reply_sql("CAST(conv_id AS VARCHAR)", "answer"))
+def fn_norm_answer(spark, sf):
+    return replies(spark, sf).select("conv_id", "turn", text.normal_answer(F.col("reply")).alias("answer"))
+
+
+@query(reply_sql("replace(reply, '\\boxed{' || conv_id || '}', conv_id::VARCHAR)", "plain"))
+def fn_replace_boxed(spark, sf):
+    return replies(spark, sf).select("conv_id", "turn", text.unbox(F.col("reply")).alias("plain"))
+
+
+@query(reply_sql("'s' || turn || '/' || role || '/ok'", "parsed"))
+def fn_parse_ssr(spark, sf):
+    p = text.parse_pair(F.col("reply"), "skeleton", "reason")
+    return replies(spark, sf).select("conv_id", "turn", F.concat_ws("/", p["skeleton"], p["reason"], p["status"]).alias("parsed"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '[\s\x0B\x85\x{A0}]+', ' ', 'g')) AS t FROM documents")
+def fn_norm_space(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", text.normal_space(F.col("text")).alias("t"))
+
+
+@query("SELECT d.doc_id, item_id, substr(d.text, 1, strpos(d.text, b.text) - 1) || substr(d.text, strpos(d.text, b.text) + length(b.text)) AS clean FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def prj_prompt_split(spark, sf):
+    g = gold(spark, sf).select("doc_id", "item_id").distinct()
+    docs, bench = load(spark, sf, "documents").select("doc_id", "text"), load(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return g.join(docs, "doc_id").join(bench, "item_id").select("doc_id", "item_id", text.without_first(F.col("text"), F.col("passage")).alias("clean"))
+
+
+@query("SELECT item_id, text || chr(10) || chr(10) || 'Explain step by step.' AS prompt_wo_answer, text || chr(10) || chr(10) || 'Explain step by step.' || chr(10) || 'The answer is $' || item_id || '$.' AS prompt_w_answer FROM benchmark")
+def prj_prepare(spark, sf):
+    plain, _, full = text.prompt_pair(F.col("text"), F.col("item_id").cast("string"))
+    return load(spark, sf, "benchmark").select("item_id", plain.alias("prompt_wo_answer"), full.alias("prompt_w_answer"))
+
+
+@query("""WITH a AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS last, min(turn) FILTER (role = 'system') AS sys FROM conversations GROUP BY conv_id)
+SELECT a.conv_id, CASE WHEN last IS NULL THEN 'skipped' ELSE 'success' END AS status, coalesce(string_agg(c.role || ':' || length(c.text), '|' ORDER BY c.turn) FILTER (c.turn <= last), '') AS messages FROM a JOIN conversations c USING (conv_id) GROUP BY ALL""")
+def fn_messages(spark, sf):
+    c = load(spark, sf, "conversations")
+    m = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"), F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last"))
+    kept = F.filter("m", lambda t: t["turn"] <= F.col("last"))
+    shown = F.array_join(F.transform(kept, lambda t: F.concat_ws(":", t["role"], F.length(t["text"]).cast("string"))), "|")
+    return m.select("conv_id", F.when(F.col("last").isNull(), "skipped").otherwise("success").alias("status"), F.coalesce(shown, F.lit("")).alias("messages"))
+
+
+@query("SELECT p_partkey, lower(k[1]) || substr(k, 2) AS key FROM (SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9._-]+', '_', 'g') AS k FROM part)")
+def prj_key(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", text.model_key(F.concat(F.lit("org/"), "p_name", F.lit("/"))).alias("key"))
+
+
+@query("SELECT lang, count(*) AS total, count(*) FILTER (quality = 1) AS correct, round(count(*) FILTER (quality = 1) / greatest(count(*), 1), 6) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def ag_accuracy(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", "lang").join(load(spark, sf, "labels"), "doc_id")
+    ok = F.count_if(F.col("quality") == 1)
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("total"), ok.alias("correct"), F.round(ok / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("accuracy"))
+
+
+# ---- events, windows and repair
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def st_tumbling(spark, sf):
+    return ingest.counts_by_window(load(spark, sf, "events"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events)
+SELECT event_id, CASE WHEN bad THEN 0 ELSE count(*) FILTER (NOT bad) OVER (PARTITION BY user_id, g ORDER BY event_id) END AS streak FROM e""")
+def win_safe_streak(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    bad = (F.col("event_type") == "error").cast("int")
+    e = load(spark, sf, "events").select("user_id", "event_id", bad.alias("bad")).withColumn("g", F.sum("bad").over(w))
+    return e.select("event_id", F.when(F.col("bad") == 1, F.lit(0)).otherwise(F.sum(1 - F.col("bad")).over(Window.partitionBy("user_id", "g").orderBy("event_id"))).alias("streak"))
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS cycle_count, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 2 AS backtrack_suppressed FROM events")
+def win_cycle_count(spark, sf):
+    n = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
+    return load(spark, sf, "events").select("event_id", n.cast("long").alias("cycle_count"), (n > 2).alias("backtrack_suppressed"))
+
+
+def decoded(spark, sf):
+    b = load(spark, sf, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("prompt"), F.col("item_id").alias("seed"))
+    return repair.generate(b, repair.FakeBackend, repair.RepairConfig())
+
+
+@query()
+def st_decode_fsm(spark, sf):
+    return decoded(spark, sf).select("sample_id", "status", "finish_reason", F.size("token_ids").alias("n_tokens"), F.size("events").alias("n_repairs"))
+
+
+@query()
+def ev_explode(spark, sf):
+    return decoded(spark, sf).select("sample_id", F.posexplode("events").alias("n", "e")).select("sample_id", "n", "e.*")
+
+
+@query()
+def ev_masks(spark, sf):
+    return decoded(spark, sf).where("status = 'success'").select("sample_id", repair.final_mask(F.col("events"), F.size("token_ids")).alias("mask"))
