@@ -4,8 +4,8 @@ A task splits its texts and collects blocks of documents. A block's pre-tokens,
 kept as a dictionary of distinct words and, for each document, the sequence of dictionary numbers (by falling
 frequency, as variable-length bytes): position i of the sequence is pre-token i. Dictionary rows are
 shuffled and sorted by word, so each distinct word of the corpus is encoded once, however many blocks
-hold it, and a frequent word is one row a block. Ids return to their block by a second shuffle and are set
-in place by position.
+hold it, and a frequent word is one row a block. Ids return to their block, many words to a row, by a second
+shuffle and are set in place by position.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from .shared import partitions, slices, stage, unstage
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A block ends at as many pre-tokens or distinct words.
-BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 400_000
+BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 300_000
+#: After as many words a task packs what it has encoded, one row for each block.
+PACKED_WORDS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -108,15 +110,29 @@ def _encode_words(path, pattern):
 
         ranks = read_ranks(path)
         encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        before, ids = None, b""
         kind = np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32
+        before, ids, held, count = None, b"", {}, 0
+
+        def packed():
+            rows = [(block, to_varints(at), to_varints([len(x) // kind().itemsize for x in parts]), b"".join(parts)) for block, (at, parts) in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "at", "sizes", "ids"])
+
         for batch in batches:
-            out = []
-            for word in batch.column("word").to_pylist():
+            for block, at, word in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "word"))):
                 if word != before:
                     before, ids = word, np.array(encode(word), kind).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(out, pa.binary())], names=["block", "at", "ids"])
+                own = held.get(block)
+                if own is None:
+                    own = held[block] = ([], [])
+                own[0].append(at)
+                own[1].append(ids)
+            count += batch.num_rows
+            if count >= PACKED_WORDS:
+                count = 0
+                yield packed()
+        if held:
+            yield packed()
 
     return run
 
@@ -128,21 +144,22 @@ def _assemble(kind):
 
         block, parts, table = None, [], None
         for batch in batches:
-            blocks, at = batch.column("block").to_numpy(), batch.column("at")
-            keys, packed, seqs = batch.column("id"), batch.column("ids").to_pylist(), batch.column("seq").to_pylist()
-            at = at.to_pylist()
+            blocks = batch.column("block").to_numpy()
+            keys = batch.column("id")
+            at, sizes, packed, seqs = (batch.column(c).to_pylist() for c in ("at", "sizes", "ids", "seq"))
             rows, n, ids = [], [], []
             for i in range(batch.num_rows):
                 if blocks[i] != block:
                     block, parts, table = blocks[i], [], None
                 if seqs[i] is None:
-                    parts.append((at[i], packed[i]))
+                    parts.append((from_varints(at[i]), from_varints(sizes[i]), np.frombuffer(packed[i], kind)))
                     continue
                 if table is None:  # all words of a block sort before its documents
-                    parts.sort()
-                    flat = np.frombuffer(b"".join(p for _, p in parts), kind)
-                    size = np.fromiter((len(p) for _, p in parts), np.int64, len(parts)) // np.dtype(kind).itemsize
-                    table, parts = (flat, size, np.cumsum(size) - size), []
+                    flat = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, kind)
+                    place, own = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in (0, 1))
+                    size, start = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+                    size[place], start[place] = own, np.cumsum(own) - own
+                    table, parts = (flat, size, start), []
                 flat, size, start = table
                 seq = from_varints(seqs[i])
                 own = size[seq]
@@ -166,12 +183,13 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    blocks = stage(rows.mapInArrow(_split(pattern), f"block bigint, at int, word binary, id {kind}, seq binary"), "pretokens")
+    blocks = stage(rows.mapInArrow(_split(pattern), f"block bigint, at int, word binary, id {kind}, seq binary").withColumn("part", F.col("seq").isNotNull().cast("int")), "pretokens", by="part")
     n = partitions(spark)
-    words = blocks.where("word is not null").select("block", "at", "word").repartition(n, "word").sortWithinPartitions("word")
-    coded = stage(words.mapInArrow(_encode_words(path, pattern), "block bigint, at int, ids binary"), "words")
-    none = F.lit(None)
-    both = coded.select("block", F.lit(0).alias("part"), "at", "ids", none.cast(kind).alias("id"), none.cast("binary").alias("seq")).unionByName(blocks.where("seq is not null").select("block", F.lit(1).alias("part"), none.cast("int").alias("at"), none.cast("binary").alias("ids"), "id", "seq"))
+    words = blocks.where("part = 0").select("block", "at", "word").repartition(n, "word").sortWithinPartitions("word")
+    coded = stage(words.mapInArrow(_encode_words(path, pattern), "block bigint, at binary, sizes binary, ids binary"), "words")
+    unstage(blocks, part="part=0")
+    none = F.lit(None).cast("binary")
+    both = coded.select("block", F.lit(0).alias("part"), "at", "sizes", "ids", F.lit(None).cast(kind).alias("id"), none.alias("seq")).unionByName(blocks.where("part = 1").select("block", "part", none.alias("at"), none.alias("sizes"), none.alias("ids"), "id", "seq"))
     ordered = both.repartition(n, "block").sortWithinPartitions("block", "part")
     wide = "u2" if max(read_ranks(path).values()) < 1 << 16 else "u4"
     return ordered.mapInArrow(_assemble(wide), f"id {kind}, n_tokens bigint, ids binary").withColumnRenamed("id", id_col)

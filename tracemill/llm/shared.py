@@ -28,14 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there."""
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet (in folders by a column, if given) in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     held = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
     finally:
         spark.conf.set(CLEANUP, held)
     out = spark.read.schema(df.schema).parquet(path)
@@ -43,13 +44,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def unstage(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
+def unstage(*frames: DataFrame, part: str = "") -> None:
+    """Delete staged tables, or one folder of them, that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_staged_path", None)
         if path:
             jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
