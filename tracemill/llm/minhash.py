@@ -5,7 +5,7 @@ class. Universal hash minima are banded; in each bucket every class is paired wi
 pairs), signatures rule out most pairs, and full sets confirm the rest. Connected components come from
 alternating large-star and small-star. Only buckets whose members still lie in
 several components can hide a link that no star showed: these are compared in blocks of bounded
-size, by signature, between components alone, and survivors are confirmed on full sets as well.
+size between components alone, by signature and then on full sets, and only true links leave a block.
 Each step ends in a table in the shared folder, so a lost executor repeats one step at most.
 """
 
@@ -21,8 +21,8 @@ SIMILARITY = 80
 #: Estimates this far below the threshold are ruled out: over five standard errors at 240 minima.
 SLACK = 14
 MINOR_BLOCK, MAJOR_BLOCK = 256, 512
-#: As many pairs at most (16 bytes each) are broadcast to find the texts they need; more are joined by shuffle.
-BROADCAST_PAIRS = 2_000_000
+#: As many row ids at most (8 bytes each) are broadcast to find their texts; more are joined by shuffle.
+BROADCAST_RIDS = 2_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -152,30 +152,61 @@ def _confirm(k):
     return run
 
 
-def _block_pairs(table):
-    """Pairs of a member with role 0 and one with role 1 of another component that signatures don't rule out."""
-    import numpy as np
-    import pyarrow as pa
+def _block_links(k):
+    """Links of members with role 0 to members with role 1 of another component, none twice between two components."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        shingle, sets = Shingler(k), {}
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        ids, comp, role = (table.column(c).to_numpy() for c in ("rep", "comp", "role"))
+        texts = table.column("text")
+        root: dict = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        def full(i):
+            if ids[i] not in sets:
+                sets[ids[i]] = shingle(texts[i].as_py())
+            return sets[ids[i]]
+
+        l, r = [], []
+        others = np.flatnonzero(role == 1)
+        theirs = sig[others]
+        for x in np.flatnonzero(role == 0).tolist():
+            for y in others[100 * (theirs == sig[x]).sum(1) >= (SIMILARITY - SLACK) * sig.shape[1]].tolist():
+                p, q = find(int(comp[x])), find(int(comp[y]))
+                if p == q:
+                    continue
+                one, two = full(x), full(y)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if 100 * both >= SIMILARITY * (len(one) + len(two) - both):
+                    root[p] = q
+                    l.append(int(min(ids[x], ids[y])))
+                    r.append(int(max(ids[x], ids[y])))
+        return pa.table({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64())})
+
+    return run
+
 
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
-    ids, comp, role = (table.column(c).to_numpy() for c in ("rep", "comp", "role"))
-    l, r = [], []
-    others = np.flatnonzero(role == 1)
-    theirs, their_ids, their_comp = sig[others], ids[others], comp[others]
-    for x in np.flatnonzero(role == 0):
-        near = 100 * (theirs == sig[x]).sum(1) >= (SIMILARITY - SLACK) * sig.shape[1]
-        y = their_ids[near & (their_comp != comp[x])]
-        l += np.minimum(y, ids[x]).tolist()
-        r += np.maximum(y, ids[x]).tolist()
-    return pa.table({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64())})
+def _needed(texts: DataFrame, rids: DataFrame) -> DataFrame:
+    """The (rid, text) rows of a set of rids, staged; a set of proven size is broadcast."""
+    rids = stage(rids.distinct(), "rids")
+    few = rids.count() <= BROADCAST_RIDS
+    out = stage(texts.join(F.broadcast(rids) if few else rids, "rid", "left_semi"), "texts")
+    unstage(rids)
+    return out
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """The pairs (l, r) whose full sets pass; only texts in a pair are moved."""
     pairs = stage(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("l", "r")).alias("rid")).distinct()
-    wanted = F.broadcast(wanted) if pairs.count() <= BROADCAST_PAIRS else wanted
-    texts = stage(texts.join(wanted, "rid", "left_semi"), "texts")
+    texts = _needed(texts, pairs.select(F.explode(F.array("l", "r")).alias("rid")))
     left, right = texts.select(F.col("rid").alias("l"), F.col("text").alias("ltext")), texts.select(F.col("rid").alias("r"), F.col("text").alias("rtext"))
     links = stage(pairs.join(left, "l").join(right, "r").select("l", "r", "ltext", "rtext").mapInArrow(_confirm(k), "l bigint, r bigint"), "links")
     unstage(pairs, texts)
@@ -244,8 +275,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     asks = F.transform(F.sequence(F.lit(0), F.col("majors") + last), lambda j: place(F.col("block"), j, 0))
     told = F.transform(F.sequence(F.lit(0), last), lambda i: place(i, F.when(minor, F.col("majors") + F.col("block")).otherwise(F.col("block")), 1))
     dealt = dealt.withColumn("block", block).select("key", "rep", "comp", F.explode(F.when(minor, F.concat(asks, told)).otherwise(told)).alias("at")).select("key", "at.*", "rep", "comp")
-    found = dealt.join(sigs, "rep").groupBy("key", "i", "j").applyInArrow(_block_pairs, "l bigint, r bigint").distinct()
-    second = _confirmed(found, texts, shingle)
+    dealt = stage(dealt, "dealt")
+    held = _needed(texts, dealt.select(F.col("rep").alias("rid"))).withColumnRenamed("rid", "rep")
+    second = stage(dealt.join(sigs, "rep").join(held, "rep").groupBy("key", "i", "j").applyInArrow(_block_links(shingle), "l bigint, r bigint").distinct(), "links2")
+    unstage(dealt)
 
     shared = named.where("digest is not null and id is not null").join(classes, "digest").select("id", "rep").distinct()
     twice = shared.groupBy("id").agg(F.min("rep").alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
