@@ -153,7 +153,7 @@ def _confirm(k):
 
 
 def _block_links(k):
-    """Links of members with role 0 to members with role 1 of another component, none twice between two components."""
+    """Links of members with role 0 or 2 to members with role 1 or 2 of another component, none twice between two components."""
 
     def run(table):
         import numpy as np
@@ -176,10 +176,12 @@ def _block_links(k):
             return sets[ids[i]]
 
         l, r = [], []
-        others = np.flatnonzero(role == 1)
+        others = np.flatnonzero(role != 0)
         theirs = sig[others]
-        for x in np.flatnonzero(role == 0).tolist():
+        for x in np.flatnonzero(role != 1).tolist():
             for y in others[100 * (theirs == sig[x]).sum(1) >= (SIMILARITY - SLACK) * sig.shape[1]].tolist():
+                if role[y] == 2 and y <= x:  # met from the other side
+                    continue
                 p, q = find(int(comp[x])), find(int(comp[y]))
                 if p == q:
                     continue
@@ -194,11 +196,11 @@ def _block_links(k):
     return run
 
 
-def _needed(texts: DataFrame, rids: DataFrame) -> DataFrame:
-    """The (rid, text) rows of a set of rids, staged; a set of proven size is broadcast."""
+def _needed(rows: DataFrame, rids: DataFrame) -> DataFrame:
+    """The rows of a set of rids, staged; a set of proven size is broadcast."""
     rids = stage(rids.distinct(), "rids")
     few = rids.count() <= BROADCAST_RIDS
-    out = stage(texts.join(F.broadcast(rids) if few else rids, "rid", "left_semi"), "texts")
+    out = stage(rows.join(F.broadcast(rids) if few else rids, "rid", "left_semi"), "needed")
     unstage(rids)
     return out
 
@@ -250,23 +252,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketches = stage(rows.mapInArrow(_sketch(shingle, docs.columns.index(text_col)), made), "sketches")
     named = sketches.select("rid", F.col("row")[id_col].cast("long").alias("id"), "n_shingles", "digest")
     texts = sketches.select("rid", F.col("row")[text_col].alias("text"))
+    signed_texts = sketches.select("rid", "sig", F.col("row")[text_col].alias("text"))
     classes = stage(named.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("rep"), F.min("id").alias("class_id")), "classes")
     reps = sketches.select("rid", "sig", "bands").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
     reps = stage(reps.withColumnRenamed("rid", "rep"), "reps")
-    sigs = reps.select("rep", "sig")
     keyed = reps.select(F.explode("bands").alias("key"), "rep")
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     member = stage(keyed.join(buckets, "key"), "members")
 
-    star = member.where("rep <> hub").select(F.col("hub").alias("l"), F.col("rep").alias("r")).distinct()
+    star = stage(member.where("rep <> hub").select(F.col("hub").alias("l"), F.col("rep").alias("r")).distinct(), "star")
+    sigs = _needed(reps.select(F.col("rep").alias("rid"), "sig"), star.select(F.explode(F.array("l", "r")).alias("rid")))
     signed = star.join(sigs.toDF("l", "lsig"), "l").join(sigs.toDF("r", "rsig"), "r")
     first = _confirmed(signed.select("l", "r", "lsig", "rsig").mapInArrow(_alike, "l bigint, r bigint"), texts, shingle)
+    unstage(star, sigs)
     comp = connected_components(first)
 
     # A link that no star showed lies in a bucket whose members are in several components, the hub aside.
     placed = member.where("n > 2 and rep <> hub").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     # The largest component of a bucket is not compared with itself: blocks of the others meet its blocks and each other.
-    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("m")).where("most < m")
+    prints = [F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(20,0)")).alias(f"print{i}") for i in (0, 1)]
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), *prints).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("m"), *(F.sum(f"print{i}").alias(f"print{i}") for i in (0, 1))).where("most < m")
+    # Bands often gather the same members again: of buckets with equal sums of two hashes of their members one is compared.
+    sizes = sizes.groupBy("m", "print0", "print1").agg(F.min_by(F.struct("key", "major", "most"), "key").alias("one")).select("one.*", "m")
     dealt = placed.join(sizes.select("key", "major", F.ceil(F.col("most") / MAJOR_BLOCK).cast("int").alias("majors"), F.ceil((F.col("m") - F.col("most")) / MINOR_BLOCK).cast("int").alias("minors")), "key")
     minor = F.col("comp") != F.col("major")
     block = F.pmod(F.xxhash64("rep"), F.when(minor, F.col("minors")).otherwise(F.col("majors"))).cast("int")
@@ -274,11 +281,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     last = F.col("minors") - 1
     asks = F.transform(F.sequence(F.lit(0), F.col("majors") + last), lambda j: place(F.col("block"), j, 0))
     told = F.transform(F.sequence(F.lit(0), last), lambda i: place(i, F.when(minor, F.col("majors") + F.col("block")).otherwise(F.col("block")), 1))
-    dealt = dealt.withColumn("block", block).select("key", "rep", "comp", F.explode(F.when(minor, F.concat(asks, told)).otherwise(told)).alias("at")).select("key", "at.*", "rep", "comp")
+    single = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(minor, 2).otherwise(1).alias("role")))
+    places = F.when((F.col("majors") == 1) & (F.col("minors") == 1), single).when(minor, F.concat(asks, told)).otherwise(told)
+    dealt = dealt.withColumn("block", block).select("key", "rep", "comp", F.explode(places).alias("at")).select("key", "at.*", "rep", "comp")
     dealt = stage(dealt, "dealt")
-    held = _needed(texts, dealt.select(F.col("rep").alias("rid"))).withColumnRenamed("rid", "rep")
-    second = stage(dealt.join(sigs, "rep").join(held, "rep").groupBy("key", "i", "j").applyInArrow(_block_links(shingle), "l bigint, r bigint").distinct(), "links2")
-    unstage(dealt)
+    held = _needed(signed_texts, dealt.select(F.col("rep").alias("rid")))
+    second = stage(dealt.join(held.withColumnRenamed("rid", "rep"), "rep").groupBy("key", "i", "j").applyInArrow(_block_links(shingle), "l bigint, r bigint").distinct(), "links2")
+    unstage(dealt, held)
 
     shared = named.where("digest is not null and id is not null").join(classes, "digest").select("id", "rep").distinct()
     twice = shared.groupBy("id").agg(F.min("rep").alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
