@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Removes a query's shuffle files when it ends; a staged table needs them no more.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Holds while a table is staged: rows of an Arrow batch, as a batch of 10,000 whole texts is held several times over.
+STAGING = {CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,13 +34,15 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet (in folders by a column, if given) in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    held = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    held = {k: spark.conf.get(k, None) for k in STAGING}
+    for k, v in STAGING.items():
+        spark.conf.set(k, v)
     try:
         out = df.write.option("compression", "zstd")
         (out.partitionBy(by) if by else out).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, held)
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
