@@ -37,6 +37,7 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, monkeypatch):
         return len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
 
     out = bpe.digest_tokens(bpe.encode(docs))
+    assert sorted(bpe.digest_tokens(bpe.encode(docs, decoded=True)).collect(), key=str) == sorted(out.collect(), key=str)
     assert rows_by_text(docs, out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]) == expected(docs, reference)
 
 

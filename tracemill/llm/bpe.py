@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, slices, stage, unstage
+from .shared import give_back, partitions, slices, stage, unstage
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A block ends at as many pre-tokens or distinct words.
@@ -98,6 +98,7 @@ def _split(pattern):
                     yield from block()
         if ids:
             yield from block()
+        give_back()
 
     return run
 
@@ -133,6 +134,7 @@ def _encode_words(path, pattern):
                 yield packed()
         if held:
             yield packed()
+        give_back()
 
     return run
 
@@ -143,7 +145,7 @@ def _assemble(kind):
         import pyarrow as pa
 
         block, parts, table = None, [], None
-        for batch in batches:
+        for batch in slices(batches, "seq", 2 << 20):
             blocks = batch.column("block").to_numpy()
             keys = batch.column("id")
             at, sizes, packed, seqs = (batch.column(c).to_pylist() for c in ("at", "sizes", "ids", "seq"))
@@ -173,9 +175,10 @@ def _assemble(kind):
     return run
 
 
-def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, decoded: bool = False) -> DataFrame:
     """(id_col, n_tokens, ids) for each row; ids: little-endian unsigned 32-bit integers.
 
+    With decoded, a column decoded as that of decode() follows, made where the ids are set in place.
     Equals ordinary encoding of each match of pattern, without special tokens. Null and empty
     texts have no ids. Ids may repeat or be null; other columns are dropped. vocabulary: path of a rank file.
     """
@@ -192,7 +195,11 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     both = coded.select("block", F.lit(0).alias("part"), "at", "sizes", "ids", F.lit(None).cast(kind).alias("id"), none.alias("seq")).unionByName(blocks.where("part = 1").select("block", "part", none.alias("at"), none.alias("sizes"), none.alias("ids"), "id", "seq"))
     ordered = both.repartition(n, "block").sortWithinPartitions("block", "part")
     wide = "u2" if max(read_ranks(path).values()) < 1 << 16 else "u4"
-    return ordered.mapInArrow(_assemble(wide), f"id {kind}, n_tokens bigint, ids binary").withColumnRenamed("id", id_col)
+    place, bytes_of = _assemble(wide), _decode(path)
+    made = f"id {kind}, n_tokens bigint, ids binary"
+    if decoded:
+        return ordered.mapInArrow(lambda batches: bytes_of(place(batches)), f"{made}, decoded binary").withColumnRenamed("id", id_col)
+    return ordered.mapInArrow(place, made).withColumnRenamed("id", id_col)
 
 
 def _decode(path):
@@ -226,4 +233,5 @@ def decode(encoded: DataFrame, *, ids_col: str = "ids", vocabulary: str | None =
 
 def digest_tokens(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
     """The contract's columns: hashes of the ids and of the bytes that they decode to."""
-    return decode(encoded, vocabulary=vocabulary).select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    whole = encoded if "decoded" in encoded.columns else decode(encoded, vocabulary=vocabulary)
+    return whole.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -56,7 +56,7 @@ def op9_pii(spark, sf_dir):
 
 
 def op10_byte_bpe(spark, sf_dir):
-    return bpe.digest_tokens(bpe.encode(table(spark, sf_dir, "documents")))
+    return bpe.digest_tokens(bpe.encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
 def queries():
