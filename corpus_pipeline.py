@@ -48,7 +48,7 @@ def personal_data(spark, docs, sf_dir):
 
 def tokens(spark, docs, sf_dir):
     """Token ids of each document, with hashes of the ids and of what they decode to."""
-    decoded = bpe.decode(bpe.encode(docs))
+    decoded = bpe.encode(docs, decoded=True)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 
