@@ -61,5 +61,32 @@ def test_one_passage_in_every_text(spark):
     assert sum(r.spans.split("-")[0].isdigit() and r.n_dup_words >= 64 for r in out) == len(out) - 1  # but the row of another text
 
 
+def found(left, right):
+    a, b = (cw.Sequences(cw.SHINGLE)(" ".join(x))[0] for x in (left, right))
+    nodes = []
+    for h in range(cw.HASHES):
+        x, y = (cw.hashed(s, h) for s in (a, b))
+        nodes += [(h, *m, *n) for m in cw.compact_windows(x).T.tolist() for n in cw.compact_windows(y).T.tolist() if x[m[0]] == y[n[0]]]
+    out = cw.passages(a, b, np.array(nodes))
+    for p, q, s, t in out:
+        u, v = set(a[p:q].tolist()), set(b[s:t].tolist())
+        assert min(q - p, t - s) >= cw.ELEMENTS and 100 * len(u & v) >= cw.SIMILARITY * len(u | v)
+    return sorted((p, q + 4, s, t + 4) for p, q, s, t in out)
+
+
+def test_narrower_passages_in_a_stretch_that_fails():
+    for seed, (one, gap, two) in enumerate([(60, 16, 89), (70, 20, 110), (150, 50, 230)]):
+        x, y = passage(40 + seed, one, 10**6), passage(50 + seed, two, 10**6)
+        left, right = (x + passage(60 + 2 * seed + k, gap, 10**6) + y for k in (0, 1))
+        assert found(left, right) == [(0, one, 0, one), (one + gap, len(left), one + gap, len(left))]
+
+
+def test_ends_behind_one_changed_word():
+    left = passage(70, 100, 10**6)
+    for at in (8, 91):
+        right = [*left[:at], "changed", *left[at + 1 :]]
+        assert (0, 100, 0, 100) in found(left, right)
+
+
 def test_empty(spark):
     assert cw.repeated_passages(documents(spark, []).limit(0)).count() == 0

@@ -4,8 +4,8 @@ A text is a sequence of hashed five-word shingles. For each of HASHES hash funct
 tree of the sequence groups all passages that share a minimum: the node at c stands for every passage [i, j] with
 l <= i <= c <= j <= r. Only nodes whose widest passage has LEAST words matter, about two in LEAST
 positions. Nodes of two documents with equal minima propose a pair of passages; where the intervals of enough
-hash functions meet in both documents, the widest stretch around an anchor is verified on the full shingle
-sets (Jaccard 0.8 and LEAST words). Groups of a frequent minimum are stars around one document,
+hash functions meet in both documents, the widest stretch around an anchor and the maximal ranges between runs of
+equal shingles in line with it are verified on the full shingle sets (Jaccard 0.8 and LEAST words). Groups of a frequent minimum are stars around one document,
 never all pairs; members that their hub did not confirm meet fresh hubs in further rounds, until a round
 confirms nothing new.
 """
@@ -131,20 +131,105 @@ def dense(known):
     return good[np.minimum(c, n - ELEMENTS) + 1] > good[np.maximum(c - ELEMENTS + 1, 0)]
 
 
+def forward(a, b, known, where, i: int, j: int, most: int) -> list[tuple[int, int, int]]:
+    """Runs (i, j, n) of equal shingles from a[i] = b[j] on, in the order of both; a gap of over most shingles ends them."""
+    from bisect import bisect_left
+
+    import numpy as np
+
+    out, at = [], 0
+    while True:
+        n, step = 0, 64
+        while True:
+            end = min(i + n + step, len(a), i + len(b) - j)
+            differ = np.flatnonzero(a[i + n : end] != b[j + n : j + end - i])
+            if len(differ) or end - i - n < step:
+                n = n + int(differ[0]) if len(differ) else end - i
+                break
+            n, step = end - i, 2 * step
+        out.append((i, j, n))
+        i, j = i + n, j + n
+        at, best, near = bisect_left(known, i, at), None, most
+        for x in range(at, len(known)):
+            if known[x] - i > near:
+                break
+            places = where[a[known[x]]]
+            k = bisect_left(places, j)
+            if k < len(places) and known[x] - i + places[k] - j <= near:
+                best, near = (known[x], places[k]), known[x] - i + places[k] - j - 1
+        if best is None:
+            return out
+        i, j = best
+
+
+class Chains:
+    """Chains of runs of equal shingles in a and b, whose common positions are known."""
+
+    def __init__(self, a, b, left, right):
+        import numpy as np
+
+        # matches of a passage make up four fifths of its union, so that no passage has longer gaps
+        self.most, self.sides = min(int(left.sum()), int(right.sum())) // 4, []
+        for x, y, k, m in ((a, b, left, right), (a[::-1], b[::-1], left[::-1], right[::-1])):
+            where: dict = {}
+            for p in np.flatnonzero(m).tolist():
+                where.setdefault(y[p], []).append(p)
+            self.sides.append((x, y, np.flatnonzero(k).tolist(), where))
+
+    def __call__(self, i: int, j: int):
+        (a, b, *rest), back = self.sides
+        m, n = len(a) - 1, len(b) - 1
+        left = [(m - x - k + 1, n - y - k + 1, k) for x, y, k in forward(*back, m - i, n - j, self.most)][::-1]
+        right = forward(a, b, *rest, i, j, self.most)
+        x, y, k = left.pop()
+        return [*left, (x, y, k + right[0][2] - 1), *right[1:]]
+
+
+def alike(a, b, runs) -> list[tuple[int, int, int, int]]:
+    """The maximal ranges between runs of a chain whose full sets pass."""
+    import numpy as np
+
+    runs = np.array(runs)
+    start, end = runs[:, :2], runs[:, :2] + runs[:, 2:]
+    sides, own = [a[start[0, 0] : end[-1, 0]], b[start[0, 1] : end[-1, 1]]], len(runs)
+    ids = np.unique(np.concatenate(sides), return_inverse=True)[1]
+    ids = [ids[: len(sides[0])], ids[len(sides[0]) :]]
+    within = [np.searchsorted(end[:, k], np.arange(start[0, k], end[-1, k]), "right") for k in (0, 1)]
+    out, last, size = [], -1, 1 + max(int(x.max()) for x in ids)
+    for i in range(own):
+        if last == own - 1 or min(end[-1] - start[i]) < ELEMENTS:
+            break
+        first = np.full((2, size), own)
+        for k in (0, 1):
+            at = start[i, k] - start[0, k]
+            first[k, ids[k][at:][::-1]] = within[k][at:][::-1]
+        left, right, both = (np.cumsum(np.bincount(x, minlength=own + 1)[:own]) for x in (*first, first.max(0)))
+        good = (100 * both >= SIMILARITY * (left + right - both)) & ((end - start[i]).min(1) >= ELEMENTS)
+        good[: max(i, last + 1)] = False
+        if good.any():
+            last = int(np.flatnonzero(good)[-1])
+            out.append((int(start[i, 0]), int(end[last, 0]), int(start[i, 1]), int(end[last, 1])))
+    return out
+
+
 def passages(a, b, anchors) -> list[tuple[int, int, int, int]]:
-    """Verified passages [a1, a2) and [b1, b2) in shingle positions, from rows (hash, ac, al, ar, bc, bl, br)."""
+    """Verified passages [a1, a2) and [b1, b2) in shingle positions, from rows (hash, ac, al, ar, bc, bl, br).
+
+    An anchor in a verified range of both sides, or on a chain that was searched, needs no more.
+    """
     import numpy as np
 
     out: list = []
-    tried: list = []
-    known = np.isin(a, b)
+    searched: dict = {}
+    known, back = np.isin(a, b), np.isin(b, a)
     w = anchors[dense(known)[anchors[:, 1]]]
     if not len(w):
         return out
-    w = w[dense(np.isin(b, a))[w[:, 4]]]
+    w = w[dense(back)[w[:, 4]]]
     w = w[np.argsort(w[:, 1], kind="stable")]
+    chains, found = None, (np.zeros(len(a), bool), np.zeros(len(b), bool))
     for h, ac, al, ar, bc, bl, br in w.tolist():
-        if any(p <= ac < q and s <= bc < t for p, q, s, t in tried):
+        if found[0][ac] and found[1][bc] or a[ac] != b[bc] or any(p <= ac < q for p, q in searched.get(ac - bc, ())):
             continue
         near = (w[:, 2] <= ar) & (w[:, 3] >= al) & (w[:, 5] <= br) & (w[:, 6] >= bl)
         if len(np.unique(w[near, 0])) < ENOUGH:
@@ -153,13 +238,20 @@ def passages(a, b, anchors) -> list[tuple[int, int, int, int]]:
         s, t = stretch(np.isin(b, a[x : y + 1]), bc)
         p, q = stretch(np.isin(a[x : y + 1], b[s : t + 1]), ac - x)
         p, q, t = x + p, x + q + 1, t + 1
-        tried.append((min(p, ac), max(q, ac + 1), min(s, bc), max(t, bc + 1)))
-        if min(q - p, t - s) < ELEMENTS:
-            continue
-        left, right = np.unique(a[p:q]), np.unique(b[s:t])
-        both = len(np.intersect1d(left, right, assume_unique=True))
-        if 100 * both >= SIMILARITY * (len(left) + len(right) - both):
-            out.append((p, q, s, t))
+        new = []
+        if min(q - p, t - s) >= ELEMENTS:
+            left, right = np.unique(a[p:q]), np.unique(b[s:t])
+            both = len(np.intersect1d(left, right, assume_unique=True))
+            if 100 * both >= SIMILARITY * (len(left) + len(right) - both):
+                new.append((p, q, s, t))
+        chains = chains or Chains(a, b, known, back)
+        runs = chains(ac, bc)
+        for i, j, n in runs:
+            searched.setdefault(i - j, []).append((i, i + n))
+        new += [v for v in alike(a, b, runs) if not any(p <= v[0] and v[1] <= q and s <= v[2] and v[3] <= t for p, q, s, t in new)]
+        for p, q, s, t in new:
+            found[0][p:q] = found[1][s:t] = True
+        out += new
     return out
 
 
