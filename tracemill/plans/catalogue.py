@@ -91,13 +91,22 @@ def jn_span_end(spark, sf):
     return toks.join(s, "doc_id").groupBy("doc_id", "item_id").agg(F.coalesce(F.min(F.when(F.col("start") >= F.col("e"), F.col("pos"))), F.count(F.lit(1))).alias("end_token"))
 
 
-@query(f"""WITH {GOLD_SQL}, {TOKENS_SQL} SELECT t.doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = t.doc_id AND t.e > g."start" AND t.s < g."end") THEN 1 ELSE 0 END) AS BIGINT) AS gold_tokens FROM toks t GROUP BY t.doc_id""")
-def fn_gold_mask(spark, sf):
-    toks, g = gold_tokens(spark, sf)
+def gold_mask(toks, g):
     hit = spans.overlapping(toks, g, "doc_id").select("doc_id", "pos", F.lit(1).alias("gold"))
     return toks.join(hit, ["doc_id", "pos"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.coalesce("gold", F.lit(0))).alias("gold_tokens"))
 
 
+@query(f"""WITH {GOLD_SQL}, {TOKENS_SQL} SELECT t.doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = t.doc_id AND t.e > g."start" AND t.s < g."end") THEN 1 ELSE 0 END) AS BIGINT) AS gold_tokens FROM toks t GROUP BY t.doc_id""")
+def fn_gold_mask(spark, sf):
+    return gold_mask(*gold_tokens(spark, sf))
+
+
+@query()
+def fn_gold_mask_all(spark, sf):
+    docs = load(spark, sf, "documents")
+    return gold_mask(spans.tokens(docs, "doc_id", "text"), gold(spark, sf))
+
+
 @query(f"""WITH {GOLD_SQL} SELECT d.doc_id, d.lang, l.toxic, count(g.item_id) AS n_spans, count(g.item_id) > 0 AS leaks FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN gold g USING (doc_id) GROUP BY ALL""")
 def labelled_leakage(spark, sf):
     docs = load(spark, sf, "documents").select("doc_id", "lang").join(load(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
