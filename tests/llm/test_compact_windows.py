@@ -66,8 +66,8 @@ def found(left, right):
     nodes = []
     for h in range(cw.HASHES):
         x, y = (cw.hashed(s, h) for s in (a, b))
-        nodes += [(h, *m, *n) for m in cw.compact_windows(x).T.tolist() for n in cw.compact_windows(y).T.tolist() if x[m[0]] == y[n[0]]]
-    out = cw.passages(a, b, np.array(nodes))
+        nodes += [([m], [n]) for m in cw.compact_windows(x)[0].tolist() for n in cw.compact_windows(y)[0].tolist() if x[m] == y[n]]
+    out = cw.passages(a, b, nodes)
     for p, q, s, t in out:
         u, v = set(a[p:q].tolist()), set(b[s:t].tolist())
         assert min(q - p, t - s) >= cw.ELEMENTS and 100 * len(u & v) >= cw.SIMILARITY * len(u | v)
@@ -88,5 +88,14 @@ def test_ends_behind_one_changed_word():
         assert (0, 100, 0, 100) in found(left, right)
 
 
+def test_passage_whose_minima_have_other_hubs(spark):
+    shared = passage(90, 60, 10**6)
+    rows = [passage(200 + 8 * n + k, 60, 10**6) + shared[k : k + 20] + passage(400 + 8 * n + k, 60, 10**6) for n in range(3) for k in range(0, 41, 8)]
+    rows += [passage(600 + i, 50, 10**6) + shared + passage(700 + i, 50, 10**6) for i in range(2)]
+    data = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.spans for r in cw.repeated_passages(data).collect()}
+    assert got[len(rows) - 2] == got[len(rows) - 1] == "50-110"
+
+
 def test_empty(spark):
     assert cw.repeated_passages(documents(spark, []).limit(0)).count() == 0

@@ -3,11 +3,11 @@
 A text is a sequence of hashed five-word shingles. For each of HASHES hash functions the Cartesian
 tree of the sequence groups all passages that share a minimum: the node at c stands for every passage [i, j] with
 l <= i <= c <= j <= r. Only nodes whose widest passage has LEAST words matter, about two in LEAST
-positions. Nodes of two documents with equal minima propose a pair of passages; where the intervals of enough
-hash functions meet in both documents, the widest stretch around an anchor and the maximal ranges between runs of
-equal shingles in line with it are verified on the full shingle sets (Jaccard 0.8 and LEAST words). Groups of a frequent minimum are stars around one document,
-never all pairs; members that their hub did not confirm meet fresh hubs in further rounds, until a round
-confirms nothing new.
+positions. Two minima of different hash functions that meet in one window are a key; rows of one key propose a
+pair of passages. The widest stretch around an anchor and the maximal ranges between runs of
+equal shingles in line with it are verified on the full shingle sets (Jaccard 0.8 and LEAST words). Rows of a key are stars around one row with all its positions; where members
+are not confirmed, twice as many of them are the hubs of the next round, until each anchor lies in a confirmed
+passage or its row has met all rows of the key.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import Shingler, _needed, mix
-from .shared import slices, stage, unstage
+from .shared import partitions, slices, stage, unstage
 
-SHINGLE, LEAST, HASHES, ENOUGH, SIMILARITY = 5, 50, 5, 2, 80
+SHINGLE, LEAST, HASHES, SIMILARITY = 5, 50, 5, 80
 ELEMENTS = LEAST - SHINGLE + 1
 WINDOW = "key bigint, hash int, rid bigint, c int, l int, r int"
 
@@ -108,6 +108,42 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(mix(g[c] + np.uint64(i)).view(np.int64)), pa.array(np.full(len(c), i, np.int32)), pa.array(rids[doc]), *(pa.array((v - base).astype(np.int32)) for v in (c, l, r))], names=["key", "hash", "rid", "c", "l", "r"])
 
 
+def joint(hash, key, c, l, r) -> dict[int, set[int]]:
+    """Keys of two minima of different hashes that meet in a window of ELEMENTS, with the positions of the first."""
+    import numpy as np
+
+    out: dict = {}
+    nodes = []
+    for i in range(HASHES):
+        at = np.flatnonzero(hash == i)
+        at = at[np.lexsort((c[at], r[at], l[at], key[at]))]
+        new = np.ones(len(at), bool)  # equal minima of one interval are a group
+        new[1:] = (np.diff(key[at].view(np.int64)) != 0) | (np.diff(l[at]) != 0) | (np.diff(r[at]) != 0)
+        first = np.flatnonzero(new)
+        nodes.append((key[at][first], l[at][first], r[at][first], np.split(c[at], first[1:])))
+    for i in range(HASHES):
+        k, low, high, own = nodes[i]
+        for m, left, right, others in nodes[i + 1 :]:
+            for x in range(len(k)):
+                a, b = np.maximum(low[x], left), np.minimum(high[x], right)
+                for y in np.flatnonzero(b - a + 1 >= ELEMENTS).tolist():
+                    u, v = own[x][(own[x] >= a[y]) & (own[x] <= b[y])], others[y]
+                    if len(u) and v[-1] >= a[y] and (len(v) == 1 and v[0] <= b[y] or ((v >= a[y]) & (v <= b[y])).any()):
+                        out.setdefault((int(k[x]), int(m[y])), set()).update(u.tolist())
+    return out
+
+
+def _joint(table):
+    import numpy as np
+    import pyarrow as pa
+
+    found = joint(*(table.column(x).to_numpy() for x in ("hash", "key", "c", "l", "r")))
+    keys = np.array(list(found), np.int64).reshape(-1, 2).view(np.uint64)
+    key = mix(mix(keys[:, 0]) + keys[:, 1]).view(np.int64)
+    rid = np.full(len(key), table.column("rid")[0].as_py(), np.int64)
+    return pa.table({"key": pa.array(key), "rid": pa.array(rid), "at": pa.array([sorted(v) for v in found.values()], pa.list_(pa.int32()))})
+
+
 def stretch(known, at: int):
     """Widest range around a matching position at with four matches in five, ending in matches at both sides."""
     import numpy as np
@@ -213,7 +249,7 @@ def alike(a, b, runs) -> list[tuple[int, int, int, int]]:
 
 
 def passages(a, b, anchors) -> list[tuple[int, int, int, int]]:
-    """Verified passages [a1, a2) and [b1, b2) in shingle positions, from rows (hash, ac, al, ar, bc, bl, br).
+    """Verified passages [a1, a2) and [b1, b2) in shingle positions, from (positions in a, positions in b) of equal shingles.
 
     An anchor in a verified range of both sides, or on a chain that was searched, needs no more.
     """
@@ -222,17 +258,10 @@ def passages(a, b, anchors) -> list[tuple[int, int, int, int]]:
     out: list = []
     searched: dict = {}
     known, back = np.isin(a, b), np.isin(b, a)
-    w = anchors[dense(known)[anchors[:, 1]]]
-    if not len(w):
-        return out
-    w = w[dense(back)[w[:, 4]]]
-    w = w[np.argsort(w[:, 1], kind="stable")]
+    good = dense(known), dense(back)
     chains, found = None, (np.zeros(len(a), bool), np.zeros(len(b), bool))
-    for h, ac, al, ar, bc, bl, br in w.tolist():
-        if found[0][ac] and found[1][bc] or a[ac] != b[bc] or any(p <= ac < q for p, q in searched.get(ac - bc, ())):
-            continue
-        near = (w[:, 2] <= ar) & (w[:, 3] >= al) & (w[:, 5] <= br) & (w[:, 6] >= bl)
-        if len(np.unique(w[near, 0])) < ENOUGH:
+    for ac, bc in ((x, y) for left, right in anchors for x in left if good[0][x] for y in right if good[1][y] and not (found[0][x] and found[1][y])):
+        if a[ac] != b[bc] or any(p <= ac < q for p, q in searched.get(ac - bc, ())):
             continue
         x, y = stretch(known, ac)
         s, t = stretch(np.isin(b, a[x : y + 1]), bc)
@@ -273,18 +302,14 @@ class Recent:
 
 
 def _verify(batches):
-    import numpy as np
     import pyarrow as pa
 
     kind = pa.schema([("l", pa.int64()), ("r", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32())))])
     sequence = Recent()
     for batch in slices(slices(batches, "ltext"), "rtext"):
         rows, spans = [], []
-        lists = batch.column("anchors")
-        flat = np.stack([np.asarray(x.to_numpy(zero_copy_only=False), np.int64) for x in lists.flatten().flatten()], 1)
-        end = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-        for i, (l, r, left, right) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("l", "r", "ltext", "rtext")))):
-            found = passages(sequence(l, left), sequence(r, right), flat[end[i - 1] if i else 0 : end[i]])
+        for i, (l, r, left, right, anchors) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("l", "r", "ltext", "rtext", "anchors")))):
+            found = passages(sequence(l, left), sequence(r, right), [(x["lat"], x["rat"]) for x in anchors])
             if found:
                 rows.append(i)
                 spans.append(found)
@@ -324,39 +349,42 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     windows = rows.select("rid", "text").mapInArrow(_windows, WINDOW)
     windows = stage(windows, "windows")
     shared = windows.groupBy("key").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("key")
-    members = stage(windows.join(shared, "key").dropDuplicates(["key", "rid", "c"]), "members")
+    nodes = stage(windows.join(shared, "key").dropDuplicates(["key", "rid", "c"]), "nodes")
     unstage(windows)
-    open_, links, done = members, None, []
-    while True:
-        hubs = open_.groupBy("key").agg(F.min(F.struct("rid", "c", "l", "r")).alias("hub"))
-        pairs = members.join(hubs, "key").where("rid <> hub.rid")
-        anchor = F.struct("hash", F.col("hub.c").alias("ac"), F.col("hub.l").alias("al"), F.col("hub.r").alias("ar"), F.col("c").alias("bc"), F.col("l").alias("bl"), F.col("r").alias("br"))
-        pairs = pairs.groupBy(F.col("hub.rid").alias("l"), F.col("rid").alias("r")).agg(F.collect_list(anchor).alias("anchors"), F.count_distinct("hash").alias("hashes")).where(F.col("hashes") >= ENOUGH)
-        pairs = stage(pairs.select("l", "r", "anchors"), "pairs")
+    met = stage(nodes.groupBy("rid").applyInArrow(_joint, "key bigint, rid bigint, at array<int>"), "joint")
+    unstage(nodes)
+    shared = met.groupBy("key").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("key")
+    open_ = stage(met.join(shared, "key").withColumn("todo", F.col("at")), "open")
+    unstage(met)
+    links, done, most = None, [], 1
+    while links is None or not open_.isEmpty():
+        # of each key up to most rows are hubs that meet all rows of the key that were none before
+        hubs = open_.where("size(todo) > 0").groupBy("key", F.pmod(F.xxhash64("rid"), F.lit(most)).alias("part")).agg(F.min_by(F.struct("rid", "at"), "rid").alias("hub"))
+        hubs = stage(hubs.select("key", F.col("hub.rid").alias("hub"), F.col("hub.at").alias("hat")), "hubs")
+        pairs = open_.join(hubs, "key").where("rid <> hub")
+        anchor = F.when(F.col("hub") < F.col("rid"), F.struct(F.col("hat").alias("lat"), F.col("at").alias("rat"))).otherwise(F.struct(F.col("at").alias("lat"), F.col("hat").alias("rat")))
+        pairs = stage(pairs.groupBy(F.least("hub", "rid").alias("l"), F.greatest("hub", "rid").alias("r")).agg(F.collect_set(anchor).alias("anchors")), "pairs")
         texts = _needed(rows.select("rid", "text"), pairs.select(F.explode(F.array("l", "r")).alias("rid")))
         new = pairs.join(texts.toDF("l", "ltext"), "l").join(texts.toDF("r", "rtext"), "r").select("l", "r", "ltext", "rtext", "anchors")
-        new = stage(new.mapInArrow(_verify, "l bigint, r bigint, spans array<array<int>>"), "links")
+        new = stage(new.repartition(partitions(docs.sparkSession), "l", "r").mapInArrow(_verify, "l bigint, r bigint, spans array<array<int>>"), "links")
         unstage(pairs, texts)
         done.append(new)
         links = new if links is None else links.unionByName(new)
-        if new.isEmpty():
-            break
         spans = new.select("l", "r", F.explode("spans").alias("s"))
-        sides = spans.select(F.col("l").alias("rid"), F.col("s")[0].alias("a"), F.col("s")[1].alias("b")).unionByName(spans.select(F.col("r").alias("rid"), F.col("s")[2].alias("a"), F.col("s")[3].alias("b"))).distinct()
-        # a hub has met its group; a member whose anchor lies in a confirmed passage is found
-        met = open_.join(hubs.select("key", "hub.rid"), ["key", "rid"], "left_anti")
-        rest = met.join(sides, (met.rid == sides.rid) & met.c.between(sides.a, sides.b - 1), "left_anti")
-        left = stage(rest, "open")
-        if open_ is not members:
-            unstage(open_)
-        open_ = left
-        if open_.isEmpty():
-            break
+        sides = spans.select(F.col("l").alias("rid"), F.col("s")[0].alias("a"), F.col("s")[1].alias("b")).unionByName(spans.select(F.col("r").alias("rid"), F.col("s")[2].alias("a"), F.col("s")[3].alias("b")))
+        sides = sides.groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("sides"))
+        # a hub has met its key; an anchor in a confirmed passage is found, and other hubs still meet it
+        rest = open_.join(hubs.select("key", F.col("hub").alias("rid")), ["key", "rid"], "left_anti").join(sides, "rid", "left")
+        todo = F.when(F.col("sides").isNull(), F.col("todo")).otherwise(F.filter("todo", lambda c: ~F.exists("sides", lambda s: (s["a"] <= c) & (c < s["b"]))))
+        rest = stage(rest.select("key", "rid", "at", todo.alias("todo")), "rest")
+        left = stage(rest.join(rest.where("size(todo) > 0").select("key").distinct(), "key", "left_semi"), "open")
+        unstage(open_, hubs, rest)
+        open_, most = left, 2 * most
     spans = links.select("l", "r", F.explode("spans").alias("s"))
     sides = spans.select(F.col("l").alias("rid"), F.col("s")[0].alias("a"), F.col("s")[1].alias("b")).unionByName(spans.select(F.col("r").alias("rid"), F.col("s")[2].alias("a"), F.col("s")[3].alias("b"))).distinct()
     counted = links.select("l", "r").unionByName(links.select(F.col("r").alias("l"), F.col("l").alias("r"))).groupBy("l").agg(F.count_distinct("r").alias("n_links")).withColumnRenamed("l", "rid")
     found = stage(sides.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")).join(counted, "rid"), "found")
-    unstage(members, *done)
+    unstage(open_, *done)
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.join(found, "rid", "left").select("id", "text", "spans", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.mapInArrow(_merge, f"id {kind}, n_words bigint, n_dup_words bigint, spans string, n_links bigint").withColumnRenamed("id", id_col)
