@@ -97,5 +97,14 @@ def test_passage_whose_minima_have_other_hubs(spark):
     assert got[len(rows) - 2] == got[len(rows) - 1] == "50-110"
 
 
+def test_every_copy_in_a_hub(spark):
+    shared = passage(80, 60, 10**6)
+    twice = shared + passage(81, 200, 10**6) + shared
+    for rows in ([twice, shared], [shared, twice]):
+        data = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r.spans for r in cw.repeated_passages(data).collect()}
+        assert got == {rows.index(twice): "0-60,260-320", rows.index(shared): "0-60"}
+
+
 def test_empty(spark):
     assert cw.repeated_passages(documents(spark, []).limit(0)).count() == 0
