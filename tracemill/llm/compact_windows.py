@@ -1,13 +1,13 @@
 """Near-duplicate passages by compact windows of min-hashes.
 
-A text is a sequence of hashed five-word shingles. For each of HASHES hash functions the Cartesian
-tree of the sequence groups all passages that share a minimum: the node at c stands for every passage [i, j] with
-l <= i <= c <= j <= r. Only nodes whose widest passage has LEAST words matter, about two in LEAST
-positions. Two minima of different hash functions that meet in one window are a key; rows of one key propose a
-pair of passages. The widest stretch around an anchor and the maximal ranges between runs of
-equal shingles in line with it are verified on the full shingle sets (Jaccard 0.8 and LEAST words). Rows of a key are stars around one row with all its positions; where members
-are not confirmed, twice as many of them are the hubs of the next round, until each anchor lies in a confirmed
-passage or its row has met all rows of the key.
+A text is a sequence of hashed five-word shingles, a passage is a window of LEAST words. For each hash function the
+Cartesian tree of the sequence has one node for each position that is the minimum of some passage: its compact window is an interval
+of passages that share the minimum. The intervals of the ROWS hash functions of a band are joined: each cell of the join is a group of
+passages that share ROWS minima, and its key is equal for cells of other texts with the same minima. Texts of a key
+propose pairs: all with the least of them, a star. Every passage on the diagonals of a pair is then verified on full shingle
+sets (Jaccard 0.8). What a star can't show, a passage that fails with its hub or a key whose texts are still
+in several components, is left to a second round, in which the cells of such keys are compared in blocks by
+the shingles around them: only pairs that share as many shingles as two alike passages must are verified.
 """
 
 from __future__ import annotations
@@ -15,376 +15,479 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .minhash import Shingler, _needed, mix
-from .shared import partitions, slices, stage, unstage
+from .minhash import connected_components, deal, needed_rows as _needed
+from .shared import Words, mix, slices, stage, unstage
 
-SHINGLE, LEAST, HASHES, SIMILARITY = 5, 50, 5, 80
+SHINGLE, LEAST, SIMILARITY = 5, 50, 80
+#: Bands of minima: a passage pair at similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS.
+ROWS, BANDS = 3, 5
 ELEMENTS = LEAST - SHINGLE + 1
-WINDOW = "key bigint, hash int, rid bigint, c int, l int, r int"
+#: Equal shingles of a diagonal near an anchor: two alike passages share 41 shingles and have two changes at most, so that one stretch has as many.
+AGREE = 13
+#: Cells of a block in the second round.
+BLOCK = 512
 
 
-class Sequences(Shingler):
-    """Hashes of the shingles of a text in order; texts of fewer words than a shingle have none."""
+class Sequences:
+    """Hashes of the shingles of each text of a column in order; a shingle begins at each word but a text's last four."""
 
-    def __call__(self, text):
+    def __init__(self, k: int = SHINGLE):
         import numpy as np
 
-        h = self.words(text)
-        if len(h) < self.k:
-            return np.empty(0, np.uint64), len(h)
-        out = np.full(len(h) - self.k + 1, self.k, np.uint64)
-        for i in range(self.k):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)])
-        return out, len(h)
+        self.k, self.words = k, Words()
+        self.factor = np.random.default_rng(5).integers(1, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def __call__(self, column):
+        """(shingles at all words, first word of each row, with the end): the last k - 1 of a row's are not its own."""
+        import numpy as np
+
+        h, first = self.words(column)
+        n = max(0, len(h) - self.k + 1)
+        out = h[:n] * self.factor[0]
+        for i in range(1, self.k):
+            out += h[i : i + n] * self.factor[i]
+        return mix(out), first
+
+    def one(self, text):
+        import pyarrow as pa
+
+        x, _ = self(pa.array([text], pa.string()))
+        return x
 
 
 def hashed(x, i: int):
-    """Hash i of shingles; never 0, which marks the ends of texts."""
+    """Universal hash i of the high halves of shingles; never 0, which marks the ends of texts."""
     import numpy as np
 
-    return mix(x ^ mix(np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1)
+    a, b = np.random.default_rng(1000 + i).integers(1, 1 << 32, 2, dtype=np.uint32)
+    return (x * (a | np.uint32(1)) + b) | np.uint32(1)
 
 
 def compact_windows(g, least: int = ELEMENTS):
-    """(c, l, r) of the Cartesian tree's nodes with r - l + 1 >= least; zeros in g separate texts.
+    """(c, low), ascending: g[c] is the minimum, the leftmost one, of the windows of least that begin at low or later, up to the next low.
 
-    A node's value is the minimum of every window that holds c within [l, r]; equal values each have their own.
+    c is a node of the Cartesian tree of g, and the windows that begin there lie in its subtree. Zeros in g separate
+    texts: no window holds one. Each other window is in exactly one interval.
     """
     import numpy as np
 
-    g = np.concatenate([[np.uint64(0)], g, [np.uint64(0)]])
     n = len(g)
-    if n < least + 2:
-        return np.empty((3, 0), np.int64)
-    gaps = np.flatnonzero(g == 0)
-    levels, tables = max(1, int(np.diff(gaps).max()).bit_length()), [g]
-    for p in range(levels):
-        t, step = tables[-1], 1 << p
-        tables.append(np.minimum(t[:-step], t[step:]) if len(t) > step else t[:0])
+    if n < least:
+        return np.empty((2, 0), np.int64)
+    tables = [g]
     p = least.bit_length() - 1
-    low = np.minimum(tables[p][: n - least + 1], tables[p][least - (1 << p) : n - (1 << p) + 1])
-    high = np.concatenate([np.zeros(least - 1, np.uint64), low, np.zeros(least - 1, np.uint64)])  # window starts c-least+1 .. c
     for q in range(p):
+        tables.append(np.minimum(tables[-1][: -(1 << q)], tables[-1][1 << q :]))
+    edge = np.zeros(least - 1, g.dtype)
+    least_of = np.minimum(tables[p][: n - least + 1], tables[p][least - (1 << p) : n - (1 << p) + 1])
+    high = np.concatenate([edge, least_of, edge])
+    for q in range(p):  # of the windows that hold a position, the largest minimum
         high = np.maximum(high[: -(1 << q)], high[1 << q :])
     high = np.maximum(high[: len(high) - (least - (1 << p))], high[least - (1 << p) :])
-    c = np.flatnonzero((high[:n] == g) & (g > 0))
-    l, r, own = c.copy(), c.copy(), g[c]
-    for q in range(levels, -1, -1):
-        t, step = tables[q], 1 << q
-        if not len(t):
-            continue
-        at = l - step
-        go = at >= 0
-        go[go] = t[at[go]] >= own[go]
-        l[go] -= step
-        at = r + 1
-        go = at < len(t)
-        go[go] = t[at[go]] >= own[go]
-        r[go] += step
-    return np.stack([c, l, r]) - 1
-
-
-def _windows(batches):
+    c = np.flatnonzero((high == g) & (g > 0))
+    own, low, far = g[c], c.copy(), np.maximum(c - least + 1, 0)
+    for q in range(p, -1, -1):  # the subtree's left end, no further than a window that holds c
+        at = low - (1 << q)
+        go = at >= far
+        go &= tables[q][np.maximum(at, 0)] > own
+        low[go] = at[go]
+    keep = (low <= n - least) & (least_of[np.minimum(low, n - least)] == own)  # else none of its windows has it as the leftmost minimum
+    return np.stack([c[keep], low[keep]])
+
+
+def cells(x, gap):
+    """(key, c, at) of all cells: passages from at on share ROWS minima, the first of which is at c; gap marks positions without a shingle."""
     import numpy as np
-    import pyarrow as pa
 
-    sequence = Sequences(SHINGLE)
-    for batch in slices(batches, max_bytes=2 << 20):
-        parts, start, rids = [], [0], []
-        for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist()):
-            s, _ = sequence(text)
-            if len(s) >= ELEMENTS:
-                parts += [s, np.zeros(1, np.uint64)]
-                start.append(start[-1] + len(s) + 1)
-                rids.append(rid)
-        if not parts:
-            continue
-        x, start, rids = np.concatenate(parts), np.array(start), np.array(rids)
-        for i in range(HASHES):
-            g = np.where(x == 0, np.uint64(0), hashed(x, i))
-            c, l, r = compact_windows(g)
-            doc = np.searchsorted(start, c, "right") - 1
-            base = start[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(mix(g[c] + np.uint64(i)).view(np.int64)), pa.array(np.full(len(c), i, np.int32)), pa.array(rids[doc]), *(pa.array((v - base).astype(np.int32)) for v in (c, l, r))], names=["key", "hash", "rid", "c", "l", "r"])
-
-
-def joint(hash, key, c, l, r) -> dict[int, set[int]]:
-    """Keys of two minima of different hashes that meet in a window of ELEMENTS, with the positions of the first."""
+    out, x = [], (x >> np.uint64(32)).astype(np.uint32)
+    for band in range(BANDS):
+        nodes = []
+        for i in range(band * ROWS, band * ROWS + ROWS):
+            g = hashed(x, i)
+            g[gap] = 0
+            nodes.append((g, *compact_windows(g)))
+        begun = np.zeros((ROWS + 1, len(x)), np.int32)
+        for i, (_, _, low) in enumerate(nodes):
+            begun[i, low] = begun[ROWS, low] = 1
+        at = np.flatnonzero(begun[ROWS])
+        key, first = np.full(len(at), band + 1, np.uint64), None
+        for i, (g, c, _) in enumerate(nodes):  # each passage is in the last interval that has begun
+            own = c[np.cumsum(begun[i])[at] - 1]
+            first = own if first is None else first
+            key = mix(key * np.uint64(Words.BASE) + g[own])
+        out.append((key, first, at))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+
+def gaps(first, n: int):
+    """True for the last SHINGLE - 1 words of each row, where no shingle of its own begins."""
     import numpy as np
 
-    out: dict = {}
-    nodes = []
-    for i in range(HASHES):
-        at = np.flatnonzero(hash == i)
-        at = at[np.lexsort((c[at], r[at], l[at], key[at]))]
-        new = np.ones(len(at), bool)  # equal minima of one interval are a group
-        new[1:] = (np.diff(key[at].view(np.int64)) != 0) | (np.diff(l[at]) != 0) | (np.diff(r[at]) != 0)
-        first = np.flatnonzero(new)
-        nodes.append((key[at][first], l[at][first], r[at][first], np.split(c[at], first[1:])))
-    for i in range(HASHES):
-        k, low, high, own = nodes[i]
-        for m, left, right, others in nodes[i + 1 :]:
-            for x in range(len(k)):
-                a, b = np.maximum(low[x], left), np.minimum(high[x], right)
-                for y in np.flatnonzero(b - a + 1 >= ELEMENTS).tolist():
-                    u, v = own[x][(own[x] >= a[y]) & (own[x] <= b[y])], others[y]
-                    if len(u) and v[-1] >= a[y] and (len(v) == 1 and v[0] <= b[y] or ((v >= a[y]) & (v <= b[y])).any()):
-                        out.setdefault((int(k[x]), int(m[y])), set()).update(u.tolist())
-    return out
+    gap = np.zeros(n + SHINGLE, bool)
+    for i in range(1, SHINGLE):
+        at = first[1:] - i
+        gap[at[at >= 0]] = True
+    return gap[:n]
+
 
+def _rows(batches):
+    """rid, id and text with the number of words and a 64-bit class: equal for texts of equal words, null under LEAST words."""
+    import hashlib
 
-def _joint(table):
     import numpy as np
     import pyarrow as pa
 
-    found = joint(*(table.column(x).to_numpy() for x in ("hash", "key", "c", "l", "r")))
-    keys = np.array(list(found), np.int64).reshape(-1, 2).view(np.uint64)
-    key = mix(mix(keys[:, 0]) + keys[:, 1]).view(np.int64)
-    rid = np.full(len(key), table.column("rid")[0].as_py(), np.int64)
-    return pa.table({"key": pa.array(key), "rid": pa.array(rid), "at": pa.array([sorted(v) for v in found.values()], pa.list_(pa.int32()))})
+    words = Words()
+    for whole in batches:
+        for batch in slices([whole], max_bytes=4 << 20):
+            h, first = words(batch.column("text"))
+            raw, n = h.tobytes(), np.diff(first)
+            kind = [int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) if b - a >= LEAST else None for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "id", "text")), pa.array(n, pa.int64()), pa.array(kind, pa.int64())], names=["rid", "id", "text", "n_words", "class"])
 
 
-def stretch(known, at: int):
-    """Widest range around a matching position at with four matches in five, ending in matches at both sides."""
+def _cells(batches):
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    gain = np.where(known, 1, -4)
-    right = np.cumsum(gain[at:])
-    left = np.cumsum(gain[at::-1])
-    return at - int(len(left) - 1 - left[::-1].argmax()), at + int(len(right) - 1 - right[::-1].argmax())
+    sequences = Sequences()
+    for whole in batches:
+        whole = whole.filter(pc.is_valid(whole.column("class")))
+        for batch in slices([whole], max_bytes=384 << 10):
+            x, first = sequences(batch.column("text"))
+            key, c, at = cells(x, gaps(first, len(x)))
+            row = np.searchsorted(first, at, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("class").take(pa.array(row)), pa.array((c - first[row]).astype(np.int32))], names=["key", "class", "c"])
 
 
-def dense(known):
-    """Positions that some window of ELEMENTS with four matches in five covers."""
-    import numpy as np
+class Recent:
+    """Sequences of the texts met last, by class, up to a bounded size."""
 
-    n = len(known)
-    if n < ELEMENTS:
-        return np.zeros(n, bool)
-    total = np.concatenate([[0], np.cumsum(known)])
-    good = np.concatenate([[0], np.cumsum(5 * (total[ELEMENTS:] - total[:-ELEMENTS]) >= 4 * ELEMENTS)])
-    c = np.arange(n)
-    return good[np.minimum(c, n - ELEMENTS) + 1] > good[np.maximum(c - ELEMENTS + 1, 0)]
+    def __init__(self, most: int = 32 << 20):
+        self.sequences, self.most, self.held, self.size = Sequences(), most, {}, 0
 
+    def __call__(self, key, text):
+        found = self.held.pop(key, None)
+        if found is None:
+            found = Profile(self.sequences.one(text))
+            self.size += found.size
+        self.held[key] = found
+        while self.size > self.most and len(self.held) > 1:
+            self.size -= self.held.pop(next(iter(self.held))).size
+        return found
 
-def forward(a, b, known, where, i: int, j: int, most: int) -> list[tuple[int, int, int]]:
-    """Runs (i, j, n) of equal shingles from a[i] = b[j] on, in the order of both; a gap of over most shingles ends them."""
-    from bisect import bisect_left
 
-    import numpy as np
+class Profile:
+    """A text's shingles, their places in order of value, and the number of distinct shingles of each passage."""
 
-    out, at = [], 0
-    while True:
-        n, step = 0, 64
-        while True:
-            end = min(i + n + step, len(a), i + len(b) - j)
-            differ = np.flatnonzero(a[i + n : end] != b[j + n : j + end - i])
-            if len(differ) or end - i - n < step:
-                n = n + int(differ[0]) if len(differ) else end - i
-                break
-            n, step = end - i, 2 * step
-        out.append((i, j, n))
-        i, j = i + n, j + n
-        at, best, near = bisect_left(known, i, at), None, most
-        for x in range(at, len(known)):
-            if known[x] - i > near:
-                break
-            places = where[a[known[x]]]
-            k = bisect_left(places, j)
-            if k < len(places) and known[x] - i + places[k] - j <= near:
-                best, near = (known[x], places[k]), known[x] - i + places[k] - j - 1
-        if best is None:
-            return out
-        i, j = best
-
-
-class Chains:
-    """Chains of runs of equal shingles in a and b, whose common positions are known."""
-
-    def __init__(self, a, b, left, right):
+    def __init__(self, x):
         import numpy as np
 
-        # matches of a passage make up four fifths of its union, so that no passage has longer gaps
-        self.most, self.sides = min(int(left.sum()), int(right.sum())) // 4, []
-        for x, y, k, m in ((a, b, left, right), (a[::-1], b[::-1], left[::-1], right[::-1])):
-            where: dict = {}
-            for p in np.flatnonzero(m).tolist():
-                where.setdefault(y[p], []).append(p)
-            self.sides.append((x, y, np.flatnonzero(k).tolist(), where))
-
-    def __call__(self, i: int, j: int):
-        (a, b, *rest), back = self.sides
-        m, n = len(a) - 1, len(b) - 1
-        left = [(m - x - k + 1, n - y - k + 1, k) for x, y, k in forward(*back, m - i, n - j, self.most)][::-1]
-        right = forward(a, b, *rest, i, j, self.most)
-        x, y, k = left.pop()
-        return [*left, (x, y, k + right[0][2] - 1), *right[1:]]
-
-
-def alike(a, b, runs) -> list[tuple[int, int, int, int]]:
-    """The maximal ranges between runs of a chain whose full sets pass."""
+        self.x, n = x, len(x)
+        self.order = np.argsort(x, kind="stable")
+        self.value = x[self.order]
+        self.size = 40 * n + 1000
+        fresh = np.ones(n + 1, bool)
+        fresh[1:-1] = x[1:] != x[:-1]
+        self.begins, self.ends = fresh[:-1], fresh[1:]  # of runs of one shingle
+        again = np.flatnonzero(self.value[1:] == self.value[:-1])
+        late, early = self.order[again + 1], self.order[again]
+        near = late - early < ELEMENTS
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, np.maximum(late[near] - ELEMENTS + 1, 0), 1)
+        np.add.at(change, early[near] + 1, -1)
+        self.distinct = ELEMENTS - np.cumsum(change)[: max(0, n - ELEMENTS + 1)]
+
+
+def alike(a: Profile, b: Profile, d: int, low: int, high: int):
+    """For each passage of a that begins in low..high - 1: is it alike with that of b which begins d earlier? Both exist."""
     import numpy as np
 
-    runs = np.array(runs)
-    start, end = runs[:, :2], runs[:, :2] + runs[:, 2:]
-    sides, own = [a[start[0, 0] : end[-1, 0]], b[start[0, 1] : end[-1, 1]]], len(runs)
-    ids = np.unique(np.concatenate(sides), return_inverse=True)[1]
-    ids = [ids[: len(sides[0])], ids[len(sides[0]) :]]
-    within = [np.searchsorted(end[:, k], np.arange(start[0, k], end[-1, k]), "right") for k in (0, 1)]
-    out, last, size = [], -1, 1 + max(int(x.max()) for x in ids)
-    for i in range(own):
-        if last == own - 1 or min(end[-1] - start[i]) < ELEMENTS:
-            break
-        first = np.full((2, size), own)
-        for k in (0, 1):
-            at = start[i, k] - start[0, k]
-            first[k, ids[k][at:][::-1]] = within[k][at:][::-1]
-        left, right, both = (np.cumsum(np.bincount(x, minlength=own + 1)[:own]) for x in (*first, first.max(0)))
-        good = (100 * both >= SIMILARITY * (left + right - both)) & ((end - start[i]).min(1) >= ELEMENTS)
-        good[: max(i, last + 1)] = False
-        if good.any():
-            last = int(np.flatnonzero(good)[-1])
-            out.append((int(start[i, 0]), int(end[last, 0]), int(start[i, 1]), int(end[last, 1])))
-    return out
+    x = a.x[low : high + ELEMENTS - 1]
+    same = x == b.x[low - d : high - d + ELEMENTS - 1]
+    total = np.cumsum(np.concatenate([[0], same]))
+    left, right = a.distinct[low:high], b.distinct[low - d : high - d]
+    least = left.min() == ELEMENTS and right.min() == ELEMENTS
+    both = total[ELEMENTS:] - total[:-ELEMENTS]
+    if least and (both * 9 >= ELEMENTS * 8).all():  # equal places alone suffice
+        return np.ones(high - low, bool)
+    # occurrences in b, no further than a passage from the diagonal
+    at, right_at = np.searchsorted(b.value, x, "left"), np.searchsorted(b.value, x, "right")
+    count = right_at - at
+    p = np.repeat(np.arange(low, low + len(x)), count)
+    q = b.order[np.repeat(at - np.cumsum(count) + count, count) + np.arange(len(p))] + d
+    # of the passages from low on, those that hold the shingle on both sides
+    begin, end = np.maximum(np.maximum(p, q) - ELEMENTS + 1, low), np.minimum(np.minimum(p, q), high - 1)
+    fit = begin <= end
+    value, begin, end = a.x[p[fit]], begin[fit], end[fit]
+    order = np.lexsort((begin, value))
+    value, begin, end = value[order], begin[order], end[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    if not new.all():  # a shingle counts once in a passage: its intervals are united
+        group, wide = np.cumsum(new) - 1, len(a.x) + 1
+        reach = np.maximum.accumulate(end + group * wide) - group * wide
+        begin[1:] = np.where(new[1:], begin[1:], np.maximum(begin[1:], reach[:-1] + 1))
+        fit = begin <= end
+        begin, end = begin[fit], end[fit]
+    n = high - low + 1
+    both = np.cumsum(np.bincount(begin - low, minlength=n) - np.bincount(end - low + 1, minlength=n))[: n - 1]
+    return 100 * both >= SIMILARITY * (left + right - both)
+
+
+def runs(flags):
+    """[begin, end) of the runs of True."""
+    import numpy as np
 
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return edge.reshape(-1, 2).tolist()
 
-def passages(a, b, anchors) -> list[tuple[int, int, int, int]]:
-    """Verified passages [a1, a2) and [b1, b2) in shingle positions, from (positions in a, positions in b) of equal shingles.
 
-    An anchor in a verified range of both sides, or on a chain that was searched, needs no more.
-    """
+def hopeful(a: Profile, b: Profile):
+    """Positions of b in a passage of which the shingles that a has nowhere don't rule out a passage that is alike."""
     import numpy as np
 
-    out: list = []
-    searched: dict = {}
-    known, back = np.isin(a, b), np.isin(b, a)
-    good = dense(known), dense(back)
-    chains, found = None, (np.zeros(len(a), bool), np.zeros(len(b), bool))
-    for ac, bc in ((x, y) for left, right in anchors for x in left if good[0][x] for y in right if good[1][y] and not (found[0][x] and found[1][y])):
-        if a[ac] != b[bc] or any(p <= ac < q for p, q in searched.get(ac - bc, ())):
-            continue
-        x, y = stretch(known, ac)
-        s, t = stretch(np.isin(b, a[x : y + 1]), bc)
-        p, q = stretch(np.isin(a[x : y + 1], b[s : t + 1]), ac - x)
-        p, q, t = x + p, x + q + 1, t + 1
-        new = []
-        if min(q - p, t - s) >= ELEMENTS:
-            left, right = np.unique(a[p:q]), np.unique(b[s:t])
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            if 100 * both >= SIMILARITY * (len(left) + len(right) - both):
-                new.append((p, q, s, t))
-        chains = chains or Chains(a, b, known, back)
-        runs = chains(ac, bc)
-        for i, j, n in runs:
-            searched.setdefault(i - j, []).append((i, i + n))
-        new += [v for v in alike(a, b, runs) if not any(p <= v[0] and v[1] <= q and s <= v[2] and v[3] <= t for p, q, s, t in new)]
-        for p, q, s, t in new:
-            found[0][p:q] = found[1][s:t] = True
-        out += new
-    return out
+    at = np.minimum(np.searchsorted(a.value, b.x), len(a.value) - 1)
+    total = np.cumsum(np.concatenate([[0], a.value[at] == b.x]))
+    passage = (100 * (total[ELEMENTS:] - total[:-ELEMENTS]) >= SIMILARITY * ELEMENTS) | (b.distinct < ELEMENTS)
+    sums = np.concatenate([[0], np.cumsum(passage)])
+    c = np.arange(len(b.x))
+    return sums[np.minimum(c, len(passage) - 1) + 1] > sums[np.maximum(c - ELEMENTS + 1, 0)]
 
 
-class Recent:
-    """Sequences of the texts met last, by row id, up to a bounded size."""
+def passages(a: Profile, b: Profile, anchors):
+    """Ranges [begin, end) of shingles of a, and of b, in passages that are alike with one of the other text, on diagonals through the anchors.
 
-    def __init__(self, most: int = 32 << 20):
-        self.sequence, self.most, self.held, self.size = Sequences(SHINGLE), most, {}, 0
+    anchors: positions in b; each names the diagonals through all places of its shingle in a. The passages that hold the
+    anchor are verified, and from them on those beyond, as long as they are alike. An anchor that is in an alike passage on both sides
+    asks for no diagonal, and surroundings that were compared without success are not compared again. Runs of one shingle are
+    aligned where they begin and where they end. A diagonal must hold
+    AGREE equal shingles near the anchor: of two alike passages one diagonal has as many.
+    """
+    import numpy as np
 
-    def __call__(self, rid, text):
-        found = self.held.pop(rid, None)
-        if found is None:
-            found, _ = self.sequence(text)
-            self.size += found.nbytes
-        self.held[rid] = found
-        while self.size > self.most and len(self.held) > 1:
-            self.size -= self.held.pop(next(iter(self.held))).nbytes
-        return found
+    n, m, wide = len(a.distinct), len(b.distinct), ELEMENTS - 1
+    held = np.zeros(len(a.x), bool), np.zeros(len(b.x), bool)
+    anchors = np.asarray(anchors)
+    anchors = anchors[hopeful(a, b)[anchors]]
+    if not len(anchors):
+        return [], []
+    # passages of one shingle are alike whatever their alignment
+    pure = [(t.distinct == 1, t.x[: len(t.distinct)]) for t in (a, b)]
+    if pure[0][0].any() and pure[1][0].any():
+        for i in (0, 1):
+            same = pure[i][0] & np.isin(pure[i][1], pure[1 - i][1][pure[1 - i][0]])
+            for begin, end in runs(same):
+                held[i][begin : end + wide] = True
+    failed, near = set(), [np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(wide, end, np.uint64), t.x, np.full(wide, end, np.uint64)]), 2 * wide + 1) for t, end in ((a, 0), (b, 1))]
+    begins, ends = np.flatnonzero(b.begins), np.flatnonzero(b.ends)
+    aligned = {(int(begins[np.searchsorted(begins, c, "right") - 1]), False) for c in anchors.tolist()}
+    aligned |= {(int(ends[np.searchsorted(ends, c)]), True) for c in anchors.tolist()}
+    for c, last in sorted(aligned):
+        if last and b.begins[c]:
+            continue
+        places = a.order[np.searchsorted(a.value, b.x[c], "left") : np.searchsorted(a.value, b.x[c], "right")]
+        places = places[(a.ends if last else a.begins)[places]]
+        if held[1][c]:
+            places = places[~held[0][places]]
+        own = near[1][c]
+        places = places[(near[0][places] == own).sum(1) >= AGREE]
+        if not len(places):
+            continue
+        own = own.tobytes()
+        for p in places.tolist():
+            if held[0][p] and held[1][c]:
+                continue
+            around = hash(near[0][p].tobytes()), hash(own)
+            if around in failed:
+                continue
+            d = p - c
+            first, final = max(0, d), min(n, m + d)
+            low, high = max(first, p - wide), min(final, p + 1)
+            if low >= high:
+                continue
+            good = alike(a, b, d, low, high)
+            if not good.any():
+                failed.add(around)
+                continue
+            parts = [(low, good)]
+            edge, x, more = good[0], low, 4 * ELEMENTS
+            while edge and x > first:
+                z = max(first, x - more)
+                parts.append((z, alike(a, b, d, z, x)))
+                edge, x, more = parts[-1][1][0], z, 2 * more
+            edge, y, more = good[-1], high, 4 * ELEMENTS
+            while edge and y < final:
+                z = min(final, y + more)
+                parts.append((y, alike(a, b, d, y, z)))
+                edge, y, more = parts[-1][1][-1], z, 2 * more
+            for begin, end in runs(np.concatenate([flags for _, flags in sorted(parts, key=lambda part: part[0])])):
+                begin, end = begin + x, end + x + wide  # shingles; the range ends with shared ones on each side
+                for i, (t, u, shift) in enumerate(((a.x[begin:end], b.x[begin - d : end - d], 0), (b.x[begin - d : end - d], a.x[begin:end], d))):
+                    head, tail = (t[:ELEMENTS, None] == u[:ELEMENTS]).any(1), (t[-ELEMENTS:, None] == u[-ELEMENTS:]).any(1)
+                    held[i][begin - shift + int(head.argmax()) : end - shift - int(tail[::-1].argmax())] = True
+            if not (held[0][p] and held[1][c]):
+                failed.add(around)
+    return runs(held[0]), runs(held[1])
 
 
 def _verify(batches):
+    """Of each pair (l, r) that has alike passages their ranges in both texts."""
     import pyarrow as pa
 
-    kind = pa.schema([("l", pa.int64()), ("r", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32())))])
-    sequence = Recent()
+    kind = pa.list_(pa.list_(pa.int32()))
+    profile = Recent()
     for batch in slices(slices(batches, "ltext"), "rtext"):
-        rows, spans = [], []
-        for i, (l, r, left, right, anchors) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("l", "r", "ltext", "rtext", "anchors")))):
-            found = passages(sequence(l, left), sequence(r, right), [(x["lat"], x["rat"]) for x in anchors])
-            if found:
+        rows, left, right = [], [], []
+        for i, (l, r, ltext, rtext, anchors) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("l", "r", "ltext", "rtext", "anchors")))):
+            x, y = passages(profile(l, ltext), profile(r, rtext), anchors)
+            if x:
                 rows.append(i)
-                spans.append(found)
+                left.append(x)
+                right.append(y)
         keep = pa.array(rows, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("l").take(keep), batch.column("r").take(keep), pa.array(spans, kind.field("spans").type)], schema=kind)
+        yield pa.RecordBatch.from_arrays([batch.column("l").take(keep), batch.column("r").take(keep), pa.array(left, kind), pa.array(right, kind)], names=["l", "r", "left", "right"])
 
 
-def _merge(batches):
+def _around(batches):
+    """For each cell of a text 16 bits of each shingle around its place, and the fewest distinct shingles of a passage that holds it."""
+    import numpy as np
     import pyarrow as pa
 
-    sequence = Sequences(SHINGLE)
+    wide, profile = ELEMENTS - 1, Recent(0)
     for batch in slices(batches):
-        n, dup, out = [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            n.append(len(sequence.words(text)))
+        out = {name: [] for name in ("key", "class", "c", "ask", "around", "least")}
+        for own, text, cells_ in zip(*(batch.column(c).to_pylist() for c in ("class", "text", "cells"))):
+            t = profile(own, text)
+            bits = (t.x >> np.uint64(48)).astype(np.uint16)
+            for cell in cells_:
+                c = cell["c"]
+                out["around"].append(bits[max(0, c - wide) : c + wide + 1].tobytes())
+                out["least"].append(int(t.distinct[max(0, c - wide) : c + 1].min()))
+                out["key"].append(cell["key"])
+                out["class"].append(own)
+                out["c"].append(c)
+                out["ask"].append(cell["ask"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+
+
+def _meet(table):
+    """Pairs of a cell with role 0 or 2 and one with role 1 or 2 whose surroundings share as many shingles as alike passages must."""
+    import numpy as np
+    import pyarrow as pa
+
+    own, c, least, role = (table.column(x).to_numpy() for x in ("class", "c", "least", "role"))
+    around = [np.frombuffer(x, np.uint16) for x in table.column("around").to_pylist()]
+    others = np.flatnonzero(role != 0)
+    flat = np.concatenate([around[i] for i in others]) if len(others) else np.empty(0, np.uint16)
+    edge = np.cumsum([0, *(len(around[i]) for i in others)])[:-1]
+    seen, out = np.zeros(1 << 16, np.int32), set()
+    for i in np.flatnonzero(role != 1).tolist():
+        seen[around[i]] = 1
+        both = np.add.reduceat(seen[flat], edge) if len(others) else edge
+        seen[around[i]] = 0
+        for j in others[(100 * both >= SIMILARITY * np.maximum(least[others], least[i])) & (own[others] != own[i])].tolist():
+            out.add((own[i], own[j], c[j]) if own[i] < own[j] else (own[j], own[i], c[i]))
+    l, r, c = zip(*out) if out else ((), (), ())
+    return pa.table({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64()), "c": pa.array(c, pa.int32())})
+
+
+def _merge(batches):
+    """Ranges of shingles of a class as merged word ranges."""
+    import pyarrow as pa
+
+    for batch in batches:
+        dup, out = [], []
+        for n, copies, found in zip(*(batch.column(c).to_pylist() for c in ("n", "copies", "found"))):
             merged: list = []
-            for a, b in sorted(tuple(s.values()) for s in spans or ()):
-                b += SHINGLE - 1
+            for a, b in [(0, n)] if copies > 1 else sorted((a, b + SHINGLE - 1) for a, b in found):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
                     merged.append([a, b])
             dup.append(sum(b - a for a, b in merged))
             out.append(",".join(f"{a}-{b}" for a, b in merged))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(dup, pa.int64()), pa.array(out, pa.string()), batch.column("n_links")], names=["id", "n_words", "n_dup_words", "spans", "n_links"])
+        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(dup, pa.int64()), pa.array(out, pa.string())], names=["class", "n_dup_words", "spans"])
 
 
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages of LEAST words or more that occur, nearly alike, in another row.
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (l, r, anchors) of classes with alike passages; only texts of a pair are moved."""
+    pairs = stage(pairs, "pairs")
+    texts = _texts(pairs.select(F.explode(F.array("l", "r")).alias("class")), rows, classes)
+    joined = pairs.join(texts.toDF("l", "ltext"), "l").join(texts.toDF("r", "rtext"), "r").select("l", "r", "ltext", "rtext", "anchors")
+    out = stage(joined.mapInArrow(_verify, "l bigint, r bigint, left array<array<int>>, right array<array<int>>"), "links")
+    unstage(pairs, texts)
+    return out
 
-    Returns id_col, n_words, n_dup_words, spans (merged word ranges `a-b`, b exclusive, comma-joined) and
-    n_links (rows of which a passage was confirmed), one row for each input row. Words are those between
-    ASCII blanks, A-Z lower-cased. Null, empty and shorter texts have no passages. Equal rows repeat
-    each other's whole text; repeats inside one row do not count. Other columns are dropped.
+
+def _texts(needed: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, text) of the classes needed, staged: the text of one row of each."""
+    wanted = classes.join(needed.distinct(), "class", "left_semi").select("rid")
+    return _needed(rows.select("rid", "class", "text"), wanted, columns=("class", "text"))
+
+
+def _sides(links: DataFrame) -> DataFrame:
+    """(class, found): all ranges of alike passages of each class."""
+    sides = links.select(F.col("l").alias("class"), F.col("left").alias("found")).unionByName(links.select(F.col("r").alias("class"), F.col("right").alias("found")))
+    return sides.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"))
+
+
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Passages of LEAST words that occur, nearly alike, in another row.
+
+    A passage is LEAST words in a row; two are alike where their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    Returns id_col, n_words, n_dup_words, spans (merged word ranges `a-b`, b exclusive, comma-joined, of all passages
+    that are alike with one of another row, each from its first to its last shared shingle) and component_id (the smallest id reachable through rows that have alike
+    passages, itself included), one row for each input row. Words are those between ASCII blanks, A-Z lower-cased. Null, empty and
+    texts under LEAST words have no passages. Rows of equal words repeat each other's whole text; repeats inside one
+    row do not count. A row with a null id takes part; a component without any id has a null component_id. Other columns are
+    dropped. Ids are integers. Candidates come from min-hashes: an alike pair of passages at similarity 0.8 meets in a key with probability
+    0.97, equal ones always. Texts are told apart by 64-bit hashes.
     """
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rows")
-    windows = rows.select("rid", "text").mapInArrow(_windows, WINDOW)
-    windows = stage(windows, "windows")
-    shared = windows.groupBy("key").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("key")
-    nodes = stage(windows.join(shared, "key").dropDuplicates(["key", "rid", "c"]), "nodes")
-    unstage(windows)
-    met = stage(nodes.groupBy("rid").applyInArrow(_joint, "key bigint, rid bigint, at array<int>"), "joint")
-    unstage(nodes)
-    shared = met.groupBy("key").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("key")
-    open_ = stage(met.join(shared, "key").withColumn("todo", F.col("at")), "open")
-    unstage(met)
-    links, done, most = None, [], 1
-    while links is None or not open_.isEmpty():
-        # of each key up to most rows are hubs that meet all rows of the key that were none before
-        hubs = open_.where("size(todo) > 0").groupBy("key", F.pmod(F.xxhash64("rid"), F.lit(most)).alias("part")).agg(F.min_by(F.struct("rid", "at"), "rid").alias("hub"))
-        hubs = stage(hubs.select("key", F.col("hub.rid").alias("hub"), F.col("hub.at").alias("hat")), "hubs")
-        pairs = open_.join(hubs, "key").where("rid <> hub")
-        anchor = F.when(F.col("hub") < F.col("rid"), F.struct(F.col("hat").alias("lat"), F.col("at").alias("rat"))).otherwise(F.struct(F.col("at").alias("lat"), F.col("hat").alias("rat")))
-        pairs = stage(pairs.groupBy(F.least("hub", "rid").alias("l"), F.greatest("hub", "rid").alias("r")).agg(F.collect_set(anchor).alias("anchors")), "pairs")
-        texts = _needed(rows.select("rid", "text"), pairs.select(F.explode(F.array("l", "r")).alias("rid")))
-        new = pairs.join(texts.toDF("l", "ltext"), "l").join(texts.toDF("r", "rtext"), "r").select("l", "r", "ltext", "rtext", "anchors")
-        new = stage(new.repartition(partitions(docs.sparkSession), "l", "r").mapInArrow(_verify, "l bigint, r bigint, spans array<array<int>>"), "links")
-        unstage(pairs, texts)
-        done.append(new)
-        links = new if links is None else links.unionByName(new)
-        spans = new.select("l", "r", F.explode("spans").alias("s"))
-        sides = spans.select(F.col("l").alias("rid"), F.col("s")[0].alias("a"), F.col("s")[1].alias("b")).unionByName(spans.select(F.col("r").alias("rid"), F.col("s")[2].alias("a"), F.col("s")[3].alias("b")))
-        sides = sides.groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("sides"))
-        # a hub has met its key; an anchor in a confirmed passage is found, and other hubs still meet it
-        rest = open_.join(hubs.select("key", F.col("hub").alias("rid")), ["key", "rid"], "left_anti").join(sides, "rid", "left")
-        todo = F.when(F.col("sides").isNull(), F.col("todo")).otherwise(F.filter("todo", lambda c: ~F.exists("sides", lambda s: (s["a"] <= c) & (c < s["b"]))))
-        rest = stage(rest.select("key", "rid", "at", todo.alias("todo")), "rest")
-        left = stage(rest.join(rest.where("size(todo) > 0").select("key").distinct(), "key", "left_semi"), "open")
-        unstage(open_, hubs, rest)
-        open_, most = left, 2 * most
-    spans = links.select("l", "r", F.explode("spans").alias("s"))
-    sides = spans.select(F.col("l").alias("rid"), F.col("s")[0].alias("a"), F.col("s")[1].alias("b")).unionByName(spans.select(F.col("r").alias("rid"), F.col("s")[2].alias("a"), F.col("s")[3].alias("b"))).distinct()
-    counted = links.select("l", "r").unionByName(links.select(F.col("r").alias("l"), F.col("l").alias("r"))).groupBy("l").agg(F.count_distinct("r").alias("n_links")).withColumnRenamed("l", "rid")
-    found = stage(sides.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")).join(counted, "rid"), "found")
-    unstage(open_, *done)
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.join(found, "rid", "left").select("id", "text", "spans", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.mapInArrow(_merge, f"id {kind}, n_words bigint, n_dup_words bigint, spans string, n_links bigint").withColumnRenamed("id", id_col)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = stage(rows.mapInArrow(_rows, "rid bigint, id bigint, text string, n_words bigint, class bigint"), "rows")
+    classes = stage(rows.where("class is not null").groupBy("class").agg(F.min("rid").alias("rid"), F.min("id").alias("low_id"), F.max("n_words").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
+    keyed = rows.select("class", "text").mapInArrow(_cells, "key bigint, class bigint, c int")
+    # a key is met by several classes; the least of them is its hub
+    shared = keyed.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last")
+    members = stage(keyed.join(shared.hint("shuffle_hash"), "key").dropDuplicates(["key", "class", "c"]), "members")
+    pairs = members.where("class <> hub").groupBy(F.col("hub").alias("l"), F.col("class").alias("r")).agg(F.array_sort(F.collect_set("c")).alias("anchors"))
+    first = _verified(pairs, rows, classes)
+
+    # What the star can't show: a cell whose passages failed with the hub's, or classes of a key in several components.
+    # Where a key has two classes, they are the star.
+    comp = connected_components(first)
+    covered = F.exists("found", lambda x: (x[0] <= F.col("c")) & (F.col("c") < x[1]))
+    placed = members.join(_sides(first), "class", "left").select("key", "class", "c", "hub", "last", F.coalesce(covered, F.lit(False)).alias("held"))
+    placed = placed.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
+    placed = stage(placed, "placed")
+    state = placed.groupBy("key").agg(
+        F.max(F.when(F.col("class") == F.col("hub"), F.col("comp"))).alias("hub_comp"), F.min("comp").alias("comp0"), F.max("comp").alias("comp1"), F.min("held").alias("held"),
+        F.max((F.col("class") != F.col("hub")) & (F.col("class") != F.col("last"))).alias("third"), F.count(F.lit(1)).alias("m"),
+    ).where("third and (comp0 < comp1 or not held)").select("key", "hub_comp", "m")
+    open_ = placed.join(state, "key").where("class <> hub").withColumn("ask", ~F.col("held") | (F.col("comp") != F.col("hub_comp")))
+    open_ = stage(open_.select("key", "class", "c", "ask"), "open")
+    unstage(placed, members)
+    texts = _texts(open_.select("class"), rows, classes)
+    around = open_.groupBy("class").agg(F.collect_list(F.struct("key", "c", "ask")).alias("cells")).join(texts, "class")
+    around = stage(around.mapInArrow(_around, "key bigint, class bigint, c int, ask boolean, around binary, least int"), "around")
+    unstage(open_, texts)
+    counts = around.groupBy("key").agg(F.count_if("ask").alias("asks"), F.count(F.lit(1)).alias("m")).where("asks > 0")
+    counts = counts.select("key", F.ceil(F.col("asks") / BLOCK).cast("int").alias("minors"), F.ceil((F.col("m") - F.col("asks")) / BLOCK).cast("int").alias("majors"))
+    dealt = deal(around.join(counts, "key"), F.xxhash64("class", "c"), F.col("ask"))
+    met = dealt.groupBy("key", "i", "j").applyInArrow(_meet, "l bigint, r bigint, c int")
+    pairs = met.groupBy("l", "r").agg(F.array_sort(F.collect_set("c")).alias("anchors"))
+    second = _verified(pairs, rows, classes)
+    unstage(around, comp)
+
+    links = first.unionByName(second)
+    comp = connected_components(links)
+    placed = classes.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("component", "class"))
+    roots = placed.groupBy("root").agg(F.min("low_id").alias("component_id"))
+    found = placed.join(_sides(links), "class", "left").where("found is not null or copies > 1").select("class", "n", "copies", "found").mapInArrow(_merge, "class bigint, n_dup_words bigint, spans string")
+    told = stage(placed.join(roots, "root").select("class", "component_id").join(found, "class", "left"), "told")
+    unstage(first, second, comp, classes)
+    out = rows.select("id", "class", "n_words").join(told, "class", "left")
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_dup_words", F.lit(0)).alias("n_dup_words"), F.coalesce("spans", F.lit("")).alias("spans"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, stage, unstage
+from .shared import mix, slices, stage, unstage
 
 BANDS, ROWS = 40, 6
 SIMILARITY = 80
@@ -34,14 +34,6 @@ def coefficients(n: int = BANDS * ROWS, seed: int = 20_240_501):
     return r.integers(0, 2**63, n, dtype=np.uint64) * 2 + 1, r.integers(0, 2**63, n, dtype=np.uint64)
 
 
-def mix(x):
-    import numpy as np
-
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Sorted distinct 64-bit hashes of the k-word shingles of a text; word hashes are remembered, boundedly."""
 
@@ -196,11 +188,12 @@ def _block_links(k):
     return run
 
 
-def _needed(rows: DataFrame, rids: DataFrame) -> DataFrame:
-    """The rows of a set of rids, staged; a set of proven size is broadcast."""
+def needed_rows(rows: DataFrame, rids: DataFrame, columns: tuple = ()) -> DataFrame:
+    """The rows (or some columns) of a set of rids, staged; a set of proven size is broadcast."""
     rids = stage(rids.distinct(), "rids")
     few = rids.count() <= BROADCAST_RIDS
-    out = stage(rows.join(F.broadcast(rids) if few else rids, "rid", "left_semi"), "needed")
+    out = rows.join(F.broadcast(rids) if few else rids, "rid", "left_semi")
+    out = stage(out.select(*columns) if columns else out, "needed")
     unstage(rids)
     return out
 
@@ -208,7 +201,7 @@ def _needed(rows: DataFrame, rids: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """The pairs (l, r) whose full sets pass; only texts in a pair are moved."""
     pairs = stage(pairs, "pairs")
-    texts = _needed(texts, pairs.select(F.explode(F.array("l", "r")).alias("rid")))
+    texts = needed_rows(texts, pairs.select(F.explode(F.array("l", "r")).alias("rid")))
     left, right = texts.select(F.col("rid").alias("l"), F.col("text").alias("ltext")), texts.select(F.col("rid").alias("r"), F.col("text").alias("rtext"))
     links = stage(pairs.join(left, "l").join(right, "r").select("l", "r", "ltext", "rtext").mapInArrow(_confirm(k), "l bigint, r bigint"), "links")
     unstage(pairs, texts)
@@ -237,6 +230,22 @@ def connected_components(edges: DataFrame, l: str = "l", r: str = "r") -> DataFr
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def deal(dealt: DataFrame, by, minor) -> DataFrame:
+    """dealt (key, majors, minors: numbers of blocks, and other columns) with (i, j, role) of each place in a block.
+
+    Each minor row meets each other row of its key in a block (i, j): as one that asks (role 0) or is told (1), both (2) where one
+    block holds the key. Major rows do not meet each other.
+    """
+    block = F.pmod(by, F.when(minor, F.col("minors")).otherwise(F.col("majors"))).cast("int")
+    place = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(role).alias("role"))
+    last = F.col("minors") - 1
+    asks = F.transform(F.sequence(F.lit(0), F.col("majors") + last), lambda j: place(F.col("block"), j, 0))
+    told = F.transform(F.sequence(F.lit(0), last), lambda i: place(i, F.when(minor, F.col("majors") + F.col("block")).otherwise(F.col("block")), 1))
+    single = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(minor, 2).otherwise(1).alias("role")))
+    places = F.when((F.col("majors") <= 1) & (F.col("minors") == 1), single).when(minor, F.concat(asks, told)).otherwise(told)
+    return dealt.withColumn("block", block).select("*", F.explode(places).alias("at")).select("*", "at.*").drop("at", "block", "majors", "minors")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2) -> DataFrame:
     """Link documents with 100 * |A and B| >= 80 * |A or B| over sets of shingle-word shingles.
 
@@ -261,7 +270,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     member = stage(keyed.join(buckets, "key"), "members")
 
     star = stage(member.where("rep <> hub").select(F.col("hub").alias("l"), F.col("rep").alias("r")).distinct(), "star")
-    sigs = _needed(reps.select(F.col("rep").alias("rid"), "sig"), star.select(F.explode(F.array("l", "r")).alias("rid")))
+    sigs = needed_rows(reps.select(F.col("rep").alias("rid"), "sig"), star.select(F.explode(F.array("l", "r")).alias("rid")))
     signed = star.join(sigs.toDF("l", "lsig"), "l").join(sigs.toDF("r", "rsig"), "r")
     first = _confirmed(signed.select("l", "r", "lsig", "rsig").mapInArrow(_alike, "l bigint, r bigint"), texts, shingle)
     unstage(star, sigs)
@@ -275,17 +284,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Bands often gather the same members again: of buckets with equal sums of two hashes of their members one is compared.
     sizes = sizes.groupBy("m", "print0", "print1").agg(F.min_by(F.struct("key", "major", "most"), "key").alias("one")).select("one.*", "m")
     dealt = placed.join(sizes.select("key", "major", F.ceil(F.col("most") / MAJOR_BLOCK).cast("int").alias("majors"), F.ceil((F.col("m") - F.col("most")) / MINOR_BLOCK).cast("int").alias("minors")), "key")
-    minor = F.col("comp") != F.col("major")
-    block = F.pmod(F.xxhash64("rep"), F.when(minor, F.col("minors")).otherwise(F.col("majors"))).cast("int")
-    place = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(role).alias("role"))
-    last = F.col("minors") - 1
-    asks = F.transform(F.sequence(F.lit(0), F.col("majors") + last), lambda j: place(F.col("block"), j, 0))
-    told = F.transform(F.sequence(F.lit(0), last), lambda i: place(i, F.when(minor, F.col("majors") + F.col("block")).otherwise(F.col("block")), 1))
-    single = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(minor, 2).otherwise(1).alias("role")))
-    places = F.when((F.col("majors") == 1) & (F.col("minors") == 1), single).when(minor, F.concat(asks, told)).otherwise(told)
-    dealt = dealt.withColumn("block", block).select("key", "rep", "comp", F.explode(places).alias("at")).select("key", "at.*", "rep", "comp")
+    dealt = deal(dealt, F.xxhash64("rep"), F.col("comp") != F.col("major")).select("key", "i", "j", "role", "rep", "comp")
     dealt = stage(dealt, "dealt")
-    held = _needed(signed_texts, dealt.select(F.col("rep").alias("rid")))
+    held = needed_rows(signed_texts, dealt.select(F.col("rep").alias("rid")))
     second = stage(dealt.join(held.withColumnRenamed("rid", "rep"), "rep").groupBy("key", "i", "j").applyInArrow(_block_links(shingle), "l bigint, r bigint").distinct(), "links2")
     unstage(dealt, held)
 

@@ -77,6 +77,77 @@ def slices(batches, column: str = "text", max_bytes: int = 8 << 20):
             yield batch.slice(a, b - a)
 
 
+class Words:
+    """64-bit hashes of the words of a column of texts, vectorised over all its bytes.
+
+    Words are what lies between ASCII blanks, A-Z lower-cased. A word's hash is a polynomial over random values of its bytes, mixed
+    with its length.
+    """
+
+    PIECE, BASE = 1 << 16, 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        import numpy as np
+
+        self.of = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.of[65:91] = self.of[97:123]
+        self.blank = np.zeros(256, bool)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
+        self.power = self.back = np.ones(1, np.uint64)
+
+    def powers(self, n: int):
+        import numpy as np
+
+        if len(self.power) < n:
+            for name, base in (("power", self.BASE), ("back", pow(self.BASE, -1, 1 << 64))):
+                x = np.full(n, base, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.cumprod(x, dtype=np.uint64))
+        return self.power[:n], self.back
+
+    def __call__(self, column):
+        """(hashes of all words, index of each row's first word and, at the end, the number of words); null is empty."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        offset = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = column.buffers()[2]
+        data = (np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8))[offset[0] : offset[-1]]
+        offset = offset - offset[0]
+        edge = self.blank[data]
+        begin = ~edge
+        inner = offset[(offset > 0) & (offset < len(data))]
+        split = np.zeros(len(data) + 1, bool)
+        split[inner] = True
+        begin[1:] &= edge[:-1] | split[1:-1]
+        end = ~edge
+        end[:-1] &= edge[1:] | split[1:-1]
+        start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        out = np.empty(len(start), np.uint64)
+        a = 0
+        while a < len(start):  # pieces of whole words bound the memory
+            b = max(a + 1, int(np.searchsorted(stop, start[a] + self.PIECE, "right")))
+            low, high = int(start[a]), int(stop[b - 1])
+            power, back = self.powers(high - low)
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(self.of[data[low:high]] * power, out=total[1:])
+            i, j = start[a:b] - low, stop[a:b] - low
+            out[a:b] = mix((total[j] - total[i]) * back[i] + (j - i).astype(np.uint64))
+            a = b
+        return out, np.searchsorted(start, offset)
+
+
+def mix(x):
+    """A bijection of 64-bit integers that spreads every bit."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def give_back() -> None:
     """Hand freed memory back to the system at a task's end, as an idle Python worker stays."""
     import ctypes
