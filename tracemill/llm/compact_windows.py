@@ -7,7 +7,7 @@ passages that share ROWS minima, and its key is equal for cells of other texts w
 propose pairs: all with the least of them, a star. Every passage on the diagonals of a pair is then verified on full shingle
 sets (Jaccard 0.8). What a star can't show, a passage that fails with its hub or a key whose texts are still
 in several components, is left to a second round, in which the cells of such keys are compared in blocks by
-the shingles around them: only pairs that share as many shingles as two alike passages must are verified.
+the shingles around them: one link for each cell that failed, and one between two components, leave a block.
 """
 
 from __future__ import annotations
@@ -284,10 +284,13 @@ def passages(a: Profile, b: Profile, anchors):
     begins, ends = np.flatnonzero(b.begins), np.flatnonzero(b.ends)
     aligned = {(int(begins[np.searchsorted(begins, c, "right") - 1]), False) for c in anchors.tolist()}
     aligned |= {(int(ends[np.searchsorted(ends, c)]), True) for c in anchors.tolist()}
-    for c, last in sorted(aligned):
-        if last and b.begins[c]:
+    aligned = sorted(x for x in aligned if not x[1] or not b.begins[x[0]])
+    values = b.x[[c for c, _ in aligned]]
+    bounds = zip(np.searchsorted(a.value, values, "left").tolist(), np.searchsorted(a.value, values, "right").tolist())
+    for (c, last), (left, right) in zip(aligned, bounds):
+        if right - left == 1 and held[1][c] and held[0][a.order[left]]:
             continue
-        places = a.order[np.searchsorted(a.value, b.x[c], "left") : np.searchsorted(a.value, b.x[c], "right")]
+        places = a.order[left:right]
         places = places[(a.ends if last else a.begins)[places]]
         if held[1][c]:
             places = places[~held[0][places]]
@@ -351,47 +354,68 @@ def _verify(batches):
 
 
 def _around(batches):
-    """For each cell of a text 16 bits of each shingle around its place, and the fewest distinct shingles of a passage that holds it."""
+    """For each cell of a text 32 bits of each shingle around its place, where the place is among them, and the fewest distinct shingles of a passage that holds it."""
     import numpy as np
     import pyarrow as pa
 
     wide, profile = ELEMENTS - 1, Recent(0)
     for batch in slices(batches):
-        out = {name: [] for name in ("key", "class", "c", "ask", "around", "least")}
+        out = {name: [] for name in ("key", "class", "c", "ask", "comp", "around", "place", "least")}
         for own, text, cells_ in zip(*(batch.column(c).to_pylist() for c in ("class", "text", "cells"))):
             t = profile(own, text)
-            bits = (t.x >> np.uint64(48)).astype(np.uint16)
+            bits = (t.x >> np.uint64(32)).astype(np.uint32)
             for cell in cells_:
                 c = cell["c"]
                 out["around"].append(bits[max(0, c - wide) : c + wide + 1].tobytes())
+                out["place"].append(min(c, wide))
                 out["least"].append(int(t.distinct[max(0, c - wide) : c + 1].min()))
-                out["key"].append(cell["key"])
                 out["class"].append(own)
-                out["c"].append(c)
-                out["ask"].append(cell["ask"])
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32())
+                for name in ("key", "c", "ask", "comp"):
+                    out[name].append(cell[name])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
 
 def _meet(table):
-    """Pairs of a cell with role 0 or 2 and one with role 1 or 2 whose surroundings share as many shingles as alike passages must."""
+    """Links of cells with role 0 or 2 to cells with role 1 or 2 whose surroundings have alike passages: one for each that asks, then none twice between two components.
+
+    Only surroundings that share as many shingles as alike passages must are compared.
+    """
     import numpy as np
     import pyarrow as pa
 
-    own, c, least, role = (table.column(x).to_numpy() for x in ("class", "c", "least", "role"))
-    around = [np.frombuffer(x, np.uint16) for x in table.column("around").to_pylist()]
+    own, c, comp, place, least, role = (table.column(x).to_numpy() for x in ("class", "c", "comp", "place", "least", "role"))
+    around = [np.frombuffer(x, np.uint32) for x in table.column("around").to_pylist()]
     others = np.flatnonzero(role != 0)
-    flat = np.concatenate([around[i] for i in others]) if len(others) else np.empty(0, np.uint16)
+    low = (np.concatenate([around[i] for i in others]) if len(others) else np.empty(0, np.uint32)) >> np.uint32(16)
     edge = np.cumsum([0, *(len(around[i]) for i in others)])[:-1]
-    seen, out = np.zeros(1 << 16, np.int32), set()
+    seen, out, root, profiles = np.zeros(1 << 16, np.int32), set(), {}, {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    def profile(i):
+        if i not in profiles:
+            profiles[i] = Profile(around[i].astype(np.uint64))
+        return profiles[i]
+
     for i in np.flatnonzero(role != 1).tolist():
-        seen[around[i]] = 1
-        both = np.add.reduceat(seen[flat], edge) if len(others) else edge
-        seen[around[i]] = 0
-        for j in others[(100 * both >= SIMILARITY * np.maximum(least[others], least[i])) & (own[others] != own[i])].tolist():
-            out.add((own[i], own[j], c[j]) if own[i] < own[j] else (own[j], own[i], c[i]))
-    l, r, c = zip(*out) if out else ((), (), ())
-    return pa.table({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64()), "c": pa.array(c, pa.int32())})
+        seen[around[i] >> np.uint32(16)] = 1
+        both = np.add.reduceat(seen[low], edge) if len(others) else edge
+        seen[around[i] >> np.uint32(16)] = 0
+        hope = (100 * both >= SIMILARITY * np.maximum(least[others], least[i])) & (own[others] != own[i])
+        met = False
+        for j in others[hope][np.argsort(-both[hope], kind="stable")].tolist():
+            if met and find(int(comp[i])) == find(int(comp[j])):
+                continue
+            if passages(profile(i), profile(j), [int(place[j])])[0]:
+                met = True
+                root[find(int(comp[i]))] = find(int(comp[j]))
+                out.add((int(own[i]), int(own[j]), int(c[j])) if own[i] < own[j] else (int(own[j]), int(own[i]), int(c[i])))
+    l, r, at = zip(*out) if out else ((), (), ())
+    return pa.table({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64()), "c": pa.array(at, pa.int32())})
 
 
 def _merge(batches):
@@ -452,7 +476,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     keyed = rows.select("class", "text").mapInArrow(_cells, "key bigint, class bigint, c int")
     # a key is met by several classes; the least of them is its hub
     shared = keyed.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last")
-    members = stage(keyed.join(shared.hint("shuffle_hash"), "key").dropDuplicates(["key", "class", "c"]), "members")
+    members = stage(keyed.join(shared.hint("shuffle_hash"), "key").repartition("class", "c").dropDuplicates(["key", "class", "c"]), "members")
     pairs = members.where("class <> hub").groupBy(F.col("hub").alias("l"), F.col("class").alias("r")).agg(F.array_sort(F.collect_set("c")).alias("anchors"))
     first = _verified(pairs, rows, classes)
 
@@ -468,11 +492,11 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         F.max((F.col("class") != F.col("hub")) & (F.col("class") != F.col("last"))).alias("third"), F.count(F.lit(1)).alias("m"),
     ).where("third and (comp0 < comp1 or not held)").select("key", "hub_comp", "m")
     open_ = placed.join(state, "key").where("class <> hub").withColumn("ask", ~F.col("held") | (F.col("comp") != F.col("hub_comp")))
-    open_ = stage(open_.select("key", "class", "c", "ask"), "open")
+    open_ = stage(open_.select("key", "class", "c", "ask", "comp"), "open")
     unstage(placed, members)
     texts = _texts(open_.select("class"), rows, classes)
-    around = open_.groupBy("class").agg(F.collect_list(F.struct("key", "c", "ask")).alias("cells")).join(texts, "class")
-    around = stage(around.mapInArrow(_around, "key bigint, class bigint, c int, ask boolean, around binary, least int"), "around")
+    around = open_.groupBy("class").agg(F.collect_list(F.struct("key", "c", "ask", "comp")).alias("cells")).join(texts, "class")
+    around = stage(around.mapInArrow(_around, "key bigint, class bigint, c int, ask boolean, comp bigint, around binary, place int, least int"), "around")
     unstage(open_, texts)
     counts = around.groupBy("key").agg(F.count_if("ask").alias("asks"), F.count(F.lit(1)).alias("m")).where("asks > 0")
     counts = counts.select("key", F.ceil(F.col("asks") / BLOCK).cast("int").alias("minors"), F.ceil((F.col("m") - F.col("asks")) / BLOCK).cast("int").alias("majors"))
