@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.llm import bpe, decontam, langid, minhash, pii
-from tracemill.llm.shared import stage
+from tracemill.llm.shared import stage, unstage
 
 #: Least share of a document's letters in its language; documents below, and those without a letter, go.
 LANGUAGE_SHARE = 0.5
@@ -22,32 +22,38 @@ def whole(docs):
 
 
 def language_id(spark, docs, sf_dir):
-    """Drop documents of no dominant language; a null lang is filled by the prediction."""
+    """Drop documents of no dominant language; a null lang is filled by the prediction.
+
+    Null texts and texts without a letter are of no language and go. Repeated rows are judged alike; an empty table stays empty.
+    """
     found = langid.identify(whole(docs), langid.learn_languages(docs), id_col="row")
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE))
     return kept.select(*(F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Keep one document, that of the smallest id, of each group of near copies."""
+    """Keep one document, that of the smallest id, of each group of near copies.
+
+    Null texts and texts without a word have no copies and stay. Of equal rows, or of groups without an id, one row stays.
+    """
     return minhash.near_duplicates(docs, shingle=SHINGLE_WORDS).where("first").select("row.*")
 
 
 def decontamination(spark, docs, sf_dir):
-    """Drop documents that hold a benchmark window."""
+    """Drop documents that hold a benchmark window. Null and empty texts hold none and stay."""
     found = decontam.find_benchmark(whole(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
     return found.where(F.size("spans") == 0).select("id.*")
 
 
 def personal_data(spark, docs, sf_dir):
-    """Replace personal data by its kind in angle brackets; n_chars follows."""
+    """Replace personal data by its kind in angle brackets; n_chars follows. A null text stays null, with its n_chars null."""
     found = pii.find_pii(docs, keep_rows=True).withColumn("clean", F.when(F.size("spans") > 0, F.expr(pii.redact("row.text", "spans"))).otherwise(F.col("row.text")))
     new = {"text": F.col("clean").alias("text"), "n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType).alias("n_chars")}
     return found.select(*(new.get(c, F.col(f"row.`{c}`")) for c in docs.columns))
 
 
 def tokens(spark, docs, sf_dir):
-    """Token ids of each document, with hashes of the ids and of what they decode to."""
+    """Token ids of each document, with hashes of the ids and of what they decode to. A null or empty text has no ids, and the hash of nothing."""
     decoded = bpe.encode(docs, decoded=True)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
@@ -61,5 +67,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), name)
+        before, docs = docs, stage(f(spark, docs, sf_dir), name)
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -181,6 +181,29 @@ def test_fertility_base_columns_equal_brute_force(spark):
     assert fertility.fertility_rules(docs.limit(0)).count() == 0
 
 
+def test_fertility_bands_equal_brute_force(spark):
+    docs = documents(spark)
+    rows = fertility.fertility_rules(docs).collect()
+    bands = {}
+    for r in rows:
+        if not r.base_failed:
+            bands.setdefault(r.band, []).append(r)
+    grid = lambda x: int(x * fertility.GRID + 0.5)
+    for r in rows:
+        want = []
+        for c, least in fertility.LEAST_WIDTH.items():
+            if r.band not in bands:
+                continue
+            v = sorted(grid(x[c]) for x in bands[r.band])
+            q = [v[(len(v) * k + 3) // 4 - 1] / fertility.GRID for k in (1, 2, 3)]
+            width = max(least, fertility.BAND_IQRS * (q[2] - q[0]))
+            if r[c] > q[1] + width:
+                want.append(f"{c}_high")
+            elif r[c] < q[1] - width and c != "byte_share":
+                want.append(f"{c}_low")
+        assert r.reasons == ",".join(want) and r.kept == (not r.base_failed and not want)
+
+
 def test_fertility_rejects_odd_text_only(spark):
     fine = [" ".join(texts(seed=s, n=9)[k] or "" for k in (1, 2, 4, 5)) for s in range(40)]
     odd = " ".join(f"\ue000\ue001{chr(0xE100 + i)}" for i in range(300))

@@ -10,7 +10,7 @@ them; the cache is emptied when full.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import slices, stage
@@ -22,6 +22,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 BAND_IQRS = 3.5
 LEAST_WIDTH = {"chars_per_token": 0.1, "byte_share": 0.05, "entropy": 0.2}
 CACHE_WORDS = 300_000
+#: Steps in one unit of a statistic, for quartiles; as many bands at most are broadcast, more are joined by shuffle.
+GRID, BROADCAST_BANDS = 10_000, 100_000
 #: First code points of scripts, ascending, and their names.
 SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "indic"), (0xE00, "thai"), (0xE80, "southeast"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x30000, "other")]
 
@@ -38,10 +40,13 @@ def repeated_words(ids) -> int:
     k = int(ids.max()) + 1
     if k < 2_000_000:
         key = (ids[:-2].astype(np.int64) * k + ids[1:-1]) * k + ids[2:]
-        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
     else:
-        _, back, count = np.unique(np.stack([ids[:-2], ids[1:-1], ids[2:]], 1), axis=0, return_inverse=True, return_counts=True)
-    hit = count[back.reshape(-1)] > 1
+        key = np.unique(np.stack([ids[:-2], ids[1:-1], ids[2:]], 1), axis=0, return_inverse=True)[1].reshape(-1)
+    ordered = np.sort(key)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return 0
+    hit = twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key
     covered = np.zeros(n, bool)
     for i in range(3):
         covered[i : n - 2 + i] |= hit
@@ -102,7 +107,8 @@ def _measure(path: str):
                 script = SCRIPTS[int(np.bincount(np.searchsorted(starts, letters, "right") - 1).argmax())][1] if len(letters) else "none"
                 piece = np.concatenate([tokens.pieces[i] for i in ids.tolist()]) if len(words) else np.empty(0, np.int32)
                 n = len(piece)
-                count = np.unique(piece, return_counts=True)[1] if n else np.empty(0)
+                ordered = np.sort(piece)
+                count = np.diff(np.flatnonzero(ordered[1:] != ordered[:-1]), prepend=-1, append=n - 1) if n else np.empty(0)
                 entropy = float(np.log2(n) - (count * np.log2(count)).sum() / n) if n else 0.0
                 chars = sum(len(w) for w in words) if text.isascii() else len(text) - sum(raw.count(c) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
                 for name, value in zip(out, (len(words), chars, sum(text.count(c) for c in SYMBOLS), duplicate_lines(text), repeated_words(ids), script, n, chars / n if n else 0.0, float(tokens.is_byte[piece].mean()) if n else 0.0, entropy / np.log2(n) if n > 1 else 0.0)):
@@ -122,6 +128,20 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(_measure(vocabulary or public_tokenizers.path(VOCABULARY)), kept)
 
 
+def quartiles(stats: DataFrame, columns: list[str]) -> DataFrame:
+    """(band, q_ and each column: its three quartiles in the band), exact for values rounded to GRID steps.
+
+    A quartile is the least value that as large a share of the rows does not exceed; values are counted before
+    they are shuffled, so that a band of any size brings one row a distinct value.
+    """
+    value = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.round(F.col(c) * GRID).cast("long").alias("v")) for c in columns))).alias("x")
+    counts = stats.select("band", value).groupBy("band", "x.name", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("band", "name")
+    counts = counts.withColumn("upto", F.sum("n").over(own.orderBy("v"))).withColumn("all", F.sum("n").over(own))
+    least = lambda c, quarter: F.min(F.when((F.col("name") == c) & (4 * F.col("upto") >= quarter * F.col("all")), F.col("v"))) / GRID
+    return counts.groupBy("band").agg(*(F.array(*(least(c, q) for q in (1, 2, 3))).alias(f"q_{c}") for c in columns))
+
+
 def fertility_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", vocabulary: str | None = None, iqrs: float = BAND_IQRS) -> DataFrame:
     """Judge each document by base rules and by the fertility band of its language or script.
 
@@ -133,9 +153,9 @@ def fertility_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stats = stage(measure(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, vocabulary=vocabulary), "fertility")
     stats = stats.withColumn("band", F.coalesce("lang", F.concat(F.lit("script:"), "script")))
     sound = (F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words"))
-    quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q_{c}") for c in LEAST_WIDTH]
-    bands = stats.where(sound).groupBy("band").agg(*quartiles)
-    judged = stats.join(bands, "band", "left")
+    bands = stage(quartiles(stats.where(sound), list(LEAST_WIDTH)), "bands")
+    few = bands.count() <= BROADCAST_BANDS
+    judged = stats.join(F.broadcast(bands) if few else bands, "band", "left")
     reasons = []
     for c, least in LEAST_WIDTH.items():
         q = F.col(f"q_{c}")

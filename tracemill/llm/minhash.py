@@ -21,8 +21,8 @@ SIMILARITY = 80
 #: Estimates this far below the threshold are ruled out: over five standard errors at 240 minima.
 SLACK = 14
 MINOR_BLOCK, MAJOR_BLOCK = 256, 512
-#: As many row ids at most (8 bytes each) are broadcast to find their texts; more are joined by shuffle.
-BROADCAST_RIDS = 2_000_000
+#: As many row ids at most (8 bytes each) are broadcast to find their texts, or verdicts (under 50 bytes each) to find their rows; more are joined by shuffle.
+BROADCAST_RIDS = 1_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -144,6 +144,22 @@ def _confirm(k):
     return run
 
 
+def _block_hopes(table):
+    """The members of a block whose signature does not rule out one that they would be compared with, in another component."""
+    import numpy as np
+    import pyarrow as pa
+
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+    comp, role = (table.column(c).to_numpy() for c in ("comp", "role"))
+    hope, others = np.zeros(len(role), bool), np.flatnonzero(role != 0)
+    theirs = sig[others]
+    for x in np.flatnonzero(role != 1).tolist():
+        met = others[(100 * (theirs == sig[x]).sum(1) >= (SIMILARITY - SLACK) * sig.shape[1]) & (comp[others] != comp[x])]
+        if len(met):
+            hope[x] = hope[met] = True
+    return table.drop_columns("sig").select(["key", "i", "j", "role", "rep", "comp"]).filter(pa.array(hope))
+
+
 def _block_links(k):
     """Links of members with role 0 or 2 to members with role 1 or 2 of another component, none twice between two components."""
 
@@ -267,7 +283,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = stage(reps.withColumnRenamed("rid", "rep"), "reps")
     keyed = reps.select(F.explode("bands").alias("key"), "rep")
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = stage(keyed.join(buckets, "key"), "members")
+    member = stage(keyed.join(buckets.hint("shuffle_hash"), "key"), "members")
 
     star = stage(member.where("rep <> hub").select(F.col("hub").alias("l"), F.col("rep").alias("r")).distinct(), "star")
     sigs = needed_rows(reps.select(F.col("rep").alias("rid"), "sig"), star.select(F.explode(F.array("l", "r")).alias("rid")))
@@ -286,9 +302,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt = placed.join(sizes.select("key", "major", F.ceil(F.col("most") / MAJOR_BLOCK).cast("int").alias("majors"), F.ceil((F.col("m") - F.col("most")) / MINOR_BLOCK).cast("int").alias("minors")), "key")
     dealt = deal(dealt, F.xxhash64("rep"), F.col("comp") != F.col("major")).select("key", "i", "j", "role", "rep", "comp")
     dealt = stage(dealt, "dealt")
-    held = needed_rows(signed_texts, dealt.select(F.col("rep").alias("rid")))
-    second = stage(dealt.join(held.withColumnRenamed("rid", "rep"), "rep").groupBy("key", "i", "j").applyInArrow(_block_links(shingle), "l bigint, r bigint").distinct(), "links2")
-    unstage(dealt, held)
+    # Signatures alone name the members of a block that may have a link; only their texts are moved.
+    blocked = dealt.join(reps.select("rep", "sig"), "rep").groupBy("key", "i", "j").applyInArrow(_block_hopes, "key bigint, i int, j int, role int, rep bigint, comp bigint")
+    hopes = stage(blocked, "hopes")
+    held = needed_rows(signed_texts, hopes.select(F.col("rep").alias("rid")))
+    second = stage(hopes.join(held.withColumnRenamed("rid", "rep"), "rep").groupBy("key", "i", "j").applyInArrow(_block_links(shingle), "l bigint, r bigint").distinct(), "links2")
+    unstage(dealt, hopes, held)
 
     shared = named.where("digest is not null and id is not null").join(classes, "digest").select("id", "rep").distinct()
     twice = shared.groupBy("id").agg(F.min("rep").alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -301,4 +320,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     roots = placed.groupBy("root").agg(lead.alias("lead")).select("root", F.col("lead.id").alias("component_id"), F.col("lead.rid").alias("leader"))
     unstage(member, first, second, classes, reps, comp)
     told = placed.join(roots, "root").select("rid", F.coalesce("class_id", "id").alias("class_id"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), (F.col("rid") == F.col("leader")).alias("first"))
-    return sketches.select("rid", "row", "n_shingles").join(told, "rid").drop("rid")
+    told = stage(told, "told")
+    unstage(placed)
+    few = told.count() <= BROADCAST_RIDS
+    return sketches.select("rid", "row", "n_shingles").join(F.broadcast(told) if few else told, "rid").drop("rid")
