@@ -20,13 +20,13 @@ def normal_space(c: Column) -> Column:
 
 
 def boxed_first(c: Column) -> Column:
-    """Content of the first balanced \\boxed{...}; null without one."""
+    """Content of the first balanced \\boxed{...}, "}" for \\boxed{}}; null without one."""
     at = F.locate("\\boxed{", c)
     tail = F.substr(c, at + 7)
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
     step = lambda a, ch: F.when(a["depth"] == 0, a).otherwise(F.struct((a["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)).alias("depth"), (a["n"] + 1).alias("n")))
     end = F.aggregate(F.split(tail, ""), start, step)
-    return F.when((at > 0) & (end["depth"] == 0), F.substring(tail, F.lit(1), end["n"] - 1))
+    return F.when((at > 0) & F.startswith(tail, F.lit("}}")), "}").when((at > 0) & (end["depth"] == 0), F.substring(tail, F.lit(1), end["n"] - 1))
 
 
 def _blocks(text: str, escapes: bool, nested: bool) -> list[str]:
@@ -126,7 +126,8 @@ def exact_pattern(text: str) -> str:
     return r"(?<!\w)" + r"\s+".join(re.escape(w) for w in text.split()) + r"(?!\w)"
 
 
-NUMBER, MATH, BOX, BOLD = r"-?\d[\d,]*(?:\.\d+)?", r"\$[^$]+\$", r"\\boxed\{[^{}]*\}", r"\*\*[^*]+\*\*"
+# The classes of values that a rule leaves open.
+NUMBER, MATH, BOX, BOLD = r"[-+]?\d[\d,./:%-]*", r"\$[^$\n]{1,120}\$", r"\\boxed\{[^{}]*\}", r"\*\*[^*\n]{1,80}\*\*"
 
 
 def general_pattern(text: str) -> str:
@@ -139,3 +140,139 @@ def general_pattern(text: str) -> str:
     parts.append((text[at:], False))
     spaced = lambda s: re.sub(r"(?:\\ |\s)+", lambda _: r"\s+", re.escape(s))
     return "".join(spaced(s) + (f"(?:{BOX}|{MATH}|{BOLD}|{NUMBER})" if v else "") for s, v in parts)
+
+
+CONTEXT_MARKER = "Given the ground truth answer is"
+DOMAINS = ("multihop-reasoning", "science", "logic", "math")
+
+
+def last_box(c: Column) -> Column:
+    return F.try_element_at(boxed_all_escaped(c), F.lit(-1))
+
+
+def context_answer(context: Column) -> Column:
+    """Last box of a context, else what follows its marker without outer blanks, dots, tabs and line ends; null without either."""
+    at = F.locate(CONTEXT_MARKER, context)
+    rest = F.substr(context, at + len(CONTEXT_MARKER))
+    return F.coalesce(last_box(context), F.when(at > 0, F.regexp_replace(rest, r"^[ .\n\t]+|[ .\n\t]+$", "")))
+
+
+def parse_answer(answer: Column, solution: Column, splitter: str) -> Column:
+    """The answer field, else what follows the last splitter of the solution, else its last box, else null."""
+    tail = strip(F.element_at(F.split(solution, re.escape(splitter)), -1)) if splitter else F.lit(None)
+    return F.when(answer.isNotNull(), strip(answer)).when(F.contains(solution, F.lit(splitter)) & F.lit(bool(splitter)), tail).otherwise(last_box(solution))
+
+
+def ground_truth(answer: Column, content: Column) -> Column:
+    """A blank and the answer (the first box of the content where it is null), unboxed; null where empty or "another answer"."""
+    raw = F.coalesce(answer, boxed_first(content))
+    box = boxed_first(raw)
+    plain = F.when(F.coalesce(F.length(box), F.lit(0)) > 0, box).otherwise(raw)
+    return F.when((F.length(raw) > 0) & ~F.contains(F.lower(raw), F.lit("another answer")), F.concat(F.lit(" "), strip(plain)))
+
+
+def trim_span(text: Column, start: Column, end: Column) -> Column:
+    """(start, end) of a half-open span without white space at its ends; a blank span shrinks to its end."""
+    part = F.substr(text, start + 1, end - start)
+    first = start + F.length(part) - F.length(F.regexp_replace(part, r"^(?U:\s)+", ""))
+    rest = F.regexp_replace(part, r"^(?U:\s)+", "")
+    return F.struct(first.alias("start"), (end - F.length(rest) + F.length(F.regexp_replace(rest, r"(?U:\s)+$", ""))).alias("end"))
+
+
+def first_index(text: Column, part: Column) -> Column:
+    """0-based position of the first occurrence, -1 without one."""
+    return F.instr(text, part) - 1
+
+
+def prefix_cut(response: Column, spans: Column) -> Column:
+    """The response up to the end of its first span; all of it without spans."""
+    first = F.try_element_at(spans, F.lit(1))
+    return F.when(first.isNull(), response).otherwise(F.substring(response, F.lit(1), first_index(response, first) + F.length(first)))
+
+
+def by_position(spans: Column, response: Column) -> Column:
+    """Spans by the position of their first occurrence, equal ones in given order."""
+    keyed = F.transform(spans, lambda s, i: F.struct(F.instr(response, s).alias("at"), i.alias("i"), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda x: x["s"])
+
+
+def parse_spans(judged: Column, response: Column) -> Column:
+    """(spans, error) of a reply with a JSON array of strings copied from the response.
+
+    Spans are stripped, blank ones dropped, distinct and by first position. error is null, no_array, not_strings or not_copied,
+    and spans are null with an error. A null reply or response has no array.
+    """
+    raw = F.regexp_extract(judged, r"(?s)\[.*\]", 0)
+    value = F.try_parse_json(raw)
+    kind = F.schema_of_variant(value)
+    strings = F.coalesce(kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.regexp_extract(raw, r"[\[,]\s*null\s*[,\]]", 0) == ""), F.lit(False))
+    values = F.filter(F.transform(F.from_json(raw, T.ArrayType(T.StringType())), strip), lambda s: s != "")
+    copied = F.forall(values, lambda s: F.contains(response, s))
+    error = F.when(F.coalesce(raw, F.lit("")) == "", "no_array").when(~strings & (F.regexp_replace(raw, r"\s", "") != "[]"), "not_strings").when(~F.coalesce(copied, F.lit(False)), "not_copied")
+    return F.struct(F.when(error.isNull(), by_position(F.array_distinct(values), response)).alias("spans"), error.alias("error"))
+
+
+def think_dedup(prompt: Column, response: Column) -> Column:
+    """The response without a leading <think> and the white space around it, where the prompt already ends with one."""
+    both = F.endswith(strip(prompt), F.lit("<think>")) & F.rlike(response, F.lit(r"^(?U:\s)*<think>"))
+    return F.when(both, F.regexp_replace(response, r"^(?U:\s)*<think>(?U:\s)*", "")).otherwise(response)
+
+
+def split_key(c: Column) -> Column:
+    """(model, domain) of a key that ends in -domain; both empty without a known domain."""
+    pattern = "^(.*)-(" + "|".join(DOMAINS) + ")$"
+    return F.struct(F.regexp_extract(c, pattern, 1).alias("model"), F.regexp_extract(c, pattern, 2).alias("domain"))
+
+
+def common_length(left: Column, right: Column, from_end: bool = False) -> Column:
+    """Length of the common prefix, or suffix."""
+    a, b = (F.reverse(left), F.reverse(right)) if from_end else (left, right)
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    at = F.array_position(same, F.lit(False))
+    return F.when(F.least(F.length(left), F.length(right)) == 0, F.lit(0)).otherwise(F.when(at == 0, F.size(same)).otherwise(at - 1)).cast("int")
+
+
+def int_grid(c: Column, most: int | None = None) -> Column:
+    """Ascending distinct positive integers of a comma-joined list, clamped to most."""
+    values = F.filter(F.transform(F.filter(F.split(c, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("int")), lambda v: v > 0)
+    return F.array_sort(F.array_distinct(F.transform(values, lambda v: F.least(v, F.lit(most))) if most else values))
+
+
+@F.pandas_udf(T.StringType())
+def canonical_json(s: pd.Series) -> pd.Series:
+    """JSON with sorted keys, `, ` and `: ` between them, characters as they are; NaN and malformed text give null."""
+    import json
+
+    def refuse(name):
+        raise ValueError(name)
+
+    def one(t):
+        try:
+            return None if t is None else json.dumps(json.loads(t, parse_constant=refuse), ensure_ascii=False, sort_keys=True, allow_nan=False)
+        except ValueError:
+            return None
+
+    return s.map(one)
+
+
+def question_messages(messages: Column, system: str | None = None) -> Column:
+    """Messages (structs of role, content) without the last; a system prompt replaces the first system message or goes before."""
+    kept = F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
+    if system is None:
+        return kept
+    own = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")))
+    first = F.coalesce(F.try_element_at(kept, F.lit(1))["role"] == "system", F.lit(False))
+    return F.concat(own, F.when(first, F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept))
+
+
+def with_context(messages: Column, context: Column) -> Column:
+    """Messages with the context appended to the last user message; raises without one."""
+    last = F.array_max(F.transform(messages, lambda m, i: F.when(m["role"] == "user", i)))
+    told = F.transform(messages, lambda m, i: F.struct(m["role"].alias("role"), F.when(i == last, F.concat(m["content"], context)).otherwise(m["content"]).alias("content")))
+    return F.when(last.isNull(), F.raise_error(F.lit("no user message"))).otherwise(told)
+
+
+def chat_template(messages: Column, opening: str = "<|{}|>\n", closing: str = "\n", reply: str = "assistant") -> Column:
+    """Messages rendered with a mark of the role before each, and the mark of the reply at the end."""
+    before, after = opening.split("{}")
+    return F.concat(F.array_join(F.transform(messages, lambda m: F.concat(F.lit(before), m["role"], F.lit(after), m["content"])), closing), F.lit(closing + opening.format(reply)))

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 EPS = 1e-12
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once: inside a lambda a plain column would be computed again for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -26,19 +31,17 @@ def cosine(x: Column, y: Column) -> Column:
 
 def variation(x: Column) -> Column:
     """Population deviation over the mean; 0 for an empty array."""
-    m = F.coalesce(mean(x), F.lit(0.0))
-    var = total(F.transform(x, lambda v: (v - m) * (v - m))) / F.greatest(F.size(x), F.lit(1))
-    return F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.sqrt(var) / F.greatest(m, F.lit(EPS)))
+    spread = lambda m: F.sqrt(total(F.transform(x, lambda v: (v - m) * (v - m))) / F.greatest(F.size(x), F.lit(1))) / F.greatest(m, F.lit(EPS))
+    return F.when(F.size(x) == 0, F.lit(0.0)).otherwise(bound(F.coalesce(mean(x), F.lit(0.0)), spread))
 
 
 def lower_median(x: Column) -> Column:
-    return F.try_element_at(F.sort_array(x), (F.floor((F.size(x) - 1) / 2) + 1).cast("int"))
+    return F.get(F.sort_array(x), F.floor((F.size(x) - 1) / 2).cast("int"))
 
 
 def median_normal(x: Column) -> Column:
     """max(0, v - lower median) of each value."""
-    m = lower_median(x)
-    return F.transform(x, lambda v: F.greatest(F.lit(0.0), v - m))
+    return bound(lower_median(x), lambda m: F.transform(x, lambda v: F.greatest(F.lit(0.0), v - m)))
 
 
 def shape_score(x: Column, gold: Column) -> Column:
@@ -48,25 +51,24 @@ def shape_score(x: Column, gold: Column) -> Column:
 
 def contrast_score(x: Column, gold: Column) -> Column:
     """Cosine of the normalised scores times the positive gap of their conditional means."""
-    n = median_normal(x)
-    size = F.size(x)
-    on, off = total(gold), size - total(gold)
-    gap = dot(n, gold) / F.greatest(on, F.lit(1.0)) - (total(n) - dot(n, gold)) / F.greatest(off, F.lit(1.0))
-    return cosine(n, gold) * F.greatest(F.lit(0.0), gap)
+
+    def score(n):
+        on, off = total(gold), F.size(x) - total(gold)
+        gap = dot(n, gold) / F.greatest(on, F.lit(1.0)) - (total(n) - dot(n, gold)) / F.greatest(off, F.lit(1.0))
+        return cosine(n, gold) * F.greatest(F.lit(0.0), gap)
+
+    return bound(median_normal(x), score)
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    s = total(e)
-    return F.transform(e, lambda v: v / s)
+    scaled = lambda e: bound(total(e), lambda s: F.transform(e, lambda v: v / s))
+    return bound(F.array_max(x), lambda top: bound(F.transform(x, lambda v: F.exp(v - top)), scaled))
 
 
 def js_divergence(x: Column, y: Column) -> Column:
     """Jensen-Shannon divergence of two logit vectors, natural log, not below 0."""
-    p, q = softmax(x), softmax(y)
     side = lambda a, b: total(F.zip_with(a, b, lambda u, v: F.when(u > 0, u * F.log(2 * u / (u + v))).otherwise(F.lit(0.0))))
-    return F.greatest(F.lit(0.0), 0.5 * side(p, q) + 0.5 * side(q, p))
+    return bound(softmax(x), lambda p: bound(softmax(y), lambda q: F.greatest(F.lit(0.0), 0.5 * side(p, q) + 0.5 * side(q, p))))
 
 
 def perplexity(logp: Column) -> Column:
@@ -91,11 +93,14 @@ def pcs(blind: Column, told: Column) -> Column:
 
 def without_top(blind: Column, told: Column) -> Column:
     """(kept positions, removed fraction): drops the largest positive gains, first position first among equals."""
-    g = gains(blind, told)
+    return bound(gains(blind, told), _without_top)
+
+
+def _without_top(g: Column) -> Column:
     ranked = F.transform(F.array_sort(F.transform(g, lambda v, i: F.struct((-v).alias("v"), i.alias("i")))), lambda s: F.struct((-s["v"]).alias("v"), s["i"].alias("i")))
     gone = F.transform(F.filter(F.slice(ranked, F.lit(1), top_count(F.size(g))), lambda s: s["v"] > 0), lambda s: s["i"])
-    kept = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: ~F.array_contains(gone, i))
-    return F.struct(kept.alias("kept"), (F.size(gone) / F.size(g)).alias("removed_fraction"))
+    kept = lambda gone: F.array_except(F.sequence(F.lit(0), F.size(g) - 1), gone)
+    return bound(gone, lambda x: F.struct(kept(x).alias("kept"), (F.size(x) / F.size(g)).alias("removed_fraction")))
 
 
 def gain(base: Column, reasoned: Column) -> Column:
@@ -105,3 +110,14 @@ def gain(base: Column, reasoned: Column) -> Column:
 
 def harmonic(a: Column, b: Column) -> Column:
     return 2 * a * b / F.greatest(a + b, F.lit(EPS))
+
+
+def linspace(top: Column, steps: int) -> Column:
+    """Ascending distinct thresholds from 0 to top; 0 alone where top is not positive."""
+    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: top * i / max(steps - 1, 1))
+    return F.when(top <= 0, F.array(F.lit(0.0))).otherwise(F.array_sort(F.array_distinct(grid)))
+
+
+def attention_mass(mass: Column, context: Column) -> Column:
+    """Sum of the mass at the 0-based positions of a context; 0 for none."""
+    return total(F.transform(context, lambda i: F.coalesce(F.try_element_at(mass, (i + 1).cast("int")), F.lit(0.0))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,96 @@ def shard(df: DataFrame, order: list[str], shards: int) -> DataFrame:
     """Contiguous shards of equal size, the last one shorter."""
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     return with_rank(df, order).join(F.broadcast(n)).withColumn("shard", F.floor((F.col("rn") - 1) / F.ceil(F.col("_n") / shards))).drop("_n", "rn")
+
+
+INSTRUCTION = "Explain step by step."
+
+
+def prepare(lines: DataFrame, *, line: str = "line", question: str = "question", answer: str = "ground_truth", limit: int | None = None, order: str = "idx") -> DataFrame:
+    """lines (order, JSON text) with status, reason and the prepared columns; invalid rows stay, as skipped with a reason.
+
+    A question is a string with a character that is not white space, an answer a string or number, 0 included. null,
+    booleans, arrays, objects and blank strings are refused, as are rows that are no JSON object. limit counts invalid rows too.
+    """
+    rows = lines.orderBy(order).limit(limit) if limit is not None else lines
+    value = F.try_parse_json(line)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    get = lambda path: F.try_variant_get(value, path, "string")
+    q, a = get(f"$.{question}"), get(f"$.{answer}")
+    blank = lambda c: F.regexp_replace(c, r"(?U:\s)", "") == ""
+    number = F.rlike(F.coalesce(kind(f"$.{answer}"), F.lit("")), F.lit("^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)"))
+    reason = (
+        F.when(~F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False)), "no object")
+        .when((F.coalesce(kind(f"$.{question}"), F.lit("")) != "STRING") | blank(q), "question")
+        .when(~number, "answer kind")
+        .when(blank(a), "answer empty")
+    )
+    rows = rows.withColumn("reason", reason)
+    ok, clean = F.col("reason").isNull(), F.concat(q, F.lit("\n\n" + INSTRUCTION))
+    context = F.concat(F.lit("Given the ground truth answer is "), a)
+    made = {"question": q, "ground_truth": a, "prompt_wo_answer": clean, "prompt_w_answer": F.concat(clean, F.lit(" "), context), "privileged_context": context}
+    return rows.select(*lines.columns, F.when(ok, "ready").otherwise("skipped").alias("status"), "reason", *(F.when(ok, c).alias(n) for n, c in made.items()))
+
+
+def strict(prepared: DataFrame, order: str = "idx") -> DataFrame:
+    """Prepared rows; the first skipped one raises when it is read."""
+    fault = F.raise_error(F.concat(F.lit("sample "), F.col(order).cast("string"), F.lit(": "), F.col("reason")))
+    return prepared.withColumn("status", F.when(F.col("status") == "skipped", fault).otherwise(F.col("status")))
+
+
+def ready(df: DataFrame) -> DataFrame:
+    """Rows that a live snapshot shows: success and skipped ones."""
+    return df.where(F.col("status").isin("success", "skipped"))
+
+
+def exports(records: DataFrame, require_eos: bool = True, ready_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(detail rows, training rows): all records, or those of a live snapshot, and the eligible ones among them."""
+    shown = ready(records) if ready_only else records
+    return shown, eligible(shown, require_eos)
+
+
+def write_exports(records: DataFrame, detail: str, training: str, order: str = "position", **options) -> dict[str, int]:
+    """Write both exports as JSON lines in input order, each into a new folder that takes the old one's place by the commit protocol; returns rows of each status and `sft`."""
+    shown, good = exports(records, **options)
+    shown.orderBy(order).write.mode("overwrite").json(detail)
+    good.orderBy(order).write.mode("overwrite").json(training)
+    return {**{s: 0 for s in ("success", "error", "pending", "skipped")}, **{r.status: r.n for r in shown.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}, "sft": good.count()}
+
+
+def fingerprint(config: dict, ignored: tuple = ("devices", "batch_size", "limit", "max_retries")) -> str:
+    """sha256 of the settings that change results, as canonical JSON."""
+    import hashlib
+    import json
+
+    kept = {k: v for k, v in config.items() if k not in ignored}
+    return hashlib.sha256(json.dumps(kept, ensure_ascii=False, sort_keys=True, allow_nan=False).encode()).hexdigest()
+
+
+def with_detector(rows: DataFrame, detectors: DataFrame, key: str) -> DataFrame:
+    """Rows with their detector; a key without one raises when it is read. Detectors are one row a model."""
+    found = rows.join(detectors.withColumn("_known", F.lit(True)), key, "left")
+    fault = F.raise_error(F.concat(F.lit("no detector for "), F.col(key).cast("string")))
+    return found.withColumn(key, F.when(F.col("_known").isNull(), fault).otherwise(F.col(key))).drop("_known")
+
+
+def map_layers(heads: DataFrame, blocks: DataFrame) -> DataFrame:
+    """heads (layer: ordinal of an attention block) with the block's own index; a head of no block raises. blocks: one row each."""
+    order = blocks.select(F.col("block"), (F.row_number().over(Window.orderBy("block")) - 1).alias("layer"))
+    found = heads.join(F.broadcast(order), "layer", "left")
+    return found.withColumn("block", F.coalesce("block", F.raise_error(F.lit("no attention block")).cast("int")))
+
+
+def agreement(one: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, equal) of rows in both."""
+    return one.join(other.select(key, F.col(value).alias("_other")), key).select(key, F.col(value).eqNullSafe(F.col("_other")).alias("equal"))
+
+
+def best_batch(runs: DataFrame, repeats: int) -> DataFrame:
+    """The batch size of the highest summed rate among those with all repeats; the smaller size of equals."""
+    rates = runs.groupBy("batch_size").agg(F.count(F.lit(1)).alias("n"), (F.sum("tokens") / F.sum("seconds")).alias("rate")).where(F.col("n") == repeats)
+    return rates.orderBy(F.desc("rate"), "batch_size").limit(1).select("batch_size", "rate")
+
+
+def ordered_slice(df: DataFrame, order: list[str], start: int, end: int) -> DataFrame:
+    """Rows start..end - 1 in an order that names each row."""
+    return df.orderBy(*order).limit(end).withColumn("_rn", F.row_number().over(Window.orderBy(*order))).where(F.col("_rn") > start).drop("_rn")

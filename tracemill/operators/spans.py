@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.vectors import bound
+
 
 def tokens(df: DataFrame, key: str, text: str, pattern: str = r"\S+") -> DataFrame:
     """(key, pos, start, end, token) of each match; offsets count code points."""
@@ -15,21 +17,63 @@ def tokens(df: DataFrame, key: str, text: str, pattern: str = r"\S+") -> DataFra
     return rows.select(key, "pos", (end - F.length("t.m")).alias("start"), end.alias("end"), F.col("t.m").alias("token"))
 
 
-def occurrences(docs: DataFrame, needles: DataFrame, *, key: str, text: str, needle_key: str, needle: str, words: int = 3) -> DataFrame:
-    """(key, needle_key, start, end): where a needle's text occurs, starting at a token.
-
-    Joins on a hash of the needle's first tokens, then compares the text: an equi-join, not all pairs.
+#: Needles of as many code points in all are searched in one pass over the texts; more take several passes.
+NEEDLE_CHARS = 8_000_000
+
+
+def _finder(needles: list, kind: str):
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        search = ahocorasick.Automaton()
+        for i, (needle, _) in enumerate(needles):
+            search.add_word(needle, i)
+        search.make_automaton()
+        for batch in batches:
+            rows, names, starts, ends = [], [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                free: dict = {}
+                for last, i in search.iter(text or ""):
+                    needle, keys = needles[i]
+                    start = last + 1 - len(needle)
+                    if start >= free.get(i, 0):  # the next occurrence of a needle begins behind the last one
+                        free[i] = last + 1
+                        for key in keys:
+                            rows.append(row)
+                            names.append(key)
+                            starts.append(start)
+                            ends.append(last + 1)
+            keys = pa.array(names, batch.schema.field("key").type if kind is None else kind)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), keys, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["key", "needle_key", "start", "end"])
+
+    return run
+
+
+def occurrences(docs: DataFrame, needles: DataFrame, *, key: str, text: str, needle_key: str, needle: str) -> DataFrame:
+    """(key, needle_key, start, end): every occurrence of a needle in a text, those of one needle without overlap from the left.
+
+    Offsets count code points. Null and empty needles and texts have none; needles of one text each have their own rows. The texts are scanned once for each NEEDLE_CHARS of
+    needles, whose automaton each task builds; only needles reach the driver, one pass at a time.
     """
-    toks = tokens(docs, key, text)
-    w = Window.partitionBy(key).orderBy("pos")
-    lead = [F.col("token"), *(F.lead("token", i).over(w) for i in range(1, words))]
-    grams = toks.select(key, "start", F.xxhash64(*lead).alias("gram"))
-    first = F.split(F.trim(needle), r"\s+")
-    heads = needles.where(F.size(first) > words).select(needle_key, F.col(needle).alias("_needle"), F.xxhash64(*(first[i] for i in range(words))).alias("gram"))
-    whole = docs.select(F.col(key), F.col(text).alias("_text"))
-    hits = grams.join(heads, "gram").join(whole, key)
-    end = F.col("start") + F.length("_needle")
-    return hits.where(F.substr("_text", F.col("start") + 1, F.length("_needle")) == F.col("_needle")).select(key, needle_key, "start", end.alias("end"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    found = needles.where(F.length(needle) > 0).select(F.col(needle).alias("needle"), F.col(needle_key).alias("name"))
+    size = found.agg(F.sum(F.length("needle"))).first()[0] or 0
+    passes, out = max(1, -(-size // NEEDLE_CHARS)), None
+    kinds = docs.schema[key].dataType.simpleString(), needles.schema[needle_key].dataType
+    rows = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    for i in range(passes):
+        own = found.where(F.pmod(F.xxhash64("needle"), F.lit(passes)) == i) if passes > 1 else found
+        held: dict = {}
+        for r in own.collect():
+            held.setdefault(r.needle, []).append(r.name)
+        if held:
+            part = rows.mapInArrow(_finder(list(held.items()), to_arrow_type(kinds[1])), f"key {kinds[0]}, needle_key {kinds[1].simpleString()}, start bigint, end bigint")
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], f"key {kinds[0]}, needle_key {kinds[1].simpleString()}, start bigint, end bigint")
+    return out.select(F.col("key").alias(key), F.col("needle_key").alias(needle_key), "start", "end")
 
 
 def overlapping(toks: DataFrame, spans: DataFrame, key: str) -> DataFrame:
@@ -93,3 +137,34 @@ def span_metrics(scores: DataFrame, thresholds: DataFrame, *, key: str = "sample
         F.sum(F.when(predicted, F.col("gold_tokens")).otherwise(0)).alias("correct_pred_tokens"),
     )
     return out.withColumn("precision", F.col("correct_pred_spans") / F.greatest("total_pred_spans", F.lit(1))).withColumn("recall", F.col("detected_gold_spans") / F.greatest("total_gold_spans", F.lit(1)))
+
+
+def sample_metrics(score: Column, gold: Column, threshold: Column) -> Column:
+    """Span metrics of one sample from its arrays of scores and gold flags (numbers); a score at or above the threshold is predicted.
+
+    No predicted spans give a precision of 0, no gold ones a recall of 0 and a full recall of 1.
+    """
+    flag = lambda x, i: F.coalesce(F.try_element_at(x, i), F.lit(0))
+    at = lambda x, f: F.filter(F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x))).otherwise(F.array().cast("array<int>")), f)
+    begins = lambda x: at(x, lambda i: (flag(x, i) == 1) & ((i == 1) | (flag(x, F.greatest(i - 1, F.lit(1))) == 0)))
+    ends = lambda x: at(x, lambda i: (flag(x, i) == 1) & (flag(x, i + 1) == 0))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
+
+    def metrics(x):
+        hit, g, golds, starts, stops = (x[c] for c in ("hit", "gold", "golds", "starts", "stops"))
+        found = F.size(F.filter(golds, lambda i: F.element_at(hit, i) == 1))
+        right = F.size(F.filter(F.arrays_zip(starts.alias("starts"), stops.alias("stops")), lambda s: F.exists(golds, lambda i: (s["starts"] <= i) & (i <= s["stops"]))))
+        n, m, both = F.size(golds), F.size(starts), total(F.zip_with(hit, g, lambda a, b: a * b))
+        return F.struct(
+            found.alias("detected_gold_spans"), (n - found).alias("missed_gold_spans"), n.alias("total_gold_spans"), right.alias("correct_pred_spans"), (m - right).alias("false_pred_spans"), m.alias("total_pred_spans"), both.alias("correct_pred_tokens"),
+            total(hit).alias("predicted_tokens"), (right / F.greatest(m, F.lit(1))).alias("precision"), (found / F.greatest(n, F.lit(1))).alias("recall"), (found == n).cast("double").alias("full_recall"),
+        )
+
+    parts = lambda x: F.struct(x["hit"].alias("hit"), x["gold"].alias("gold"), begins(x["gold"]).alias("golds"), begins(x["hit"]).alias("starts"), ends(x["hit"]).alias("stops"))
+    flags = F.struct(F.transform(score, lambda v: (v >= threshold).cast("int")).alias("hit"), F.transform(gold, lambda v: (v > 0).cast("int")).alias("gold"))
+    return bound(flags, lambda x: bound(parts(x), metrics))
+
+
+def first_after(toks: DataFrame, limits: DataFrame, key: str, limit: str, name: str = "first") -> DataFrame:
+    """(key, name): the first token of each key that ends behind its limit; null where none does."""
+    return limits.join(toks, key, "left").groupBy(key, limit).agg(F.min(F.when(F.col("end") > F.col(limit), F.col("pos"))).alias(name)).drop(limit)

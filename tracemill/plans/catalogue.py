@@ -585,3 +585,6 @@ def ev_explode(spark, sf):
 @query()
 def ev_masks(spark, sf):
     return decoded(spark, sf).where("status = 'success'").select("sample_id", repair.final_mask(F.col("events"), F.size("token_ids")).alias("mask"))
+
+
+from tracemill.plans import lifecycle  # noqa: E402, F401  registers its queries
