@@ -66,9 +66,10 @@ def softmax(x: Column) -> Column:
 
 
 def js_divergence(x: Column, y: Column) -> Column:
-    """Jensen-Shannon divergence of two logit vectors, natural log, not below 0."""
+    """Jensen-Shannon divergence of two logit vectors, natural log, not below 0; null for a null vector, 0 for empty ones."""
     side = lambda a, b: total(F.zip_with(a, b, lambda u, v: F.when(u > 0, u * F.log(2 * u / (u + v))).otherwise(F.lit(0.0))))
-    return bound(softmax(x), lambda p: bound(softmax(y), lambda q: F.greatest(F.lit(0.0), 0.5 * side(p, q) + 0.5 * side(q, p))))
+    both = bound(softmax(x), lambda p: bound(softmax(y), lambda q: F.greatest(F.lit(0.0), 0.5 * side(p, q) + 0.5 * side(q, p))))
+    return F.when(x.isNotNull() & y.isNotNull(), both)
 
 
 def perplexity(logp: Column) -> Column:
