@@ -209,7 +209,7 @@ def needed_rows(rows: DataFrame, rids: DataFrame, columns: tuple = ()) -> DataFr
     rids = stage(rids.distinct(), "rids")
     few = rids.count() <= BROADCAST_RIDS
     out = rows.join(F.broadcast(rids) if few else rids, "rid", "left_semi")
-    out = stage(out.select(*columns) if columns else out, "needed")
+    out = stage(out.selectExpr(*columns) if columns else out, "needed")
     unstage(rids)
     return out
 
@@ -279,8 +279,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = sketches.select("rid", F.col("row")[text_col].alias("text"))
     signed_texts = sketches.select("rid", "sig", F.col("row")[text_col].alias("text"))
     classes = stage(named.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("rep"), F.min("id").alias("class_id")), "classes")
-    reps = sketches.select("rid", "sig", "bands").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    reps = stage(reps.withColumnRenamed("rid", "rep"), "reps")
+    reps = needed_rows(sketches.select("rid", "sig", "bands"), classes.select(F.col("rep").alias("rid")), ("rid as rep", "sig", "bands"))
     keyed = reps.select(F.explode("bands").alias("key"), "rep")
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     member = stage(keyed.join(buckets.hint("shuffle_hash"), "key"), "members")
