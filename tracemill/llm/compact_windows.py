@@ -410,7 +410,9 @@ def _meet(table):
         for j in others[hope][np.argsort(-both[hope], kind="stable")].tolist():
             if met and find(int(comp[i])) == find(int(comp[j])):
                 continue
-            if passages(profile(i), profile(j), [int(place[j])])[0]:
+            a, b, d = profile(i), profile(j), int(place[i] - place[j])
+            first, final = max(0, d, int(place[i]) - ELEMENTS + 1), min(len(a.distinct), len(b.distinct) + d, int(place[i]) + 1)
+            if first < final and alike(a, b, d, first, final).any():
                 met = True
                 root[find(int(comp[i]))] = find(int(comp[j]))
                 out.add((int(own[i]), int(own[j]), int(c[j])) if own[i] < own[j] else (int(own[j]), int(own[i]), int(c[i])))
