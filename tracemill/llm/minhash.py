@@ -20,7 +20,9 @@ BANDS, ROWS = 40, 6
 SIMILARITY = 80
 #: Estimates this far below the threshold are ruled out: over five standard errors at 240 minima.
 SLACK = 14
+#: Members of a block of texts that ask, and those of the largest component; blocks of signatures (480 bytes each) hold SIGNATURES times as many.
 MINOR_BLOCK, MAJOR_BLOCK = 256, 512
+SIGNATURES = 8
 #: As many row ids at most (8 bytes each) are broadcast to find their texts, or verdicts (under 50 bytes each) to find their rows; more are joined by shuffle.
 BROADCAST_RIDS = 1_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -157,7 +159,7 @@ def _block_hopes(table):
         met = others[(100 * (theirs == sig[x]).sum(1) >= (SIMILARITY - SLACK) * sig.shape[1]) & (comp[others] != comp[x])]
         if len(met):
             hope[x] = hope[met] = True
-    return table.drop_columns("sig").select(["key", "i", "j", "role", "rep", "comp"]).filter(pa.array(hope))
+    return table.select(["key", "rep", "comp"]).filter(pa.array(hope))
 
 
 def _block_links(k):
@@ -262,6 +264,20 @@ def deal(dealt: DataFrame, by, minor) -> DataFrame:
     return dealt.withColumn("block", block).select("*", F.explode(places).alias("at")).select("*", "at.*").drop("at", "block", "majors", "minors")
 
 
+def _blocks(placed: DataFrame, times: int = 1) -> DataFrame:
+    """(key, i, j, role, rep, comp): members (key, rep, comp) of buckets of several components, in blocks.
+
+    The largest component of a bucket is not compared with itself: blocks of the others meet its blocks and each other. Bands often
+    gather the same members again: of buckets with equal sums of two hashes of their members one is compared.
+    """
+    prints = [F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(20,0)")).alias(f"print{i}") for i in (0, 1)]
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), *prints)
+    sizes = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("m"), *(F.sum(f"print{i}").alias(f"print{i}") for i in (0, 1))).where("most < m")
+    sizes = sizes.groupBy("m", "print0", "print1").agg(F.min_by(F.struct("key", "major", "most"), "key").alias("one")).select("one.*", "m")
+    counts = sizes.select("key", "major", F.ceil(F.col("most") / (times * MAJOR_BLOCK)).cast("int").alias("majors"), F.ceil((F.col("m") - F.col("most")) / (times * MINOR_BLOCK)).cast("int").alias("minors"))
+    return deal(placed.join(counts, "key"), F.xxhash64("rep"), F.col("comp") != F.col("major")).select("key", "i", "j", "role", "rep", "comp")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2) -> DataFrame:
     """Link documents with 100 * |A and B| >= 80 * |A or B| over sets of shingle-word shingles.
 
@@ -292,21 +308,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comp = connected_components(first)
 
     # A link that no star showed lies in a bucket whose members are in several components, the hub aside.
-    placed = member.where("n > 2 and rep <> hub").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    # The largest component of a bucket is not compared with itself: blocks of the others meet its blocks and each other.
-    prints = [F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(20,0)")).alias(f"print{i}") for i in (0, 1)]
-    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), *prints).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("m"), *(F.sum(f"print{i}").alias(f"print{i}") for i in (0, 1))).where("most < m")
-    # Bands often gather the same members again: of buckets with equal sums of two hashes of their members one is compared.
-    sizes = sizes.groupBy("m", "print0", "print1").agg(F.min_by(F.struct("key", "major", "most"), "key").alias("one")).select("one.*", "m")
-    dealt = placed.join(sizes.select("key", "major", F.ceil(F.col("most") / MAJOR_BLOCK).cast("int").alias("majors"), F.ceil((F.col("m") - F.col("most")) / MINOR_BLOCK).cast("int").alias("minors")), "key")
-    dealt = deal(dealt, F.xxhash64("rep"), F.col("comp") != F.col("major")).select("key", "i", "j", "role", "rep", "comp")
-    dealt = stage(dealt, "dealt")
-    # Signatures alone name the members of a block that may have a link; only their texts are moved.
-    blocked = dealt.join(reps.select("rep", "sig"), "rep").groupBy("key", "i", "j").applyInArrow(_block_hopes, "key bigint, i int, j int, role int, rep bigint, comp bigint")
-    hopes = stage(blocked, "hopes")
-    held = needed_rows(signed_texts, hopes.select(F.col("rep").alias("rid")))
-    second = stage(hopes.join(held.withColumnRenamed("rid", "rep"), "rep").groupBy("key", "i", "j").applyInArrow(_block_links(shingle), "l bigint, r bigint").distinct(), "links2")
-    unstage(dealt, hopes, held)
+    placed = member.where("n > 2 and rep <> hub").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    dealt = stage(_blocks(placed, SIGNATURES), "dealt")
+    # Signatures alone name the members of a bucket that may have a link; only their texts are moved.
+    signed = dealt.join(reps.select("rep", "sig"), "rep").groupBy("key", "i", "j")
+    hopes = stage(signed.applyInArrow(_block_hopes, "key bigint, rep bigint, comp bigint").distinct(), "hopes")
+    again = stage(_blocks(hopes), "again")
+    held = needed_rows(signed_texts, again.select(F.col("rep").alias("rid")))
+    second = stage(again.join(held.withColumnRenamed("rid", "rep"), "rep").groupBy("key", "i", "j").applyInArrow(_block_links(shingle), "l bigint, r bigint").distinct(), "links2")
+    unstage(dealt, hopes, again, held)
 
     shared = named.where("digest is not null and id is not null").join(classes, "digest").select("id", "rep").distinct()
     twice = shared.groupBy("id").agg(F.min("rep").alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
