@@ -23,7 +23,7 @@ SLACK = 14
 #: Members of a block of texts that ask, and those of the largest component; blocks of signatures (480 bytes each) hold SIGNATURES times as many.
 MINOR_BLOCK, MAJOR_BLOCK = 256, 512
 SIGNATURES = 8
-#: As many row ids at most (8 bytes each) are broadcast to find their texts, or verdicts (under 50 bytes each) to find their rows; more are joined by shuffle.
+#: As many row ids at most (8 bytes each) are broadcast to find their texts, or verdicts or places in blocks (under 50 bytes each) to find their rows; more are joined by shuffle.
 BROADCAST_RIDS = 1_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -311,7 +311,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = member.where("n > 2 and rep <> hub").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     dealt = stage(_blocks(placed, SIGNATURES), "dealt")
     # Signatures alone name the members of a bucket that may have a link; only their texts are moved.
-    signed = dealt.join(reps.select("rep", "sig"), "rep").groupBy("key", "i", "j")
+    few = dealt.count() <= BROADCAST_RIDS  # else the signatures of all documents would move
+    signed = reps.select("rep", "sig").join(F.broadcast(dealt) if few else dealt, "rep").groupBy("key", "i", "j")
     hopes = stage(signed.applyInArrow(_block_hopes, "key bigint, rep bigint, comp bigint").distinct(), "hopes")
     again = stage(_blocks(hopes), "again")
     held = needed_rows(signed_texts, again.select(F.col("rep").alias("rid")))
