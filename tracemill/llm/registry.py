@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compact_windows, decontam, fertility, langid, minhash, pii, quality_qda, token_counts, url_filter
+from . import bpe, bpe_merges, compact_windows, decontam, fertility, fim, importance, langid, minhash, pii, quality_qda, token_counts, url_filter
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -59,6 +59,19 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.digest_tokens(bpe.encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return fim.digest_forms(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_bpe(spark, sf_dir):
+    return bpe_merges.digest_tokens(bpe_merges.encode(table(spark, sf_dir, "documents"), decoded=True))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
