@@ -1,4 +1,7 @@
+import json
+import random
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
@@ -6,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import text, vectors
 from tracemill.operators import events, jobs, spans
+from tracemill.sources.versions import Store
 
 
 def one(spark, c, **values):
@@ -22,12 +26,24 @@ def test_occurrences_step_by_length_and_start_anywhere(spark):
     assert spans.occurrences(docs.limit(0), needles, key="d", text="t", needle_key="n", needle="t").count() == 0
 
 
-def test_several_passes_of_needles(spark, monkeypatch):
+def test_needles_meet_texts_by_inner_words_and_by_first_characters(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma")], "d int, t string")
     needles = spark.createDataFrame([(i, w) for i, w in enumerate("alpha beta gamma pha eta mm".split())], "n int, t string")
-    one_pass = {tuple(r) for r in spans.occurrences(docs, needles, key="d", text="t", needle_key="n", needle="t").collect()}
-    monkeypatch.setattr(spans, "NEEDLE_CHARS", 5)
-    assert {tuple(r) for r in spans.occurrences(docs, needles, key="d", text="t", needle_key="n", needle="t").collect()} == one_pass and len(one_pass) == 6
+    got = {tuple(r) for r in spans.occurrences(docs, needles, key="d", text="t", needle_key="n", needle="t").select("n", "start").collect()}
+    assert got == {(0, 0), (1, 6), (2, 11), (3, 2), (4, 7), (5, 13)}
+    r = random.Random(8)
+    words = ["a", "b", "é", "\\E.*", "\U0001f600", "the", "a\u00a0b", "\n"]
+    make = lambda n: "".join(r.choice(words) + r.choice(["", " ", "  ", "\t"]) for _ in range(n))
+    texts, wanted = [(i % 30, make(25)) for i in range(40)] + [(3, "the the")] * 2, [(i, make(r.randint(1, 5))) for i in range(60)]
+    expected = []
+    for d, t in texts:
+        for n, x in wanted:
+            at = t.find(x)
+            while at >= 0:
+                expected.append((d, n, at, at + len(x)))
+                at = t.find(x, at + len(x))
+    found = spans.occurrences(spark.createDataFrame(texts, "d int, t string"), spark.createDataFrame(wanted, "n int, t string"), key="d", text="t", needle_key="n", needle="t")
+    assert sorted(map(tuple, found.select("d", "n", "start", "end").collect())) == sorted(expected)
 
 
 def test_vector_functions_in_time_proportional_to_length(spark):
@@ -53,20 +69,42 @@ def test_validation_of_samples(spark):
     good = ['{"question": "q", "ground_truth": 0}', '{"question": "q", "ground_truth": 0.5}', '{"question": "q", "ground_truth": "42."}']
     bad = ['{"question": "q", "ground_truth": null}', '{"question": "q", "ground_truth": ""}', '{"question": "q", "ground_truth": []}', '{"question": "q", "ground_truth": {}}', '{"question": "q", "ground_truth": true}', '{"question": "q", "ground_truth": NaN}', '{"question": "q"}', '{"question": null, "ground_truth": 1}', '{"ground_truth": 1}', "[]", "null", "", "{", None]
     lines = spark.createDataFrame([*enumerate([*good, *bad])], "idx long, line string")
+    blank = sum(not x for x in bad)
     got = jobs.prepare(lines).orderBy("idx").collect()
-    assert [r.status for r in got] == ["ready"] * 3 + ["skipped"] * len(bad)
+    assert [r.status for r in got] == ["ready"] * 3 + ["skipped"] * (len(bad) - blank)
     assert [r.ground_truth for r in got[:3]] == ["0", "0.5", "42."] and all(r.reason and r.question is None for r in got[3:])
     assert [r.status for r in jobs.prepare(lines.where("idx >= 2"), limit=2).collect()] == ["ready", "skipped"]
-    with pytest.raises(PySparkException):
-        jobs.strict(jobs.prepare(lines)).collect()
+    for _ in range(5):
+        with pytest.raises(PySparkException, match="sample 3: answer kind"):
+            jobs.strict(jobs.prepare(lines.repartition(7))).collect()
+    with pytest.raises(PySparkException, match="Invalid JSON on line 8"):
+        jobs.prepare(lines.repartition(7), malformed="raise").collect()
+
+
+def test_samples_are_read_as_python_reads_them(spark):
+    line = '{"question": "q", "ground_truth": %s}'
+    given = [line % x for x in ("1.0", "-0.0", "1E-7", "1e999", "123456789012345678901234567890", '"\\u00e9"')] + [line % 1 + " tail", line % 1 + line % 2, '{"question": "q", "ground_truth": 1, "ground_truth": 2}', '"text"']
+    got = {r.idx: r for r in jobs.prepare(spark.createDataFrame([*enumerate(given)], "idx long, line string")).collect()}
+    assert [got[i].ground_truth for i in (0, 1, 2, 4, 5, 8)] == ["1.0", "-0.0", "1e-07", "123456789012345678901234567890", "é", "2"]
+    assert {i: got[i].reason for i in (3, 6, 7, 9)} == {3: "answer not finite", 6: "malformed", 7: "malformed", 9: "no object"}
+    assert got[0].prompt_wo_answer == "q\n\nExplain your solution step by step."
 
 
 def test_exports_in_input_order(spark, tmp_path):
     rows = [(3, "success", "eos"), (1, "success", "length"), (2, "skipped", None), (0, "error", None)]
     r = spark.createDataFrame(rows, "position int, status string, finish_reason string").repartition(3)
-    a, b = str(tmp_path / "a"), str(tmp_path / "b")
-    assert jobs.write_exports(r, a, b) == {"success": 2, "error": 1, "pending": 0, "skipped": 1, "sft": 1}
-    assert jobs.write_exports(r, a, b, ready_only=True)["error"] == 0 and [x.position for x in spark.read.json(a).orderBy("position").collect()] == [1, 2, 3]
+    store = Store(spark, str(tmp_path / "s"))
+    assert jobs.write_exports(r, store) == {"success": 2, "error": 1, "pending": 0, "skipped": 1, "sft": 1}
+    lines = "".join(p.read_text() for x in store.head().tables["detail"]["paths"] for p in sorted(Path(x).glob("part-*")))
+    assert [json.loads(x)["position"] for x in lines.splitlines()] == [0, 1, 2, 3]
+    assert jobs.write_exports(r, store, ready_only=True)["error"] == 0 and [x.position for x in store.read("detail").orderBy("position").collect()] == [1, 2, 3]
+    before = store.head()
+    fault = r.withColumn("status", F.when(F.col("position") == 2, F.raise_error(F.lit("interrupted"))).otherwise(F.col("status")))
+    with pytest.raises(PySparkException, match="interrupted"):
+        jobs.write_exports(fault, store)
+    assert store.head() == before and [x.position for x in store.read("training").collect()] == [3]
+    store.sweep()
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == sorted(["_log", *(Path(p).name for e in before.tables.values() for p in e["paths"])])
     config = {"model": "m", "temperature": 0.6}
     assert jobs.fingerprint(config) == jobs.fingerprint({**config, "devices": [0, 1]}) != jobs.fingerprint({**config, "temperature": 1})
 
@@ -82,6 +120,9 @@ def test_lookups_that_must_succeed(spark):
 def test_parsing_of_null_and_empty(spark):
     null = F.lit(None).cast("string")
     assert one(spark, text.parse_spans(null, F.lit("x"))["error"]) == "no_array" and one(spark, text.parse_spans(F.lit('["a]'), F.lit("a]"))["error"]) == "not_strings"
+    for raw in ('["a"] and ["b"]', '["a"] tail ]', '["a", null]', '{"a": 1} ]'):
+        assert one(spark, text.parse_spans(F.lit(raw), F.lit("a"))["error"]) == ("no_array" if "[" not in raw else "not_strings")
+    assert one(spark, text.parse_spans(F.lit('say ["x, null, y", "a", "a"]'), F.lit("a x, null, y"))["spans"]) == ["a", "x, null, y"]
     assert one(spark, text.parse_spans(F.lit('["a\\n"]'), F.lit("b a"))["spans"]) == ["a"]
     assert one(spark, text.trim_span(F.lit("  "), F.lit(0), F.lit(2))).asDict() == {"start": 2, "end": 2}
     assert one(spark, text.context_answer(null)) is None and one(spark, text.context_answer(F.lit("no marker"))) is None

@@ -1,4 +1,6 @@
 import json
+import random
+import re
 from pathlib import Path
 
 import pytest
@@ -7,7 +9,9 @@ from pyspark.sql import functions as F
 from tracemill.functions import text
 from tracemill.operators import jobs, repair, rules, spans
 from tracemill.sources import jsonl
+from tracemill.sources.versions import Store
 from tracemill.streaming import ingest
+from tracemill.streaming.keyed import KeyedTable
 
 
 def lines(spark, rows):
@@ -109,11 +113,42 @@ def test_repair_is_the_same_for_any_partitioning(spark):
 
 
 def test_rules(spark):
-    got = rules.learn(spark.createDataFrame([(0, "the answer is 42"), (1, "the answer is 7"), (2, "short"), (3, "the  answer is 42")], "seq long, span string")).collect()
+    got = rules.learn(spark.createDataFrame([(0, "the answer is 42"), (1, "the answer is 7"), (2, "short"), (3, "the  answer is 42"), (4, None)], "seq long, span string")).collect()
     best = got[0]
-    assert best.kind == "generalized" and best.support == 3 and list(best.examples) == ["the answer is 42", "the answer is 7"]
+    assert best.kind == "generalized" and best.support == 3 and list(best.examples) == ["the answer is 42", "the answer is 7"] and best.words == ["answer", "is", "the"]
+    assert [(r.kind, r.support) for r in got[1:]] == [("exact", 2), ("exact", 1)]
     found = rules.apply(spark.createDataFrame([(1, "so the answer is 9 ok")], "k long, t string"), spark.createDataFrame(got), key="k", text_col="t")
     assert [(r.start, r.end) for r in found.collect()] == [(3, 18)]
+    assert len(rules.learn(spark.createDataFrame([(0, "the answer is 42")], "seq long, span string"), exact_only=True).collect()) == 1
+
+
+def test_general_patterns_have_whole_words_and_bounded_values():
+    assert text.general_pattern("no value here") is None
+    p = text.general_pattern("so 5 it is")
+    assert re.search(p, "and so  77 it\nis.") and not re.search(p, "also 5 it is") and not re.search(p, "so 5 it isn")
+    assert not re.search(text.general_pattern("see \\boxed{1} now"), "see \\boxed{" + "x" * 81 + "} now")
+    assert text.needed_words("x5 is 12y or 3", values=True) == ["is", "or"] and text.needed_words("a b a", values=False) == ["a", "b"]
+
+
+def test_rules_equal_every_pattern_on_every_text(spark):
+    r = random.Random(4)
+    words = ["the", "answer", "is", "42", "7.5", "(so)", "don't", "é", "$x$", "**b**", "\\boxed{3}"]
+    make = lambda n: "".join(r.choice(words) + r.choice([" ", "  ", "\n", ", "]) for _ in range(n))
+    spans_ = spark.createDataFrame([(i, make(r.randint(1, 4))) for i in range(40)] + [(99, "...  ...")], "seq long, span string")
+    texts = [(i % 25, make(12)) for i in range(30)] + [(7, None), (8, "")]
+    learned = rules.learn(spans_, least_chars=1, least_words=0)
+    assert {True, False} == {bool(x.words) for x in learned.collect()}
+    want = set()
+    for k, t in texts:
+        for p in learned.collect():
+            for m in re.finditer(p.pattern, t or ""):
+                piece = m.group()
+                a, b = m.start() + len(piece) - len(piece.lstrip()), m.end() - len(piece) + len(piece.rstrip())
+                want |= {(k, a, b)} if a < b else set()
+    df = spark.createDataFrame(texts, "k long, t string")
+    assert {tuple(x) for x in rules.apply(df, learned, key="k", text_col="t").collect()} == want
+    assert {tuple(x) for x in rules.apply(df, learned.drop("words"), key="k", text_col="t").collect()} == want
+    assert rules.apply(df, learned.limit(0), key="k", text_col="t").count() == 0
 
 
 def test_stream_upserts_once_over_restarts(spark, tmp_path):
@@ -126,5 +161,5 @@ def test_stream_upserts_once_over_restarts(spark, tmp_path):
     put(1, [{"k": 1, "status": "success", "attempts": 2}])
     start()
     start()
-    rows = spark.read.parquet(str(tmp_path / "t/v1")).collect()
+    rows = KeyedTable(Store(spark, str(tmp_path / "t")), "rows", ["k"]).read().collect()
     assert {(r.k, r.status, r.attempts) for r in rows} == {(1, "success", 3), (2, "success", 1)}

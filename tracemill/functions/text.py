@@ -121,27 +121,47 @@ def prompt_pair(question: Column, answer: Column) -> tuple[Column, Column, Colum
     return plain, context, F.concat(plain, context)
 
 
-def exact_pattern(text: str) -> str:
-    """Java pattern of a phrase: whole words, any white space between them."""
-    return r"(?<!\w)" + r"\s+".join(re.escape(w) for w in text.split()) + r"(?!\w)"
+# What counts as a value in a phrase, and the pattern that a rule puts in its place.
+VALUE = r"(\\boxed\{[^{}]*\}|\$[^$\n]{1,120}\$|\*\*[^*\n]{1,80}\*\*|[-+]?\d[\d,./:%-]*)"
+OPEN_VALUE = r"(?:\\boxed\{[^{}]{1,80}\}|\$[^$\n]{1,120}\$|\*\*[^*\n]{1,80}\*\*|[-+]?\d[\d,./:%-]*)"
+
+
+def _whole(inner: str) -> str:
+    return rf"(?<!\w){inner}(?!\w)"
+
 
+def _literal(text: str) -> str:
+    return r"\s+".join(map(re.escape, text.split(" ")))
+
+
+def exact_pattern(text: str) -> str:
+    """Pattern (of Python's re) of a phrase in normal space: whole words, any white space between them."""
+    return _whole(_literal(text))
 
-# The classes of values that a rule leaves open.
-NUMBER, MATH, BOX, BOLD = r"[-+]?\d[\d,./:%-]*", r"\$[^$\n]{1,120}\$", r"\\boxed\{[^{}]*\}", r"\*\*[^*\n]{1,80}\*\*"
 
+def general_pattern(text: str) -> str | None:
+    """Pattern of a phrase with its values (numbers, math, boxes, bold) left open; None without a value."""
+    parts = re.split(VALUE, text)  # literals at even places, values between them
+    return _whole(OPEN_VALUE.join(map(_literal, parts[::2]))) if len(parts) > 1 else None
 
-def general_pattern(text: str) -> str:
-    """Java pattern of a phrase with its values (numbers, math, boxes, bold) left open."""
-    value = re.compile("|".join((BOX, MATH, BOLD, NUMBER)))
-    parts, at = [], 0
-    for m in value.finditer(text):
-        parts.append((text[at : m.start()], True))
-        at = m.end()
-    parts.append((text[at:], False))
-    spaced = lambda s: re.sub(r"(?:\\ |\s)+", lambda _: r"\s+", re.escape(s))
-    return "".join(spaced(s) + (f"(?:{BOX}|{MATH}|{BOLD}|{NUMBER})" if v else "") for s, v in parts)
 
+def needed_words(text: str, values: bool) -> list[str]:
+    """Words that a match of a phrase's pattern holds as whole words; with values, those of the general pattern.
 
+    A word that touches a value may go on in it and does not count.
+    """
+    if not values:
+        return sorted(set(re.findall(r"\w+", text)))
+    parts = re.split(VALUE, text)[::2]
+    out = set()
+    for i, part in enumerate(parts):
+        for m in re.finditer(r"\w+", part):
+            if not (i and m.start() == 0) and not (i < len(parts) - 1 and m.end() == len(part)):
+                out.add(m.group())
+    return sorted(out)
+
+
+# The marker of a context and the names of domains.
 CONTEXT_MARKER = "Given the ground truth answer is"
 DOMAINS = ("multihop-reasoning", "science", "logic", "math")
 
@@ -196,19 +216,36 @@ def by_position(spans: Column, response: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["s"])
 
 
+@F.pandas_udf(T.StructType().add("values", T.ArrayType(T.StringType())).add("error", T.StringType()))
+def json_strings(s: pd.Series) -> pd.DataFrame:
+    """Stripped strings of a JSON array that lies between the first opening and the last closing bracket; error is no_array or not_strings."""
+    import json
+
+    rows = []
+    for t in s:
+        a, b = (t.find("["), t.rfind("]")) if t is not None else (-1, -1)
+        if a < 0 or b < a:
+            rows.append((None, "no_array"))
+            continue
+        try:
+            values = json.loads(t[a : b + 1])
+        except (ValueError, RecursionError):
+            values = None
+        good = isinstance(values, list) and all(isinstance(v, str) for v in values)
+        rows.append(([v.strip() for v in values], None) if good else (None, "not_strings"))
+    return pd.DataFrame(rows, columns=["values", "error"])
+
+
 def parse_spans(judged: Column, response: Column) -> Column:
     """(spans, error) of a reply with a JSON array of strings copied from the response.
 
-    Spans are stripped, blank ones dropped, distinct and by first position. error is null, no_array, not_strings or not_copied,
-    and spans are null with an error. A null reply or response has no array.
+    Spans are stripped, blank ones dropped, distinct and by first position. error is null, no_array, not_strings (other elements, or text that is no
+    JSON between the outer brackets) or not_copied, and spans are null with an error. A null reply has no array, a null response no spans.
     """
-    raw = F.regexp_extract(judged, r"(?s)\[.*\]", 0)
-    value = F.try_parse_json(raw)
-    kind = F.schema_of_variant(value)
-    strings = F.coalesce(kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.regexp_extract(raw, r"[\[,]\s*null\s*[,\]]", 0) == ""), F.lit(False))
-    values = F.filter(F.transform(F.from_json(raw, T.ArrayType(T.StringType())), strip), lambda s: s != "")
+    read = json_strings(judged)
+    values = F.filter(read["values"], lambda s: s != "")
     copied = F.forall(values, lambda s: F.contains(response, s))
-    error = F.when(F.coalesce(raw, F.lit("")) == "", "no_array").when(~strings & (F.regexp_replace(raw, r"\s", "") != "[]"), "not_strings").when(~F.coalesce(copied, F.lit(False)), "not_copied")
+    error = F.coalesce(read["error"], F.when(~F.coalesce(copied, F.lit(False)), F.lit("not_copied")))
     return F.struct(F.when(error.isNull(), by_position(F.array_distinct(values), response)).alias("spans"), error.alias("error"))
 
 

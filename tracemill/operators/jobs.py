@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.sources import jsonl
+from tracemill.sources.versions import Store, workspace
+
 
 def sample_id(*parts: Column) -> Column:
     """sha256 of a JSON object of the parts, in the order given."""
@@ -43,10 +49,11 @@ def not_done(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """Latest values by order for each key; attempts add up."""
+    """Latest values by order for each key, of equal ones the greatest as JSON text; attempts add up. Null keys equal each other."""
     both = old.unionByName(new, allowMissingColumns=True)
     values = [c for c in both.columns if c not in (*keys, "attempts")]
-    out = both.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("v"), F.sum("attempts").alias("attempts"))
+    v = F.struct(*values)
+    out = both.groupBy(*keys).agg(F.max_by(v, F.struct(order, F.to_json(v))).alias("v"), F.sum("attempts").alias("attempts"))
     return out.select(*keys, "v.*", "attempts")
 
 
@@ -73,11 +80,22 @@ def split(df: DataFrame, key: str, share: float = 0.15, seed: int = 42) -> DataF
 
 
 def with_rank(df: DataFrame, order: list[str]) -> DataFrame:
-    """Global 1-based rank `rn` without one task for all rows: range partitions, counts, then ranks within each."""
+    """Global 1-based rank `rn` without one task for all rows: range partitions, counts, then ranks within each.
+
+    The sorted ranges are checkpointed, so that counts and rows come from the same ones. Rows that order leaves equal get ranks in any order.
+    """
     spark = df.sparkSession
+    workspace(spark, "rank")  # sets a checkpoint folder where there is none
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return dealt.rdd.zipWithIndex().map(lambda t: (*t[0], t[1] + 1)).toDF(dealt.schema.add("rn", "long"))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint()
+    place = F.monotonically_increasing_id()
+    numbered = dealt.withColumns({"_part": F.shiftright(place, 33).cast("int"), "rn": place.bitwiseAND(F.lit((1 << 33) - 1)) + 1})
+    starts, total = [], 0
+    for part, count in sorted(numbered.groupBy("_part").count().collect()):  # a row for each partition
+        starts.append((part, total))
+        total += count
+    starts = F.broadcast(spark.createDataFrame(starts, "_part int, _start long"))
+    return numbered.join(starts, "_part").withColumn("rn", F.col("rn") + F.col("_start")).drop("_part", "_start")
 
 
 def shard(df: DataFrame, order: list[str], shards: int) -> DataFrame:
@@ -86,39 +104,59 @@ def shard(df: DataFrame, order: list[str], shards: int) -> DataFrame:
     return with_rank(df, order).join(F.broadcast(n)).withColumn("shard", F.floor((F.col("rn") - 1) / F.ceil(F.col("_n") / shards))).drop("_n", "rn")
 
 
-INSTRUCTION = "Explain step by step."
+# Fixed value: what a prompt asks for.
+INSTRUCTION = "Explain your solution step by step."
+
+
+def _fields(question: str, answer: str):
+    def no_constant(name):
+        raise ValueError(name)
 
+    def read(line):
+        try:
+            row = json.loads(line, parse_constant=no_constant)
+        except (ValueError, RecursionError):
+            return "malformed", None, None
+        if not isinstance(row, dict):
+            return "no object", None, None
+        q, a = row.get(question), row.get(answer)
+        if not isinstance(q, str) or not q.strip():
+            return "question", None, None
+        if a is None or isinstance(a, (dict, list, bool)):
+            return "answer kind", None, None
+        if isinstance(a, float) and not math.isfinite(a):
+            return "answer not finite", None, None
+        return (None, q, str(a)) if str(a).strip() else ("answer empty", None, None)
 
-def prepare(lines: DataFrame, *, line: str = "line", question: str = "question", answer: str = "ground_truth", limit: int | None = None, order: str = "idx") -> DataFrame:
+    @F.pandas_udf("struct<reason:string,question:string,answer:string>")
+    def fields(lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read(x) for x in lines], columns=["reason", "question", "answer"])
+
+    return fields
+
+
+def prepare(lines: DataFrame, *, line: str = "line", question: str = "question", answer: str = "ground_truth", limit: int | None = None, order: str = "idx", instruction: str = INSTRUCTION, malformed: str = "skip") -> DataFrame:
     """lines (order, JSON text) with status, reason and the prepared columns; invalid rows stay, as skipped with a reason.
 
-    A question is a string with a character that is not white space, an answer a string or number, 0 included. null,
-    booleans, arrays, objects and blank strings are refused, as are rows that are no JSON object. limit counts invalid rows too.
+    A question is a string with a character that is not white space, an answer a string or a finite number, 0 included, written as Python writes it. null,
+    booleans, arrays, objects and blank strings are refused, as are rows that are no JSON object; of a repeated key the last value counts. Blank and null lines are no rows.
+    A line that is no JSON at all (text after the value, NaN and Infinity included) is skipped too, or with malformed="raise" the first one raises. limit counts invalid rows too.
     """
-    rows = lines.orderBy(order).limit(limit) if limit is not None else lines
-    value = F.try_parse_json(line)
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-    get = lambda path: F.try_variant_get(value, path, "string")
-    q, a = get(f"$.{question}"), get(f"$.{answer}")
-    blank = lambda c: F.regexp_replace(c, r"(?U:\s)", "") == ""
-    number = F.rlike(F.coalesce(kind(f"$.{answer}"), F.lit("")), F.lit("^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)"))
-    reason = (
-        F.when(~F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False)), "no object")
-        .when((F.coalesce(kind(f"$.{question}"), F.lit("")) != "STRING") | blank(q), "question")
-        .when(~number, "answer kind")
-        .when(blank(a), "answer empty")
-    )
-    rows = rows.withColumn("reason", reason)
-    ok, clean = F.col("reason").isNull(), F.concat(q, F.lit("\n\n" + INSTRUCTION))
-    context = F.concat(F.lit("Given the ground truth answer is "), a)
+    rows = lines.where(F.rlike(line, F.lit(r"(?U)\S")))
+    rows = rows.orderBy(order).limit(limit) if limit is not None else rows
+    rows = rows.withColumn("_f", _fields(question, answer)(line))
+    if malformed == "raise":
+        rows = jsonl.raise_first(rows, F.col("_f.reason") == "malformed", order, F.concat(F.lit("Invalid JSON on line "), F.col(order).cast("string")), "_f")
+    ok, q, a = F.col("_f.reason").isNull(), F.col("_f.question"), F.col("_f.answer")
+    clean, context = F.concat(q, F.lit("\n\n" + instruction)), F.concat(F.lit("Given the ground truth answer is "), a)
     made = {"question": q, "ground_truth": a, "prompt_wo_answer": clean, "prompt_w_answer": F.concat(clean, F.lit(" "), context), "privileged_context": context}
-    return rows.select(*lines.columns, F.when(ok, "ready").otherwise("skipped").alias("status"), "reason", *(F.when(ok, c).alias(n) for n, c in made.items()))
+    return rows.select(*lines.columns, F.when(ok, "ready").otherwise("skipped").alias("status"), F.col("_f.reason").alias("reason"), *(F.when(ok, c).alias(n) for n, c in made.items()))
 
 
 def strict(prepared: DataFrame, order: str = "idx") -> DataFrame:
     """Prepared rows; the first skipped one raises when it is read."""
-    fault = F.raise_error(F.concat(F.lit("sample "), F.col(order).cast("string"), F.lit(": "), F.col("reason")))
-    return prepared.withColumn("status", F.when(F.col("status") == "skipped", fault).otherwise(F.col("status")))
+    message = F.concat(F.lit("sample "), F.col(order).cast("string"), F.lit(": "), F.col("reason"))
+    return jsonl.raise_first(prepared, F.col("status") == "skipped", order, message, "status").select(*prepared.columns)
 
 
 def ready(df: DataFrame) -> DataFrame:
@@ -132,18 +170,27 @@ def exports(records: DataFrame, require_eos: bool = True, ready_only: bool = Fal
     return shown, eligible(shown, require_eos)
 
 
-def write_exports(records: DataFrame, detail: str, training: str, order: str = "position", **options) -> dict[str, int]:
-    """Write both exports as JSON lines in input order, each into a new folder that takes the old one's place by the commit protocol; returns rows of each status and `sft`."""
-    shown, good = exports(records, **options)
-    shown.orderBy(order).write.mode("overwrite").json(detail)
-    good.orderBy(order).write.mode("overwrite").json(training)
-    return {**{s: 0 for s in ("success", "error", "pending", "skipped")}, **{r.status: r.n for r in shown.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}, "sft": good.count()}
+def write_exports(records: DataFrame, store: Store, *, order: str = "position", **options) -> dict[str, int]:
+    """Commit tables detail and training, JSON lines in input order, as one version of a store; returns rows of each status and `sft`.
+
+    The records are computed once, into a table that both files and the counts are read from. A failed export leaves readers both old tables.
+    """
+    expect = store.head().version
+    shown, _ = exports(records, **options)
+    held = store.write(shown, "records")
+    try:
+        rows = store.spark.read.schema(shown.schema).parquet(*held["paths"])
+        good = eligible(rows, options.get("require_eos", True))
+        store.commit({"detail": rows, "training": good}, expect=expect, format="json", order_by=order)
+        counts = {r.status: r.n for r in rows.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return {**{s: 0 for s in ("success", "error", "pending", "skipped")}, **counts, "sft": good.count()}
+    finally:
+        store.files.delete(held["paths"][0])
 
 
 def fingerprint(config: dict, ignored: tuple = ("devices", "batch_size", "limit", "max_retries")) -> str:
     """sha256 of the settings that change results, as canonical JSON."""
     import hashlib
-    import json
 
     kept = {k: v for k, v in config.items() if k not in ignored}
     return hashlib.sha256(json.dumps(kept, ensure_ascii=False, sort_keys=True, allow_nan=False).encode()).hexdigest()
@@ -157,9 +204,9 @@ def with_detector(rows: DataFrame, detectors: DataFrame, key: str) -> DataFrame:
 
 
 def map_layers(heads: DataFrame, blocks: DataFrame) -> DataFrame:
-    """heads (layer: ordinal of an attention block) with the block's own index; a head of no block raises. blocks: one row each."""
+    """heads (layer: ordinal of an attention block) with the block's own index; a head of no block raises. blocks: one row for each layer of a model."""
     order = blocks.select(F.col("block"), (F.row_number().over(Window.orderBy("block")) - 1).alias("layer"))
-    found = heads.join(F.broadcast(order), "layer", "left")
+    found = heads.join(order, "layer", "left")
     return found.withColumn("block", F.coalesce("block", F.raise_error(F.lit("no attention block")).cast("int")))
 
 
@@ -175,5 +222,5 @@ def best_batch(runs: DataFrame, repeats: int) -> DataFrame:
 
 
 def ordered_slice(df: DataFrame, order: list[str], start: int, end: int) -> DataFrame:
-    """Rows start..end - 1 in an order that names each row."""
-    return df.orderBy(*order).limit(end).withColumn("_rn", F.row_number().over(Window.orderBy(*order))).where(F.col("_rn") > start).drop("_rn")
+    """Rows start..end - 1 in an order that names each row; fewer where the table ends."""
+    return df.orderBy(*order).offset(start).limit(max(end - start, 0))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracemill.functions.vectors import bound
+from tracemill.operators import literals
 
 
 def tokens(df: DataFrame, key: str, text: str, pattern: str = r"\S+") -> DataFrame:
@@ -17,63 +20,32 @@ def tokens(df: DataFrame, key: str, text: str, pattern: str = r"\S+") -> DataFra
     return rows.select(key, "pos", (end - F.length("t.m")).alias("start"), end.alias("end"), F.col("t.m").alias("token"))
 
 
-#: Needles of as many code points in all are searched in one pass over the texts; more take several passes.
-NEEDLE_CHARS = 8_000_000
-
-
-def _finder(needles: list, kind: str):
-    def run(batches):
-        import ahocorasick
-        import pyarrow as pa
-
-        search = ahocorasick.Automaton()
-        for i, (needle, _) in enumerate(needles):
-            search.add_word(needle, i)
-        search.make_automaton()
-        for batch in batches:
-            rows, names, starts, ends = [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                free: dict = {}
-                for last, i in search.iter(text or ""):
-                    needle, keys = needles[i]
-                    start = last + 1 - len(needle)
-                    if start >= free.get(i, 0):  # the next occurrence of a needle begins behind the last one
-                        free[i] = last + 1
-                        for key in keys:
-                            rows.append(row)
-                            names.append(key)
-                            starts.append(start)
-                            ends.append(last + 1)
-            keys = pa.array(names, batch.schema.field("key").type if kind is None else kind)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), keys, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["key", "needle_key", "start", "end"])
-
-    return run
-
-
 def occurrences(docs: DataFrame, needles: DataFrame, *, key: str, text: str, needle_key: str, needle: str) -> DataFrame:
     """(key, needle_key, start, end): every occurrence of a needle in a text, those of one needle without overlap from the left.
 
-    Offsets count code points. Null and empty needles and texts have none; needles of one text each have their own rows. The texts are scanned once for each NEEDLE_CHARS of
-    needles, whose automaton each task builds; only needles reach the driver, one pass at a time.
+    Offsets count code points. Null and empty needles and texts have none; needles of one text each have their own rows. Texts meet needles through an index of
+    words (or of first characters, for needles without a whole word inside); only texts that may hold one move.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    found = needles.where(F.length(needle) > 0).select(F.col(needle).alias("needle"), F.col(needle_key).alias("name"))
-    size = found.agg(F.sum(F.length("needle"))).first()[0] or 0
-    passes, out = max(1, -(-size // NEEDLE_CHARS)), None
-    kinds = docs.schema[key].dataType.simpleString(), needles.schema[needle_key].dataType
-    rows = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    for i in range(passes):
-        own = found.where(F.pmod(F.xxhash64("needle"), F.lit(passes)) == i) if passes > 1 else found
-        held: dict = {}
-        for r in own.collect():
-            held.setdefault(r.needle, []).append(r.name)
-        if held:
-            part = rows.mapInArrow(_finder(list(held.items()), to_arrow_type(kinds[1])), f"key {kinds[0]}, needle_key {kinds[1].simpleString()}, start bigint, end bigint")
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], f"key {kinds[0]}, needle_key {kinds[1].simpleString()}, start bigint, end bigint")
-    return out.select(F.col("key").alias(key), F.col("needle_key").alias(needle_key), "start", "end")
+    rows = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
+    found = needles.where(F.length(needle) > 0).select(F.col(needle).alias("needle"), F.col(needle_key).alias("name"), F.xxhash64(needle).alias("p"))
+    pairs = literals.candidates(rows.select("h", "text"), found.select("p", "needle").distinct())
+    both = rows.join(pairs, "h").join(found, "p").where(F.contains("text", F.col("needle")))
+    cut = both.select("key", "name", F.length("needle").cast("long").alias("n"), F.explode(_places("text", "needle")).alias("start"))
+    return cut.select(F.col("key").alias(key), F.col("name").alias(needle_key), "start", (F.col("start") + F.col("n")).alias("end"))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _places(texts: pd.Series, needles: pd.Series) -> pd.Series:
+    """Where each text holds its needle: the next place begins behind the last one."""
+
+    def of(text, needle):
+        out, at = [], text.find(needle)
+        while at >= 0:
+            out.append(at)
+            at = text.find(needle, at + len(needle))
+        return out
+
+    return pd.Series(map(of, texts, needles))
 
 
 def overlapping(toks: DataFrame, spans: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import text, vectors
 from tracemill.operators import detector, jobs, repair, spans
 from tracemill.sources import jsonl
+from tracemill.sources.versions import workspace
 from tracemill.streaming import ingest
 
 QUERIES, SQL = {}, {}
@@ -58,7 +59,10 @@ TOKENS_SQL = r"""toks AS (SELECT doc_id, pos, e - length(t) AS s, e FROM (
 
 
 def gold_tokens(spark, sf):
-    docs, g = load(spark, sf, "documents"), gold(spark, sf)
+    """Tokens of documents with gold, and the gold, which is written once as both need it."""
+    docs, path = load(spark, sf, "documents"), workspace(spark, "gold")
+    gold(spark, sf).write.parquet(path)
+    g = spark.read.parquet(path)
     toks = spans.tokens(docs.join(g.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text")
     return toks, g
 
@@ -577,14 +581,9 @@ def st_decode_fsm(spark, sf):
     return decoded(spark, sf).select("sample_id", "status", "finish_reason", F.size("token_ids").alias("n_tokens"), F.size("events").alias("n_repairs"))
 
 
-@query()
-def ev_explode(spark, sf):
-    return decoded(spark, sf).select("sample_id", F.posexplode("events").alias("n", "e")).select("sample_id", "n", "e.*")
-
-
 @query()
 def ev_masks(spark, sf):
     return decoded(spark, sf).where("status = 'success'").select("sample_id", repair.final_mask(F.col("events"), F.size("token_ids")).alias("mask"))
 
 
-from tracemill.plans import lifecycle  # noqa: E402, F401  registers its queries
+from tracemill.plans import lifecycle, storage  # noqa: E402, F401  register their queries

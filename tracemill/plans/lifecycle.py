@@ -219,7 +219,7 @@ def src_validate(spark, sf):
 @query(f"""WITH {RAW_SQL}, s AS (SELECT *, {STATE_SQL} AS reason FROM (SELECT * FROM raw ORDER BY idx LIMIT 500)) SELECT idx, json_extract_string(line, '$.ground_truth') AS ground_truth, 'Given the ground truth answer is ' || json_extract_string(line, '$.ground_truth') AS privileged_context,
 json_extract_string(line, '$.question') || chr(10) || chr(10) || 'Explain step by step. Given the ground truth answer is ' || json_extract_string(line, '$.ground_truth') AS prompt_w_answer FROM s WHERE reason IS NULL""")
 def prj_format_v3(spark, sf):
-    return jobs.prepare(raw_lines(spark, sf), limit=500).where("status = 'ready'").select("idx", "ground_truth", "privileged_context", "prompt_w_answer")
+    return jobs.prepare(raw_lines(spark, sf), limit=500, instruction="Explain step by step.").where("status = 'ready'").select("idx", "ground_truth", "privileged_context", "prompt_w_answer")
 
 
 RECORD_SQL = "records AS (SELECT l_orderkey * 10 + l_linenumber AS position, CASE l_returnflag WHEN 'R' THEN 'error' WHEN 'A' THEN 'success' ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'skipped' ELSE 'success' END END AS status, CASE l_linestatus WHEN 'F' THEN 'eos' ELSE 'length' END AS finish_reason FROM lineitem)"
