@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import give_back, partitions, slices, stage, unstage
+from .shared import give_back, hold, partitions, slices, stage, unstage
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A block ends at as many pre-tokens or distinct words.
@@ -191,6 +191,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     words = blocks.where("part = 0").select("block", "at", "word").repartition(n, "word").sortWithinPartitions("word")
     coded = stage(words.mapInArrow(_encode_words(path, pattern), "block bigint, at binary, sizes binary, ids binary"), "words")
     unstage(blocks, part="part=0")
+    hold(blocks, coded)
     none = F.lit(None).cast("binary")
     both = coded.select("block", F.lit(0).alias("part"), "at", "sizes", "ids", F.lit(None).cast(kind).alias("id"), none.alias("seq")).unionByName(blocks.where("part = 1").select("block", "part", none.alias("at"), none.alias("sizes"), none.alias("ids"), "id", "seq"))
     ordered = both.repartition(n, "block").sortWithinPartitions("block", "part")

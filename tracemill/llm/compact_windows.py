@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import connected_components, deal, needed_rows as _needed
-from .shared import Words, mix, slices, stage, unstage
+from .shared import Words, hold, mix, slices, stage, stage_by_task, unstage
 
 SHINGLE, LEAST, SIMILARITY = 5, 50, 80
 #: Bands of minima: a passage pair at similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS.
@@ -451,7 +451,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFram
 def _texts(needed: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, text) of the classes needed, staged: the text of one row of each."""
     wanted = classes.join(needed.distinct(), "class", "left_semi").select("rid")
-    return _needed(rows.select("rid", "class", "text"), wanted, columns=("class", "text"))
+    return _needed(rows.select("rid", "p", "class", "text"), rows, wanted, columns=("class", "text"))
 
 
 def _sides(links: DataFrame) -> DataFrame:
@@ -473,7 +473,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     0.97, equal ones always. Texts are told apart by 64-bit hashes.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stage(rows.mapInArrow(_rows, "rid bigint, id bigint, text string, n_words bigint, class bigint"), "rows")
+    rows = stage_by_task(rows.mapInArrow(_rows, "rid bigint, id bigint, text string, n_words bigint, class bigint"), "rows")
     classes = stage(rows.where("class is not null").groupBy("class").agg(F.min("rid").alias("rid"), F.min("id").alias("low_id"), F.max("n_words").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
     keyed = rows.select("class", "text").mapInArrow(_cells, "key bigint, class bigint, c int")
     # a key is met by several classes; the least of them is its hub
@@ -515,5 +515,6 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = placed.join(_sides(links), "class", "left").where("found is not null or copies > 1").select("class", "n", "copies", "found").mapInArrow(_merge, "class bigint, n_dup_words bigint, spans string")
     told = stage(placed.join(roots, "root").select("class", "component_id").join(found, "class", "left"), "told")
     unstage(first, second, comp, classes)
+    hold(rows, told)
     out = rows.select("id", "class", "n_words").join(told, "class", "left")
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_dup_words", F.lit(0)).alias("n_dup_words"), F.coalesce("spans", F.lit("")).alias("spans"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import give_back, partitions, slices, stage, unstage
+from .shared import give_back, hold, partitions, slices, stage, unstage
 
 PREFIX, SUFFIX, MIDDLE = MARKS = ("<P>", "<S>", "<M>")
 CHUNK_BYTES = 1 << 16
@@ -171,6 +171,8 @@ def _long(rows: DataFrame, unit: str, size: int, plain_from: int, spm_below: int
     laid = parts.select("key", "no", F.explode(pieces).alias("p")).where("p.piece is not null").select("key", "p.order", "no", "p.piece")
     texts = laid.repartition(n, "key").sortWithinPartitions("key", "order", "no").select("key", "piece").mapInArrow(_joined, "key bigint, output binary")
     cut = F.col("form") != "plain"
+    unstage(counted, plans)
+    hold(chunks, decided)
     return decided.join(texts, "key").select("id", "n", "form", F.when(cut, F.col("low")).alias("n_prefix"), F.when(cut, F.col("high") - F.col("low")).alias("n_middle"), "output")
 
 

@@ -15,7 +15,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import give_back, partitions, slices, stage, unstage
+from .shared import give_back, hold, partitions, slices, stage, unstage
 
 BUCKETS, LONGEST, CHUNK_BYTES = 10_000, 3, 1 << 16
 #: Words that a task keeps by number before it starts anew.
@@ -219,6 +219,7 @@ def ranked(scored: DataFrame, drawn: int) -> DataFrame:
     order = [F.col("score").desc(), F.col("id").asc_nulls_last(), "n_features", "weight"]
     spark = scored.sparkSession
     ranges = stage(scored.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id()), "ranges")
+    hold(ranges)
     before, total = [], 0
     for part, n in sorted(ranges.groupBy("part").count().collect()):  # a row for each partition
         before.append((part, total))
@@ -249,6 +250,7 @@ def resample(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text
     scored = stage(both.withColumn("score", F.col("weight") + noise(F.col("id"), seed)), "scored")
     chunks.release()
     unstage(parts)
+    hold(scored)
     able = F.col("n_words") >= least_words
     drawn = percent * scored.where(able).count() // 100
     out = ranked(scored.where(able), drawn).unionByName(scored.where(~able).withColumn("rank", F.lit(None).cast("long")))

@@ -6,7 +6,8 @@ pairs), signatures rule out most pairs, and full sets confirm the rest. Connecte
 alternating large-star and small-star. Only buckets whose members still lie in
 several components can hide a link that no star showed: these are compared in blocks of bounded
 size between components alone, by signature and then on full sets, and only true links leave a block.
-Each step ends in a table in the shared folder, so a lost executor repeats one step at most.
+Each step ends in a table in the shared folder, so a lost executor repeats one step at most. Rows are found again by the task
+that numbered them, so that only texts in a pair are ever shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix, slices, stage, unstage
+from .shared import hold, marked_rows, mix, slices, stage, stage_by_task, unstage
 
 BANDS, ROWS = 40, 6
 SIMILARITY = 80
@@ -23,8 +24,6 @@ SLACK = 14
 #: Members of a block of texts that ask, and those of the largest component; blocks of signatures (480 bytes each) hold SIGNATURES times as many.
 MINOR_BLOCK, MAJOR_BLOCK = 256, 512
 SIGNATURES = 8
-#: As many row ids at most (8 bytes each) are broadcast to find their texts, or verdicts or places in blocks (under 50 bytes each) to find their rows; more are joined by shuffle.
-BROADCAST_RIDS = 1_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -206,20 +205,16 @@ def _block_links(k):
     return run
 
 
-def needed_rows(rows: DataFrame, rids: DataFrame, columns: tuple = ()) -> DataFrame:
-    """The rows (or some columns) of a set of rids, staged; a set of proven size is broadcast."""
-    rids = stage(rids.distinct(), "rids")
-    few = rids.count() <= BROADCAST_RIDS
-    out = rows.join(F.broadcast(rids) if few else rids, "rid", "left_semi")
-    out = stage(out.selectExpr(*columns) if columns else out, "needed")
-    unstage(rids)
-    return out
+def needed_rows(rows: DataFrame, every: DataFrame, rids: DataFrame, columns: tuple = ()) -> DataFrame:
+    """The rows (or some columns) of a set of rids out of a table staged by task, staged; no other row moves. every: as in marked_rows()."""
+    out = marked_rows(rows, every, rids)
+    return stage(out.selectExpr(*columns) if columns else out.drop("p"), "needed")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """The pairs (l, r) whose full sets pass; only texts in a pair are moved."""
     pairs = stage(pairs, "pairs")
-    texts = needed_rows(texts, pairs.select(F.explode(F.array("l", "r")).alias("rid")))
+    texts = needed_rows(texts, texts, pairs.select(F.explode(F.array("l", "r")).alias("rid")))
     left, right = texts.select(F.col("rid").alias("l"), F.col("text").alias("ltext")), texts.select(F.col("rid").alias("r"), F.col("text").alias("rtext"))
     links = stage(pairs.join(left, "l").join(right, "r").select("l", "r", "ltext", "rtext").mapInArrow(_confirm(k), "l bigint, r bigint"), "links")
     unstage(pairs, texts)
@@ -278,30 +273,23 @@ def _blocks(placed: DataFrame, times: int = 1) -> DataFrame:
     return deal(placed.join(counts, "key"), F.xxhash64("rep"), F.col("comp") != F.col("major")).select("key", "i", "j", "role", "rep", "comp")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2) -> DataFrame:
-    """Link documents with 100 * |A and B| >= 80 * |A or B| over sets of shingle-word shingles.
-
-    Returns, for each input row: row (a struct of its columns, whatever their names), n_shingles,
-    component_id (the smallest id reachable by links, itself included), kept (id = component_id), class_id
-    (smallest id with an equal set) and first (true for one row of each component, of its smallest id). Null and wordless texts have an empty
-    set and link with nothing. A text of fewer words than a shingle is one shingle. Rows of
-    one id are linked. A row with a null id takes part; where a component has no id, component_id is
-    null and kept is true for all of it. Ids are integers.
-    """
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(sketches, told), both staged: told has rid, id, n_shingles, class_id, component_id, kept and first of each row of sketches."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"))
     made = f"rid bigint, row {rows.schema['row'].dataType.simpleString()}, n_shingles bigint, digest binary, sig binary, bands array<bigint>"
-    sketches = stage(rows.mapInArrow(_sketch(shingle, docs.columns.index(text_col)), made), "sketches")
+    sketches = stage_by_task(rows.mapInArrow(_sketch(shingle, docs.columns.index(text_col)), made), "sketches")
     named = sketches.select("rid", F.col("row")[id_col].cast("long").alias("id"), "n_shingles", "digest")
-    texts = sketches.select("rid", F.col("row")[text_col].alias("text"))
-    signed_texts = sketches.select("rid", "sig", F.col("row")[text_col].alias("text"))
+    texts = sketches.select("rid", "p", F.col("row")[text_col].alias("text"))
+    signed_texts = sketches.select("rid", "p", "sig", F.col("row")[text_col].alias("text"))
     classes = stage(named.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("rep"), F.min("id").alias("class_id")), "classes")
-    reps = needed_rows(sketches.select("rid", "sig", "bands"), classes.select(F.col("rep").alias("rid")), ("rid as rep", "sig", "bands"))
-    keyed = reps.select(F.explode("bands").alias("key"), "rep")
+    reps = stage_by_task(marked_rows(sketches.select("rid", "p", "sig", "bands"), sketches, classes.select(F.col("rep").alias("rid"))), "reps")
+    signatures = lambda rids: needed_rows(reps.select("rid", "p", "sig"), sketches, rids)
+    keyed = reps.select(F.explode("bands").alias("key"), F.col("rid").alias("rep"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     member = stage(keyed.join(buckets.hint("shuffle_hash"), "key"), "members")
 
     star = stage(member.where("rep <> hub").select(F.col("hub").alias("l"), F.col("rep").alias("r")).distinct(), "star")
-    sigs = needed_rows(reps.select(F.col("rep").alias("rid"), "sig"), star.select(F.explode(F.array("l", "r")).alias("rid")))
+    sigs = signatures(star.select(F.explode(F.array("l", "r")).alias("rid")))
     signed = star.join(sigs.toDF("l", "lsig"), "l").join(sigs.toDF("r", "rsig"), "r")
     first = _confirmed(signed.select("l", "r", "lsig", "rsig").mapInArrow(_alike, "l bigint, r bigint"), texts, shingle)
     unstage(star, sigs)
@@ -311,13 +299,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = member.where("n > 2 and rep <> hub").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     dealt = stage(_blocks(placed, SIGNATURES), "dealt")
     # Signatures alone name the members of a bucket that may have a link; only their texts are moved.
-    few = dealt.count() <= BROADCAST_RIDS  # else the signatures of all documents would move
-    signed = reps.select("rep", "sig").join(F.broadcast(dealt) if few else dealt, "rep").groupBy("key", "i", "j")
+    sigs = signatures(dealt.select(F.col("rep").alias("rid")))
+    signed = dealt.join(sigs.withColumnRenamed("rid", "rep"), "rep").groupBy("key", "i", "j")
     hopes = stage(signed.applyInArrow(_block_hopes, "key bigint, rep bigint, comp bigint").distinct(), "hopes")
+    unstage(dealt, sigs)
     again = stage(_blocks(hopes), "again")
-    held = needed_rows(signed_texts, again.select(F.col("rep").alias("rid")))
+    held = needed_rows(signed_texts, sketches, again.select(F.col("rep").alias("rid")))
     second = stage(again.join(held.withColumnRenamed("rid", "rep"), "rep").groupBy("key", "i", "j").applyInArrow(_block_links(shingle), "l bigint, r bigint").distinct(), "links2")
-    unstage(dealt, hopes, again, held)
+    unstage(hopes, again, held, member, reps, comp)
 
     shared = named.where("digest is not null and id is not null").join(classes, "digest").select("id", "rep").distinct()
     twice = shared.groupBy("id").agg(F.min("rep").alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -325,12 +314,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comp = connected_components(links)
 
     placed = named.join(classes, "digest", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep", "rid"))
-    placed = stage(placed.select("rid", "id", "class_id", "root"), "placed")
+    placed = stage(placed.select("rid", "id", "n_shingles", "class_id", "root"), "placed")
     lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
     roots = placed.groupBy("root").agg(lead.alias("lead")).select("root", F.col("lead.id").alias("component_id"), F.col("lead.rid").alias("leader"))
-    unstage(member, first, second, classes, reps, comp)
-    told = placed.join(roots, "root").select("rid", F.coalesce("class_id", "id").alias("class_id"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), (F.col("rid") == F.col("leader")).alias("first"))
+    told = placed.join(roots, "root").select("rid", "id", "n_shingles", F.coalesce("class_id", "id").alias("class_id"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), (F.col("rid") == F.col("leader")).alias("first"))
     told = stage(told, "told")
-    unstage(placed)
-    few = told.count() <= BROADCAST_RIDS
-    return sketches.select("rid", "row", "n_shingles").join(F.broadcast(told) if few else told, "rid").drop("rid")
+    unstage(first, second, classes, comp, placed)
+    return sketches, told
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2) -> DataFrame:
+    """Link documents with 100 * |A and B| >= 80 * |A or B| over sets of shingle-word shingles.
+
+    Returns, for each input row: row (a struct of its columns, whatever their names), n_shingles,
+    component_id (the smallest id reachable by links, itself included), kept (id = component_id), class_id
+    (smallest id with an equal set) and first (true for one row of each component, of its smallest id). Null and wordless texts have an empty
+    set and link with nothing. A text of fewer words than a shingle is one shingle. Rows of
+    one id are linked. A row with a null id takes part; where a component has no id, component_id is
+    null and kept is true for all of it. Ids are integers. The result reads tables that release() deletes.
+    """
+    sketches, told = _groups(docs, id_col, text_col, shingle)
+    hold(sketches, told)
+    return marked_rows(sketches.select("rid", "p", "row", "n_shingles"), told, told, "class_id", "component_id", "kept", "first").drop("rid", "p")
+
+
+def duplicate_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2) -> DataFrame:
+    """As near_duplicates(), with the id alone in place of the row: no text is read again."""
+    sketches, told = _groups(docs, id_col, text_col, shingle)
+    unstage(sketches)
+    hold(told)
+    return told.select(F.col("id").alias(id_col), "n_shingles", "class_id", "component_id", "kept", "first")
+
+
+def unique_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2) -> DataFrame:
+    """The rows of docs of which first is true in near_duplicates()."""
+    sketches, told = _groups(docs, id_col, text_col, shingle)
+    hold(sketches, told)
+    return marked_rows(sketches.select("rid", "p", "row"), told, told.where("first").select("rid")).select("row.*")

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import hold, stage
 
 #: Kind, what a text must hold, pattern. The first four are the base kinds, in their order.
 KINDS = [
@@ -170,6 +170,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     row = F.struct("*") if keep_rows else F.struct(id_col)
     found = stage(candidates(docs.select(row.alias("row"), F.col(text_col).alias("text")), F.col("text")).select("row", "spans"), "pii")
+    hold(found)
     return found.select("row", F.expr(classified(train(found), threshold)).alias("spans"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, bpe_merges, compact_windows, decontam, fertility, fim, importance, langid, minhash, pii, quality_qda, token_counts, url_filter
 
@@ -21,7 +20,7 @@ def op1_url_filter(spark, sf_dir):
 
 def op2_near_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return minhash.near_duplicates(docs, shingle=2).select(F.col("row.doc_id").alias("doc_id"), "n_shingles", "component_id", "kept", "class_id")
+    return minhash.duplicate_ids(docs, shingle=2).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
 def op3_quality_classifier(spark, sf_dir):

@@ -7,12 +7,15 @@ import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Removes a query's shuffle files when it ends; a staged table needs them no more.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Holds while a table is staged: rows of an Arrow batch, as a batch of 10,000 whole texts is held several times over.
 STAGING = {CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: Rows of a task go to one bucket: its writer takes them as they come, without a sort.
+BUCKETED = {**STAGING, "spark.sql.maxConcurrentOutputFileWriters": "4"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +51,61 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+#: A row's number is that of the task that read it, shifted by as many bits, and its place in that task.
+PLACE_BITS = 33
+
+
+def stage_by_task(df: DataFrame, name: str) -> DataFrame:
+    """Stage df (rid: monotonically_increasing_id, and other columns) in buckets of p, the task that numbered a row.
+
+    A task writes one file, so nothing is shuffled; what is joined by p afterwards finds these rows without moving them.
+    """
+    spark = df.sparkSession
+    path, table = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", f"staged_{uuid.uuid4().hex}"
+    held = {k: spark.conf.get(k, None) for k in BUCKETED}
+    for k, v in BUCKETED.items():
+        spark.conf.set(k, v)
+    try:
+        if "p" not in df.columns:
+            df = df.withColumn("p", F.shiftright("rid", PLACE_BITS))
+        df.write.option("compression", "zstd").option("path", path).bucketBy(partitions(spark), "p").saveAsTable(table)
+        out = spark.table(table)
+        spark.sql(f"DROP TABLE {table}")  # the files stay
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out._staged_path = path
+    return out
+
+
+def marked_rows(rows: DataFrame, every: DataFrame, marks: DataFrame, *columns: str) -> DataFrame:
+    """Rows (rid, p) that have a mark (rid, columns), with its columns. Rows stay in their buckets: the marks of a task's rows come to them as one array by place.
+
+    every: (rid) of all rows that were numbered, so that places have no gaps. An array is as long as its task had rows. Of a rid's marks one counts; they should be equal.
+    """
+    wide = marks.select("rid", F.struct(*columns, F.lit(True).alias("there")).alias("mark")).dropDuplicates(["rid"])
+    place = F.col("rid").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    placed = every.select("rid").join(wide, "rid", "left").select(F.shiftright("rid", PLACE_BITS).alias("p"), F.struct(place.alias("place"), "mark").alias("m"))
+    arrays = placed.groupBy("p").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["mark"]).alias("marks"))
+    found = rows.join(arrays.hint("shuffle_hash"), "p").withColumn("mark", F.get("marks", place.cast("int"))).where("mark.there")
+    return found.select(*rows.columns, *(f"mark.{c}" for c in columns))
+
+
+#: Staged tables that a frame handed out still reads.
+_HELD: list[DataFrame] = []
+
+
+def hold(*frames: DataFrame) -> None:
+    """Keep staged tables until release(), as a result that is not computed yet reads them."""
+    _HELD.extend(frames)
+
+
+def release() -> None:
+    """Delete the tables held for results handed out so far, all of which must have been written by now."""
+    unstage(*_HELD)
+    _HELD.clear()
+
+
 def unstage(*frames: DataFrame, part: str = "") -> None:
     """Delete staged tables, or one folder of them, that nothing reads any more."""
     for df in frames:
