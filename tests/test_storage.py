@@ -7,7 +7,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tracemill.operators import events, jobs, runs, sampling
+from tracemill.functions import text
+from tracemill.operators import events, jobs, runs, sampling, traces
 from tracemill.sources import documents, jsonl, reports
 from tracemill.sources.versions import Conflict, Files, Store
 from tracemill.streaming.keyed import KeyedTable
@@ -299,3 +300,88 @@ def test_runs_of_empty_and_null(spark):
     got = {(r.level, r.m): (r.n, r.mean, r.q50) for r in runs.across(df, [("m",), ()], F.col("v")).collect()}
     assert got == {(0, "a"): (1, 0.25, 0.25), (0, None): (1, 0.75, 0.75), (1, None): (2, 0.5, 0.5)}
     assert runs.across(df.limit(0), [("m",)], F.col("v")).count() == 0
+
+
+# ---- runs and traces
+
+
+def test_a_run_is_bound_to_its_settings_and_inputs(spark, tmp_path):
+    store, rows = Store(spark, str(tmp_path / "s")), spark.range(5).withColumn("v", F.lit(None).cast("string"))
+    config = {"model": "m", "temperature": 0.6, "devices": [0]}
+    with pytest.raises(ValueError):
+        jobs.open_run(store, config, rows, resume=True)
+    mark = jobs.open_run(store, config, rows)
+    with pytest.raises(FileExistsError):
+        jobs.open_run(store, config, rows)
+    assert jobs.open_run(store, {**config, "devices": [1, 2]}, rows.repartition(3), resume=True) == mark
+    for other, data in (({**config, "temperature": 1}, rows), (config, rows.limit(4)), (config, rows.union(rows.limit(1)))):
+        with pytest.raises(ValueError, match="differ"):
+            jobs.open_run(store, other, data, resume=True)
+    store.commit({"t": rows})
+    store.sweep()
+    assert jobs.open_run(store, config, rows, resume=True) == mark
+    assert jobs.table_digest(rows.limit(0)) == "0:0:0"
+
+
+def test_shared_jobs_fan_back(spark):
+    rows = spark.createDataFrame([("a", 2), ("b", 1), ("a", 0), (None, 3)], "sample_id string, position int")
+    shared = jobs.shared_jobs(rows)
+    assert sorted(map(tuple, shared.collect()), key=str) == [("a", 0), ("b", 1), (None, 3)]
+    back = jobs.fan_back(rows, shared.where("sample_id = 'a'").withColumn("status", F.lit("ok")))
+    assert sorted((r.position, r.status) for r in back.collect() if r.status) == [(0, "ok"), (2, "ok")] and back.count() == 4
+
+
+def test_filters_of_null_and_empty(spark):
+    rows = spark.createDataFrame([(1, []), (2, None), (3, ["x"])], "k int, s array<string>")
+    ks = lambda df: sorted(r.k for r in df.collect())
+    assert ks(traces.with_spans(rows, "s")) == [3] and ks(traces.with_spans(rows, "s", keep_missing=True)) == [2, 3]
+    assert ks(traces.fit_for_training(rows, F.col("k"), 2, F.col("s").isNotNull())) == [1]
+    assert one(spark, traces.leaks(F.lit(0.5), 0.5)) and not one(spark, traces.leaks(F.lit(0.5), 0.5, strict=True))
+    assert one(spark, traces.backtrack_start(F.lit(1), 9)) == 0 and one(spark, traces.backtrack_start(F.lit(9), 4)) == 8
+    got = traces.for_each_model(rows.select("k"), spark.range(2).withColumnRenamed("id", "m"))
+    assert got.count() == 6
+    with pytest.raises(ValueError):
+        traces.for_each_model(rows, spark.range(5), most=4)
+    empty = F.create_map().cast("map<string,string>")
+    assert one(spark, traces.merged(F.lit(None).cast("map<string,string>"), F.create_map(F.lit("a"), F.lit("b")))) == {"a": "b"} and one(spark, traces.merged(empty, empty)) == {}
+
+
+def test_batches_and_heads(spark):
+    got = {r.id: r.batch for r in traces.batches(spark.range(10).repartition(3), ["id"], 4).collect()}
+    assert got == {i: i // 4 for i in range(10)}
+    assert traces.batches(spark.range(0), ["id"], 4).count() == 0
+    mass = spark.createDataFrame([(0, 0, 1.0), (1, 2, 2.0)], "layer int, head int, mass double")
+    assert traces.known_heads(mass, spark.createDataFrame([(1, 2)], "layer int, head int")).count() == 1
+    with pytest.raises(PySparkException, match="no head 3 in layer 0"):
+        traces.known_heads(mass, spark.createDataFrame([(0, 3)], "layer int, head int")).collect()
+    with pytest.raises(PySparkException, match="the grid is empty"):
+        one(spark, text.int_grid(F.lit("0,-1,")))
+
+
+def test_figures_of_nothing(spark):
+    rows = spark.createDataFrame([("a", 1.0, True), ("a", 3.0, None), ("b", None, True)], "k string, s double, leak boolean")
+    (r,) = traces.shape_summary(rows, ["k"], "s", F.col("leak")).collect()
+    assert (r.mean_score, r.median_score, r.leakage_samples, r.mean_leakage, r.mean_non_leakage) == (2.0, 1.0, 1, 1.0, 3.0)
+    scores = spark.createDataFrame([(1, 0, 0.9, 1), (1, 1, 0.1, 1), (1, 2, 0.0, 0), (1, 3, 0.4, 1), (2, 0, 0.0, 0)], "sample_id int, pos int, score double, gold int")
+    got = {x.threshold: x.full_hits for x in traces.full_recall(scores, spark.createDataFrame([(0.4,), (0.5,)], "threshold double")).collect()}
+    assert got == {0.4: 2, 0.5: 1}
+    none = F.array().cast("array<double>")
+    assert one(spark, traces.answer_gains(none, none, F.lit(None).cast("array<double>"))).asDict() == {"galg": None, "lf_galg": None}
+    assert one(spark, traces.filtered_text(F.array(F.lit("a")), none, none)) is None
+    assert traces.rates(spark.range(2), [F.lit(1).alias("k")], F.lit(4), F.lit(0)).first().tokens_per_second is None
+
+
+def test_think_variants_of_null_and_blank(spark):
+    null = F.lit(None).cast("string")
+    assert one(spark, text.split_reasoning(null)).asDict() == {"content": None, "reasoning": None}
+    assert one(spark, text.split_reasoning(F.lit("<think> </think> x <think>y</think>"))).asDict() == {"content": "x <think>y</think>", "reasoning": None}
+    assert one(spark, text.think_and_answer(F.lit(" a<think> b </think> c "))).asDict() == {"reasoning": "b", "answer": "c"}
+    assert one(spark, text.split_closing(null, F.lit(" r "))).asDict() == {"content": "", "reasoning": "r"}
+    assert one(spark, text.split_closing(F.lit("<think>r</think> c</think>"), F.lit(""))).asDict() == {"content": "c</think>", "reasoning": "r"}
+    assert one(spark, text.reasoning_of(F.lit("<think>a<think>b</think>c"), null)) == "b"
+
+
+def test_notes_of_overlapping_spans(spark):
+    rows = [(1, 0, 4, "a"), (1, 3, 6, None), (1, 6, 8, "b"), (1, 5, 5, "no"), (1, 7, 9, "c")]
+    got = traces.merge_notes(spark.createDataFrame(rows, "k int, start int, end int, note string"), "k").orderBy("start").collect()
+    assert [(r.start, r.end, list(r.notes)) for r in got] == [(0, 6, ["a"]), (6, 9, ["b", "c"])]

@@ -77,6 +77,36 @@ def without_think(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
 
 
+def split_reasoning(c: Column) -> Column:
+    """(content, reasoning): the first think block, null if absent or blank, and the text around it, both stripped."""
+    found = think(c)
+    around = strip(F.regexp_replace(c, r"(?s)^(.*?)<think>.*?</think>", "$1"))
+    return F.struct(F.when(found.isNull(), strip(c)).otherwise(around).alias("content"), F.when(found != "", found).alias("reasoning"))
+
+
+def think_and_answer(c: Column) -> Column:
+    """(reasoning, answer): the first think block and what follows it, stripped; without a block an empty one and the whole text."""
+    found = think(c)
+    rest = F.regexp_extract(c, r"(?s)<think>.*?</think>(.*)$", 1)
+    return F.struct(F.coalesce(found, F.when(c.isNotNull(), F.lit(""))).alias("reasoning"), strip(F.when(found.isNull(), c).otherwise(rest)).alias("answer"))
+
+
+def split_closing(content: Column, reasoning: Column) -> Column:
+    """(content, reasoning) of a reply whose reasoning, if none came apart, ends at a closing tag alone; a blank reasoning is null."""
+    text, own = F.coalesce(content, F.lit("")), F.when(reasoning != "", reasoning)
+    at = F.locate("</think>", text)
+    cut = own.isNull() & (at > 0)
+    before = F.replace(F.substring(text, F.lit(1), at - 1), F.lit("<think>"), F.lit(""))
+    found = strip(F.when(cut, before).otherwise(own))
+    return F.struct(F.when(cut, strip(F.substr(text, at + 8))).otherwise(text).alias("content"), F.when(found != "", found).alias("reasoning"))
+
+
+def reasoning_of(content: Column, reasoning: Column) -> Column:
+    """A message's own reasoning, else its content up to the closing tag, from behind the last opening tag if it begins with one."""
+    head = F.substring_index(content, "</think>", 1)
+    return F.coalesce(F.when(reasoning != "", reasoning), F.when(F.startswith(head, F.lit("<think>")), F.substring_index(head, "<think>", -1)).otherwise(head))
+
+
 def join_think(reasoning: Column, content: Column) -> Column:
     return F.concat(F.lit("<think>\n"), reasoning, F.lit("\n</think>\n"), content)
 
@@ -114,6 +144,17 @@ def model_key(c: Column) -> Column:
     return F.concat(F.lower(F.substring(name, 1, 1)), F.substr(name, F.lit(2)))
 
 
+def context_prompt(question: Column, answer: Column) -> tuple[Column, Column]:
+    """(prompt with the boxed answer, the context alone) of a calibration sample."""
+    told = F.concat(F.lit("Given the ground truth answer is $\\boxed{"), answer, F.lit("}$."))
+    return F.concat(question, F.lit(" \n"), told), F.concat(F.lit("\n"), told)
+
+
+def distinct_spans(spans: Column) -> Column:
+    """Different non-blank spans, stripped, in the order of their first occurrence."""
+    return F.array_distinct(F.filter(F.transform(spans, strip), lambda s: s != ""))
+
+
 def prompt_pair(question: Column, answer: Column) -> tuple[Column, Column, Column]:
     """(prompt without the answer, context with it, prompt with it)."""
     context = F.concat(F.lit("\nThe answer is $"), answer, F.lit("$."))
@@ -270,9 +311,10 @@ def common_length(left: Column, right: Column, from_end: bool = False) -> Column
 
 
 def int_grid(c: Column, most: int | None = None) -> Column:
-    """Ascending distinct positive integers of a comma-joined list, clamped to most."""
+    """Ascending distinct positive integers of a comma-joined list, clamped to most; a list without one raises."""
     values = F.filter(F.transform(F.filter(F.split(c, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("int")), lambda v: v > 0)
-    return F.array_sort(F.array_distinct(F.transform(values, lambda v: F.least(v, F.lit(most))) if most else values))
+    grid = F.array_sort(F.array_distinct(F.transform(values, lambda v: F.least(v, F.lit(most))) if most else values))
+    return F.when(F.size(values) == 0, F.raise_error(F.lit("the grid is empty")).cast("array<int>")).otherwise(grid)
 
 
 @F.pandas_udf(T.StringType())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.sources import jsonl
-from tracemill.sources.versions import Store, workspace
+from tracemill.sources.versions import Conflict, Store, workspace
 
 
 def sample_id(*parts: Column) -> Column:
@@ -25,6 +25,11 @@ def seed_of(digest: Column, seed: int = 0) -> Column:
     return ((head + F.lit(seed)) % F.lit(2**63 - 1).cast("decimal(20,0)")).cast("long")
 
 
+def seed_of_index(index: Column, seed: int = 0) -> Column:
+    """(seed + index) modulo 2**63."""
+    return F.pmod(F.lit(seed).cast("decimal(20,0)") + index, F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
+
+
 def fan_out(df: DataFrame, traces: int, index: str = "source_index") -> DataFrame:
     """Each row once for each trace, with trace_index and position."""
     out = df.withColumn("trace_index", F.explode(F.sequence(F.lit(0), F.lit(traces - 1))))
@@ -196,6 +201,42 @@ def fingerprint(config: dict, ignored: tuple = ("devices", "batch_size", "limit"
     return hashlib.sha256(json.dumps(kept, ensure_ascii=False, sort_keys=True, allow_nan=False).encode()).hexdigest()
 
 
+def table_digest(rows: DataFrame) -> str:
+    """A digest of the rows of a table as a multiset, whatever their order and partitioning."""
+    line = F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(rows.columns))), {"ignoreNullFields": "false"})
+    n, *sums = rows.select(line.alias("x")).agg(F.count(F.lit(1)), *(F.sum(F.xxhash64("x", F.lit(i)).cast("decimal(38,0)")) for i in (0, 1))).first()
+    return f"{n}:{sums[0] or 0}:{sums[1] or 0}"
+
+
+def open_run(store: Store, config: dict, inputs: DataFrame, resume: bool = False) -> str:
+    """Bind a store to the settings and inputs of a run, and return their fingerprint.
+
+    A store that is bound already raises FileExistsError, unless it is resumed; resuming one that is bound to other settings or inputs, or to none, raises ValueError. Of two that open a new store
+    at once one gets it, the other FileExistsError.
+    """
+    mark, path = fingerprint({"settings": fingerprint(config), "inputs": table_digest(inputs)}, ()), f"{store.root}/_run.json"
+    if resume:
+        if not store.files.exists(path) or json.loads(store.files.read(path))["fingerprint"] != mark:
+            raise ValueError("settings or inputs differ from those of the run, or there is none: use a new store")
+        return mark
+    try:
+        store.files.put(path, json.dumps({"fingerprint": mark, "config": config}, ensure_ascii=False, sort_keys=True))
+    except Conflict:
+        raise FileExistsError("the store holds a run: resume it or use a new store") from None
+    return mark
+
+
+def shared_jobs(inputs: DataFrame, key: str = "sample_id", order: str = "position") -> DataFrame:
+    """One row, the first by order, for each key among inputs: rows of equal keys share a job."""
+    columns = [c for c in inputs.columns if c != key]
+    return inputs.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("v")).select(key, "v.*")
+
+
+def fan_back(inputs: DataFrame, results: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Every input row with the result of its shared job; columns of the results are null where there is none."""
+    return inputs.join(results.drop(*(c for c in results.columns if c != key and c in inputs.columns)), key, "left")
+
+
 def with_detector(rows: DataFrame, detectors: DataFrame, key: str) -> DataFrame:
     """Rows with their detector; a key without one raises when it is read. Detectors are one row a model."""
     found = rows.join(detectors.withColumn("_known", F.lit(True)), key, "left")

@@ -1,4 +1,4 @@
-"""One report over many runs: every grouping of the run's columns in one job."""
+"""Reports over many runs: every grouping of the run's columns in one job."""
 
 from __future__ import annotations
 
@@ -35,3 +35,9 @@ def across(rows: DataFrame, sets: Iterable[tuple[str, ...]], metric: Column, *,
         share = F.max(place - F.floor(place))
         made.append(((low + (high - low) * share) / scale).alias(f"q{round(100 * q)}"))
     return placed.groupBy(*keys).agg(*made)
+
+
+def robust(rows: DataFrame, keys: list[str], metric: Column, *, digits: int = 4) -> DataFrame:
+    """(keys, n, mean, median, q25, q75, iqr) of a metric, as across() for one set of columns; without keys one row, none for an empty table."""
+    out = across(rows, [tuple(keys)], metric, digits=digits).withColumnRenamed("q50", "median")
+    return out.select(*keys, "n", "mean", "median", "q25", "q75", (F.col("q75") - F.col("q25")).alias("iqr"))

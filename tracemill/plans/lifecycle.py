@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import text, vectors
-from tracemill.operators import events, jobs, spans
+from tracemill.operators import events, jobs, spans, traces
 from tracemill.plans.catalogue import load, query
 
 # ---- parsing
@@ -69,7 +69,7 @@ WORDS5 = r"regexp_extract_all(text, '[a-z]+')[1:12]"
 
 @query(f"SELECT item_id, array_to_string(list_transform(list_sort(list_transform(list_distinct({WORDS5}), lambda w: {{'at': list_position({WORDS5}, w), 'w': w}})), lambda x: x.w), ' ') AS words FROM benchmark")
 def ag_dedup_spans(spark, sf):
-    return load(spark, sf, "benchmark").select("item_id", F.array_join(F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)), 1, 12)), " ").alias("words"))
+    return load(spark, sf, "benchmark").select("item_id", F.array_join(text.distinct_spans(F.slice(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)), 1, 12)), " ").alias("words"))
 
 
 JUDGED_SQL = r"""j AS (SELECT item_id, text, regexp_extract_all(text, '[a-z]{4,}') AS w FROM benchmark), r AS (SELECT *, CASE item_id % 6
@@ -154,8 +154,7 @@ def fn_digest(spark, sf):
 def fn_map_merge(spark, sf):
     old = F.create_map(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("state"), F.lit("old"))
     new = F.create_map(F.lit("state"), F.lit("new"), F.lit("name"), F.col("n_name"))
-    merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
-    m = load(spark, sf, "nation").select("n_nationkey", merged.alias("m"))
+    m = load(spark, sf, "nation").select("n_nationkey", traces.merged(old, new).alias("m"))
     return m.select("n_nationkey", F.col("m")["r"].cast("int").alias("r"), F.col("m")["state"].alias("state"), F.col("m")["name"].alias("name"))
 
 
@@ -268,7 +267,7 @@ def jn_layer_map(spark, sf):
 
 @query("SELECT r_name AS model, item_id FROM region, benchmark")
 def jn_cross_models(spark, sf):
-    return load(spark, sf, "benchmark").select("item_id").crossJoin(F.broadcast(load(spark, sf, "region").select(F.col("r_name").alias("model"))))
+    return traces.for_each_model(load(spark, sf, "benchmark").select("item_id"), load(spark, sf, "region").select(F.col("r_name").alias("model")))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -284,7 +283,8 @@ def jn_anti_index(spark, sf):
 @query("SELECT o_custkey % 5 AS batch_size, round(sum(l_quantity) / sum(l_linenumber), 6) AS tokens_per_second, round(count(*) / sum(l_linenumber), 6) AS samples_per_second FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def ag_token_ratio(spark, sf):
     j = load(spark, sf, "lineitem").join(load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    return j.groupBy((F.col("o_custkey") % 5).alias("batch_size")).agg(F.round(F.sum("l_quantity") / F.sum("l_linenumber"), 6).alias("tokens_per_second"), F.round(F.count(F.lit(1)) / F.sum("l_linenumber"), 6).alias("samples_per_second"))
+    r = traces.rates(j, [(F.col("o_custkey") % 5).alias("batch_size")], F.col("l_quantity"), F.col("l_linenumber"))
+    return r.select("batch_size", *(F.round(c, 6).alias(c) for c in ("tokens_per_second", "samples_per_second")))
 
 
 @query("WITH r AS (SELECT s_nationkey AS batch_size, s_acctbal + 2000 AS tokens, s_suppkey + 1 AS seconds FROM supplier), g AS (SELECT batch_size, count(*) AS n, sum(tokens) / sum(seconds) AS rate FROM r GROUP BY 1) SELECT batch_size, rate FROM g WHERE n = 1 ORDER BY rate DESC, batch_size LIMIT 1")
@@ -295,14 +295,12 @@ def ag_best_batch(spark, sf):
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(*) = count(DISTINCT user_id) AS distinct_ FROM events GROUP BY 1")
 def set_membership(spark, sf):
-    n, users = F.count(F.lit(1)), F.count_distinct("user_id")
-    return load(spark, sf, "events").groupBy("event_type").agg(n.alias("n"), users.alias("users"), (n == users).alias("distinct_"))
+    return traces.distinctness(load(spark, sf, "events"), ["event_type"], "user_id").toDF("event_type", "n", "users", "distinct_")
 
 
 @query("SELECT l_orderkey, bool_or(l_quantity > 40) AS predicted, bool_or(l_quantity > 40) AND bool_or(l_discount > 0.05) AS both_ FROM lineitem GROUP BY 1")
 def set_pred_mask(spark, sf):
-    p, g = F.bool_or(F.col("l_quantity") > 40), F.bool_or(F.col("l_discount") > 0.05)
-    return load(spark, sf, "lineitem").groupBy("l_orderkey").agg(p.alias("predicted"), (p & g).alias("both_"))
+    return traces.token_masks(load(spark, sf, "lineitem"), ["l_orderkey"], F.col("l_quantity") > 40, F.col("l_discount") > 0.05).withColumnRenamed("both", "both_")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 250 OFFSET 100")
@@ -312,7 +310,7 @@ def lim_slice(spark, sf):
 
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY o_orderkey LIMIT 75")
 def lim_max(spark, sf):
-    return load(spark, sf, "orders").where("o_totalprice > 1000").select("o_orderkey").orderBy("o_orderkey").limit(75)
+    return traces.first_valid(load(spark, sf, "orders"), F.col("o_totalprice") > 1000, ["o_orderkey"], 75).select("o_orderkey")
 
 
 @query("SELECT item_id FROM benchmark ORDER BY item_id LIMIT 20")
@@ -327,46 +325,46 @@ def src_quality(spark, sf):
 
 @query("WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY sha256('42:' || o_orderkey), o_orderkey) AS rn FROM orders) SELECT o_orderkey FROM (SELECT * FROM o WHERE rn > 50 AND rn <= 600 AND o_totalprice > 1000 ORDER BY rn LIMIT 200)")
 def src_hf(spark, sf):
-    o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", jobs.seeded_order(F.col("o_orderkey")).alias("o"))
-    part = jobs.ordered_slice(o, ["o", "o_orderkey"], 50, 600)
-    return part.where("o_totalprice > 1000").orderBy("o", "o_orderkey").limit(200).select("o_orderkey")
+    o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return traces.seeded_examples(o, "o_orderkey", 50, 600, F.col("o_totalprice") > 1000, 200).select("o_orderkey")
 
 
 @query("SELECT p_partkey, p_retailprice AS score FROM part ORDER BY p_retailprice, p_partkey LIMIT 10")
 def srt_lowest(spark, sf):
-    return load(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("score")).orderBy("score", "p_partkey").limit(10)
+    return traces.lowest(load(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("score")), "score", "p_partkey", 10)
 
 
 @query("SELECT doc_id, len(w) AS n FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Z][a-z]+')[1:5], lambda x: length(x) > 8) AS w FROM documents) WHERE len(w) > 0")
 def flt_nonempty_spans(spark, sf):
     w = F.filter(F.slice(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)), 1, 5), lambda x: F.length(x) > 8)
-    return load(spark, sf, "documents").select("doc_id", w.alias("w")).where(F.size("w") > 0).select("doc_id", F.size("w").cast("long").alias("n"))
+    return traces.with_spans(load(spark, sf, "documents").select("doc_id", w.alias("w")), "w").select("doc_id", F.size("w").cast("long").alias("n"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars <= 2000 AND contains(text, ' the ') AND n_chars > 20")
 def flt_len(spark, sf):
-    return load(spark, sf, "documents").where("n_chars <= 2000 and contains(text, ' the ') and n_chars > 20").select("doc_id", "n_chars")
+    d = load(spark, sf, "documents")
+    return traces.fit_for_training(d, F.col("n_chars"), 2000, F.contains("text", F.lit(" the ")), F.col("n_chars") > 20).select("doc_id", "n_chars")
 
 
 @query("SELECT p_partkey, p_brand AS model FROM part WHERE p_size >= 10 AND p_type IS NOT NULL AND p_brand = 'Brand#1'")
 def flt_experiment(spark, sf):
-    return load(spark, sf, "part").where("p_size >= 10 and p_type is not null and p_brand = 'Brand#1'").select("p_partkey", F.col("p_brand").alias("model"))
+    p = traces.measured(load(spark, sf, "part"), model="Brand#1", lowest_full_recall=10, model_col="p_brand", precision="p_type", recall="p_partkey", full_recall="p_size")
+    return p.select("p_partkey", F.col("p_brand").alias("model"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount >= 0.05")
 def flt_threshold(spark, sf):
-    return load(spark, sf, "lineitem").where(F.col("l_discount") >= 0.05).select("l_orderkey", "l_linenumber")
+    return load(spark, sf, "lineitem").where(traces.leaks(F.col("l_discount"), 0.05)).select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT l_orderkey, l_linenumber, greatest(0, l_linenumber - (l_quantity::INT - 1) // 2) AS start FROM lineitem")
 def win_backtrack(spark, sf):
-    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.greatest(F.lit(0), F.col("l_linenumber") - F.floor((F.col("l_quantity").cast("int") - 1) / 2).cast("int")).alias("start"))
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", traces.backtrack_start(F.col("l_linenumber"), F.col("l_quantity")).alias("start"))
 
 
 @query("""SELECT event_id, min(event_id) FILTER (event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS first_safe FROM events""")
 def win_first_tempsafe(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-4, 0)
-    return load(spark, sf, "events").select("event_id", F.min(F.when(F.col("event_type") == "click", F.col("event_id"))).over(w).alias("first_safe"))
+    return traces.first_safe(load(spark, sf, "events"), "user_id", "event_id", F.col("event_type") == "click", 5).select("event_id", "first_safe")
 
 
 @query("SELECT vec_id, round(embedding[1]::DOUBLE + embedding[6]::DOUBLE + embedding[64]::DOUBLE, 9) AS mass FROM embeddings")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracemill.operators import events, jobs, rules, runs, sampling
+from tracemill.functions import text
+from tracemill.operators import events, jobs, rules, runs, sampling, traces
 from tracemill.plans.catalogue import load, query
 from tracemill.plans.lifecycle import RECORD_SQL, records, repairs
 from tracemill.sources import documents, jsonl, reports
@@ -248,8 +249,6 @@ def fn_align_longest(spark, sf):
 @query(r"""WITH r AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'x \boxed{' || role || '} y \boxed{ ' || conv_id || '}' WHEN 1 THEN '  ' || role || ' ' || conv_id || '  ' WHEN 2 THEN '<skeleton> a' || turn || ' </skeleton> t <reason>' || role || '</reason>' WHEN 3 THEN '<reason>r</reason><skeleton>s</skeleton>' ELSE '<skeleton>' || role END AS reply FROM conversations)
 SELECT conv_id, turn, CASE turn % 5 WHEN 2 THEN 'a' || turn || '/' || regexp_extract(reply, '<reason>(.*)</reason>', 1) || '/ok' WHEN 3 THEN 's/r/order' END AS parsed FROM r WHERE turn % 5 IN (2, 3)""")
 def fn_parse_ssr_mixed(spark, sf):
-    from tracemill.functions import text
-
     t = F.col("turn") % 5
     reply = F.when(t == 2, F.concat(F.lit("<skeleton> a"), F.col("turn").cast("string"), F.lit(" </skeleton> t <reason>"), "role", F.lit("</reason>"))).otherwise(F.lit("<reason>r</reason><skeleton>s</skeleton>"))
     rows = load(spark, sf, "conversations").where((t == 2) | (t == 3)).select("conv_id", "turn", text.parse_pair(reply, "skeleton", "reason").alias("p"))
@@ -261,3 +260,105 @@ def jn_ledger_open(spark, sf):
     """Customers without a large order: the ledger lacks some of them."""
     done = load(spark, sf, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     return jobs.not_done(load(spark, sf, "customer").select("c_custkey"), done, ["c_custkey"])
+
+
+# ---- figures of traces
+
+@query("SELECT event_id AS idx FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_id % 50 IN (7, 8)) ORDER BY event_id LIMIT 960")
+def src_quality_lines(spark, sf):
+    """The first thousand lines of a file of samples, blank ones counted."""
+    return jsonl.samples(spark, written_lines(spark, sf), limit=1000).select("idx")
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 64 AS batch FROM orders")
+def smp_batch(spark, sf):
+    return traces.batches(load(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 64)
+
+
+@query("SELECT l_returnflag AS k, count(*) AS n, round(avg(round(l_discount * 10000)) / 10000, 9) AS mean, round(quantile_cont(round(l_discount * 10000), 0.5) / 10000, 9) AS median, round((quantile_cont(round(l_discount * 10000), 0.75) - quantile_cont(round(l_discount * 10000), 0.25)) / 10000, 9) AS iqr FROM lineitem GROUP BY 1")
+def ag_robust_iqr(spark, sf):
+    r = runs.robust(load(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "k"), ["k"], F.col("l_discount"))
+    return r.select("k", "n", *(F.round(c, 9).alias(c) for c in ("mean", "median", "iqr")))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean_score, round(quantile_disc(value, 0.5), 6) AS median_score, count(*) FILTER (user_id % 3 = 0) AS leakage_samples, round(avg(value) FILTER (user_id % 3 = 0), 6) AS mean_leakage, round(avg(value) FILTER (NOT user_id % 3 = 0), 6) AS mean_non_leakage FROM events GROUP BY 1")
+def ag_shape_parts(spark, sf):
+    s = traces.shape_summary(load(spark, sf, "events"), ["event_type"], "value", F.col("user_id") % 3 == 0)
+    return s.select("event_type", F.round("mean_score", 6).alias("mean_score"), F.round("median_score", 6).alias("median_score"), "leakage_samples", F.round("mean_leakage", 6).alias("mean_leakage"), F.round("mean_non_leakage", 6).alias("mean_non_leakage"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, l_linenumber * 100 + l_suppkey % 100 AS pos, l_discount AS x, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS g, l_partkey AS p FROM lineitem), d AS (SELECT *, row_number() OVER (PARTITION BY k, pos ORDER BY x, g, p) AS n FROM s), o AS (SELECT k, pos, x, g FROM d WHERE n = 1),
+b AS (SELECT *, g = 1 AND coalesce(lag(g) OVER (PARTITION BY k ORDER BY pos), 0) = 0 AS b FROM o), m AS (SELECT k, min(x) FILTER (b) AS least FROM b GROUP BY k), t(threshold) AS (VALUES (0.0::DOUBLE), (0.03::DOUBLE), (0.07::DOUBLE), (0.5::DOUBLE))
+SELECT threshold, count(*) AS samples, count(*) FILTER (least IS NULL OR least >= threshold) AS full_hits, round(count(*) FILTER (least IS NULL OR least >= threshold) / count(*), 9) AS full_recall FROM m, t GROUP BY threshold""")
+def ag_full_recall(spark, sf):
+    o = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_linenumber") * 100 + F.col("l_suppkey") % 100).alias("pos"), F.col("l_discount").alias("score"), F.when(F.col("l_quantity") > 25, 1).otherwise(0).alias("gold"), "l_partkey")
+    one = o.groupBy("sample_id", "pos").agg(F.min(F.struct("score", "gold", "l_partkey")).alias("v")).select("sample_id", "pos", "v.score", "v.gold")
+    t = spark.createDataFrame([(0.0,), (0.03,), (0.07,), (0.5,)], "threshold double")
+    return traces.full_recall(one, t).withColumn("full_recall", F.round("full_recall", 9))
+
+
+PAIR_SQL = """x AS (SELECT vec_id, list_transform(embedding[1:40], lambda v: v::DOUBLE) AS blind, list_transform(embedding[25:64], lambda v: v::DOUBLE) AS told FROM embeddings),
+g AS (SELECT vec_id, i - 1 AS i, greatest(0, told[i] - blind[i]) AS d FROM x, range(1, 41) r(i)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d DESC, i) AS n FROM g)"""
+
+
+def scored(spark, sf):
+    part = lambda start, n: F.slice(F.col("embedding").cast("array<double>"), start, n)
+    return load(spark, sf, "embeddings").select("vec_id", part(1, 40).alias("blind"), part(25, 40).alias("told"))
+
+
+@query(f"WITH {PAIR_SQL} SELECT vec_id, string_agg('t' || i, '' ORDER BY i) AS text FROM r WHERE NOT (n <= 2 AND d > 0) GROUP BY vec_id")
+def fn_pcs_filter_text(spark, sf):
+    """A trace of forty tokens without the two that the told context raises most."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.concat(F.lit("t"), i.cast("string")))
+    return scored(spark, sf).select("vec_id", traces.filtered_text(tokens, F.col("blind"), F.col("told"))["text"].alias("text"))
+
+
+@query(f"WITH {PAIR_SQL}, f AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN told[1:39] ELSE list_transform(told, lambda v: v / 2) END AS filtered, blind, told FROM x) SELECT vec_id, round(list_avg(told) - list_avg(blind), 9) AS galg, CASE WHEN len(filtered) = 40 THEN round(list_avg(filtered) - list_avg(blind), 9) END AS lf_galg FROM f")
+def fn_galg_lf(spark, sf):
+    f = F.when(F.col("vec_id") % 3 == 0, F.slice("told", 1, 39)).otherwise(F.transform("told", lambda v: v / 2))
+    g = scored(spark, sf).select("vec_id", traces.answer_gains(F.col("blind"), F.col("told"), f).alias("g"))
+    return g.select("vec_id", F.round("g.galg", 9).alias("galg"), F.round("g.lf_galg", 9).alias("lf_galg"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS k, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 90 AS BIGINT) AS e, CAST(o_orderkey AS VARCHAR) AS note FROM orders),
+y AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e, note ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s WHERE e > s), z AS (SELECT *, sum(CASE WHEN b IS NULL OR s >= b THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e, note ROWS UNBOUNDED PRECEDING) AS g FROM y)
+SELECT k, min(s) AS "start", max(e) AS "end", string_agg(note, ',' ORDER BY s, e, note) AS notes FROM z GROUP BY k, g""")
+def win_merge_notes(spark, sf):
+    day = F.datediff(F.col("o_orderdate"), F.lit("1992-01-01")).cast("long")
+    o = load(spark, sf, "orders").select(F.col("o_custkey").alias("k"), day.alias("start"), (day + F.col("o_orderkey") % 90).alias("end"), F.col("o_orderkey").cast("string").alias("note"))
+    return traces.merge_notes(o, "k").withColumn("notes", F.array_join("notes", ","))
+
+
+@query("SELECT o_orderkey, CAST((9223372036854775000::HUGEINT + o_orderkey) % 9223372036854775808::HUGEINT AS BIGINT) AS seed FROM orders")
+def fn_seed_index(spark, sf):
+    return load(spark, sf, "orders").select("o_orderkey", jobs.seed_of_index(F.col("o_orderkey"), 9223372036854775000).alias("seed"))
+
+
+@query(r"""SELECT item_id, text || ' ' || chr(10) || 'Given the ground truth answer is $\boxed{' || item_id || '}$.' AS prompt FROM benchmark""")
+def prj_prompt_cal(spark, sf):
+    return load(spark, sf, "benchmark").select("item_id", text.context_prompt(F.col("text"), F.col("item_id").cast("string"))[0].alias("prompt"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS k, min(o_orderkey) AS first FROM orders GROUP BY 1) SELECT o_orderkey, first, first % 2 = 0 AS ok FROM orders JOIN f ON k = o_custkey""")
+def ag_dedup_fan_back(spark, sf):
+    """Orders of a customer share the job of the first; its result comes back to all."""
+    o = load(spark, sf, "orders").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderkey").alias("position"))
+    done = jobs.shared_jobs(o).select("sample_id", F.col("position").alias("first"), (F.col("position") % 2 == 0).alias("ok"))
+    return jobs.fan_back(o, done).select(F.col("position").alias("o_orderkey"), "first", "ok")
+
+
+THINK_SQL = "t AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN ' a <think> ' || text || ' </think> b ' WHEN 1 THEN text || ' </think> tail ' WHEN 2 THEN '<think> ' || text ELSE text END AS c FROM conversations)"
+
+
+def thoughts(spark, sf):
+    t = F.col("turn") % 4
+    c = F.when(t == 0, F.concat(F.lit(" a <think> "), "text", F.lit(" </think> b "))).when(t == 1, F.concat("text", F.lit(" </think> tail "))).when(t == 2, F.concat(F.lit("<think> "), "text")).otherwise(F.col("text"))
+    return load(spark, sf, "conversations").select("conv_id", "turn", c.alias("c"))
+
+
+@query(f"""WITH {THINK_SQL} SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'a  b' ELSE trim(c) END AS split_content, CASE turn % 4 WHEN 0 THEN trim(text) END AS split_reasoning, CASE turn % 4 WHEN 0 THEN 'b' ELSE trim(c) END AS answer,
+CASE turn % 4 WHEN 0 THEN trim('a  ' || text) WHEN 1 THEN trim(text) END AS closing, CASE turn % 4 WHEN 0 THEN ' a <think> ' || text || ' ' WHEN 1 THEN text || ' ' WHEN 2 THEN ' ' || text ELSE text END AS reasoning FROM t""")
+def fn_think_variants(spark, sf):
+    none, c = F.lit(None).cast("string"), F.col("c")
+    r = thoughts(spark, sf).select("conv_id", "turn", text.split_reasoning(c).alias("s"), text.think_and_answer(c)["answer"].alias("answer"), text.split_closing(c, none)["reasoning"].alias("closing"), text.reasoning_of(c, none).alias("reasoning"))
+    return r.select("conv_id", "turn", F.col("s.content").alias("split_content"), F.col("s.reasoning").alias("split_reasoning"), "answer", "closing", "reasoning")

@@ -168,7 +168,7 @@ class Store:
         named = {p[len(self.root) + 1 :].split("/")[0] for v in kept for e in self.head(v).tables.values() for p in e["paths"]}
         for v in found[:-keep]:
             self.files.delete(self._log(v))
-        gone = [n for n in self.files.names(self.root) if n != "_log" and n not in named]
+        gone = [n for n in self.files.names(self.root) if not n.startswith("_") and n not in named]
         for n in gone:
             self.files.delete(f"{self.root}/{n}")
         return gone
