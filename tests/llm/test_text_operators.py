@@ -181,6 +181,33 @@ def test_fertility_base_columns_equal_brute_force(spark):
     assert fertility.fertility_rules(docs.limit(0)).count() == 0
 
 
+def test_fertility_figures_equal_brute_force(spark):
+    import math
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(fertility.VOCABULARY))
+    docs = documents(spark, [t for t in texts() if not t or len(t) < 20_000])
+
+    def reference(text):
+        ids = [i for w in BLANK.findall(text or "") for i in model.encode(w)]
+        n, count = len(ids), Counter(ids)
+        entropy = -sum(c / n * math.log2(c / n) for c in count.values()) if n else 0.0
+        chars = sum(map(len, BLANK.findall(text or "")))
+        return n, chars / n if n else 0.0, sum(map(model.is_byte, ids)) / n if n else 0.0, entropy / math.log2(n) if n > 1 else 0.0
+
+    want = sorted((str(r.doc_id), *(round(x, 9) for x in reference(r.text))) for r in docs.select("doc_id", "text").collect())
+    got = sorted((str(r.doc_id), r.n_tokens, *(round(x, 9) for x in (r.chars_per_token, r.byte_share, abs(r.entropy)))) for r in fertility.fertility_rules(docs).collect())
+    assert got == want
+
+
+def test_fertility_without_languages_and_at_the_edge_of_a_band(spark):
+    fine = " ".join(texts(seed=1, n=9)[k] or "" for k in (1, 2, 4, 5))
+    rows = [(i, fine, None) for i in range(30)]  # all alike: every document lies on its band's median
+    out = fertility.fertility_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len({r.band for r in out}) == 1 and out[0].band.startswith("script:") and all(r.kept for r in out)
+
+
 def test_fertility_bands_equal_brute_force(spark):
     docs = documents(spark)
     rows = fertility.fertility_rules(docs).collect()
@@ -262,20 +289,122 @@ def test_language_id_labels_mixed_text(spark):
     assert {r.lang_pred for r in langid.identify(docs, nobody).collect()} == {"und"}
 
 
+def plain_model(rows):
+    """Word score by language, counted n-gram by n-gram, and its languages."""
+    import math
+
+    count, total, script = Counter(), Counter(), Counter()
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 5:
+            for w in langid.words_of(text):
+                script[lang, "latin"] += 1
+                for k, g in plain_grams(w.decode()):
+                    count[lang, k, g] += 1
+                    total[lang, k] += 1
+    langs = sorted({x for x, _ in script})
+
+    def score(word):
+        out = []
+        for lang in langs:
+            logs = [math.log((count[lang, k, g] + langid.SMOOTHING) / (total[lang, k] + langid.SMOOTHING * langid.BUCKETS)) for k, g in plain_grams(word)]
+            out.append(sum(logs) / len(langid.ORDERS))
+        return [x - max(out) for x in out]
+
+    return score, langs
+
+
+def plain_grams(word):
+    padded, mask = f" {word} ", (1 << 64) - 1
+    for k, n in enumerate(langid.ORDERS):
+        for i in range(len(padded) - n + 1):
+            h = 0
+            for c in padded[i : i + n]:
+                h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) & mask
+                h ^= h >> 29
+            yield k, h % langid.BUCKETS
+
+
+@pytest.mark.parametrize("megabytes", [512, 1, 0])
+def test_word_scores_equal_brute_force(spark, monkeypatch, megabytes):
+    monkeypatch.setattr(langid, "MODEL_MB", megabytes)  # all languages full, one full, one full
+    rows = [(i, t, ["en", "fr", "xx", "en-a"][i % 4]) for i, t in enumerate(texts(n=80)[:80])]
+    model = langid.learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    score, langs = plain_model(rows)
+    assert model.langs == langs and len(model.rare) == (0 if megabytes == 512 else 3)
+    words = [w.decode() for w in dict.fromkeys(langid.words_of(rows[3][1] + " zzz a être"))]
+    got = model.word_scores(words)
+    for w, own in zip(words, got.tolist()):
+        assert own == pytest.approx(score(w), abs=1e-4)
+
+
+def test_many_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_MB", 2)
+    monkeypatch.setattr(langid, "CELLS", 200_000)
+    good = [(i, t, "fr" if i % 3 == 0 else "en") for i, t in enumerate(texts(n=240)[:240])]
+    dirty = [(1000 + i, f"w{i} of{i} x", f"dirty{i}") for i in range(400)]
+    docs = spark.createDataFrame([*good, *dirty], "doc_id long, text string, lang string")
+    model = langid.learn_languages(docs)
+    assert len(model.langs) > 300 and len(model.full) == 2
+    out = {r.doc_id: r.lang_pred for r in langid.identify(docs.where("doc_id < 1000"), model).collect()}
+    assert sum(out[i] == lang for i, _, lang in good) >= 0.9 * len(good)
+
+
+def test_language_id_edges(spark):
+    rows = documents(spark).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr"))
+    model = langid.learn_languages(rows)
+    got = langid.identify(rows, model).collect()  # columns with the names used inside, a very long text, repeated rows, a null id
+    assert len(got) == rows.count() and all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    long = spark.createDataFrame([(1, "the and of " * 40_000), (2, "the and of " * 40_000)], "doc_id long, text string")
+    assert {len(r.lang_spans) for r in langid.identify(long, model).collect()} == {1}
+    assert langid.identify(rows.limit(0), model).count() == 0
+
+
 def test_viterbi_equals_plain(spark):
+    import itertools
+
     import numpy as np
 
     model = langid.LanguageModel(["a", "b", "c"], np.ones((3, len(langid.ORDERS) * langid.BUCKETS + langid.N_SCRIPTS)))
     r = np.random.default_rng(1)
     scores = r.normal(0, 3, (50, 3))
-    rows = [r.integers(0, 50, n) for n in (0, 1, 7, 30, 7)]
+    rows = [r.integers(0, 50, n) for n in (0, 1, 7, 30, 7, 400)]
     for row, path in zip(rows, model.paths(rows, scores, 2.0)):
-        if len(row) and len(row) <= 7:
-            import itertools
-
-            value = lambda p: sum(scores[w, s] for w, s in zip(row, p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023, E731
-            assert value(path.tolist()) == pytest.approx(max(map(value, itertools.product(range(3), repeat=len(row)))))
         assert len(path) == len(row)
+        if not len(row):
+            continue
+        value = lambda p: sum(scores[w, s] for w, s in zip(row, p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        best = [0.0] * 3
+        for t, w in enumerate(row):  # the best value of a path to each language, one word at a time
+            best = [scores[w, s] + (max(best[q] - 2.0 * (q != s) for q in range(3)) if t else 0.0) for s in range(3)]
+        assert value(path.tolist()) == pytest.approx(max(best))
+        if len(row) <= 7:
+            assert max(best) == pytest.approx(max(map(value, itertools.product(range(3), repeat=len(row)))))
+
+
+def test_quality_scores_equal_plain_discriminant(spark):
+    import numpy as np
+
+    good = [" ".join(x or "" for x in texts(seed=s, n=9)[1:6]) for s in range(50)]
+    bad = [" ".join(w.upper() + "!!" * (s % 3) for w in t.split()) + "\n\n1 2 3" * (s % 5) for s, t in enumerate(good[:40])]
+    rows = [*enumerate([*good, *bad]), (500, None), (501, "x" * 200_000), (502, "")]
+    labels = {i: int(i < 50) for i in range(90)}
+    out = quality_qda.score_quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()
+    known = [(np.array(quality_qda.features(t)), labels[i]) for i, t in rows if i in labels and zlib.crc32(str(i).encode()) % 5]
+    parts = {k: np.array([x for x, y in known if y == k]) for k in (0, 1)}
+    n, d = len(known), len(quality_qda.FEATURES)
+    cov = {k: np.cov(x, rowvar=False, bias=True) for k, x in parts.items()}
+    pooled = sum(len(parts[k]) * cov[k] for k in parts) / n
+    scale = np.maximum(np.array([x for x, _ in known]).std(0), 1e-6)
+    logs = {}
+    for k, x in parts.items():
+        s = (0.9 * cov[k] + 0.1 * pooled) / np.outer(scale, scale)
+        s = 0.98 * s + 0.02 * max(np.trace(s) / d, 1e-3) * np.eye(d)
+        inverse, det = np.linalg.inv(s), np.linalg.slogdet(s)[1]
+        logs[k] = lambda v, m=x.mean(0), i=inverse, det=det, share=len(x) / n: np.log(share) - 0.5 * (det + ((v - m) / scale) @ i @ ((v - m) / scale))
+    for r in out:
+        v = np.array(quality_qda.features(dict(rows)[r.doc_id]))
+        want = 1 / (1 + np.exp(np.clip(logs[0](v) - logs[1](v), -500, 500)))
+        assert r.score == pytest.approx(want, abs=1e-6) and r.predicted == (r.score >= 0.3)
 
 
 def test_quality_classifier_held_out(spark):

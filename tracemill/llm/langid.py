@@ -8,6 +8,9 @@ language with most letters on it is the document's.
 
 from __future__ import annotations
 
+from array import array
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,10 @@ ORDERS, BUCKETS = (2, 3, 4), 1 << 15
 SWITCH_PENALTY = 8.0
 SCRIPT_SHARE = 0.01
 SMOOTHING = 0.5
+#: Languages with a full row of numbers take as much memory at most; those learned from fewest words beyond it keep only the numbers that they have.
 MODEL_MB = 512
+#: Scores of words by language that a slice of texts has at once; one text may exceed it.
+CELLS = 16_000_000
 UNKNOWN = "und"
 #: ASCII but letters to blanks; the rest of UTF-8 stays.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -99,28 +105,66 @@ def _train(batches):
 
 
 class LanguageModel:
-    """Log-probabilities of n-gram buckets and the scripts of each language."""
+    """Log-probabilities of n-gram buckets and the scripts of each language.
+
+    sums has a row for each of langs. rare: (language, places, numbers) of languages without a row: what is not among the places is 0.
+    Both kinds score alike.
+    """
 
-    def __init__(self, langs: list[str], sums):
+    def __init__(self, langs: list[str], sums, rare: list | None = None):
         import numpy as np
 
-        self.langs = langs
-        n = len(ORDERS) * BUCKETS
-        grams_, script = sums[:, :n].reshape(len(langs), len(ORDERS), BUCKETS), sums[:, n:]
+        n, full, rare = len(ORDERS) * BUCKETS, langs, sorted(rare or [], key=lambda r: r[0])
+        self.langs = sorted([*langs, *(r[0] for r in rare)])
+        place = {x: i for i, x in enumerate(self.langs)}
+        self.full = [place[x] for x in full]
+        grams_, script = sums[:, :n].reshape(len(full), len(ORDERS), BUCKETS), np.zeros((len(self.langs), N_SCRIPTS))
+        script[self.full] = sums[:, n:]
         p = (grams_ + SMOOTHING) / (grams_.sum(2, keepdims=True) + SMOOTHING * BUCKETS)
-        self.logp = np.log(p).reshape(len(langs), n).astype(np.float32)
+        self.logp = np.log(p).reshape(len(full), n).astype(np.float32)
+        # a rare language's number by order for a bucket that it lacks, and what each of its buckets has beyond that, in order of buckets
+        self.rare, self.least = [place[r[0]] for r in rare], np.zeros((len(rare), len(ORDERS)))
+        owner, bucket, more = ([np.empty(0, k)] for k in (np.int32, np.int32, np.float32))
+        for i, (_, at, value) in enumerate(rare):
+            at, value = np.asarray(at), np.asarray(value, float)
+            script[self.rare[i], at[at >= n] - n] = value[at >= n]
+            at, value = at[at < n], value[at < n]
+            self.least[i] = np.log(SMOOTHING / (np.bincount(at // BUCKETS, value, len(ORDERS)) + SMOOTHING * BUCKETS))
+            owner.append(np.full(len(at), i, np.int32))
+            bucket.append(at.astype(np.int32))
+            more.append(np.log((value + SMOOTHING) / SMOOTHING).astype(np.float32))
+        owner, bucket, more = map(np.concatenate, (owner, bucket, more))
+        order = np.argsort(bucket, kind="stable")
+        self.owner, self.more = owner[order], more[order]
+        self.begin = np.searchsorted(bucket[order], np.arange(n + 1)) if rare else None
         self.writes = script >= SCRIPT_SHARE * np.maximum(script.sum(1, keepdims=True), 1)
-        self.prior = int(grams_.sum((1, 2)).argmax()) if langs else 0
+
+    def slice_bytes(self) -> int:
+        """Bytes of text that are scored at once: there are fewer words than half of them."""
+        return max(4096, min(8 << 20, 2 * CELLS // max(1, len(self.langs))))
+
+    def _add_rare(self, out, word, bucket):
+        """Add the scores of rare languages for n-grams (word number, bucket) to out, words by rare languages."""
+        import numpy as np
+
+        for a in range(0, len(word), 1 << 16):
+            w, b = word[a : a + (1 << 16)], bucket[a : a + (1 << 16)]
+            first, size = self.begin[b], self.begin[b + 1] - self.begin[b]
+            at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            np.add.at(out, (np.repeat(w, size), self.owner[at]), self.more[at])
+            np.add.at(out, w, self.least[:, b // BUCKETS].T)
 
     def word_scores(self, words: list[str]):
         """(words x languages) scores, 0 for the best candidate, less for others; NaN-free."""
         import numpy as np
 
-        out, n = np.zeros((len(words), len(self.langs))), np.zeros(len(words))
+        out, rare = np.zeros((len(words), len(self.langs))), np.zeros((len(words), len(self.rare)))
         for word, bucket in grams(words):
-            n += np.bincount(word, minlength=len(words))
-            for i in range(len(self.langs)):
-                out[:, i] += np.bincount(word, self.logp[i][bucket], len(words))
+            for i, place in enumerate(self.full):
+                out[:, place] += np.bincount(word, self.logp[i][bucket], len(words))
+            if self.rare:
+                self._add_rare(rare, word, bucket)
+        out[:, self.rare] = rare
         out /= len(ORDERS)
         s = scripts(words)
         candidate = self.writes[:, np.maximum(s, 0)].T
@@ -171,7 +215,7 @@ def _predict(shared, penalty):
         import pyarrow as pa
 
         model: LanguageModel = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=model.slice_bytes()):
             index: dict[bytes, int] = {}
             rows = []
             for text in batch.column("text").to_pylist():
@@ -209,20 +253,24 @@ def learn_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Model of all rows with a language whose crc32(id as text) mod 5 is not 0.
 
     Counts are summed by Spark; at most len(ORDERS) * BUCKETS + scripts numbers a language reach the
-    driver, and more languages than MODEL_MB can hold are refused.
+    driver. Languages that MODEL_MB can't hold in full, the least of them, keep only the numbers that are not 0, so that a column with many wrong languages
+    costs little more than their words.
     """
     import numpy as np
 
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     sums = known.mapInArrow(_train, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
     width = len(ORDERS) * BUCKETS + N_SCRIPTS
-    found: dict = {}
+    places, numbers = defaultdict(lambda: array("i")), defaultdict(lambda: array("d"))
     for r in sums.toLocalIterator():
-        if r.lang not in found and (len(found) + 1) * width * 8 > MODEL_MB << 20:
-            raise ValueError("too many languages for MODEL_MB")
-        found.setdefault(r.lang, np.zeros(width))[r["at"]] = r.value
-    langs = sorted(found)
-    return LanguageModel(langs, np.array([found[x] for x in langs]).reshape(len(langs), width))
+        places[r.lang].append(r["at"])
+        numbers[r.lang].append(r.value)
+    by_size = sorted(places, key=lambda x: (-sum(numbers[x]), x))
+    full = sorted(by_size[: max(1, (MODEL_MB << 20) // (width * 8))])
+    dense = np.zeros((len(full), width))
+    for row, x in zip(dense, full):
+        row[places[x]] = numbers[x]
+    return LanguageModel(full, dense, [(x, places[x], numbers[x]) for x in by_size if x not in set(full)])
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
