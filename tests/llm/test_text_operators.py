@@ -114,11 +114,35 @@ def test_pii_empty_table(spark):
 
 
 def test_em_learns_reliabilities():
-    good, bad = (1, 1, 1, 0, 1), (-1, -1, -1, 0, -1)
-    post = pii.estimate([("card", good, 50), ("card", bad, 50), ("card", (1, 1, -1, 0, 1), 5)])
+    good, bad = (1, 1, 1, 1, 0, 1), (-1, -1, -1, 0, 0, -1)
+    post = pii.estimate([("card", good, 50), ("card", bad, 50), ("card", (1, 1, -1, 0, 0, 1), 5)])
     assert post[0] > 0.95 and post[1] < 0.05 and post[2] > 0.5
 
 
+def test_labelers_vote_by_their_lists(spark):
+    rows = ["Call Sophie in Lyon: +33 1 23 45 67 89", "id +33 1 23 45 67 89", "marie.x@y.zz", "xmariex@y.zz", "card 4111-1111-1111-1111", "card 411-11111-11111111", "ip 010.1.1.1 or 10.1.1.1"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+    found = pii.candidates(df, F.col("text")).select("id", F.explode("spans").alias("s")).select("id", "s.*").collect()
+    votes = lambda i, kind, name: [r[name] for r in found if r.id == i and r.kind == kind]
+    assert votes(0, "phone", "people") == [1] and votes(1, "phone", "people") == [0]
+    assert votes(2, "email", "people") == [1] and votes(3, "email", "people") == [0]
+    assert votes(4, "card", "form") == [1] and votes(5, "card", "form") == [-1] and votes(6, "ip", "form") == [-1, 1]
+
+
+def test_added_spans_are_those_of_the_classifier(spark):
+    docs = documents(spark, texts() + PERSONAL * 2)
+    found = pii.candidates(docs.select("text"), F.col("text"))
+    weights = pii.train(found)
+    value = lambda s: sum(w * x for w, x in zip(weights, [*(s[v] for v in pii.VOTES), s["size"] / 4, s.digit_share / 4, *(float(s.kind == k) for k, _, _ in pii.KINDS)])) + weights[-1]
+    want = Counter()
+    for r in found.collect():
+        base = [s for s in r.spans if s.ok]
+        extra = [s for s in r.spans if not s.ok and value(s) >= 0 and not any(b.start < s.end and s.start < b.end for b in base)]
+        want[tuple(sorted((s.start, s.end, s.kind) for s in (*base, *extra)))] += 1
+    got = Counter(tuple(sorted((s.start, s.end, s.kind) for s in r.spans)) for r in pii.find_pii(docs).collect())
+    assert got == want and any(not s.base for r in pii.find_pii(docs).collect() for s in r.spans)
+
+
 # ---- decontamination
 
 

@@ -1,7 +1,7 @@
 """Personal data by weak supervision, in DataFrame and SQL functions alone.
 
-Patterns propose candidate spans; five labelers (form, checksum or range, gazetteer, left context, edges)
-vote on each for, against or not at all. Spark counts the vote patterns over all documents; expectation
+Patterns propose candidate spans; six labelers (form, checksum or range, gazetteer of what a span holds, names and places beside it, left context,
+edges) vote on each for, against or not at all. Spark counts the vote patterns over all documents; expectation
 maximisation on these counts (their number is bounded by kinds times vote values, not by the data)
 estimates each labeler's reliability, and its posteriors train a logistic span classifier that is
 applied as one SQL expression. Spans that pass their kind's base rule always stay.
@@ -27,7 +27,17 @@ KINDS = [
     ("phone", "\\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
     ("secret", "[0-9]", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{24,}+"),
 ]
-VOTES = ["form", "proof", "gazetteer", "context", "edges"]
+VOTES = ["form", "proof", "gazetteer", "people", "context", "edges"]
+#: Common given names, and cities and countries, each in a word.
+NAMES = """
+James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Nancy Matthew Lisa Anthony Margaret Mark Sandra Paul Ashley Steven Emily Andrew Donna George Michelle Kevin Carol Brian Amanda Edward Laura 
+Jean Marie Pierre Jacques Philippe Nathalie Isabelle Sophie Julien Nicolas Camille Claire Luc Hans Peter Klaus Wolfgang Sabine Petra Monika Ursula Anna Stefan Andreas Jürgen Heike Juan José Carlos Luis Antonio Manuel Javier María Carmen Ana Isabel Lucía Pedro Miguel Pablo 
+Marco Giuseppe Giovanni Francesca Giulia Luca Chiara Ivan Olga Natalia Dmitri Sergei Elena Tatiana Mohammed Ahmed Fatima Ali Omar Aisha Wei Li Hiroshi Yuki Raj Priya Chen
+"""
+PLACES = """
+London Paris Berlin Madrid Rome Vienna Lisbon Dublin Brussels Amsterdam Zurich Geneva Munich Hamburg Frankfurt Cologne Lyon Marseille Toulouse Barcelona Valencia Seville Milan Naples Turin Warsaw Prague Budapest Athens Stockholm Oslo Copenhagen Helsinki Moscow Istanbul Cairo Delhi Mumbai Tokyo Beijing Shanghai Sydney Toronto Montreal Chicago Boston Seattle Houston Dallas Denver Miami 
+France Germany Spain Italy Portugal Austria Switzerland Belgium Netherlands Poland Sweden Norway Denmark Finland Ireland England Scotland Canada Mexico Brazil Argentina India China Japan Australia Russia Turkey Egypt Greece
+"""
 DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
 LUHN = "aggregate(sequence(1, length({d})), 0, (a, i) -> a + if((length({d}) - i) % 2 = 1, 2 * int(substr({d}, i, 1)) - if(int(substr({d}, i, 1)) > 4, 9, 0), int(substr({d}, i, 1)))) % 10 = 0"
 OCTETS = r"'^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:[.]|$)){4}$'"
@@ -39,7 +49,15 @@ RULES = {
     "phone": f"length({DIGITS}) between 10 and 15",
     "secret": "false",
 }
-#: Votes by kind: 1, 0 or -1. Gazetteers: common top-level domains, issuer digits, calling codes, key prefixes and digest lengths.
+#: Votes by kind: 1, 0 or -1. How a span is written, whatever it holds.
+FORM = {
+    "email": "if(x.m rlike '^[A-Za-z0-9](?:.*[A-Za-z0-9])?@' and not x.m rlike '[.][.]', 1, -1)",
+    "ip": "if(x.m rlike '^(?:0|[1-9][0-9]*)(?:[.](?:0|[1-9][0-9]*)){3}$', 1, -1)",
+    "card": "if(x.m rlike '^(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2,3}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){2,3}(?:-[0-9]{1,3})?)$', 1, -1)",
+    "phone": "if(x.m rlike '^[+][0-9]{1,3}[ .-]?[(]?[0-9]' and not x.m rlike '[^0-9]{3}', 1, -1)",
+    "secret": "if(length(x.m) >= 32, 1, -1)",
+}
+#: What its digits or letters prove.
 PROOF = {
     "email": "if(length(x.m) <= 254, 1, -1)",
     "ip": f"if(x.m rlike {OCTETS}, 1, -1)",
@@ -47,6 +65,7 @@ PROOF = {
     "phone": f"if(length({DIGITS}) between 10 and 15, 1, -1)",
     "secret": "if(x.m rlike '[0-9].*[0-9].*[0-9].*[0-9]' and x.m rlike '[A-Za-z].*[A-Za-z].*[A-Za-z].*[A-Za-z]', 1, -1)",
 }
+#: Lists of what may stand in a span: common top-level domains, issuer digits, calling codes, key prefixes and digest lengths.
 GAZETTEER = {
     "email": "if(lower(x.m) rlike '[.](?:com|org|net|edu|gov|info|biz|io|de|fr|es|uk|it|nl|eu|us|ca|ch|at|be|jp|cn|in|br|mx|ru|pl)$', 1, 0)",
     "ip": "if(x.m rlike '^0*(?:0|127|22[4-9]|2[3-5][0-9])[.]', -1, 1)",
@@ -54,6 +73,9 @@ GAZETTEER = {
     "phone": "if(x.m rlike '^[+](?:1|7|2[0-9]|3[0-9]|4[0-9]|5[0-9]|6[0-9]|8[0-9]|9[0-9])', 1, -1)",
     "secret": "if(x.m rlike '^(?:sk|pk|gh[pousr]|xox[abprs]|AKIA|eyJ|AIza)' or (x.m rlike '^[0-9A-Fa-f]+$' and length(x.m) in (32, 40, 64)), 1, -1)",
 }
+#: A given name in an address, or a given name or a place close before a span.
+NAMED, LOCAL = "\\b(?:" + "|".join((NAMES + PLACES).split()) + ")\\b", "(?:^|[._+-])(?:" + "|".join(NAMES.lower().split()) + ")(?:[._+0-9-]|@)"
+PEOPLE = {k: f"if(right(x.p, {{chars}}) rlike '{NAMED}'" + (f" or lower(x.m) rlike '{LOCAL}'" if k == "email" else "") + ", 1, 0)" for k, _, _ in KINDS}
 CONTEXT = {
     "email": "mail|contact|contacto|kontakt|write to|from:|to:",
     "ip": "\\bip\\b|host|server|address|addr",
@@ -62,9 +84,9 @@ CONTEXT = {
     "secret": "token|secret|api|key|passw|credential|bearer",
 }
 AGAINST = "version|section|isbn|issn|page|rfc|commit|sha-?[0-9]*\\b|md5|checksum"
-CONTEXT_CHARS = 24
+CONTEXT_CHARS, PEOPLE_CHARS = 24, 60
 FEATURES = [*VOTES, "size", "digit_share", *(f"is_{k}" for k, _, _ in KINDS)]
-SPAN = "struct<start:int,end:int,kind:string,ok:boolean,form:int,proof:int,gazetteer:int,context:int,edges:int,size:int,digit_share:int>"
+SPAN = "struct<start:int,end:int,kind:string,ok:boolean,form:int,proof:int,gazetteer:int,people:int,context:int,edges:int,size:int,digit_share:int>"
 
 
 def _candidates(kind: str, number: int) -> str:
@@ -72,7 +94,7 @@ def _candidates(kind: str, number: int) -> str:
     rule = RULES[kind]
     left = f"lower(right(x.p, {CONTEXT_CHARS}))"
     span = f"""named_struct('start', a.pos + length(x.p), 'end', a.pos + length(x.p) + length(x.m), 'kind', '{kind}', 'ok', coalesce({rule}, false),
-      'form', if({rule if kind != 'secret' else 'length(x.m) >= 32'}, 1, -1), 'proof', {PROOF[kind]}, 'gazetteer', {GAZETTEER[kind]},
+      'form', {FORM[kind]}, 'proof', {PROOF[kind]}, 'gazetteer', {GAZETTEER[kind]}, 'people', {PEOPLE[kind].format(chars=PEOPLE_CHARS)},
       'context', case when {left} rlike '{CONTEXT[kind]}' then 1 when {left} rlike '{AGAINST}' then -1 else 0 end,
       'edges', if(right(x.p, 1) rlike '[A-Za-z0-9]' or left(x.q, 1) rlike '[A-Za-z0-9]', -1, 1),
       'size', int(least(4, length(x.m) div 10)), 'digit_share', int(4 * length({DIGITS}) div length(x.m)))"""
