@@ -143,3 +143,26 @@ def test_sample_metrics_without_spans(spark):
     for s, g in ((empty, empty), (F.array(F.lit(0.1)), F.array(F.lit(0.0)))):
         m = one(spark, spans.sample_metrics(s, g, F.lit(0.5)))
         assert (m.precision, m.recall, m.full_recall, m.total_pred_spans) == (0, 0, 1, 0)
+
+
+def test_sweeps_equal_every_token_with_every_span(spark):
+    r = random.Random(11)
+    toks, points = [], []
+    for k in [*range(20), None]:
+        at = 0
+        for pos in range(r.randint(0, 12)):
+            at += r.randint(0, 2)
+            end = at + r.randint(1, 4)
+            toks.append((k, pos, at, end))
+            at = end
+        points += [(k, i, s, s + r.randint(0, 9)) for i, s in enumerate(r.randint(0, 40) for _ in range(r.randint(0, 4)))]
+    t, p = spark.createDataFrame(toks, "k int, pos int, start int, end int"), spark.createDataFrame(points, "k int, i int, start int, end int")
+    same = lambda a, b: a[0] == b[0] is not None
+    want = sorted(x for x in toks if any(same(x, y) and x[3] > y[2] and x[2] < y[3] for y in points))
+    assert sorted(tuple(x) for x in spans.overlapping(t, p.where("k is not null"), "k").collect()) == want
+    for ending in (True, False):
+        got = {(x.k, x.i): x.token for x in spans.first_token(t, p, "k", "start", ending=ending).collect()}
+        assert got == {y[:2]: min((x[1] for x in toks if same(x, y) and (x[3] > y[2] if ending else x[2] >= y[2])), default=None) for y in points}
+    firsts = spans.first_after(t, p.where("i = 0").select("k", "end"), "k", "end").collect()
+    assert len(firsts) == sum(y[1] == 0 for y in points)
+    assert spans.overlapping(t.limit(0), p, "k").count() == 0 and spans.overlapping(t, p.limit(0), "k").count() == 0

@@ -49,9 +49,32 @@ def _places(texts: pd.Series, needles: pd.Series) -> pd.Series:
 
 
 def overlapping(toks: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Tokens that overlap a span of the same key: end > s and start < e; the key keeps it a hash join."""
-    s = spans.select(key, F.col("start").alias("s"), F.col("end").alias("e"))
-    return toks.join(s, key).where("end > s and start < e").select(*toks.columns).distinct()
+    """Distinct tokens that overlap a span of the same key: end > s and start < e.
+
+    One sweep by key over tokens, at their ends, and spans, at their starts: a token overlaps one if the furthest end of the spans that began before its
+    own end lies behind its start. So the work grows with tokens and spans, not with their product. Null bounds overlap nothing.
+    """
+    token = F.struct(*(F.col(f"`{c}`") for c in toks.columns))
+    both = toks.select(F.col(key).alias("_k"), F.col("end").alias("_v"), F.lit(0).alias("_kind"), token.alias("_t"), F.lit(None).cast("long").alias("_e"))
+    both = both.unionByName(spans.select(F.col(key).alias("_k"), F.col("start").alias("_v"), F.lit(1).alias("_kind"), F.lit(None).cast(toks.select(token.alias("t")).schema["t"].dataType).alias("_t"), F.col("end").cast("long").alias("_e")))
+    upto = Window.partitionBy("_k").orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.where("_v is not null").withColumn("_far", F.max("_e").over(upto))
+    return swept.where("_kind = 0 and _far > _t.start").select("_t.*").distinct()
+
+
+def first_token(toks: DataFrame, points: DataFrame, key: str, at: str, name: str = "token", ending: bool = True) -> DataFrame:
+    """points with the first token of their key that ends behind the place at (or, not ending, that starts there or later); null where none does.
+
+    One sweep by key from the last place back; tokens (pos, start, end) must not overlap. Points of a null key or place have no token.
+    """
+    point = F.struct(*(F.col(f"`{c}`") for c in points.columns))
+    kind = points.select(point.alias("p")).schema["p"].dataType
+    none = F.lit(None)
+    both = toks.select(F.col(key).alias("_k"), F.col("end" if ending else "start").alias("_v"), F.lit(0).alias("_kind"), F.col("pos").alias("_pos"), none.cast(kind).alias("_p"))
+    both = both.unionByName(points.select(F.col(key).alias("_k"), F.col(at).alias("_v"), F.lit(1 if ending else -1).alias("_kind"), none.cast(toks.schema["pos"].dataType).alias("_pos"), point.alias("_p")))
+    back = Window.partitionBy("_k").orderBy(F.col("_v").desc_nulls_last(), F.col("_kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_first", F.when(F.col("_k").isNotNull() & F.col("_v").isNotNull(), F.min("_pos").over(back)))
+    return found.where("_kind <> 0").select("_p.*", F.col("_first").alias(name))
 
 
 def islands(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
@@ -139,4 +162,4 @@ def sample_metrics(score: Column, gold: Column, threshold: Column) -> Column:
 
 def first_after(toks: DataFrame, limits: DataFrame, key: str, limit: str, name: str = "first") -> DataFrame:
     """(key, name): the first token of each key that ends behind its limit; null where none does."""
-    return limits.join(toks, key, "left").groupBy(key, limit).agg(F.min(F.when(F.col("end") > F.col(limit), F.col("pos"))).alias(name)).drop(limit)
+    return first_token(toks, limits.select(key, limit), key, limit, name).select(key, name)

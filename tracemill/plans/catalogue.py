@@ -83,16 +83,17 @@ def win_islands(spark, sf):
 @query(f"""WITH {GOLD_SQL}, {TOKENS_SQL} SELECT g.doc_id, item_id, min(pos) AS start_token FROM gold g JOIN toks t ON t.doc_id = g.doc_id AND t.e > g."start" GROUP BY ALL""")
 def jn_span_start(spark, sf):
     toks, g = gold_tokens(spark, sf)
-    s = g.select("doc_id", "item_id", F.col("start").alias("s"))
-    return toks.join(s, "doc_id").where("end > s").groupBy("doc_id", "item_id").agg(F.min("pos").alias("start_token"))
+    s = spans.first_token(toks, g.select("doc_id", "item_id", "start"), "doc_id", "start")
+    return s.groupBy("doc_id", "item_id").agg(F.min("token").alias("start_token")).where("start_token is not null")
 
 
 @query(f"""WITH {GOLD_SQL}, {TOKENS_SQL}, n AS (SELECT doc_id, count(*) AS n FROM toks GROUP BY doc_id)
 SELECT g.doc_id, item_id, coalesce(min(pos) FILTER (t.s >= g."end"), any_value(n)) AS end_token FROM gold g JOIN toks t ON t.doc_id = g.doc_id JOIN n ON n.doc_id = g.doc_id GROUP BY g.doc_id, item_id""")
 def jn_span_end(spark, sf):
     toks, g = gold_tokens(spark, sf)
-    s = g.select("doc_id", "item_id", F.col("end").alias("e"))
-    return toks.join(s, "doc_id").groupBy("doc_id", "item_id").agg(F.coalesce(F.min(F.when(F.col("start") >= F.col("e"), F.col("pos"))), F.count(F.lit(1))).alias("end_token"))
+    s = spans.first_token(toks, g.select("doc_id", "item_id", "end"), "doc_id", "end", ending=False)
+    n = toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return s.groupBy("doc_id", "item_id").agg(F.min("token").alias("token")).join(n, "doc_id").select("doc_id", "item_id", F.coalesce("token", "n").alias("end_token"))
 
 
 def gold_mask(toks, g):

@@ -122,7 +122,9 @@ def fn_think_dedup(spark, sf):
 @query("""WITH p AS (SELECT item_id, text AS a, coalesce(lead(text) OVER (ORDER BY item_id), '') AS b FROM benchmark)
 SELECT item_id, CAST(coalesce((SELECT max(i) FROM (SELECT unnest(range(0, least(length(a), length(b)) + 1)) AS i) WHERE substr(a, 1, i) = substr(b, 1, i)), 0) AS INTEGER) AS head, CAST(coalesce((SELECT max(i) FROM (SELECT unnest(range(0, least(length(a), length(b)) + 1)) AS i) WHERE right(a, i) = right(b, i)), 0) AS INTEGER) AS tail FROM p""")
 def fn_common_len(spark, sf):
-    p = load(spark, sf, "benchmark").select("item_id", F.col("text").alias("a"), F.coalesce(F.lead("text").over(Window.orderBy("item_id")), F.lit("")).alias("b"))
+    ranked = jobs.with_rank(load(spark, sf, "benchmark").select("item_id", F.col("text").alias("a")), ["item_id"])
+    after = ranked.select((F.col("rn") - 1).alias("rn"), F.col("a").alias("b"))
+    p = ranked.join(after, "rn", "left").withColumn("b", F.coalesce("b", F.lit("")))
     return p.select("item_id", text.common_length(F.col("a"), F.col("b")).alias("head"), text.common_length(F.col("a"), F.col("b"), True).alias("tail"))
 
 
