@@ -36,6 +36,23 @@ def word_sets(rows):
     return out
 
 
+def components(rows):
+    """Least row reachable from each through alike passages, by all pairs of passages."""
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    windows = [{frozenset(tuple(w[i : i + 5]) for i in range(s, s + 46)) for s in range(len(w) - 49)} for w in rows]
+    for i, own in enumerate(windows):
+        for j in range(i):
+            if find(i) != find(j) and any(100 * len(x & y) >= 80 * len(x | y) for x in own for y in windows[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in range(len(rows))}
+
+
 def test_spans_equal_all_pairs_of_passages(spark):
     r = random.Random(5)
     base = [passage(30 + k, 90, 400) for k in range(5)]
@@ -56,8 +73,7 @@ def test_spans_equal_all_pairs_of_passages(spark):
     assert sum(map(len, found)) >= 0.97 * sum(map(len, want))
     for x in got.values():
         assert x.n_dup_words == len(found[x.doc_id]) and x.n_words == len(rows[x.doc_id])
-    ends = {x.component_id for x in got.values() if 16 > x.doc_id}
-    assert len(ends) <= 5 + sum(not w for w in want[:16])
+    assert {i: x.component_id for i, x in got.items()} == components(rows)
 
 
 def passage(seed, n, words=900):
@@ -146,3 +162,22 @@ def test_long_text_and_clashing_columns(spark):
     got = {r.doc_id: r for r in cw.repeated_passages(docs).collect()}
     assert got[0].spans == "60000-60060" and got[1].spans == "0-60" and got[0].component_id == got[1].component_id == 0
     assert got[2].spans == got[3].spans == "" and got[3].n_words == 0 and got[2].component_id == 2
+
+
+def test_repeated_rows_and_null_ids(spark):
+    shared = " ".join(passage(97, 70, 10**6))
+    rows = [(5, shared), (5, shared), (None, shared + " x"), (None, shared + " x"), (8, "other " + shared), (None, "short"), (None, None)]
+    got = cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_dup_words > 0) for r in got if r.n_words >= 50 and r.doc_id) == [(5, 5, True), (5, 5, True), (8, 5, True)]
+    assert [r.component_id for r in got if r.doc_id is None and r.n_words >= 50] == [5, 5] and len(got) == len(rows)
+
+
+def test_keys_of_many_texts_go_through_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cw, "FEW", 3)
+    monkeypatch.setattr(cw, "BLOCK", 4)
+    line = passage(98, 30, 10**6)  # a line of 30 words in every text is no passage
+    rows = [passage(300 + i, 40, 10**6) + line + passage(500 + i, 40, 10**6) for i in range(30)]
+    rows += [rows[7][:20] + passage(700, 5, 10**6) + rows[7][20:], passage(701, 40, 10**6) + rows[9][20:]]
+    data = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in cw.repeated_passages(data).collect()}
+    assert {i for i, r in got.items() if r.spans} == {7, 9, 30, 31} and got[30].component_id == 7 and got[31].component_id == 9

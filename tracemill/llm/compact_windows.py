@@ -6,8 +6,8 @@ of passages that share the minimum. The intervals of the ROWS hash functions of
 passages that share ROWS minima, and its key is equal for cells of other texts with the same minima. Texts of a key
 propose pairs: all with the least of them, a star. Every passage on the diagonals of a pair is then verified on full shingle
 sets (Jaccard 0.8). What a star can't show, a passage that fails with its hub or a key whose texts are still
-in several components, is left to a second round, in which the cells of such keys are compared in blocks by
-the shingles around them: one link for each cell that failed, and one between two components, leave a block.
+in several components, is left to a second round: keys of few texts propose the pairs of these, the cells of the others are compared in blocks by
+the shingles around them, of which one link for each cell that failed, and one between two components, leave a block.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import connected_components, deal, needed_rows as _needed
-from .shared import Words, hold, mix, slices, stage, stage_by_task, unstage
+from .shared import Words, hold, marked_rows, mix, partitions, slices, stage, stage_by_task, unstage
 
 SHINGLE, LEAST, SIMILARITY = 5, 50, 80
 #: Bands of minima: a passage pair at similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS.
@@ -24,8 +24,8 @@ ROWS, BANDS = 3, 5
 ELEMENTS = LEAST - SHINGLE + 1
 #: Equal shingles of a diagonal near an anchor: two alike passages share 41 shingles and have two changes at most, so that one stretch has as many.
 AGREE = 13
-#: Cells of a block in the second round.
-BLOCK = 512
+#: Cells of a block in the second round; a key of FEW texts at most proposes its pairs of texts instead.
+BLOCK, FEW = 512, 24
 
 
 class Sequences:
@@ -131,7 +131,7 @@ def gaps(first, n: int):
 
 
 def _rows(batches):
-    """rid, id and text with the number of words and a 64-bit class: equal for texts of equal words, null under LEAST words."""
+    """rid, id and text with the number of words and a 64-bit hash: equal for texts of equal words, null under LEAST words."""
     import hashlib
 
     import numpy as np
@@ -143,22 +143,21 @@ def _rows(batches):
             h, first = words(batch.column("text"))
             raw, n = h.tobytes(), np.diff(first)
             kind = [int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) if b - a >= LEAST else None for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "id", "text")), pa.array(n, pa.int64()), pa.array(kind, pa.int64())], names=["rid", "id", "text", "n_words", "class"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "id", "text")), pa.array(n, pa.int64()), pa.array(kind, pa.int64())], names=["rid", "id", "text", "n_words", "hash"])
 
 
 def _cells(batches):
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     sequences = Sequences()
     for whole in batches:
-        whole = whole.filter(pc.is_valid(whole.column("class")))
         for batch in slices([whole], max_bytes=384 << 10):
             x, first = sequences(batch.column("text"))
             key, c, at = cells(x, gaps(first, len(x)))
             row = np.searchsorted(first, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("class").take(pa.array(row)), pa.array((c - first[row]).astype(np.int32))], names=["key", "class", "c"])
+            key = (key >> np.uint64(16)).astype(np.int64)  # six bytes: what meets by chance is verified like the rest
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("class").take(pa.array(row)), pa.array((c - first[row]).astype(np.int32))], names=["key", "class", "c"])
 
 
 class Recent:
@@ -411,6 +410,9 @@ def _meet(table):
             if met and find(int(comp[i])) == find(int(comp[j])):
                 continue
             a, b, d = profile(i), profile(j), int(place[i] - place[j])
+            low_, high_ = max(0, d), min(len(a.x), len(b.x) + d)
+            if (a.x[low_:high_] == b.x[low_ - d : high_ - d]).sum() < AGREE:  # passages() asks for as much
+                continue
             first, final = max(0, d, int(place[i]) - ELEMENTS + 1), min(len(a.distinct), len(b.distinct) + d, int(place[i]) + 1)
             if first < final and alike(a, b, d, first, final).any():
                 met = True
@@ -438,20 +440,26 @@ def _merge(batches):
         yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(dup, pa.int64()), pa.array(out, pa.string())], names=["class", "n_dup_words", "spans"])
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (l, r, anchors) of classes with alike passages; only texts of a pair are moved."""
     pairs = stage(pairs, "pairs")
-    texts = _texts(pairs.select(F.explode(F.array("l", "r")).alias("class")), rows, classes)
+    texts = _texts(pairs.select(F.explode(F.array("l", "r")).alias("class")), rows)
     joined = pairs.join(texts.toDF("l", "ltext"), "l").join(texts.toDF("r", "rtext"), "r").select("l", "r", "ltext", "rtext", "anchors")
     out = stage(joined.mapInArrow(_verify, "l bigint, r bigint, left array<array<int>>, right array<array<int>>"), "links")
     unstage(pairs, texts)
     return out
 
 
-def _texts(needed: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, text) of the classes needed, staged: the text of one row of each."""
-    wanted = classes.join(needed.distinct(), "class", "left_semi").select("rid")
-    return _needed(rows.select("rid", "p", "class", "text"), rows, wanted, columns=("class", "text"))
+def _texts(needed: DataFrame, rows: DataFrame) -> DataFrame:
+    """(class, text) of the classes needed, staged."""
+    return _needed(rows.select("rid", "p", "text"), rows, needed.select(F.col("class").alias("rid")), columns=("rid as class", "text"))
+
+
+def _few(open_: DataFrame) -> DataFrame:
+    """(l, r, c) of the open cells (key, class, c, ask) of keys of FEW classes: each class that asks meets the others of its key, at all cells of the larger one."""
+    own = open_.groupBy("key", "class").agg(F.collect_set("c").alias("cs"), F.bool_or("ask").alias("ask"))
+    l, r = own.select("key", F.col("class").alias("l"), F.col("ask").alias("lask")), own.select("key", F.col("class").alias("r"), "cs", F.col("ask").alias("rask"))
+    return l.join(r, "key").where("l < r and (lask or rask)").select("l", "r", F.explode("cs").alias("c"))
 
 
 def _sides(links: DataFrame) -> DataFrame:
@@ -473,14 +481,15 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     0.97, equal ones always. Texts are told apart by 64-bit hashes.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stage_by_task(rows.mapInArrow(_rows, "rid bigint, id bigint, text string, n_words bigint, class bigint"), "rows")
-    classes = stage(rows.where("class is not null").groupBy("class").agg(F.min("rid").alias("rid"), F.min("id").alias("low_id"), F.max("n_words").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
-    keyed = rows.select("class", "text").mapInArrow(_cells, "key bigint, class bigint, c int")
-    # a key is met by several classes; the least of them is its hub
-    shared = keyed.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last")
-    members = stage(keyed.join(shared.hint("shuffle_hash"), "key").repartition("class", "c").dropDuplicates(["key", "class", "c"]), "members")
+    rows = stage_by_task(rows.mapInArrow(_rows, "rid bigint, id bigint, text string, n_words bigint, hash bigint"), "rows")
+    classes = stage(rows.where("hash is not null").groupBy("hash").agg(F.min("rid").alias("class"), F.min("id").alias("low_id"), F.max("n_words").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
+    reps = marked_rows(rows.select("rid", "p", "text"), rows, classes.select(F.col("class").alias("rid"))).select(F.col("rid").alias("class"), "text")
+    # All cells move once: keys are counted and met in the same partitions. The least class of a key that several have is its hub.
+    keyed = reps.mapInArrow(_cells, "key bigint, class bigint, c int").repartition(partitions(docs.sparkSession), "key")
+    shared = keyed.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("last"), F.min("c").alias("low")).where("hub < last and low >= 0")
+    members = stage(keyed.join(shared.drop("low").hint("shuffle_hash"), "key").dropDuplicates(["key", "class", "c"]), "members")
     pairs = members.where("class <> hub").groupBy(F.col("hub").alias("l"), F.col("class").alias("r")).agg(F.array_sort(F.collect_set("c")).alias("anchors"))
-    first = _verified(pairs, rows, classes)
+    first = _verified(pairs, rows)
 
     # What the star can't show: a cell whose passages failed with the hub's, or classes of a key in several components.
     # Where a key has two classes, they are the star.
@@ -496,25 +505,31 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     open_ = placed.join(state, "key").where("class <> hub").withColumn("ask", ~F.col("held") | (F.col("comp") != F.col("hub_comp")))
     open_ = stage(open_.select("key", "class", "c", "ask", "comp"), "open")
     unstage(placed, members)
-    texts = _texts(open_.select("class"), rows, classes)
-    around = open_.groupBy("class").agg(F.collect_list(F.struct("key", "c", "ask", "comp")).alias("cells")).join(texts, "class")
-    around = stage(around.mapInArrow(_around, "key bigint, class bigint, c int, ask boolean, comp bigint, around binary, place int, least int"), "around")
-    unstage(open_, texts)
+    sizes = open_.select("key", "class").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("classes"))
+    sized = stage(open_.join(sizes, "key"), "sized")
+    unstage(open_)
+    many = sized.where(F.col("classes") > FEW).drop("classes")
+    texts = _texts(many.select("class"), rows)
+    around = many.groupBy("class").agg(F.collect_list(F.struct("key", "c", "ask", "comp")).alias("cells")).join(texts, "class")
+    around = around.mapInArrow(_around, "key bigint, class bigint, c int, ask boolean, comp bigint, around binary, place int, least int")
+    around = stage(around.groupBy("key", "class", "around", "place").agg(F.min("c").alias("c"), F.bool_or("ask").alias("ask"), F.min("comp").alias("comp"), F.min("least").alias("least")), "around")
+    unstage(texts)
     counts = around.groupBy("key").agg(F.count_if("ask").alias("asks"), F.count(F.lit(1)).alias("m")).where("asks > 0")
     counts = counts.select("key", F.ceil(F.col("asks") / BLOCK).cast("int").alias("minors"), F.ceil((F.col("m") - F.col("asks")) / BLOCK).cast("int").alias("majors"))
     dealt = deal(around.join(counts, "key"), F.xxhash64("class", "c"), F.col("ask"))
     met = dealt.groupBy("key", "i", "j").applyInArrow(_meet, "l bigint, r bigint, c int")
+    met = met.unionByName(_few(sized.where(F.col("classes") <= FEW)))
     pairs = met.groupBy("l", "r").agg(F.array_sort(F.collect_set("c")).alias("anchors"))
-    second = _verified(pairs, rows, classes)
-    unstage(around, comp)
+    second = _verified(pairs, rows)
+    unstage(around, sized, comp)
 
     links = first.unionByName(second)
     comp = connected_components(links)
     placed = classes.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("component", "class"))
     roots = placed.groupBy("root").agg(F.min("low_id").alias("component_id"))
     found = placed.join(_sides(links), "class", "left").where("found is not null or copies > 1").select("class", "n", "copies", "found").mapInArrow(_merge, "class bigint, n_dup_words bigint, spans string")
-    told = stage(placed.join(roots, "root").select("class", "component_id").join(found, "class", "left"), "told")
+    told = stage(placed.join(roots, "root").select("class", "hash", "component_id").join(found, "class", "left").drop("class"), "told")
     unstage(first, second, comp, classes)
     hold(rows, told)
-    out = rows.select("id", "class", "n_words").join(told, "class", "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_dup_words", F.lit(0)).alias("n_dup_words"), F.coalesce("spans", F.lit("")).alias("spans"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = rows.select("id", "hash", "n_words").join(told, "hash", "left")
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_dup_words", F.lit(0)).alias("n_dup_words"), F.coalesce("spans", F.lit("")).alias("spans"), F.when(F.col("hash").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
