@@ -12,11 +12,11 @@ the shingles around them, of which one link for each cell that failed, and one b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .minhash import connected_components, deal, needed_rows as _needed
-from .shared import Words, hold, marked_rows, mix, partitions, slices, stage, stage_by_task, unstage
+from .shared import Words, hold, marked_rows, mix, slices, stage, stage_by_task, unstage
 
 SHINGLE, LEAST, SIMILARITY = 5, 50, 80
 #: Bands of minima: a passage pair at similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS.
@@ -25,7 +25,7 @@ ELEMENTS = LEAST - SHINGLE + 1
 #: Equal shingles of a diagonal near an anchor: two alike passages share 41 shingles and have two changes at most, so that one stretch has as many.
 AGREE = 13
 #: Cells of a block in the second round; a key of FEW texts at most proposes its pairs of texts instead.
-BLOCK, FEW = 512, 24
+BLOCK, FEW = 512, 200
 
 
 class Sequences:
@@ -456,10 +456,14 @@ def _texts(needed: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _few(open_: DataFrame) -> DataFrame:
-    """(l, r, c) of the open cells (key, class, c, ask) of keys of FEW classes: each class that asks meets the others of its key, at all cells of the larger one."""
+    """(l, r, cs) of the open cells (key, class, c, ask) of keys of FEW classes: each class that asks meets the others of its key, at all cells of the larger one.
+
+    Keys of one frequent passage hold the same texts again and again: their pairs are one pair each, with the cells of all these keys.
+    """
     own = open_.groupBy("key", "class").agg(F.collect_set("c").alias("cs"), F.bool_or("ask").alias("ask"))
-    l, r = own.select("key", F.col("class").alias("l"), F.col("ask").alias("lask")), own.select("key", F.col("class").alias("r"), "cs", F.col("ask").alias("rask"))
-    return l.join(r, "key").where("l < r and (lask or rask)").select("l", "r", F.explode("cs").alias("c"))
+    asks, every = own.where("ask").select("key", F.col("class").alias("a"), F.col("cs").alias("acs")), own.select("key", F.col("class").alias("b"), F.col("cs").alias("bcs"))
+    met = asks.join(every, "key").where("a <> b")
+    return met.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r"), F.when(F.col("a") > F.col("b"), F.col("acs")).otherwise(F.col("bcs")).alias("cs"))
 
 
 def _sides(links: DataFrame) -> DataFrame:
@@ -484,10 +488,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = stage_by_task(rows.mapInArrow(_rows, "rid bigint, id bigint, text string, n_words bigint, hash bigint"), "rows")
     classes = stage(rows.where("hash is not null").groupBy("hash").agg(F.min("rid").alias("class"), F.min("id").alias("low_id"), F.max("n_words").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = marked_rows(rows.select("rid", "p", "text"), rows, classes.select(F.col("class").alias("rid"))).select(F.col("rid").alias("class"), "text")
-    # All cells move once: keys are counted and met in the same partitions. The least class of a key that several have is its hub.
-    keyed = reps.mapInArrow(_cells, "key bigint, class bigint, c int").repartition(partitions(docs.sparkSession), "key")
-    shared = keyed.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("last"), F.min("c").alias("low")).where("hub < last and low >= 0")
-    members = stage(keyed.join(shared.drop("low").hint("shuffle_hash"), "key").dropDuplicates(["key", "class", "c"]), "members")
+    # All cells move once. The least class of a key that several have is its hub.
+    own = Window.partitionBy("key")
+    keyed = reps.mapInArrow(_cells, "key bigint, class bigint, c int").select("*", F.min("class").over(own).alias("hub"), F.max("class").over(own).alias("last"))
+    members = stage(keyed.where("hub < last").dropDuplicates(["key", "class", "c"]), "members")
     pairs = members.where("class <> hub").groupBy(F.col("hub").alias("l"), F.col("class").alias("r")).agg(F.array_sort(F.collect_set("c")).alias("anchors"))
     first = _verified(pairs, rows)
 
@@ -518,8 +522,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     counts = counts.select("key", F.ceil(F.col("asks") / BLOCK).cast("int").alias("minors"), F.ceil((F.col("m") - F.col("asks")) / BLOCK).cast("int").alias("majors"))
     dealt = deal(around.join(counts, "key"), F.xxhash64("class", "c"), F.col("ask"))
     met = dealt.groupBy("key", "i", "j").applyInArrow(_meet, "l bigint, r bigint, c int")
-    met = met.unionByName(_few(sized.where(F.col("classes") <= FEW)))
-    pairs = met.groupBy("l", "r").agg(F.array_sort(F.collect_set("c")).alias("anchors"))
+    met = met.select("l", "r", F.array("c").alias("cs")).unionByName(_few(sized.where(F.col("classes") <= FEW)))
+    pairs = met.groupBy("l", "r").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("cs")))).alias("anchors"))
     second = _verified(pairs, rows)
     unstage(around, sized, comp)
 
