@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tracemill.functions import text, vectors
-from tracemill.operators import events, jobs, spans
+from tracemill.operators import events, jobs, literals, spans
 from tracemill.sources.versions import Store
 
 
@@ -26,7 +26,7 @@ def test_occurrences_step_by_length_and_start_anywhere(spark):
     assert spans.occurrences(docs.limit(0), needles, key="d", text="t", needle_key="n", needle="t").count() == 0
 
 
-def test_needles_meet_texts_by_inner_words_and_by_first_characters(spark):
+def test_needles_meet_texts_by_inner_words_and_by_first_characters(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "alpha beta gamma")], "d int, t string")
     needles = spark.createDataFrame([(i, w) for i, w in enumerate("alpha beta gamma pha eta mm".split())], "n int, t string")
     got = {tuple(r) for r in spans.occurrences(docs, needles, key="d", text="t", needle_key="n", needle="t").select("n", "start").collect()}
@@ -43,7 +43,11 @@ def test_needles_meet_texts_by_inner_words_and_by_first_characters(spark):
                 expected.append((d, n, at, at + len(x)))
                 at = t.find(x, at + len(x))
     found = spans.occurrences(spark.createDataFrame(texts, "d int, t string"), spark.createDataFrame(wanted, "n int, t string"), key="d", text="t", needle_key="n", needle="t")
-    assert sorted(map(tuple, found.select("d", "n", "start", "end").collect())) == sorted(expected)
+    rows = sorted(map(tuple, found.select("d", "n", "start", "end").collect()))
+    assert rows == sorted(expected)
+    monkeypatch.setattr(literals, "BROADCAST_WORDS", 2)  # more words than are broadcast
+    found = spans.occurrences(spark.createDataFrame(texts, "d int, t string"), spark.createDataFrame(wanted, "n int, t string"), key="d", text="t", needle_key="n", needle="t")
+    assert sorted(map(tuple, found.select("d", "n", "start", "end").collect())) == rows
 
 
 def test_vector_functions_in_time_proportional_to_length(spark):

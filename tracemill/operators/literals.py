@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: As many different words of patterns (a few MB) go to all tasks; with more, the words of texts are dealt out to meet them.
+BROADCAST_WORDS = 100_000
 #: Needles without a whole word inside meet texts by their first characters, this many at most.
 GRAM = 6
 
@@ -17,7 +19,9 @@ def meet(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Distinct (h, p) of texts (h, words) and patterns (p, words) that share the pattern's rarest word. Null and empty words meet nothing."""
     spread = lambda df, key: df.select(key, F.explode(F.array_distinct("words")).alias("word"))
     needed = spread(patterns, "p")
-    held = spread(texts, "h").join(needed.select("word").distinct(), "word", "left_semi")
+    wanted = needed.select("word").distinct()
+    few = wanted.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    held = spread(texts, "h").join(F.broadcast(wanted) if few else wanted, "word", "left_semi")
     rare = needed.join(held.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word").groupBy("p").agg(F.min_by("word", F.struct("n", "word")).alias("word"), F.count(F.lit(1)).alias("found"))
     every = needed.groupBy("p").agg(F.count(F.lit(1)).alias("words"))
     anchors = rare.join(every, "p").where("found = words").select("p", "word")  # a word that no text holds ends it
