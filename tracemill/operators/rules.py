@@ -67,10 +67,9 @@ def apply(responses: DataFrame, rules: DataFrame, *, key: str, text_col: str, me
     needed = F.col("words") if "words" in rules.columns else F.lit(None).cast("array<string>")
     own = rules.select("pattern", F.xxhash64("pattern").alias("p"), F.coalesce(needed, F.array().cast("array<string>")).alias("words"))
     rows = responses.where(F.length(text_col) > 0).select(F.col(key).alias("_key"), F.col(text_col).alias("_text"), F.xxhash64(key, text_col).alias("h"))
-    words = rows.select("h", F.regexp_extract_all("_text", F.lit(r"(?U)\w+"), F.lit(0)).alias("words"))
     bound = own.where(F.size("words") > 0)
-    pairs = literals.meet(words, bound.select("p", "words"))
-    tried = rows.join(pairs, "h").join(bound.select("p", "pattern"), "p").select("_key", "_text", F.array("pattern").alias("patterns"))
+    met = literals.meet(rows.withColumn("words", F.regexp_extract_all("_text", F.lit(r"(?U)\w+"), F.lit(0))), bound.select("p", "words"))
+    tried = met.join(bound.select("p", "pattern"), "p").select("_key", "_text", F.array("pattern").alias("patterns"))
     free = own.where(F.size("words") == 0)
     n = free.count()
     if n:

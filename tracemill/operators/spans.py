@@ -28,8 +28,8 @@ def occurrences(docs: DataFrame, needles: DataFrame, *, key: str, text: str, nee
     """
     rows = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
     found = needles.where(F.length(needle) > 0).select(F.col(needle).alias("needle"), F.col(needle_key).alias("name"), F.xxhash64(needle).alias("p"))
-    pairs = literals.candidates(rows.select("h", "text"), found.select("p", "needle").distinct())
-    both = rows.join(pairs, "h").join(found, "p").where(F.contains("text", F.col("needle")))
+    met = literals.candidates(rows, found.select("p", "needle").distinct())
+    both = met.join(found, "p").where(F.contains("text", F.col("needle")))
     cut = both.select("key", "name", F.length("needle").cast("long").alias("n"), F.explode(_places("text", "needle")).alias("start"))
     return cut.select(F.col("key").alias(key), F.col("name").alias(needle_key), "start", (F.col("start") + F.col("n")).alias("end"))
 
