@@ -108,8 +108,10 @@ def fn_gold_mask(spark, sf):
 
 @query()
 def fn_gold_mask_all(spark, sf):
-    docs = load(spark, sf, "documents")
-    return gold_mask(spans.tokens(docs, "doc_id", "text"), gold(spark, sf))
+    """Tokens are counted in place; those of documents with gold alone become rows."""
+    hit = gold_mask(*gold_tokens(spark, sf)).select("doc_id", "gold_tokens")
+    n = load(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n")).where("n > 0").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"))
+    return n.join(hit, "doc_id", "left").select("doc_id", "n_tokens", F.coalesce("gold_tokens", F.lit(0)).alias("gold_tokens"))
 
 
 @query(f"""WITH {GOLD_SQL} SELECT d.doc_id, d.lang, l.toxic, count(g.item_id) AS n_spans, count(g.item_id) > 0 AS leaks FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN gold g USING (doc_id) GROUP BY ALL""")
