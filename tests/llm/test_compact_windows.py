@@ -181,3 +181,31 @@ def test_keys_of_many_texts_go_through_blocks(spark, monkeypatch):
     data = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r for r in cw.repeated_passages(data).collect()}
     assert {i for i, r in got.items() if r.spans} == {7, 9, 30, 31} and got[30].component_id == 7 and got[31].component_id == 9
+
+
+def test_distinct_shingles_among_some_equal_brute_force():
+    r = np.random.default_rng(4)
+    for n, high in ((46, 9), (60, 1000), (200, 30), (200, 4), (30, 9)):
+        x = r.integers(1, high, n).astype(np.uint64)
+        t, those = cw.Profile(x), x % 3 == 0
+        assert t.distinct_of(those).tolist() == [len({*x[s : s + 46][those[s : s + 46]].tolist()}) for s in range(n - 45)]
+
+
+def test_changed_copies_of_a_passage_make_no_pairs_of_texts(spark, monkeypatch):
+    """Each text has changes of its own in every passage, so that none is alike with another; two share one passage as it is."""
+    asked, verified = [], cw._verified
+    monkeypatch.setattr(cw, "_verified", lambda pairs, rows: asked.append(pairs.count()) or verified(pairs, rows))
+    base, rows = passage(110, 400, 10**6), []
+    for i in range(40):
+        w = list(base)
+        for at in range(i % 7, len(w), 18):
+            w[at] = f"own{i}x{at}"
+        rows.append(w)
+    rows[33][200:260] = rows[21][200:260] = base[200:260]
+    data = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in cw.repeated_passages(data).collect()}
+    want = word_sets([rows[i][140:320] for i in (21, 33)])
+    for i, words in zip((21, 33), want):
+        assert {k for s in got[i].spans.split(",") for k in range(*map(int, s.split("-")))} == {k + 140 for k in words}
+    assert {i for i, r in got.items() if r.spans} == {21, 33} and got[33].component_id == 21
+    assert asked[1] <= 2  # all pairs of texts that share a key before

@@ -6,8 +6,8 @@ of passages that share the minimum. The intervals of the ROWS hash functions of
 passages that share ROWS minima, and its key is equal for cells of other texts with the same minima. Texts of a key
 propose pairs: all with the least of them, a star. Every passage on the diagonals of a pair is then verified on full shingle
 sets (Jaccard 0.8). What a star can't show, a passage that fails with its hub or a key whose texts are still
-in several components, is left to a second round: keys of few texts propose the pairs of these, the cells of the others are compared in blocks by
-the shingles around them, of which one link for each cell that failed, and one between two components, leave a block.
+in several components, is left to a second round. Shingles around such cells that no other text has there rule out most of their passages; the cells left
+are compared in blocks by the shingles around them, of which one link for each cell that failed, and one between two components, leave a block.
 """
 
 from __future__ import annotations
@@ -24,8 +24,12 @@ ROWS, BANDS = 3, 5
 ELEMENTS = LEAST - SHINGLE + 1
 #: Equal shingles of a diagonal near an anchor: two alike passages share 41 shingles and have two changes at most, so that one stretch has as many.
 AGREE = 13
-#: Cells of a block in the second round; a key of FEW texts at most proposes its pairs of texts instead.
-BLOCK, FEW = 512, 200
+#: Of two alike passages without a repeated shingle, the shingles in both.
+COMMON = -(-2 * SIMILARITY * ELEMENTS // (100 + SIMILARITY))
+#: Cells of a block in the second round, and the links that a cell that asks leaves in a block beside those between components.
+BLOCK, FEW = 512, 2
+#: Cells of a bucket of their shingles, of which there are some ten times as many.
+BUCKET = 1 << 14
 
 
 class Sequences:
@@ -198,6 +202,33 @@ class Profile:
         np.add.at(change, early[near] + 1, -1)
         self.distinct = ELEMENTS - np.cumsum(change)[: max(0, n - ELEMENTS + 1)]
 
+    def distinct_of(self, those):
+        """Of each passage the distinct shingles among those, which hold all places of a shingle or none."""
+        import numpy as np
+
+        n, at = len(self.distinct), self.order[those[self.order]]
+        again = np.zeros(len(at), bool)
+        again[1:] = self.x[at[1:]] == self.x[at[:-1]]
+        before = np.where(again, np.roll(at, 1), -1)
+        begin, end = np.maximum(at - ELEMENTS, before) + 1, np.minimum(at, n - 1)  # passages of which it is the first place
+        fit = (begin <= end) & (end >= 0)
+        begin, end = np.maximum(begin[fit], 0), end[fit]
+        return np.cumsum(np.bincount(begin, minlength=n + 1) - np.bincount(end + 1, minlength=n + 1))[:n]
+
+    def covered(self, at):
+        """True at the shingles of the passages that begin in at."""
+        import numpy as np
+
+        n = len(self.x)
+        return np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + ELEMENTS, minlength=n + 1))[:n] > 0
+
+    def beside(self, cs):
+        """True at the shingles of the passages that hold one of the places cs."""
+        import numpy as np
+
+        n, wide = len(self.x), ELEMENTS - 1
+        return np.cumsum(np.bincount(np.maximum(cs - wide, 0), minlength=n + 1) - np.bincount(np.minimum(cs + wide + 1, n), minlength=n + 1))[:n] > 0
+
 
 def alike(a: Profile, b: Profile, d: int, low: int, high: int):
     """For each passage of a that begins in low..high - 1: is it alike with that of b which begins d earlier? Both exist."""
@@ -352,74 +383,165 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column("l").take(keep), batch.column("r").take(keep), pa.array(left, kind), pa.array(right, kind)], names=["l", "r", "left", "right"])
 
 
+def _marks(buckets: int):
+    """The distinct shingles beside the cells of a class by bucket: 63 bits of each and one that marks those in a passage with a repeated shingle."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        profile = Recent(0)
+        for batch in slices(batches):
+            bucket, owner, out = [], [], []
+            for own, cs, text in zip(*(batch.column(c).to_pylist() for c in ("class", "cs", "text"))):
+                t = profile(own, text)
+                poor = t.covered(np.flatnonzero(t.distinct < ELEMENTS))
+                marks = np.unique((t.x & ~np.uint64(1) | poor)[t.beside(np.array(cs))])
+                marks = marks[np.append(marks[1:] >> np.uint64(1) != marks[:-1] >> np.uint64(1), True)]
+                of = (mix(marks >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(of, kind="stable")
+                cuts = np.searchsorted(of[order], np.arange(buckets + 1))
+                for i in np.flatnonzero(np.diff(cuts)).tolist():
+                    bucket.append(i)
+                    owner.append(own)
+                    out.append(marks[order[cuts[i] : cuts[i + 1]]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(owner, pa.int64()), pa.array(out, pa.binary())], names=["bucket", "class", "marks"])
+
+    return run
+
+
+def _shared(table):
+    """The marks of a bucket that several classes have, by class; a shingle is marked for all if it is for one."""
+    import numpy as np
+    import pyarrow as pa
+
+    own = [np.frombuffer(x, np.uint64) for x in table.column("marks").to_pylist()]
+    value, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    begin = np.flatnonzero(np.append(True, value[1:] >> np.uint64(1) != value[:-1] >> np.uint64(1)))
+    count = np.diff(np.append(begin, len(value)))
+    keep = np.repeat(count > 1, count)
+    value, owner = np.repeat(value[begin + count - 1], count)[keep], owner[keep]
+    value = value[np.argsort(owner, kind="stable")]
+    cuts = np.cumsum([0, *np.bincount(owner, minlength=len(own))]).tolist()
+    return pa.table({"class": table.column("class"), "marks": pa.array([value[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+
+
+def _hopeful(batches):
+    """The cells (class, c) in a passage of which the shingles that no other class has beside its cells don't rule out an alike one."""
+    import numpy as np
+    import pyarrow as pa
+
+    profile = Recent(0)
+    for batch in slices(batches):
+        owner, at = [], []
+        for own, cs, text, marks in zip(*(batch.column(c).to_pylist() for c in ("class", "cs", "text", "marks"))):
+            t, cs, known = profile(own, text), np.array(cs), np.sort(np.frombuffer(b"".join(marks), np.uint64))
+            if not len(known):
+                continue
+            found = known[np.minimum(np.searchsorted(known >> np.uint64(1), t.x >> np.uint64(1)), len(known) - 1)]
+            there = found >> np.uint64(1) == t.x >> np.uint64(1)
+            left = t.distinct - t.distinct_of(~there)
+            poor = np.cumsum(np.concatenate([[0], there & (found & np.uint64(1) > 0)]))
+            hope = (100 * left >= SIMILARITY * t.distinct) & ((left >= COMMON) | (poor[ELEMENTS:] > poor[:-ELEMENTS]))
+            total, last = np.concatenate([[0], np.cumsum(hope)]), len(hope) - 1
+            cs = cs[total[np.minimum(cs, last) + 1] > total[np.maximum(cs - ELEMENTS + 1, 0)]]
+            owner += [own] * len(cs)
+            at += cs.tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(at, pa.int32())], names=["class", "c"])
+
+
 def _around(batches):
-    """For each cell of a text 32 bits of each shingle around its place, where the place is among them, and the fewest distinct shingles of a passage that holds it."""
+    """For each place of a text 32 bits of each shingle around it, where it is among them, and the fewest distinct shingles of a passage that holds it."""
     import numpy as np
     import pyarrow as pa
 
     wide, profile = ELEMENTS - 1, Recent(0)
     for batch in slices(batches):
-        out = {name: [] for name in ("key", "class", "c", "ask", "comp", "around", "place", "least")}
-        for own, text, cells_ in zip(*(batch.column(c).to_pylist() for c in ("class", "text", "cells"))):
+        out = {name: [] for name in ("class", "c", "around", "place", "least")}
+        for own, text, cs in zip(*(batch.column(c).to_pylist() for c in ("class", "text", "cs"))):
             t = profile(own, text)
             bits = (t.x >> np.uint64(32)).astype(np.uint32)
-            for cell in cells_:
-                c = cell["c"]
+            for c in cs:
                 out["around"].append(bits[max(0, c - wide) : c + wide + 1].tobytes())
                 out["place"].append(min(c, wide))
                 out["least"].append(int(t.distinct[max(0, c - wide) : c + 1].min()))
                 out["class"].append(own)
-                for name in ("key", "c", "ask", "comp"):
-                    out[name].append(cell[name])
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+                out["c"].append(c)
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
 
-def _meet(table):
-    """Links of cells with role 0 or 2 to cells with role 1 or 2 whose surroundings have alike passages: one for each that asks, then none twice between two components.
+def _meet(few: int):
+    """Links of cells with role 0 or 2 to cells with role 1 or 2 whose surroundings have alike passages: the closest few for each that asks, then none twice between two components.
 
-    Only surroundings that share as many shingles as alike passages must are compared.
+    Only surroundings with a passage that holds as many of the other's shingles as alike passages must are compared; as many equal places on
+    the diagonal of two cells suffice where no shingle is repeated.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    own, c, comp, place, least, role = (table.column(x).to_numpy() for x in ("class", "c", "comp", "place", "least", "role"))
-    around = [np.frombuffer(x, np.uint32) for x in table.column("around").to_pylist()]
-    others = np.flatnonzero(role != 0)
-    low = (np.concatenate([around[i] for i in others]) if len(others) else np.empty(0, np.uint32)) >> np.uint32(16)
-    edge = np.cumsum([0, *(len(around[i]) for i in others)])[:-1]
-    seen, out, root, profiles = np.zeros(1 << 16, np.int32), set(), {}, {}
 
-    def find(x):
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
 
-    def profile(i):
-        if i not in profiles:
-            profiles[i] = Profile(around[i].astype(np.uint64))
-        return profiles[i]
-
-    for i in np.flatnonzero(role != 1).tolist():
-        seen[around[i] >> np.uint32(16)] = 1
-        both = np.add.reduceat(seen[low], edge) if len(others) else edge
-        seen[around[i] >> np.uint32(16)] = 0
-        hope = (100 * both >= SIMILARITY * np.maximum(least[others], least[i])) & (own[others] != own[i])
-        met = False
-        for j in others[hope][np.argsort(-both[hope], kind="stable")].tolist():
-            if met and find(int(comp[i])) == find(int(comp[j])):
-                continue
+        own, c, comp, place, least, role, ask = (table.column(x).to_numpy() for x in ("class", "c", "comp", "place", "least", "role", "ask"))
+        wide, profiles, out = ELEMENTS - 1, {}, set()
+        x = np.zeros((len(own), 2 * wide + 1), np.int64)  # all cells in one column; 0 is no shingle
+        for row, around, at in zip(x, table.column("around").to_pylist(), place.tolist()):
+            around = np.frombuffer(around, np.uint32)
+            row[wide - at : wide - at + len(around)] = around.astype(np.int64) + 1
+        low = np.where(x > 0, (x - 1 & 0xFFFF) + 1, 0)
+        seen = np.zeros((1 << 16) + 1, np.int16)
+        _, root = np.unique(comp, return_inverse=True)
+        told = np.flatnonzero(role != 0)
+
+        def most(flags):
+            """Of each row the most flags in a passage that holds the cell."""
+            total = np.zeros((len(flags), 2 * wide + 2), np.int16)
+            np.cumsum(flags, axis=1, dtype=np.int16, out=total[:, 1:])
+            return (total[:, ELEMENTS:] - total[:, :-ELEMENTS]).max(1)
+
+        def profile(i):
+            if i not in profiles:
+                profiles[i] = Profile((x[i][x[i] > 0] - 1).astype(np.uint64))
+            return profiles[i]
+
+        def compared(i, j):
             a, b, d = profile(i), profile(j), int(place[i] - place[j])
             low_, high_ = max(0, d), min(len(a.x), len(b.x) + d)
             if (a.x[low_:high_] == b.x[low_ - d : high_ - d]).sum() < AGREE:  # passages() asks for as much
-                continue
+                return False
             first, final = max(0, d, int(place[i]) - ELEMENTS + 1), min(len(a.distinct), len(b.distinct) + d, int(place[i]) + 1)
-            if first < final and alike(a, b, d, first, final).any():
-                met = True
-                root[find(int(comp[i]))] = find(int(comp[j]))
-                out.add((int(own[i]), int(own[j]), int(c[j])) if own[i] < own[j] else (int(own[j]), int(own[i]), int(c[i])))
-    l, r, at = zip(*out) if out else ((), (), ())
-    return pa.table({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64()), "c": pa.array(at, pa.int32())})
+            return first < final and alike(a, b, d, first, final).any()
+
+        for i in np.flatnonzero((role != 1) & ask).tolist():
+            others = told[own[told] != own[i]]
+            seen[low[i]] = 1
+            seen[0] = 0
+            both = most(seen[low[others]])
+            seen[low[i]] = 0
+            full = np.minimum(least[others], least[i]) == ELEMENTS
+            hope = both >= np.where(full, COMMON, SIMILARITY * np.maximum(least[others], least[i]) / 100)
+            others, both, full = others[hope], both[hope], full[hope]
+            order = np.argsort(-both, kind="stable")
+            others, full = others[order], full[order]
+            sure = full & (most((x[others] == x[i]) & (x[i] > 0)) >= COMMON)
+            rest, links = np.ones(len(others), bool), 0
+            while True:
+                left = np.flatnonzero(rest if links < few else rest & (root[others] != root[i]))
+                if not len(left):
+                    break
+                k = int(left[sure[left].argmax()])  # what needs no comparison first
+                rest[k] = False
+                j = int(others[k])
+                if sure[k] or compared(i, j):
+                    links += 1
+                    root[root == root[i]] = root[j]
+                    out.add((int(own[i]), int(own[j]), int(c[j])) if own[i] < own[j] else (int(own[j]), int(own[i]), int(c[i])))
+        l, r, at = zip(*out) if out else ((), (), ())
+        return pa.table({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64()), "c": pa.array(at, pa.int32())})
+
+    return run
 
 
 def _merge(batches):
@@ -455,15 +577,35 @@ def _texts(needed: DataFrame, rows: DataFrame) -> DataFrame:
     return _needed(rows.select("rid", "p", "text"), rows, needed.select(F.col("class").alias("rid")), columns=("rid as class", "text"))
 
 
-def _few(open_: DataFrame) -> DataFrame:
-    """(l, r, cs) of the open cells (key, class, c, ask) of keys of FEW classes: each class that asks meets the others of its key, at all cells of the larger one.
+def _open(cells: DataFrame) -> DataFrame:
+    """The cells (key, class, c, comp, held) of keys whose classes are in several components, or of which one is not held; ask: not held, or not in the component of the key's least class."""
+    own = Window.partitionBy("key")
+    first, last = F.min("class").over(own).alias("first"), F.max("class").over(own).alias("last")
+    state = (F.min("comp").over(own).alias("comp0"), F.max("comp").over(own).alias("comp1"), F.min("held").over(own).alias("all"), F.min(F.struct("class", "comp")).over(own)["comp"].alias("main"))
+    out = cells.select("*", first, last, *state).where("first < last and (comp0 < comp1 or not all)")
+    return out.select("key", "class", "c", "comp", "held", (~F.col("held") | (F.col("comp") != F.col("main"))).alias("ask"))
+
+
+def _met(cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """(l, r, anchors) of the classes that cells (key, class, c, comp, held) of one key link, as in _meet(); every cell meets those that ask.
 
-    Keys of one frequent passage hold the same texts again and again: their pairs are one pair each, with the cells of all these keys.
+    Cells in no passage that can be alike with another's drop out before: too many shingles there are no other class's.
     """
-    own = open_.groupBy("key", "class").agg(F.collect_set("c").alias("cs"), F.bool_or("ask").alias("ask"))
-    asks, every = own.where("ask").select("key", F.col("class").alias("a"), F.col("cs").alias("acs")), own.select("key", F.col("class").alias("b"), F.col("cs").alias("bcs"))
-    met = asks.join(every, "key").where("a <> b")
-    return met.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r"), F.when(F.col("a") > F.col("b"), F.col("acs")).otherwise(F.col("bcs")).alias("cs"))
+    places = cells.groupBy("class").agg(F.collect_set("c").alias("cs"))
+    texts = _texts(places.select("class"), rows)
+    spots = stage(places.join(texts, "class"), "spots")
+    buckets = 1 + (spots.agg(F.sum(F.size("cs"))).first()[0] or 0) // BUCKET
+    marks = spots.mapInArrow(_marks(buckets), "bucket int, class bigint, marks binary").groupBy("bucket").applyInArrow(_shared, "class bigint, marks binary")
+    marks = marks.groupBy("class").agg(F.collect_list("marks").alias("marks"))
+    hopeful = spots.join(marks, "class").mapInArrow(_hopeful, "class bigint, c int")
+    left = stage(_open(cells.join(hopeful, ["class", "c"])), "left")
+    near = left.groupBy("class").agg(F.collect_set("c").alias("cs")).join(texts, "class").mapInArrow(_around, "class bigint, c int, around binary, place int, least int")
+    counts = left.groupBy("key").agg(F.count_if("ask").alias("asks"), F.count(F.lit(1)).alias("m"))
+    counts = counts.select("key", F.ceil(F.col("asks") / BLOCK).cast("int").alias("minors"), F.ceil((F.col("m") - F.col("asks")) / BLOCK).cast("int").alias("majors"))
+    dealt = deal(left.join(counts, "key").join(near, ["class", "c"]), F.xxhash64("class", "c"), F.col("ask"))
+    met = stage(dealt.groupBy("key", "i", "j").applyInArrow(_meet(FEW), "l bigint, r bigint, c int").groupBy("l", "r").agg(F.array_sort(F.collect_set("c")).alias("anchors")), "met")
+    unstage(texts, spots, left)
+    return met
 
 
 def _sides(links: DataFrame) -> DataFrame:
@@ -490,8 +632,9 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     reps = marked_rows(rows.select("rid", "p", "text"), rows, classes.select(F.col("class").alias("rid"))).select(F.col("rid").alias("class"), "text")
     # All cells move once. The least class of a key that several have is its hub.
     own = Window.partitionBy("key")
-    keyed = reps.mapInArrow(_cells, "key bigint, class bigint, c int").select("*", F.min("class").over(own).alias("hub"), F.max("class").over(own).alias("last"))
-    members = stage(keyed.where("hub < last").dropDuplicates(["key", "class", "c"]), "members")
+    keyed = reps.mapInArrow(_cells, "key bigint, class bigint, c int").select("*", F.min("class").over(own).alias("hub"), F.max("class").over(own).alias("last")).where("hub < last")
+    third = F.max((F.col("class") != F.col("hub")) & (F.col("class") != F.col("last"))).over(own).alias("third")
+    members = stage(keyed.select("key", "class", "c", "hub", third).dropDuplicates(["key", "class", "c"]), "members")
     pairs = members.where("class <> hub").groupBy(F.col("hub").alias("l"), F.col("class").alias("r")).agg(F.array_sort(F.collect_set("c")).alias("anchors"))
     first = _verified(pairs, rows)
 
@@ -499,33 +642,12 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # Where a key has two classes, they are the star.
     comp = connected_components(first)
     covered = F.exists("found", lambda x: (x[0] <= F.col("c")) & (F.col("c") < x[1]))
-    placed = members.join(_sides(first), "class", "left").select("key", "class", "c", "hub", "last", F.coalesce(covered, F.lit(False)).alias("held"))
+    placed = members.where("third").join(_sides(first), "class", "left").select("key", "class", "c", "hub", F.coalesce(covered, F.lit(False)).alias("held"))
     placed = placed.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
-    placed = stage(placed, "placed")
-    state = placed.groupBy("key").agg(
-        F.max(F.when(F.col("class") == F.col("hub"), F.col("comp"))).alias("hub_comp"), F.min("comp").alias("comp0"), F.max("comp").alias("comp1"), F.min("held").alias("held"),
-        F.max((F.col("class") != F.col("hub")) & (F.col("class") != F.col("last"))).alias("third"), F.count(F.lit(1)).alias("m"),
-    ).where("third and (comp0 < comp1 or not held)").select("key", "hub_comp", "m")
-    open_ = placed.join(state, "key").where("class <> hub").withColumn("ask", ~F.col("held") | (F.col("comp") != F.col("hub_comp")))
-    open_ = stage(open_.select("key", "class", "c", "ask", "comp"), "open")
-    unstage(placed, members)
-    sizes = open_.select("key", "class").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("classes"))
-    sized = stage(open_.join(sizes, "key"), "sized")
-    unstage(open_)
-    many = sized.where(F.col("classes") > FEW).drop("classes")
-    texts = _texts(many.select("class"), rows)
-    around = many.groupBy("class").agg(F.collect_list(F.struct("key", "c", "ask", "comp")).alias("cells")).join(texts, "class")
-    around = around.mapInArrow(_around, "key bigint, class bigint, c int, ask boolean, comp bigint, around binary, place int, least int")
-    around = stage(around.groupBy("key", "class", "around", "place").agg(F.min("c").alias("c"), F.bool_or("ask").alias("ask"), F.min("comp").alias("comp"), F.min("least").alias("least")), "around")
-    unstage(texts)
-    counts = around.groupBy("key").agg(F.count_if("ask").alias("asks"), F.count(F.lit(1)).alias("m")).where("asks > 0")
-    counts = counts.select("key", F.ceil(F.col("asks") / BLOCK).cast("int").alias("minors"), F.ceil((F.col("m") - F.col("asks")) / BLOCK).cast("int").alias("majors"))
-    dealt = deal(around.join(counts, "key"), F.xxhash64("class", "c"), F.col("ask"))
-    met = dealt.groupBy("key", "i", "j").applyInArrow(_meet, "l bigint, r bigint, c int")
-    met = met.select("l", "r", F.array("c").alias("cs")).unionByName(_few(sized.where(F.col("classes") <= FEW)))
-    pairs = met.groupBy("l", "r").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("cs")))).alias("anchors"))
-    second = _verified(pairs, rows)
-    unstage(around, sized, comp)
+    open_ = stage(_open(placed.where("class <> hub").drop("hub")), "open")
+    met = _met(open_, rows)
+    second = _verified(met, rows)
+    unstage(members, open_, met, comp)
 
     links = first.unionByName(second)
     comp = connected_components(links)
