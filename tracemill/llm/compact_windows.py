@@ -474,7 +474,7 @@ def _around(batches):
 
 
 def _meet(few: int):
-    """Links of cells with role 0 or 2 to cells with role 1 or 2 whose surroundings have alike passages: the closest few for each that asks, then none twice between two components.
+    """Links of cells with role 0 or 2 to cells with role 1 or 2 whose surroundings have alike passages: the closest few for each that asks and is not held, else none twice between two components.
 
     Only surroundings with a passage that holds as many of the other's shingles as alike passages must are compared; as many equal places on
     the diagonal of two cells suffice where no shingle is repeated.
@@ -484,7 +484,7 @@ def _meet(few: int):
         import numpy as np
         import pyarrow as pa
 
-        own, c, comp, place, least, role, ask = (table.column(x).to_numpy() for x in ("class", "c", "comp", "place", "least", "role", "ask"))
+        own, c, comp, place, least, role, ask, held = (table.column(x).to_numpy() for x in ("class", "c", "comp", "place", "least", "role", "ask", "held"))
         wide, profiles, out = ELEMENTS - 1, {}, set()
         x = np.zeros((len(own), 2 * wide + 1), np.int64)  # all cells in one column; 0 is no shingle
         for row, around, at in zip(x, table.column("around").to_pylist(), place.tolist()):
@@ -494,6 +494,7 @@ def _meet(few: int):
         seen = np.zeros((1 << 16) + 1, np.int16)
         _, root = np.unique(comp, return_inverse=True)
         told = np.flatnonzero(role != 0)
+        low_told, own_told, least_told, flags = np.ascontiguousarray(low[told]), own[told], least[told], np.empty((len(told), 2 * wide + 1), np.int16)
 
         def most(flags):
             """Of each row the most flags in a passage that holds the cell."""
@@ -515,18 +516,22 @@ def _meet(few: int):
             return first < final and alike(a, b, d, first, final).any()
 
         for i in np.flatnonzero((role != 1) & ask).tolist():
-            others = told[own[told] != own[i]]
+            if held[i] and (root[told] == root[i]).all():
+                continue
             seen[low[i]] = 1
             seen[0] = 0
-            both = most(seen[low[others]])
+            np.take(seen, low_told, out=flags, mode="clip")
             seen[low[i]] = 0
-            full = np.minimum(least[others], least[i]) == ELEMENTS
-            hope = both >= np.where(full, COMMON, SIMILARITY * np.maximum(least[others], least[i]) / 100)
-            others, both, full = others[hope], both[hope], full[hope]
+            full = np.minimum(least_told, least[i]) == ELEMENTS
+            need = np.where(full, COMMON, SIMILARITY * np.maximum(least_told, least[i]) / 100)
+            hope = np.flatnonzero((own_told != own[i]) & (flags.sum(1, dtype=np.int16) >= need))  # in all, before passage by passage
+            both = most(flags[hope])
+            fit = both >= need[hope]
+            others, both, full = told[hope[fit]], both[fit], full[hope[fit]]
             order = np.argsort(-both, kind="stable")
             others, full = others[order], full[order]
             sure = full & (most((x[others] == x[i]) & (x[i] > 0)) >= COMMON)
-            rest, links = np.ones(len(others), bool), 0
+            rest, links = np.ones(len(others), bool), few if held[i] else 0
             while True:
                 left = np.flatnonzero(rest if links < few else rest & (root[others] != root[i]))
                 if not len(left):
