@@ -209,3 +209,40 @@ def test_changed_copies_of_a_passage_make_no_pairs_of_texts(spark, monkeypatch):
         assert {k for s in got[i].spans.split(",") for k in range(*map(int, s.split("-")))} == {k + 140 for k in words}
     assert {i for i, r in got.items() if r.spans} == {21, 33} and got[33].component_id == 21
     assert asked[1] <= 2  # all pairs of texts that share a key before
+
+
+def test_shared_shingles_of_cells_equal_brute_force():
+    r = np.random.default_rng(6)
+    for high in (3, 40, 10**6):
+        around, place = [], []
+        for _ in range(12):
+            before, behind = r.integers(0, 46, 2)
+            around.append(r.integers(1, high, before + behind + 1).astype(np.uint32))
+            place.append(before)
+        least = np.array([min([len({*a[s : s + 46].tolist()}) for s in range(max(0, len(a) - 45))], default=0) for a in around])
+        x, _, bits, valid = cw._passages_of_cells([a.tobytes() for a in around], np.array(place), least)
+        for i, own in enumerate(around):
+            at = lambda k, s: {*around[k][max(0, s - 45 + place[k]) : s + 1 + place[k]].tolist()}
+            assert valid[i].tolist() == [0 <= s - 45 + place[i] and s + place[i] < len(own) for s in range(46)]
+            for j in range(i + 1):
+                masks = {}
+                for v, m in zip(x[j].tolist(), bits[j].tolist()):
+                    masks[v] = masks.get(v, 0) | m * (v > 0)
+                both = cw._counts(np.array([[masks.get(v, 0) & m for v, m in zip(x[i].tolist(), bits[i].tolist())]], np.uint64))[0]
+                assert both.tolist() == [len(at(i, s) & at(j, s)) for s in range(46)]
+
+
+def test_links_of_a_cell_show_all_its_alike_passages():
+    """Two texts have the left of what is around a cell as it is, a third has its right with two changes; all are one component."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    new = lambda: r.integers(1, 1 << 32, 91).astype(np.uint32)
+    around = [new() for _ in range(4)]
+    for other in around[1:3]:
+        other[:61] = around[0][:61]
+    around[3][[k for k in range(42, 91) if k not in (50, 70)]] = [around[0][k] for k in range(42, 91) if k not in (50, 70)]
+    flag = [True, False, False, False]
+    columns = {"class": [10, 11, 12, 13], "c": [45] * 4, "comp": [1] * 4, "place": [45] * 4, "least": [46] * 4, "role": [2, 1, 1, 1], "ask": flag, "held": [not x for x in flag], "around": [a.tobytes() for a in around]}
+    out = cw._meet(2)(pa.table(columns)).to_pylist()
+    assert sorted((x["l"], x["r"], x["c"]) for x in out) == [(10, 11, 45), (10, 12, 45), (10, 13, 45)]

@@ -7,7 +7,7 @@ passages that share ROWS minima, and its key is equal for cells of other texts w
 propose pairs: all with the least of them, a star. Every passage on the diagonals of a pair is then verified on full shingle
 sets (Jaccard 0.8). What a star can't show, a passage that fails with its hub or a key whose texts are still
 in several components, is left to a second round. Shingles around such cells that no other text has there rule out most of their passages; the cells left
-are compared in blocks by the shingles around them, of which one link for each cell that failed, and one between two components, leave a block.
+are compared in blocks by the shingles around them; links that show all alike passages of each cell that failed, and one between two components, leave a block.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ ELEMENTS = LEAST - SHINGLE + 1
 AGREE = 13
 #: Of two alike passages without a repeated shingle, the shingles in both.
 COMMON = -(-2 * SIMILARITY * ELEMENTS // (100 + SIMILARITY))
-#: Cells of a block in the second round, and the links that a cell that asks leaves in a block beside those between components.
+#: Cells of a block in the second round, and the closest links that a cell which is not held leaves in a block beside those that show more of its passages or join components.
 BLOCK, FEW = 512, 2
 #: Cells of a bucket of their shingles, of which there are some ten times as many.
 BUCKET = 1 << 14
@@ -312,9 +312,9 @@ def passages(a: Profile, b: Profile, anchors):
                 held[i][begin : end + wide] = True
     failed, near = set(), [np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(wide, end, np.uint64), t.x, np.full(wide, end, np.uint64)]), 2 * wide + 1) for t, end in ((a, 0), (b, 1))]
     begins, ends = np.flatnonzero(b.begins), np.flatnonzero(b.ends)
-    aligned = {(int(begins[np.searchsorted(begins, c, "right") - 1]), False) for c in anchors.tolist()}
-    aligned |= {(int(ends[np.searchsorted(ends, c)]), True) for c in anchors.tolist()}
-    aligned = sorted(x for x in aligned if not x[1] or not b.begins[x[0]])
+    aligned = {(c, False) for c in begins[np.searchsorted(begins, anchors, "right") - 1].tolist()}
+    aligned |= {(c, True) for c in ends[np.searchsorted(ends, anchors)].tolist() if not b.begins[c]}
+    aligned = sorted(aligned)
     values = b.x[[c for c, _ in aligned]]
     bounds = zip(np.searchsorted(a.value, values, "left").tolist(), np.searchsorted(a.value, values, "right").tolist())
     for (c, last), (left, right) in zip(aligned, bounds):
@@ -474,10 +474,11 @@ def _around(batches):
 
 
 def _meet(few: int):
-    """Links of cells with role 0 or 2 to cells with role 1 or 2 whose surroundings have alike passages: the closest few for each that asks and is not held, else none twice between two components.
+    """Links of cells with role 0 or 2 to cells with role 1 or 2 whose surroundings have alike passages on their diagonal: for each that asks and is not held the closest few
+    and what more its alike passages take, else none twice between two components.
 
-    Only surroundings with a passage that holds as many of the other's shingles as alike passages must are compared; as many equal places on
-    the diagonal of two cells suffice where no shingle is repeated.
+    A passage is a bit of 46, those that hold the cell. A place has the bits of the passages in which it is the first of its shingle, so that the bits which two
+    cells have of a shingle are the passages that share it, and their sums over all shingles are the sizes of intersections.
     """
 
     def run(table):
@@ -485,62 +486,47 @@ def _meet(few: int):
         import pyarrow as pa
 
         own, c, comp, place, least, role, ask, held = (table.column(x).to_numpy() for x in ("class", "c", "comp", "place", "least", "role", "ask", "held"))
-        wide, profiles, out = ELEMENTS - 1, {}, set()
-        x = np.zeros((len(own), 2 * wide + 1), np.int64)  # all cells in one column; 0 is no shingle
-        for row, around, at in zip(x, table.column("around").to_pylist(), place.tolist()):
-            around = np.frombuffer(around, np.uint32)
-            row[wide - at : wide - at + len(around)] = around.astype(np.int64) + 1
-        low = np.where(x > 0, (x - 1 & 0xFFFF) + 1, 0)
-        seen = np.zeros((1 << 16) + 1, np.int16)
+        out = set()
         _, root = np.unique(comp, return_inverse=True)
-        told = np.flatnonzero(role != 0)
-        low_told, own_told, least_told, flags = np.ascontiguousarray(low[told]), own[told], least[told], np.empty((len(told), 2 * wide + 1), np.int16)
-
-        def most(flags):
-            """Of each row the most flags in a passage that holds the cell."""
-            total = np.zeros((len(flags), 2 * wide + 2), np.int16)
-            np.cumsum(flags, axis=1, dtype=np.int16, out=total[:, 1:])
-            return (total[:, ELEMENTS:] - total[:, :-ELEMENTS]).max(1)
-
-        def profile(i):
-            if i not in profiles:
-                profiles[i] = Profile((x[i][x[i] > 0] - 1).astype(np.uint64))
-            return profiles[i]
-
-        def compared(i, j):
-            a, b, d = profile(i), profile(j), int(place[i] - place[j])
-            low_, high_ = max(0, d), min(len(a.x), len(b.x) + d)
-            if (a.x[low_:high_] == b.x[low_ - d : high_ - d]).sum() < AGREE:  # passages() asks for as much
-                return False
-            first, final = max(0, d, int(place[i]) - ELEMENTS + 1), min(len(a.distinct), len(b.distinct) + d, int(place[i]) + 1)
-            return first < final and alike(a, b, d, first, final).any()
-
-        for i in np.flatnonzero((role != 1) & ask).tolist():
-            if held[i] and (root[told] == root[i]).all():
-                continue
-            seen[low[i]] = 1
-            seen[0] = 0
-            np.take(seen, low_told, out=flags, mode="clip")
-            seen[low[i]] = 0
-            full = np.minimum(least_told, least[i]) == ELEMENTS
-            need = np.where(full, COMMON, SIMILARITY * np.maximum(least_told, least[i]) / 100)
-            hope = np.flatnonzero((own_told != own[i]) & (flags.sum(1, dtype=np.int16) >= need))  # in all, before passage by passage
-            both = most(flags[hope])
-            fit = both >= need[hope]
-            others, both, full = told[hope[fit]], both[fit], full[hope[fit]]
-            order = np.argsort(-both, kind="stable")
-            others, full = others[order], full[order]
-            sure = full & (most((x[others] == x[i]) & (x[i] > 0)) >= COMMON)
-            rest, links = np.ones(len(others), bool), few if held[i] else 0
-            while True:
-                left = np.flatnonzero(rest if links < few else rest & (root[others] != root[i]))
-                if not len(left):
-                    break
-                k = int(left[sure[left].argmax()])  # what needs no comparison first
-                rest[k] = False
-                j = int(others[k])
-                if sure[k] or compared(i, j):
+        told, asks = np.flatnonzero(role != 0), np.flatnonzero((role != 1) & ask)
+        if len(told):
+            asks = asks[~held[asks] | (root[asks] != root[told[0]]) | (root[told] != root[told[0]]).any()]
+        if len(told) and len(asks):
+            x, fresh, bits, valid = _passages_of_cells(table.column("around").to_pylist(), place, least)
+            sizes = _counts(bits)
+            known = np.unique(x[asks])
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            at = np.where((known[at] == x) & (x > 0), at + 1, 0)  # 0 is no shingle of a cell that asks
+            single, bits_told, at_told, own_told, least_told = np.zeros((len(told), 96), np.int64), bits[told], at[told], own[told], least[told]
+            single[:, : x.shape[1]] = at_told * fresh[told]  # each shingle once
+            seen, masks, flags = np.zeros(len(known) + 1, np.uint8), np.zeros(len(known) + 1, np.uint64), np.empty(single.shape, np.uint8)
+            for i in asks.tolist():
+                others = np.flatnonzero((own_told != own[i]) & ((root[told] != root[i]) | ~held[i]))
+                if not len(others):
+                    continue
+                np.add.at(masks, at[i], bits[i])
+                seen[at[i]] = 1
+                seen[0] = masks[0] = 0
+                some = flags[: len(others)]
+                np.take(seen, single if len(others) == len(told) else single[others], out=some, mode="clip")
+                total = some.view(np.uint64).sum(1) * np.uint64(0x0101010101010101) >> np.uint64(56)  # of bytes
+                both, lesser = np.maximum(least_told[others], least[i]), least_told[others] + least[i]
+                others = others[(100 * total >= SIMILARITY * both) & ((100 + SIMILARITY) * total >= SIMILARITY * lesser)]
+                both = _counts(masks[at_told[others]] & bits_told[others])
+                seen[at[i]] = masks[at[i]] = 0
+                others = told[others]
+                good = (100 * both >= SIMILARITY * (sizes[others] + sizes[i] - both)) & valid[others] & valid[i]
+                fit = good.any(1)
+                fit[fit] = ((x[others[fit]] == x[i]) & (x[i] > 0)).sum(1) >= AGREE  # passages() asks for as much
+                others, both, good = others[fit], both[fit], good[fit]
+                order = np.argsort(-(both * good).max(1), kind="stable")
+                others, good = others[order], good[order]
+                links, shown = 0, np.full(good.shape[1], held[i])
+                for j, passages_ in zip(others.tolist(), good):
+                    if root[j] == root[i] and (held[i] or links >= few) and not (passages_ & ~shown).any():
+                        continue
                     links += 1
+                    shown |= passages_
                     root[root == root[i]] = root[j]
                     out.add((int(own[i]), int(own[j]), int(c[j])) if own[i] < own[j] else (int(own[j]), int(own[i]), int(c[i])))
         l, r, at = zip(*out) if out else ((), (), ())
@@ -549,6 +535,39 @@ def _meet(few: int):
     return run
 
 
+def _passages_of_cells(around, place, least):
+    """(shingles around each cell in columns, 0 where there is none; first places of a shingle; bits of the passages in which a place is the first of its shingle; passages that exist)."""
+    import numpy as np
+
+    wide, size = ELEMENTS - 1, np.array([len(a) // 4 for a in around])
+    row = np.repeat(np.arange(len(around)), size)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(size) - size - wide + place, size)
+    x = np.zeros((len(around), 2 * wide + 1), np.int64)
+    x[row, column] = np.frombuffer(b"".join(around), np.uint32).astype(np.int64) + 1
+    before = np.full(x.shape, -1)  # the place of the same shingle before; only where a passage repeats one
+    poor = np.flatnonzero(least < ELEMENTS)
+    both = np.sort(x[poor] << 7 | np.arange(x.shape[1]), axis=1)
+    again = both[:, 1:] >> 7 == both[:, :-1] >> 7
+    r, k = np.nonzero(again)
+    before[poor[r], both[r, k + 1] & 127] = both[r, k] & 127
+    q = np.arange(x.shape[1])
+    first, last = np.maximum(np.maximum(before, q - ELEMENTS) + 1, 0), np.minimum(q, wide)
+    ones = np.array([(1 << k) - 1 for k in range(ELEMENTS + 1)], np.uint64)
+    bits = np.where((x > 0) & (first <= last), ones[last + 1] & ~ones[np.minimum(first, ELEMENTS)], 0).astype(np.uint64)
+    begin = (wide - place)[:, None]
+    start = np.arange(ELEMENTS)
+    return x, before < 0, bits, (start >= begin) & (start + wide < begin + size[:, None])
+
+
+def _counts(bits):
+    """Of each row of 46-bit numbers how many have each bit."""
+    import numpy as np
+
+    spread = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]  # a byte for each bit
+    of = np.ascontiguousarray(bits).view(np.uint8).reshape(*bits.shape, 8)[:, :, : -(-ELEMENTS // 8)]
+    return np.ascontiguousarray(spread[of].sum(1)).view(np.uint8)[:, :ELEMENTS].astype(np.int64)
+
+
 def _merge(batches):
     """Ranges of shingles of a class as merged word ranges."""
     import pyarrow as pa
