@@ -55,7 +55,7 @@ class Sequences:
     def one(self, text):
         import pyarrow as pa
 
-        x, _ = self(pa.array([text], pa.string()))
+        x, _ = self(pa.array([text], pa.large_string()))
         return x
 
 
@@ -310,7 +310,8 @@ def passages(a: Profile, b: Profile, anchors):
             same = pure[i][0] & np.isin(pure[i][1], pure[1 - i][1][pure[1 - i][0]])
             for begin, end in runs(same):
                 held[i][begin : end + wide] = True
-    failed, near = set(), [np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(wide, end, np.uint64), t.x, np.full(wide, end, np.uint64)]), 2 * wide + 1) for t, end in ((a, 0), (b, 1))]
+    failed, across = set(), np.arange(2 * wide + 1)
+    padded = [np.concatenate([np.full(wide, end, np.uint64), t.x, np.full(wide, end, np.uint64)]) for t, end in ((a, 0), (b, 1))]
     begins, ends = np.flatnonzero(b.begins), np.flatnonzero(b.ends)
     aligned = {(c, False) for c in begins[np.searchsorted(begins, anchors, "right") - 1].tolist()}
     aligned |= {(c, True) for c in ends[np.searchsorted(ends, anchors)].tolist() if not b.begins[c]}
@@ -324,15 +325,15 @@ def passages(a: Profile, b: Profile, anchors):
         places = places[(a.ends if last else a.begins)[places]]
         if held[1][c]:
             places = places[~held[0][places]]
-        own = near[1][c]
-        places = places[(near[0][places] == own).sum(1) >= AGREE]
+        own = padded[1][c : c + 2 * wide + 1]
+        places = places[(padded[0][places[:, None] + across] == own).sum(1) >= AGREE]
         if not len(places):
             continue
         own = own.tobytes()
         for p in places.tolist():
             if held[0][p] and held[1][c]:
                 continue
-            around = hash(near[0][p].tobytes()), hash(own)
+            around = hash(padded[0][p : p + 2 * wide + 1].tobytes()), hash(own)
             if around in failed:
                 continue
             d = p - c
